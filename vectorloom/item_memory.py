@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vectorloom.tables import prepare
+
 
 def sign_changes(spark: SparkSession, dimensionality: int, levels: int, seed: int) -> DataFrame:
     """(level, d): positions whose sign changes on entering a level; levels are drawn
     in parallel."""
+    prepare(spark)
     half, later = dimensionality // 2, int(dimensionality / 2 / levels)
 
     def draw(batches):
@@ -152,4 +155,5 @@ def _memory(dimensionality: int, levels: int, seed: int) -> ItemMemory:
 def load_item_memory(spark: SparkSession, dimensionality: int, levels: int,
                      seed: int) -> ItemMemory:
     """Item memory on the driver: at most D drawn positions are fetched (then cached)."""
+    prepare(spark)
     return _memory(dimensionality, levels, seed)

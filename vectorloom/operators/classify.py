@@ -17,6 +17,8 @@ from vectorloom.operators.bundle import Request, label_index
 TABLE_BYTES = 16 << 20
 # Classifiers broadcast together.
 SHIPPED_BYTES = 64 << 20
+# Multiplications the driver may spend on building score tables itself.
+DRIVER_WORK = 1 << 27
 
 
 @dataclass
@@ -27,7 +29,7 @@ class Classifier:
     model: int
     request: Request
     order: np.ndarray
-    vectors: np.ndarray
+    vectors: np.ndarray | None
     train: tuple[int, ...] = ()
     test: tuple[int, ...] = ()
     counts: np.ndarray | None = None
@@ -35,23 +37,26 @@ class Classifier:
     inverse: np.ndarray = field(default=None)
 
     def ready(self, memory: ItemMemory) -> "Classifier":
+        """Fill in what scoring needs from the counters or class vectors."""
+        if self.vectors is None:
+            self.vectors = memory.bundle(self.counts)
         self.inverse = kernels.inverse_norms(self.vectors.astype(np.float64))
         width = len(self.request.positions)
         if width * memory.levels * len(self.vectors) * 8 <= TABLE_BYTES:
-            self.table = self.build_table(memory)
+            self.table = memory.score_table(self.vectors, width)
         return self
 
-    def build_table(self, memory: ItemMemory) -> np.ndarray:
-        return memory.score_table(self.vectors, len(self.request.positions))
-
     def slim(self) -> "Classifier":
         """Without what scoring does not need."""
         vectors = None if self.table is not None else self.vectors
         return Classifier(self.model, self.request, self.order, vectors, self.train, self.test,
                           None, self.table, self.inverse)
 
+    def work(self, memory: ItemMemory) -> int:
+        return len(self.order) * len(self.request.positions) * memory.dimensionality
+
     def n_bytes(self) -> int:
-        return self.table.nbytes if self.table is not None else self.vectors.nbytes
+        return next(a.nbytes for a in (self.table, self.counts, self.vectors) if a is not None)
 
     def dots(self, levels: np.ndarray, doubled: np.ndarray) -> np.ndarray:
         """(rows, classes) dot products of encoded rows with class vectors."""
@@ -90,6 +95,32 @@ def in_shipments(classifiers: list[Classifier]):
         yield group
 
 
+def make_ready(context, models: list[Classifier], memory: ItemMemory) -> list[Classifier]:
+    """Score tables of all models: here when that is little work, else by Spark tasks.
+    Models made by tasks keep their counters and drop their class vectors."""
+    if sum(m.work(memory) for m in models) < DRIVER_WORK:
+        return [m.ready(memory) for m in models]
+    here = [m for m in models if m.counts is None]
+    there = [m for m in models if m.counts is not None]
+    shared = context.broadcast(memory)
+    for group in in_shipments(there):
+        tasks = min(len(group), 4 * context.defaultParallelism)
+        made = context.parallelize(group, tasks).map(
+            lambda m: (m.model, *_scoring_parts(m, shared.value))
+        )
+        found = {model: parts for model, *parts in made.collect()}
+        for m in group:
+            m.table, m.inverse, m.vectors = found[m.model]
+    for m in here:
+        m.ready(memory)
+    return models
+
+
+def _scoring_parts(model: Classifier, memory: ItemMemory):
+    model.ready(memory)
+    return model.table, model.inverse, None if model.table is not None else model.vectors
+
+
 class LevelCache:
     """Levels of one batch for each request, computed once."""
 

@@ -142,7 +142,8 @@ def online_pass(blocks: DataFrame, one: Classifier, labels: list[str], memory: I
     mine = blocks.filter(F.col("part").isin(list(one.train)))
     span = mine.agg(F.min("block").alias("a"), F.max("block").alias("b"),
                     F.count(F.lit(1)).alias("n")).first()
-    vectors, wrong, at, window = one.vectors, 0, span.a, parallel
+    vectors = memory.bundle(one.counts) if one.vectors is None else one.vectors
+    wrong, at, window = 0, span.a, parallel
     while at is not None and at <= span.b:
         state_now = spark.sparkContext.broadcast(vectors)
 
@@ -255,7 +256,7 @@ def _batch_counted(rows, models, labels, memory):
     out = {}
     for m, at, size in zip(models, starts, sizes):
         counts = m.counts + dense[at + 2:at + size].reshape(m.counts.shape)
-        out[m.model] = memory.bundle(counts), counts, int(dense[at + 1]), int(dense[at])
+        out[m.model] = None, counts, int(dense[at + 1]), int(dense[at])
     return out
 
 
@@ -304,5 +305,5 @@ def _batch_direct(rows, models, labels, memory):
     return {m.model: (vectors[i], None, *seen.get(i, (0, 0))) for i, m in enumerate(models)}
 
 
-def updated(one: Classifier, vectors: np.ndarray, counts, memory: ItemMemory) -> Classifier:
-    return replace(one, vectors=vectors, counts=counts, table=None).ready(memory)
+def updated(one: Classifier, vectors: np.ndarray | None, counts) -> Classifier:
+    return replace(one, vectors=vectors, counts=counts, table=None, inverse=None)

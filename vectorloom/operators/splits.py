@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.functions.keys import key_bucket, order_key
+from vectorloom.functions.keys import order_key
 from vectorloom.settings import check_folds, check_percentage
-from vectorloom.tables import attach_small
+from vectorloom.tables import BROADCAST_ROWS, attach_small, bounded_rows
 
-# 16**4 buckets: 10**12 rows of one class leave about 15 million in the cutoff bucket.
-_BUCKET_DIGITS = 4
+# Each histogram splits a class into 16**3 buckets by key prefix; the bucket holding the
+# last drawn row is split again while it is longer than one task should sort.
+_DIGITS = 3
+_SORTED_ROWS = 1_000_000
 
 
 def stratified_split(matrix: DataFrame, percentage: float, seed: int = 0,
@@ -23,31 +25,58 @@ def stratified_split(matrix: DataFrame, percentage: float, seed: int = 0,
     with the resulting cutoff key, so the rows themselves are never shuffled.
     """
     check_percentage("percentage", percentage)
-    keyed = matrix.withColumn("_key", order_key(seed, row_id))
-    slim = keyed.select("label", F.col(row_id).alias("_id"), "_key",
-                        key_bucket(F.col("_key"), _BUCKET_DIGITS).alias("_bucket"))
-    buckets = slim.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    of_class = Window.partitionBy("label")
-    before = of_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    holding = (
-        buckets.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("quota", F.floor(F.sum("n").over(of_class) * F.lit(percentage) / 100.0))
-        .filter((F.col("below") < F.col("quota")) & (F.col("quota") <= F.col("below") + F.col("n")))
-        .select("label", "_bucket", (F.col("quota") - F.col("below")).alias("_take"))
-    )
-    inside = attach_small(slim, holding, ["label", "_bucket"])
+    key = order_key(seed, row_id)
+    slim = matrix.select("label", F.col(row_id).alias("_id"), key.alias("_key"))
+    n = F.sum("n").over(Window.partitionBy("label"))
+    quota = F.floor(n * F.lit(percentage) / 100.0)
+    digits = _DIGITS
+    holding = _holding_bucket(slim, digits, quota)
+    while _longest(holding) > _SORTED_ROWS and digits < 30:
+        digits += _DIGITS
+        inside = attach_small(slim.withColumn("_bucket", _prefix(digits - _DIGITS)), holding,
+                              ["label", "_bucket"])
+        wanted = F.max("take").over(Window.partitionBy("label"))
+        holding = _holding_bucket(inside, digits, wanted, "take")
+    inside = attach_small(slim.withColumn("_bucket", _prefix(digits)), holding,
+                          ["label", "_bucket"])
     rank = F.row_number().over(Window.partitionBy("label").orderBy("_key", "_id"))
     cutoff = (
         inside.withColumn("_rank", rank)
-        .filter(F.col("_rank") == F.col("_take"))
+        .filter(F.col("_rank") == F.col("take"))
         .select("label", F.col("_key").alias("_last_key"), F.col("_id").alias("_last_id"))
     )
-    drawn = F.struct("_key", row_id) <= F.struct("_last_key", "_last_id")
+    drawn = F.struct(key, F.col(row_id)) <= F.struct("_last_key", "_last_id")
     return (
-        attach_small(keyed, cutoff, "label", "left")
+        attach_small(matrix, cutoff, "label", "left")
         .withColumn("is_train", F.coalesce(drawn, F.lit(False)))
-        .drop("_key", "_last_key", "_last_id")
+        .drop("_last_key", "_last_id")
+    )
+
+
+def _prefix(digits: int):
+    return F.substring("_key", 1, digits)
+
+
+def _holding_bucket(keyed: DataFrame, digits: int, quota, *carried: str) -> DataFrame:
+    """``label, _bucket, n, take``: the bucket with the class's last drawn row, its length
+    and how many of its rows are drawn."""
+    counts = keyed.groupBy("label", _prefix(digits).alias("_bucket"), *carried).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    before = Window.partitionBy("label").orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    below = F.coalesce(F.sum("n").over(before), F.lit(0))
+    placed = counts.withColumn("_below", below).withColumn("_quota", quota)
+    found = placed.filter("_below < _quota and _quota <= _below + n").select(
+        "label", "_bucket", "n", (F.col("_quota") - F.col("_below")).alias("take")
     )
+    return keyed.sparkSession.createDataFrame(bounded_rows(found, BROADCAST_ROWS, "classes"),
+                                              found.schema)
+
+
+def _longest(holding: DataFrame) -> int:
+    return holding.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
 
 
 def kfold_assign(matrix: DataFrame, k: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from vectorloom.operators.bundle import Request
 from vectorloom.operators.classify import Classifier
 from vectorloom.operators.splits import kfold_held_out, stratified_split
 from vectorloom.settings import Settings
-from vectorloom.tables import attach_small, bound_arrow_batches, bounded_rows
+from vectorloom.tables import attach_small, bounded_rows, prepare, spread
 
 HISTORY = "model_id STRING, iteration INT, error DOUBLE, accuracy DOUBLE"
 _MAX_STATS = 1_000_000
@@ -117,7 +118,7 @@ def evaluate_models(rows: DataFrame, specs: list[Spec], settings: Settings,
                     stats: PartStats | None = None) -> "Evaluation":
     """Histories of all models. ``rows``: ``part, label, row_pos, features``."""
     spark = rows.sparkSession
-    bound_arrow_batches(spark)
+    prepare(spark)
     rows = rows.select("part", "label", "row_pos", "features")
     narrow = any(len(s.positions) for s in specs)
     stats = stats or PartStats(rows, per_feature=narrow and _subsets(specs))
@@ -185,35 +186,15 @@ def _batches(requests: list[Request], per_position: int):
 
 
 def _from_counts(rows, request, counts, numbered, stats, memory) -> list[Classifier]:
-    """Build the models of one count table: on the driver when few, else as a job."""
     column = {p: i for i, p in enumerate(request.positions)}
-
-    def build(i, spec, counts):
-        order = stats_order[i]
+    models = []
+    for i, spec in numbered:
+        order = stats.order(spec)
         at = [column[p] for p in spec.positions]
         mine = counts[list(spec.train)].sum(axis=0)[order][:, at]
         own = Request(request.lo, request.hi, spec.positions)
-        return Classifier(i, own, order, memory.bundle(mine), spec.train, spec.test, mine)
-
-    stats_order = {i: stats.order(spec) for i, spec in numbered}
-    built = [build(i, spec, counts) for i, spec in numbered]
-    return _with_tables(rows, built, memory)
-
-
-def _with_tables(rows, models: list[Classifier], memory: ItemMemory) -> list[Classifier]:
-    """Score tables; many of them are computed by Spark tasks."""
-    work = sum(m.vectors.size * len(m.request.positions) for m in models)
-    if len(models) < 16 or work < 1 << 29:
-        return [m.ready(memory) for m in models]
-    context = rows.sparkSession.sparkContext
-    shared = context.broadcast(memory)
-    tasks = min(len(models), 4 * context.defaultParallelism)
-    slim = [Classifier(m.model, m.request, m.order, m.vectors, m.train, m.test) for m in models]
-    done = context.parallelize(slim, tasks).map(lambda m: m.ready(shared.value).slim()).collect()
-    by_model = {m.model: m for m in done}
-    for m in models:
-        m.table, m.inverse = by_model[m.model].table, by_model[m.model].inverse
-    return models
+        models.append(Classifier(i, own, order, None, spec.train, spec.test, mine))
+    return classify.make_ready(rows.sparkSession.sparkContext, models, memory)
 
 
 def _from_rows(rows, numbered, edges, stats, memory) -> list[Classifier]:
@@ -282,13 +263,14 @@ def _run_passes(rows, models, settings, stats, memory, history, final):
                 for m in active:
                     vectors, wrong, n = retrain.online_pass(rows, m, labels, memory, parallel)
                     errors[m.model] = wrong / n
-                    moved.append(retrain.updated(m, vectors, None, memory))
+                    moved.append(retrain.updated(m, vectors, None))
             else:
                 results = retrain.batch_pass(rows, active, labels, memory)
                 for m in active:
                     vectors, counts, wrong, n = results[m.model]
                     errors[m.model] = wrong / n
-                    moved.append(retrain.updated(m, vectors, counts, memory))
+                    moved.append(retrain.updated(m, vectors, counts))
+            classify.make_ready(rows.sparkSession.sparkContext, moved, memory)
             scored = classify.count_correct(rows, moved, labels, memory)
             active = []
             for m in moved:
@@ -307,10 +289,12 @@ def _run_passes(rows, models, settings, stats, memory, history, final):
 
 
 def _percent(right: int, n: int) -> float:
-    """100 * right / n with SQL rounding (half away from zero) to two decimals."""
-    from decimal import ROUND_HALF_UP, Decimal
+    return round_half_up(100 * (right / n))
+
 
-    return float(Decimal(repr(100 * (right / n))).quantize(Decimal("0.01"), ROUND_HALF_UP))
+def round_half_up(value: float) -> float:
+    """Two decimals, rounded as SQL does."""
+    return float(Decimal(repr(value)).quantize(Decimal("0.01"), ROUND_HALF_UP))
 
 
 class Evaluation:
@@ -371,19 +355,19 @@ def fold_specs(parts: list, k: int, positions, prefix: str = "fold ") -> list[Sp
 
 def holdout(matrix: DataFrame, percentage: float, settings: Settings) -> Evaluation:
     """Stratified percentage split, one model on all features."""
-    rows = holdout_rows(matrix, percentage, settings.seed)
-    stats = PartStats(rows, per_feature=False)
-    if stats.n_parts < 2 or not stats.count[1].sum():
-        raise ValueError("the split leaves no training rows")
-    return evaluate_models(rows, holdout_specs(range(stats.width)), settings, stats)
+    slim = matrix.select("row_id", "row_pos", "label", "features")
+    with spread(slim, "row_id") as wide:
+        rows = holdout_rows(wide, percentage, settings.seed)
+        stats = PartStats(rows, per_feature=False)
+        if stats.n_parts < 2 or not stats.count[1].sum():
+            raise ValueError("the split leaves no training rows")
+        return evaluate_models(rows, holdout_specs(range(stats.width)), settings, stats)
 
 
 def cross_validate(matrix: DataFrame, k: int, settings: Settings) -> Evaluation:
     """Systematic folds, all models in the same jobs."""
-    rows, parts = fold_rows(matrix, k)
-    rows = rows.persist()
-    try:
+    slim = matrix.select("row_pos", "label", "features")
+    with spread(slim, "row_pos") as wide:
+        rows, parts = fold_rows(wide, k)
         stats = PartStats(rows, per_feature=False)
         return evaluate_models(rows, fold_specs(parts, k, range(stats.width)), settings, stats)
-    finally:
-        rows.unpersist()

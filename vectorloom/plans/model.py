@@ -14,7 +14,7 @@ from vectorloom.operators.bundle import Request
 from vectorloom.operators.classify import Classifier
 from vectorloom.plans.evaluate import PartStats, Spec, evaluate_models
 from vectorloom.settings import Settings
-from vectorloom.tables import bound_arrow_batches
+from vectorloom.tables import prepare
 
 
 @dataclass
@@ -28,7 +28,7 @@ class HDModel:
 
     def transform(self, matrix: DataFrame, similarity: bool = False) -> DataFrame:
         """Add ``guess``; works on streaming DataFrames as well."""
-        bound_arrow_batches(matrix.sparkSession)
+        prepare(matrix.sparkSession)
         rows = matrix.withColumn("part", F.lit(0))
         return classify.predict(rows, [self.classifier], self.labels, self.memory,
                                 similarity).drop("part")

@@ -1,2 +1,277 @@
-def backward_elimination(): ...
-def feature_importance(): ...
+"""Backward feature elimination and the feature-importance search."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field, replace
+from hashlib import md5
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vectorloom.operators.importance import (
+    last_run_per_seed,
+    selection_frequency,
+    top_features,
+)
+from vectorloom.operators.permute import feature_chunks
+from vectorloom.plans.evaluate import (
+    PartStats,
+    Spec,
+    evaluate_models,
+    fold_rows,
+    fold_specs,
+    holdout_rows,
+    round_half_up,
+)
+from vectorloom.settings import Settings, check_folds, check_percentage
+from vectorloom.tables import spread
+
+RUNS = ("chunk INT, run_id STRING, group_size INT, iteration INT, accuracy DOUBLE, "
+        "features ARRAY<STRING>, excluded ARRAY<STRING>")
+
+
+@dataclass(frozen=True)
+class Elimination:
+    """Stopping rules. ``strict_min`` also refuses groups that jump below ``group_min``."""
+
+    group_min: int = 1
+    accuracy_threshold: float = 60.0
+    tolerance: float = 5.0
+    strict_min: bool = False
+
+    def __post_init__(self):
+        if self.group_min < 1:
+            raise ValueError("group_min must be at least 1")
+        check_percentage("accuracy_threshold", self.accuracy_threshold)
+        check_percentage("tolerance", self.tolerance)
+
+
+@dataclass
+class _Search:
+    """One elimination under way (a chunk of features). Positions index the matrix."""
+
+    chunk: int
+    base: list[int]
+    rules: Elimination
+    size: int = 0
+    retained: list[dict] = field(default_factory=list)
+    runs: list[dict] = field(default_factory=list)
+    best: float = -np.inf
+    best_size: int = 0
+    selected: set[int] = field(default_factory=set)
+
+    def first_subsets(self) -> list[tuple[int, ...]]:
+        return [tuple(self.base)]
+
+    def next_subsets(self) -> list[tuple[int, ...]]:
+        """Leave-one-out subsets of what every retained run kept; none ends the search."""
+        if self.size - 1 < max(self.rules.group_min, 1):
+            return []
+        if max(r["accuracy"] for r in self.retained) < self.rules.accuracy_threshold:
+            return []
+        kept = set(self.retained[0]["positions"]).intersection(
+            *(r["positions"] for r in self.retained)
+        )
+        self.base = sorted(kept)
+        smaller = len(self.base) - 1
+        if smaller < (self.rules.group_min if self.rules.strict_min else 1):
+            return []
+        return [tuple(p for p in self.base if p != left_out) for left_out in self.base]
+
+    def take(self, results: list[dict]) -> None:
+        self.size = len(results[0]["positions"])
+        best = max(r["accuracy"] for r in results)
+        limit = best - best * self.rules.tolerance / 100.0
+        self.retained = sorted((r for r in results if r["accuracy"] >= limit),
+                               key=lambda r: -r["accuracy"])
+        for run in self.retained:
+            run["excluded"] = sorted(set(self.base) - set(run["positions"]))
+        self.runs += self.retained
+        if best >= self.best:
+            self.best, self.best_size = best, self.size
+            self.selected = set().union(*(r["positions"] for r in self.retained))
+
+
+@dataclass
+class Selection:
+    """Result tables of an elimination."""
+
+    spark: SparkSession
+    names: list[str]
+    searches: list[_Search]
+
+    @property
+    def runs(self) -> DataFrame:
+        """Retained runs of every round."""
+        rows = [
+            (s.chunk, r["run_id"], len(r["positions"]), r["iteration"], r["accuracy"],
+             sorted(self.names[p] for p in r["positions"]),
+             sorted(self.names[p] for p in r["excluded"]))
+            for s in self.searches for r in s.runs
+        ]
+        return self.spark.createDataFrame(rows, RUNS)
+
+    @property
+    def selection(self) -> DataFrame:
+        """``chunk, group_size, accuracy, feature``: the best group's features."""
+        rows = [(s.chunk, s.best_size, s.best, self.names[p])
+                for s in self.searches for p in sorted(s.selected, key=self.names.__getitem__)]
+        return self.spark.createDataFrame(
+            rows, "chunk INT, group_size INT, accuracy DOUBLE, feature STRING"
+        )
+
+    def selected_positions(self) -> list[int]:
+        return sorted(set().union(*(s.selected for s in self.searches)))
+
+
+class Prepared:
+    """Rows split into parts once, with their statistics, for any number of searches."""
+
+    def __init__(self, rows: DataFrame, parts, folds: int | None):
+        self.rows = rows.select("part", "label", "row_pos", "features").persist()
+        self.parts, self.folds = parts, folds
+        self.stats = PartStats(self.rows, per_feature=True)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.rows.unpersist()
+
+    def specs(self, positions: tuple[int, ...], prefix: str) -> list[Spec]:
+        if self.folds:
+            return fold_specs(self.parts, self.folds, positions, prefix)
+        return [Spec(prefix + "holdout", (1,), (0,), positions)]
+
+
+def run_name(names: list[str], positions) -> str:
+    """md5 of the printed, sorted feature list (see functions.keys.run_id)."""
+    return md5(str(sorted(names[p] for p in positions)).encode()).hexdigest()
+
+
+def _score(prepared: Prepared, subsets: list[tuple[int, ...]], settings: Settings,
+           names: list[str]) -> list[dict]:
+    """Accuracy of every subset, all subsets and folds in the same jobs."""
+    specs, owner = [], []
+    for i, subset in enumerate(subsets):
+        own = prepared.specs(subset, f"{i}:")
+        specs += own
+        owner += [i] * len(own)
+    result = evaluate_models(prepared.rows, specs, settings, prepared.stats)
+    scores = {}
+    for i, score in zip(owner, result.best_scores()):
+        scores.setdefault(i, []).append(score)
+    out = []
+    for i, subset in enumerate(subsets):
+        accuracy = sum(s[0] for s in scores[i]) / len(scores[i])
+        iteration = sum(s[1] for s in scores[i]) // len(scores[i])
+        out.append({"positions": subset, "accuracy": round_half_up(accuracy),
+                    "iteration": iteration, "run_id": run_name(names, subset)})
+    return out
+
+
+def eliminate(prepared: Prepared, chunks: dict[int, list[int]], names: list[str],
+              settings: Settings, rules: Elimination) -> list[_Search]:
+    """Run the searches of all chunks side by side: one evaluation per round."""
+    for positions in chunks.values():
+        if rules.group_min > len(positions) and len(chunks) == 1:
+            raise ValueError("group_min exceeds the number of features")
+    searches = [_Search(c, sorted(p), rules) for c, p in sorted(chunks.items())]
+    pending = [(s, s.first_subsets()) for s in searches]
+    while pending:
+        flat = [subset for _, subsets in pending for subset in subsets]
+        results = iter(_score(prepared, flat, settings, names))
+        for search, subsets in pending:
+            search.take([next(results) for _ in subsets])
+        pending = [(s, subsets) for s, _ in pending if (subsets := s.next_subsets())]
+    return searches
+
+
+def _named(matrix: DataFrame, names: list[str] | None) -> list[str]:
+    if names is not None:
+        return names
+    width = matrix.agg(F.max(F.size("features")).alias("n")).first().n
+    return [str(i) for i in range(width)]
+
+
+def _prepare(wide: DataFrame, folds: int | None, percentage: float | None,
+             seed: int) -> Prepared:
+    if (folds is None) == (percentage is None):
+        raise ValueError("give either folds or percentage")
+    if folds is not None:
+        check_folds(folds)
+        return Prepared(*fold_rows(wide, folds), folds)
+    return Prepared(holdout_rows(wide, percentage, seed), None, None)
+
+
+def backward_elimination(matrix: DataFrame, settings: Settings, rules: Elimination | None = None,
+                         folds: int | None = None, percentage: float | None = None,
+                         names: list[str] | None = None) -> Selection:
+    """Drop features step by step while accuracy holds; see ``Elimination``."""
+    names = _named(matrix, names)
+    slim = matrix.select("row_id", "row_pos", "label", "features")
+    with spread(slim, "row_id") as wide:
+        with _prepare(wide, folds, percentage, settings.seed) as prepared:
+            searches = eliminate(prepared, {0: list(range(len(names)))}, names, settings,
+                                 rules or Elimination())
+    return Selection(matrix.sparkSession, names, searches)
+
+
+@dataclass
+class Importance:
+    """``selections``: ``seed, run, chunk, feature`` of every run of every seed."""
+
+    selections: DataFrame
+
+    @property
+    def frequency(self) -> DataFrame:
+        return selection_frequency(last_run_per_seed(self.selections))
+
+    def top(self, percentage: float | None = None) -> DataFrame:
+        return top_features(self.frequency, percentage)
+
+
+def feature_importance(matrix: DataFrame, settings: Settings, chunk_size: int, seeds,
+                       rules: Elimination | None = None, folds: int | None = None,
+                       percentage: float | None = None,
+                       names: list[str] | None = None) -> Importance:
+    """For each seed: cut the features into random chunks, eliminate in every chunk,
+    repeat on the survivors until their number stays, then run once on all of them."""
+    spark = matrix.sparkSession
+    names = _named(matrix, names)
+    position = {name: i for i, name in enumerate(names)}
+    rules = rules or Elimination()
+    slim = matrix.select("row_id", "row_pos", "label", "features")
+    found = []
+    with spread(slim, "row_id") as wide, \
+            _prepare(wide, folds, percentage, settings.seed) as prepared:
+        for seed in seeds:
+            found += _search_seed(spark, prepared, names, position, chunk_size, rules,
+                                  replace(settings, seed=seed))
+    return Importance(spark.createDataFrame(found, "seed INT, run INT, chunk INT, feature STRING"))
+
+
+def _search_seed(spark, prepared, names, position, chunk_size, rules, settings) -> list[tuple]:
+    seed, found = settings.seed, []
+    survivors, before, run = list(names), 0, 0
+    while True:
+        chunks = _chunks(spark, survivors, chunk_size, seed, position)
+        searches = eliminate(prepared, chunks, names, settings, rules)
+        picked = [(s.chunk, names[p]) for s in searches for p in sorted(s.selected)]
+        found += [(seed, run, chunk, name) for chunk, name in picked]
+        survivors = [name for _, name in picked]
+        run += 1
+        if len(picked) == before:
+            break
+        before = len(picked)
+    last = eliminate(prepared, {0: [position[n] for n in survivors]}, names, settings, rules)
+    return found + [(seed, run, 0, names[p]) for p in sorted(last[0].selected)]
+
+
+def _chunks(spark, survivors, chunk_size, seed, position) -> dict[int, list[int]]:
+    table = spark.createDataFrame([(position[n], n) for n in survivors], "pos INT, name STRING")
+    out = {}
+    for row in feature_chunks(table, chunk_size, seed).collect():
+        out.setdefault(row.chunk, []).append(row.pos)
+    return out

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,21 @@ def attach_small(df: DataFrame, small: DataFrame, on, how: str = "inner",
     return df.join(F.broadcast(local), on, how)
 
 
+@contextmanager
+def spread(rows: DataFrame, key: str):
+    """Rows over all cores when they come from fewer partitions than there are cores (a
+    small table in one file); larger inputs are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        yield rows
+        return
+    wide = rows.repartition(cores, key).persist()
+    try:
+        yield wide
+    finally:
+        wide.unpersist()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a private one only for local sessions."""
     context = spark.sparkContext
@@ -56,6 +74,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_prepared: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Once per application: send this package to the executors (their Python may start
+    anywhere) and keep Arrow batches of wide rows small."""
+    bound_arrow_batches(spark)
+    application = spark.sparkContext.applicationId
+    if application in _prepared:
+        return
+    folder = tempfile.mkdtemp(prefix="vectorloom-package-")
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{folder}/vectorloom", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
+    _prepared.add(application)
+
+
 def bound_arrow_batches(spark: SparkSession, n_bytes: int = 64 << 20) -> None:
     """Keep Arrow batches of wide rows within ``n_bytes``; a user's own bound is kept."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
