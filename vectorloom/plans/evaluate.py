@@ -371,3 +371,21 @@ def cross_validate(matrix: DataFrame, k: int, settings: Settings) -> Evaluation:
         rows, parts = fold_rows(wide, k)
         stats = PartStats(rows, per_feature=False)
         return evaluate_models(rows, fold_specs(parts, k, range(stats.width)), settings, stats)
+
+
+def holdout_replicates(rows: DataFrame, replicates: int, percentage: float,
+                       settings: Settings) -> DataFrame:
+    """``replicate, accuracy`` of label-permuted replicates (column ``replicate``), all
+    in the same jobs. Each replicate is split by its own labels."""
+    name = F.concat_ws(":", F.col("replicate"), F.col("label"))
+    drawn = stratified_split(rows.withColumn("_label", F.col("label")).withColumn("label", name),
+                             percentage, settings.seed)
+    part = 2 * F.col("replicate") + F.col("is_train").cast("int")
+    parted = drawn.select(part.cast("int").alias("part"), F.col("_label").alias("label"),
+                          "row_pos", "features")
+    with spread(parted, "row_pos") as parted:
+        stats = PartStats(parted, per_feature=False)
+        positions = tuple(range(stats.width))
+        specs = [Spec(str(r), (2 * r + 1,), (2 * r,), positions) for r in range(replicates)]
+        best = evaluate_models(parted, specs, settings, stats).best
+    return best.select(F.col("model_id").cast("int").alias("replicate"), "accuracy")

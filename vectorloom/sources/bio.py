@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators.matrix import cells_to_matrix
@@ -135,11 +135,10 @@ def profile_matrix(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Long form and one grouping per sample; no column per sample or taxon.
     """
-    from vectorloom.operators.permute import hash_rank
-
-    taxa = profile.select("taxon").distinct()
-    ranked = hash_rank(taxa.withColumn("_hex", F.hex("taxon")), "_hex", "taxon", "_rank")
-    names = ranked.select((F.col("_rank") - 1).cast("int").alias("pos"), F.col("taxon").alias("name"))
+    by_name = F.row_number().over(Window.orderBy("taxon")) - 1  # one row per taxon
+    names = profile.select("taxon").distinct().select(
+        by_name.cast("int").alias("pos"), F.col("taxon").alias("name")
+    )
     cells = profile.join(names.withColumnRenamed("name", "taxon"), "taxon").select(
         F.col("sample").alias("row_id"), "pos", "value"
     )
