@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from vectorloom import kernels
 from vectorloom.functions.levels import levels_of
-from vectorloom.functions.vectors import hv_add, hv_roll
+from vectorloom.functions.vectors import hv_add
 from vectorloom.item_memory import ItemMemory
+from vectorloom.operators.matrix import int_array
 from vectorloom.tables import bounded_rows
 
 
@@ -49,15 +50,20 @@ def encode_rows(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float) ->
 
 def encode_rows_native(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float) -> DataFrame:
     """Same result from built-in array functions only; meant for small D."""
-    text = ";".join(",".join(map(str, row)) for row in memory.matrix.tolist())
-    table = F.transform(F.split(F.lit(text), ";"),
-                        lambda row: F.split(row, ",").cast("array<int>"))
-    zero = F.array_repeat(F.lit(0), memory.dimensionality)
+    dim = memory.dimensionality
+    table = int_array(memory.matrix.ravel())
+    zero = F.array_repeat(F.lit(0), dim)
     levels = levels_of(F.col("features"), lo, hi, memory.levels)
     placed = F.transform(levels, lambda k, f: F.struct(k.alias("k"), f.alias("f")))
-    hv = F.aggregate(
-        placed, zero, lambda acc, p: hv_add(acc, hv_roll(F.get(table, p["k"]), p["f"]))
-    )
+
+    def add_rotated(total, p):
+        level = F.slice(table, p["k"] * dim + 1, F.lit(dim))
+        back = F.pmod(p["f"], F.lit(dim))
+        rolled = F.concat(F.slice(level, F.lit(dim) - back + 1, back),
+                          F.slice(level, F.lit(1), F.lit(dim) - back))
+        return hv_add(total, rolled)
+
+    hv = F.aggregate(placed, zero, add_rotated)
     return matrix.withColumn("hv", hv).drop("features")
 
 

@@ -30,13 +30,13 @@ def stratified_split(matrix: DataFrame, percentage: float, seed: int = 0,
     n = F.sum("n").over(Window.partitionBy("label"))
     quota = F.floor(n * F.lit(percentage) / 100.0)
     digits = _DIGITS
-    holding = _holding_bucket(slim, digits, quota)
-    while _longest(holding) > _SORTED_ROWS and digits < 30:
+    holding, longest = _holding_bucket(slim, digits, quota)
+    while longest > _SORTED_ROWS and digits < 30:
         digits += _DIGITS
         inside = attach_small(slim.withColumn("_bucket", _prefix(digits - _DIGITS)), holding,
                               ["label", "_bucket"])
         wanted = F.max("take").over(Window.partitionBy("label"))
-        holding = _holding_bucket(inside, digits, wanted, "take")
+        holding, longest = _holding_bucket(inside, digits, wanted, "take")
     inside = attach_small(slim.withColumn("_bucket", _prefix(digits)), holding,
                           ["label", "_bucket"])
     rank = F.row_number().over(Window.partitionBy("label").orderBy("_key", "_id"))
@@ -57,9 +57,9 @@ def _prefix(digits: int):
     return F.substring("_key", 1, digits)
 
 
-def _holding_bucket(keyed: DataFrame, digits: int, quota, *carried: str) -> DataFrame:
+def _holding_bucket(keyed: DataFrame, digits: int, quota, *carried: str):
     """``label, _bucket, n, take``: the bucket with the class's last drawn row, its length
-    and how many of its rows are drawn."""
+    and how many of its rows are drawn; also the longest such bucket."""
     counts = keyed.groupBy("label", _prefix(digits).alias("_bucket"), *carried).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -71,12 +71,9 @@ def _holding_bucket(keyed: DataFrame, digits: int, quota, *carried: str) -> Data
     found = placed.filter("_below < _quota and _quota <= _below + n").select(
         "label", "_bucket", "n", (F.col("_quota") - F.col("_below")).alias("take")
     )
-    return keyed.sparkSession.createDataFrame(bounded_rows(found, BROADCAST_ROWS, "classes"),
-                                              found.schema)
-
-
-def _longest(holding: DataFrame) -> int:
-    return holding.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+    rows = bounded_rows(found, BROADCAST_ROWS, "classes")
+    longest = max((r.n for r in rows), default=0)
+    return keyed.sparkSession.createDataFrame(rows, found.schema), longest
 
 
 def kfold_assign(matrix: DataFrame, k: int) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom import kernels
 from vectorloom.functions import (
     hv_add,
     hv_cosine,
@@ -29,7 +33,7 @@ from vectorloom.plans.selection import (
 )
 from vectorloom.settings import Settings
 from vectorloom.sources import bio, delimited, sinks
-from vectorloom.tables import spread
+from vectorloom.tables import cut_lineage, prepare, spread
 
 # Parameters shared with the SQL texts in plans.oracles.
 DIM, LEVELS, SEED = 64, 8, 0
@@ -62,28 +66,37 @@ def line_items(spark, sf_dir) -> DataFrame:
     )
 
 
-def letter_counts(spark, sf_dir, letters: str = LETTERS) -> DataFrame:
-    """Occurrences of each letter in the lower-cased text."""
-    lower = F.lower("text")
-    size = F.length(lower)
-    counts = [(size - F.length(F.replace(lower, F.lit(c)))).cast("double") for c in letters]
+def letter_counts(spark, sf_dir, letters: str = LETTERS, shares: bool = False) -> DataFrame:
+    """Occurrences of each letter in the lower-cased text, or their share of its length."""
+    prepare(spark)
+    codes = np.frombuffer(letters.encode(), dtype=np.uint8)
+
+    @F.arrow_udf("array<double>")
+    def count_letters(text: pa.Array) -> pa.Array:
+        lower = pc.utf8_lower(text)
+        counts = np.zeros((len(lower), len(codes)))
+        for i, one in enumerate(lower):
+            raw = np.frombuffer(one.as_buffer(), dtype=np.uint8)
+            counts[i] = np.bincount(raw, minlength=256)[codes]
+        if shares:
+            length = pc.utf8_length(lower).to_numpy(zero_copy_only=False)[:, None]
+            counts = np.divide(counts, length, out=np.zeros_like(counts), where=length > 0)
+        return kernels.list_column(counts, pa.float64())
+
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("doc_id").alias("row_pos"),
-        F.col("lang").alias("label"), size.alias("n"), F.array(*counts).alias("features"),
+        F.col("lang").alias("label"), count_letters("text").alias("features"),
     )
 
 
 def letter_shares(spark, sf_dir, letters: str = LETTERS) -> DataFrame:
-    counts = letter_counts(spark, sf_dir, letters)
-    share = F.transform("features", lambda v: F.coalesce(F.try_divide(v, F.col("n")), F.lit(0.0)))
-    return counts.withColumn("features", share).drop("n")
+    return letter_counts(spark, sf_dir, letters, shares=True)
 
 
 def brand_names(spark, sf_dir) -> DataFrame:
-    """Per brand, the part names as a feature list, and each name's mean price."""
+    """Per brand, the part names as a feature list, and twice each name's mean size."""
     return table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(
-        F.round(F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double")
-                / F.count(F.lit(1)) / 20, 2).alias("accuracy")
+        (F.sum("p_size").cast("double") / F.count(F.lit(1)) * 2).alias("accuracy")
     )
 
 
@@ -95,7 +108,7 @@ def feature_names(spark, sf_dir) -> DataFrame:
 
 
 def constructed_runs(spark, sf_dir) -> DataFrame:
-    """Leave-one-out runs of every brand, with the price of the part left out as score."""
+    """Leave-one-out runs of every brand, scored by the size of the part left out."""
     sets = brand_names(spark, sf_dir)
     lists = sets.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("features"))
     runs = permute.leave_one_out(lists)
@@ -246,7 +259,8 @@ def kfold_assign(spark, sf_dir):
 
 def kfold_train_exclusion(spark, sf_dir):
     """Training rows per fold; copies of test documents leave the training set."""
-    held = splits.kfold_held_out(letter_counts(spark, sf_dir).drop("n"), FOLDS)
+    rows = cut_lineage(letter_counts(spark, sf_dir))
+    held = splits.kfold_held_out(rows, FOLDS)
     return splits.kfold_train_rows(held, FOLDS).select("fold", "row_id")
 
 
@@ -314,7 +328,7 @@ def cv_history(spark, sf_dir):
 
 def language_cv(spark, sf_dir):
     """Folds of documents whose copies in the test fold leave the training set."""
-    rows = letter_counts(spark, sf_dir).drop("n")
+    rows = letter_counts(spark, sf_dir)
     return ev.cross_validate(rows, FOLDS, SMALL).history.select("model_id", "accuracy")
 
 

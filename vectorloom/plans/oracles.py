@@ -190,8 +190,7 @@ HISTORY = """hist AS (SELECT event_type AS run_id, user_id AS model_id, event_id
   round(value, 2) AS accuracy FROM events)"""
 BEST = """best AS (SELECT run_id, model_id, max(accuracy) AS accuracy,
   arg_min(iteration, (-accuracy, iteration)) AS iteration FROM hist GROUP BY ALL)"""
-RUNS = """prices AS (SELECT p_brand, p_name, round(CAST(sum(CAST(p_retailprice AS DECIMAL(18,2)))
-    AS DOUBLE) / count(*) / 20, 2) AS accuracy FROM part GROUP BY ALL),
+RUNS = """prices AS (SELECT p_brand, p_name, CAST(sum(p_size) AS DOUBLE) / count(*) * 2 AS accuracy FROM part GROUP BY ALL),
 sets AS (SELECT p_brand, list_sort(list(p_name)) AS f FROM prices GROUP BY ALL),
 runs AS (SELECT p_brand, list_filter(f, lambda x: x <> p_name) AS features, p_name AS excluded,
   accuracy, md5('[''' || array_to_string(list_filter(f, lambda x: x <> p_name), ''', ''') || ''']')
@@ -341,8 +340,8 @@ LEFT JOIN supplier ON s_suppkey = p_partkey""",
     "chunked_dataset": with_(f"""names AS (SELECT pos, CAST(pos AS VARCHAR) AS name FROM (SELECT
   unnest(range(max(len(embedding)))) AS pos FROM embeddings)),
 chunks AS (SELECT pos, {_CHUNK.format(20)} FROM names),
-placed AS (SELECT chunk, pos, row_number() OVER (PARTITION BY chunk ORDER BY pos) - 1 AS at
-  FROM chunks)""") + """SELECT chunk, vec_id AS row_id, CAST(at AS INTEGER) AS pos,
+placed AS (SELECT chunk, pos, row_number() OVER (PARTITION BY chunk ORDER BY pos) - 1 AS slot
+  FROM chunks)""") + """SELECT chunk, vec_id AS row_id, CAST(slot AS INTEGER) AS pos,
   CAST(embedding[placed.pos + 1] AS DOUBLE) AS value FROM embeddings, placed""",
 }
 
