@@ -139,15 +139,9 @@ def online_pass(blocks: DataFrame, one: Classifier, labels: list[str], memory: I
     place = np.full(len(labels) + 1, -1)
     place[one.order] = np.arange(len(one.order))
     request = one.request
-    mine = blocks.filter(F.col("part").isin(list(one.train)))
-    span = mine.agg(F.min("block").alias("a"), F.max("block").alias("b"),
-                    F.count(F.lit(1)).alias("n")).first()
-    vectors = memory.bundle(one.counts) if one.vectors is None else one.vectors
-    wrong, at, window = 0, span.a, parallel
-    while at is not None and at <= span.b:
-        state_now = spark.sparkContext.broadcast(vectors)
 
-        def walk(key, table, state_now=state_now):
+    def block_walk(state_now):
+        def walk(key, table):
             table = table.sort_by("row_pos")
             x = kernels.feature_matrix(table.column("features"))
             hv = kernels.encode(request.levels(x, n_levels), doubled.value)
@@ -161,9 +155,18 @@ def online_pass(blocks: DataFrame, one: Classifier, labels: list[str], memory: I
                 "hv": kernels.list_column(after, pa.int64()),
             })
 
+        return walk
+
+    mine = blocks.filter(F.col("part").isin(list(one.train)))
+    span = mine.agg(F.min("block").alias("a"), F.max("block").alias("b"),
+                    F.count(F.lit(1)).alias("n")).first()
+    vectors = memory.bundle(one.counts) if one.vectors is None else one.vectors
+    wrong, at, window = 0, span.a, parallel
+    while at is not None and at <= span.b:
+        state_now = spark.sparkContext.broadcast(vectors)
         results = (
             mine.filter(F.col("block").between(at, at + window - 1))
-            .groupBy("block").applyInArrow(walk, "block BIGINT, errors BIGINT, hv ARRAY<BIGINT>")
+            .groupBy("block").applyInArrow(block_walk(state_now), "block BIGINT, errors BIGINT, hv ARRAY<BIGINT>")
             .filter("errors > 0").orderBy("block").limit(1).collect()
         )
         state_now.unpersist()

@@ -288,23 +288,14 @@ def run_ids(spark, sf_dir):
 # ---- evaluation -----------------------------------------------------------------------
 
 
-def holdout_predictions(matrix: DataFrame, settings: Settings) -> DataFrame:
-    slim = matrix.select("row_id", "row_pos", "label", "features")
-    rows = ev.holdout_rows(slim, PERCENT, settings.seed)
-    result = ev.holdout(matrix, PERCENT, settings)
-    tested = rows.filter("part = 0")
-    return classify.predict(tested, result.classifiers(), result.stats.labels, result.memory,
-                            similarity=True)
-
-
 def language_holdout(spark, sf_dir):
     """Document language from letter shares: held-out predictions."""
-    scored = holdout_predictions(letter_shares(spark, sf_dir), SMALL)
+    scored = ev.holdout(letter_shares(spark, sf_dir), PERCENT, SMALL).predictions(True)
     return scored.select("row_id", "label", "guess", F.round("similarity", 9).alias("similarity"))
 
 
 def language_accuracy(spark, sf_dir):
-    scored = holdout_predictions(letter_shares(spark, sf_dir), SMALL)
+    scored = ev.holdout(letter_shares(spark, sf_dir), PERCENT, SMALL).predictions()
     return classify.accuracy(scored)
 
 

@@ -119,9 +119,8 @@ def evaluate_models(rows: DataFrame, specs: list[Spec], settings: Settings,
     """Histories of all models. ``rows``: ``part, label, row_pos, features``."""
     spark = rows.sparkSession
     prepare(spark)
-    rows = rows.select("part", "label", "row_pos", "features")
-    narrow = any(len(s.positions) for s in specs)
-    stats = stats or PartStats(rows, per_feature=narrow and _subsets(specs))
+    given, rows = rows, rows.select("part", "label", "row_pos", "features")
+    stats = stats or PartStats(rows, per_feature=_subsets(specs))
     memory = load_item_memory(spark, settings.dimensionality, settings.levels, settings.seed)
     for spec in specs:
         if not stats.n_rows(spec.test):
@@ -137,7 +136,7 @@ def evaluate_models(rows: DataFrame, specs: list[Spec], settings: Settings,
     if long:
         models = train(rows, [(i, specs[i]) for i in long], settings, stats, memory)
         _run_passes(rows, models, settings, stats, memory, history, final)
-    return Evaluation(spark, specs, stats, memory, settings, history, final)
+    return Evaluation(given, specs, stats, memory, settings, history, final)
 
 
 def _subsets(specs: list[Spec]) -> bool:
@@ -300,8 +299,9 @@ def round_half_up(value: float) -> float:
 class Evaluation:
     """Histories and best class vectors of a list of models."""
 
-    def __init__(self, spark, specs, stats, memory, settings, history, final):
-        self.spark, self.specs, self.stats = spark, specs, stats
+    def __init__(self, rows, specs, stats, memory, settings, history, final):
+        self.rows, self.specs, self.stats = rows, specs, stats
+        self.spark = rows.sparkSession
         self.memory, self.settings = memory, settings
         self.steps, self.final = history, final
 
@@ -324,6 +324,12 @@ class Evaluation:
             out.append((top, min(s[0] for s in self.steps[i] if s[2] == top)))
         return out
 
+    def predictions(self, similarity: bool = False) -> DataFrame:
+        """Test rows with ``guess`` from the best iteration of the model testing them."""
+        tested = sorted({p for s in self.specs for p in s.test})
+        return classify.predict(self.rows.filter(F.col("part").isin(tested)), self.classifiers(),
+                                self.stats.labels, self.memory, similarity)
+
     def classifiers(self) -> list[Classifier]:
         return [self.final[i].ready(self.memory) for i in sorted(self.final)]
 
