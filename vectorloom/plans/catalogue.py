@@ -60,8 +60,9 @@ def embeddings(spark, sf_dir) -> DataFrame:
 def line_items(spark, sf_dir) -> DataFrame:
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                       F.col("l_quantity").cast("bigint"))
+    order = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
     return table(spark, sf_dir, "lineitem").select(
-        key.alias("row_id"), key.alias("row_pos"), F.col("l_returnflag").alias("label"),
+        key.alias("row_id"), order.alias("row_pos"), F.col("l_returnflag").alias("label"),
         F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"),
     )
 

@@ -12,7 +12,7 @@ from vectorloom.item_memory import ItemMemory, load_item_memory
 from vectorloom.operators import classify
 from vectorloom.operators.bundle import Request
 from vectorloom.operators.classify import Classifier
-from vectorloom.plans.evaluate import PartStats, Spec, evaluate_models
+from vectorloom.plans.evaluate import PartStats, Spec, evaluate_models, train
 from vectorloom.settings import Settings
 from vectorloom.tables import prepare
 
@@ -77,5 +77,9 @@ class HDClassifier:
         rows = matrix.withColumn("part", F.lit(0))
         stats = PartStats(rows, per_feature=False)
         spec = Spec("fit", (0,), (0,), tuple(range(stats.width)))
+        if not self.settings.retrain:
+            s = self.settings
+            memory = load_item_memory(rows.sparkSession, s.dimensionality, s.levels, s.seed)
+            return HDModel(s, stats.labels, train(rows, [(0, spec)], s, stats, memory)[0], memory)
         result = evaluate_models(rows, [spec], self.settings, stats)
         return HDModel(self.settings, stats.labels, result.classifiers()[0], result.memory)

@@ -10,7 +10,7 @@ FEW = "aeinrt"
 EMB = """emb AS (SELECT vec_id AS row_id, vec_id AS row_pos, CAST(label AS VARCHAR) AS label,
   CAST(embedding AS DOUBLE[]) AS features FROM embeddings)"""
 ITEMS = """emb AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-  CAST(l_quantity AS BIGINT)) AS row_id, row_id AS row_pos, l_returnflag AS label,
+  CAST(l_quantity AS BIGINT)) AS row_id, CAST('0x' || substr(md5(row_id), 1, 15) AS BIGINT) AS row_pos, l_returnflag AS label,
   [l_quantity, l_extendedprice, l_discount, l_tax] AS features FROM lineitem)"""
 
 
