@@ -34,14 +34,14 @@ def encode_line_items(spark, d):
     memory = load_item_memory(spark, 10000, 100, 0)
     with spread(c.line_items(spark, d), "row_id") as rows:
         lo, hi = encode.edge_values(rows, 100)
-        run(encode.encode_rows(rows, memory, lo, hi))
+        run(encode.encode_rows(rows, memory, lo, hi, narrow=True))
 
 
 def encode_embeddings(spark, d):
     memory = load_item_memory(spark, 10000, 100, 0)
     with spread(c.embeddings(spark, d), "row_id") as rows:
         lo, hi = encode.edge_values(rows, 100)
-        run(encode.encode_rows(rows, memory, lo, hi))
+        run(encode.encode_rows(rows, memory, lo, hi, narrow=True))
 
 
 def fit_line_items(spark, d):

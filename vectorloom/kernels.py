@@ -25,7 +25,8 @@ def feature_matrix(column) -> np.ndarray:
 def list_column(matrix: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """list<kind> Arrow column from a (rows, n) matrix."""
     rows, width = matrix.shape
-    values = pa.array(np.ascontiguousarray(matrix).reshape(-1), type=kind)
+    flat = np.ascontiguousarray(matrix).reshape(-1)
+    values = pa.array(flat.astype(kind.to_pandas_dtype(), copy=False), type=kind)
     offsets = pa.array(np.arange(rows + 1, dtype=np.int64) * width, type=pa.int32())
     return pa.ListArray.from_arrays(offsets, values)
 

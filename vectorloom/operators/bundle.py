@@ -13,13 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom import kernels
+from vectorloom.functions.levels import level_of
 from vectorloom.item_memory import ItemMemory
 from vectorloom.operators.encode import sum_vectors
-from vectorloom.tables import bounded_rows
+from vectorloom.tables import TableTooLarge, written
 
 # Counters one counting job may hold (int64); larger requests are bundled directly.
 COUNT_CELLS = 1 << 22
@@ -49,8 +50,6 @@ def class_counts(matrix: DataFrame, lo: float, hi: float, n_levels: int,
                  by=("label",)) -> DataFrame:
     """``by..., pos, level, n``: how often each level occurs at each position, from
     built-in functions only; map-side combining makes hot classes harmless."""
-    from vectorloom.functions.levels import level_of
-
     cells = matrix.select(*by, F.posexplode("features").alias("pos", "value"))
     return cells.groupBy(*by, "pos", level_of("value", lo, hi, n_levels).alias("level")).agg(
         F.count(F.lit(1)).alias("n")
@@ -148,10 +147,15 @@ def sum_encoded(rows: DataFrame, requests: list[Request], labels: list[str],
 def fetch_vectors(sums: DataFrame, n_requests: int, n_parts: int, n_labels: int,
                   dim: int) -> np.ndarray:
     """(requests, parts, classes, D) on the driver; refused when not small."""
-    bounded_rows(sums.select("request"), MODEL_BYTES // (8 * dim), "class vectors")
+    kept = written(sums)
+    if kept.count() > MODEL_BYTES // (8 * dim):
+        raise TableTooLarge("class vectors exceed what the driver may hold")
     out = np.zeros((n_requests, n_parts, n_labels, dim), dtype=np.int64)
-    for row in sums.toLocalIterator():
-        out[row.request, row.part, row.label_no] = row.hv
+    found = kept.toArrow()
+    keys = [found.column(k).to_numpy() for k in ("request", "part", "label_no")]
+    if found.num_rows:
+        flat = found.column("hv").combine_chunks().flatten().to_numpy()
+        out[tuple(keys)] = flat.reshape(-1, dim)
     return out
 
 
@@ -160,8 +164,6 @@ def class_hypervectors(matrix: DataFrame, memory: ItemMemory, lo: float, hi: flo
     counts = class_counts(matrix, lo, hi, memory.levels)
     vectors = bundle_counts(counts, memory)
     first = matrix.groupBy("label").agg(F.min("row_pos").alias("first"))
-    from pyspark.sql import Window
-
     ranked = first.select(
         "label", (F.row_number().over(Window.orderBy("first")) - 1).alias("class_rank")
     )

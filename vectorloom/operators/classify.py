@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,18 @@ def predict(rows: DataFrame, classifiers: list[Classifier], labels: list[str],
             memory: ItemMemory, similarity: bool = False) -> DataFrame:
     """Add ``guess`` (and ``similarity``, the cosine to the guessed class) to rows with
     ``part`` and ``features``; each row is scored by the model testing its part."""
+    groups = list(in_shipments(classifiers))
+    if len(groups) == 1:
+        return _predict(rows, groups[0], labels, memory, similarity)
+    scored = [
+        _predict(rows.filter(F.col("part").isin([p for c in group for p in c.test])), group,
+                 labels, memory, similarity)
+        for group in groups
+    ]
+    return reduce(DataFrame.unionByName, scored)
+
+
+def _predict(rows, classifiers, labels, memory, similarity) -> DataFrame:
     context = rows.sparkSession.sparkContext
     shipped = context.broadcast([c.slim() for c in classifiers])
     doubled = context.broadcast(memory.doubled)

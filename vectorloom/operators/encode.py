@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom import kernels
@@ -30,22 +30,28 @@ def edge_values(matrix: DataFrame, n_levels: int) -> tuple[float, float]:
     return row.lo, row.hi
 
 
-def encoded(features: str, memory: ItemMemory, lo: float, hi: float) -> Column:
-    """Encoded row as an INT array column (Arrow batches, any D)."""
-    spark_memory = _broadcast(memory)
+def encoded(features: str, memory: ItemMemory, lo: float, hi: float,
+            narrow: bool = False) -> Column:
+    """Encoded row as an array column (Arrow batches, any D): INT, or SMALLINT when
+    ``narrow``, which up to 32767 features always fit."""
+    shared = _broadcast(memory)
+    kind, spark_type = (pa.int16(), "array<smallint>") if narrow else (pa.int32(), "array<int>")
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(spark_type)
     def encode_udf(column: pa.Array) -> pa.Array:
         x = kernels.feature_matrix(column)
-        levels = kernels.quantise(x, lo, hi, spark_memory.value.shape[0])
-        return kernels.list_column(kernels.encode(levels, spark_memory.value), pa.int32())
+        if narrow and x.shape[1] > 32767:
+            raise ValueError("too many features for narrow vectors")
+        levels = kernels.quantise(x, lo, hi, shared.value.shape[0])
+        return kernels.list_column(kernels.encode(levels, shared.value), kind)
 
     return encode_udf(features)
 
 
-def encode_rows(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float) -> DataFrame:
+def encode_rows(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float,
+                narrow: bool = False) -> DataFrame:
     """Replace ``features`` by ``hv``."""
-    return matrix.withColumn("hv", encoded("features", memory, lo, hi)).drop("features")
+    return matrix.withColumn("hv", encoded("features", memory, lo, hi, narrow)).drop("features")
 
 
 def encode_rows_native(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float) -> DataFrame:
@@ -138,6 +144,4 @@ def _one_row(key, vector, like, names):
 
 def _broadcast(memory: ItemMemory):
     """Doubled item memory on every executor: 2*L*D bytes, set by the parameters."""
-    from pyspark.sql import SparkSession
-
     return SparkSession.getActiveSession().sparkContext.broadcast(memory.doubled)

@@ -13,6 +13,8 @@ from vectorloom.tables import BROADCAST_ROWS, attach_small, bounded_rows
 # last drawn row is split again while it is longer than one task should sort.
 _DIGITS = 3
 _SORTED_ROWS = 1_000_000
+# Bytes of distinct copied vectors that may be broadcast.
+COPIES_BYTES = 64 << 20
 
 
 def stratified_split(matrix: DataFrame, percentage: float, seed: int = 0,
@@ -87,7 +89,9 @@ def kfold_held_out(matrix: DataFrame, k: int) -> DataFrame:
     its own fold and every fold that tests an exact copy of its feature vector.
 
     Only 64-bit hashes are shuffled to find vectors present in several folds;
-    the full vectors of just those candidates are then compared.
+    the full vectors of just those candidates are then compared, and the result
+    joins the rows by their unique position, so no vector is a hot join key for
+    the whole table.
     """
     rows = kfold_assign(matrix, k).withColumn("_hash", F.xxhash64("features"))
     spread = (
@@ -98,17 +102,21 @@ def kfold_held_out(matrix: DataFrame, k: int) -> DataFrame:
     )
     if spread.isEmpty():
         return rows.drop("_hash").withColumn("held", F.array("fold"))
-    candidates = attach_small(rows.select("_hash", "features", "fold"), spread, "_hash",
-                              "left_semi")
+    candidates = attach_small(rows.select("row_pos", "_hash", "features", "fold"), spread,
+                              "_hash", "left_semi")
     copies = (
         candidates.groupBy("_hash", "features")
         .agg(F.array_sort(F.collect_set("fold")).alias("_folds"))
         .filter(F.size("_folds") > 1)
     )
+    width = rows.select(F.size("features").alias("n")).limit(1).first().n
+    longest = max(1, COPIES_BYTES // (8 * width + 64))
+    members = attach_small(candidates, copies, ["_hash", "features"], limit=longest)
+    folds_of_row = members.select("row_pos", "_folds")
     return (
-        rows.join(copies, ["_hash", "features"], "left")
+        attach_small(rows.drop("_hash"), folds_of_row, "row_pos", "left")
         .withColumn("held", F.coalesce("_folds", F.array("fold")))
-        .drop("_hash", "_folds")
+        .drop("_folds")
     )
 
 

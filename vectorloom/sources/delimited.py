@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators.matrix import fill_missing
-from vectorloom.tables import attach_small, cut_lineage
+from vectorloom.tables import written
 
 _BLANKS = " \t\r\n"
+# One row of about 200 bytes per input split; beyond this the rows are joined by shuffle.
+BROADCAST_SPLITS = 500_000
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
@@ -77,10 +79,10 @@ def with_row_pos(parsed: DataFrame) -> DataFrame:
 
     Rows of one file split stay together and in order, so their numbers inside a
     split follow from a running id; only one small row per split is sorted to
-    find where each split starts. The rows are checkpointed first, which fixes
-    the ids even if executors are lost.
+    find where each split starts. The rows are written out first, which fixes
+    the ids even if executors are lost or splits are planned anew.
     """
-    staged = cut_lineage(parsed.withColumn("_id", F.monotonically_increasing_id()))
+    staged = written(parsed.withColumn("_id", F.monotonically_increasing_id()))
     blocks = staged.groupBy("_file", "_block").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -89,7 +91,9 @@ def with_row_pos(parsed: DataFrame) -> DataFrame:
         "_file", "_block",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    return attach_small(staged, starts, ["_file", "_block"]).withColumn(
+    few = blocks.count() <= BROADCAST_SPLITS
+    numbered = staged.join(F.broadcast(starts) if few else starts, ["_file", "_block"])
+    return numbered.withColumn(
         "row_pos", F.col("_id") + F.col("_shift")
     ).drop("_file", "_block", "_id", "_shift")
 

@@ -6,10 +6,14 @@ import shutil
 import tempfile
 from contextlib import contextmanager
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Default size of an input split, and the largest input that is spread over the cores.
+INPUT_SPLIT = 128 << 20
+SPREAD_BYTES = 4 << 30
 # A table at most this long is shipped to every executor; a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -38,12 +42,25 @@ def attach_small(df: DataFrame, small: DataFrame, on, how: str = "inner",
     return df.join(F.broadcast(local), on, how)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to and read back from the shared checkpoint folder: like a
+    checkpoint, but later passes read only the columns they need."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 @contextmanager
 def spread(rows: DataFrame, key: str):
-    """Rows over all cores when they come from fewer partitions than there are cores (a
-    small table in one file); larger inputs are left as they are."""
+    """Rows over all cores, and cached, when Catalyst estimates less than one input split
+    per core (a small table in one file); larger inputs are left as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
+    if estimated_bytes(rows) > min(cores * INPUT_SPLIT, SPREAD_BYTES):
         yield rows
         return
     wide = rows.repartition(cores, key).persist()
