@@ -433,7 +433,8 @@ def permutation_null(spark, sf_dir):
     shuffled = permute.label_permutations(rows, replicates, SEED).drop("row_pos").join(
         rows.drop("label"), "row_id")
     null = ev.holdout_replicates(shuffled, replicates, PERCENT, SMALL)
-    return importance.permutation_p_value(observed, null)
+    found = importance.permutation_p_value(observed, null)
+    return found.withColumns({c: F.round(c, 9) for c in ("null_mean", "p_value")})
 
 
 def selected_count(spark, sf_dir):

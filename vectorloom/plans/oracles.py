@@ -362,3 +362,123 @@ ORACLES["loo_round_accuracy"] = with_(
     scores("classes", "scored"), guesses("scored", "guessed"),
 ) + f"""SELECT substr('{FEW}', CAST(model AS INTEGER) + 1, 1) AS excluded, {ACCURACY} AS accuracy
 FROM guessed WHERE test GROUP BY model"""
+
+
+# ---- searches over feature subsets: every subset is scored, then the rounds are walked ----
+
+
+def subset_scores(source: str, n: int, folds: int | None) -> list[str]:
+    """``acc``: the accuracy of every subset of features, as one list indexed by bit mask.
+    Class vectors come from level counts; only tested rows are encoded one by one."""
+    if folds:
+        member, per_mask = FOLD_MEMBERS.replace("member AS", "base_member AS"), folds
+    else:
+        member, per_mask = split_cte() + ",\n" + HOLDOUT.replace("member AS", "base_member AS"), 1
+    return [
+        source, member,
+        """all_cells AS (SELECT row_id, label, unnest(features) AS value,
+  unnest(range(len(features))) AS pos FROM emb)""",
+        f"""chosen AS (SELECT mask, row_id, value, bit_count(mask & ((1 << pos) - 1)) AS pos
+  FROM all_cells, range(1, {1 << n}) g(mask) WHERE (mask >> pos) & 1 = 1)""",
+        f"""ranges AS (SELECT mask * {per_mask} + model AS model, min(value) AS lo, max(value) AS hi
+  FROM chosen JOIN base_member USING (row_id) WHERE train GROUP BY ALL)""",
+        f"""leveled AS (SELECT model, row_id, label, train, test, pos,
+  {level('value', 'lo', 'hi')} AS level FROM (SELECT mask * {per_mask} + m.model AS model, row_id,
+    m.label, train, test, pos, value FROM chosen JOIN base_member m USING (row_id)) JOIN ranges
+  USING (model))""",
+        MEMORY,
+        """used AS (SELECT model, label, pos, level, count(*) AS n FROM leveled WHERE train
+  GROUP BY ALL)""",
+        f"""classes AS (SELECT model, label, (d + pos) % {DIM} AS d,
+  CAST(sum(n * sign) AS BIGINT) AS c FROM used JOIN memory USING (level) GROUP BY ALL)""",
+        """lengths AS (SELECT model, label, sqrt(CAST(sum(c * c) AS DOUBLE)) AS size FROM classes
+  GROUP BY ALL)""",
+        f"""encoded AS (SELECT model, row_id, (d + pos) % {DIM} AS d, CAST(sum(sign) AS BIGINT) AS h
+  FROM leveled JOIN memory USING (level) WHERE test GROUP BY ALL)""",
+        """ranks AS (SELECT m.model, m.label, row_number() OVER (PARTITION BY m.model
+  ORDER BY min(row_pos)) AS rank FROM base_member m JOIN emb USING (row_id) WHERE train
+  GROUP BY m.model, m.label)""",
+        """dots AS (SELECT model, row_id, c.label, CAST(sum(h * c.c) AS DOUBLE) AS dot
+  FROM encoded JOIN classes c USING (model, d) GROUP BY ALL)""",
+        f"""picked AS (SELECT d.model, row_id, d.label AS guess, row_number() OVER (
+    PARTITION BY d.model, row_id ORDER BY round(dot / nullif(size, 0), 9) DESC NULLS LAST, rank) AS r
+  FROM dots d JOIN lengths USING (model, label)
+  JOIN ranks k ON k.model = d.model % {per_mask} AND k.label = d.label)""",
+        f"""per_model AS (SELECT p.model, round(100 * avg(CASE WHEN guess = m.label THEN 1 ELSE 0 END), 2)
+  AS accuracy FROM picked p JOIN base_member m ON m.model = p.model % {per_mask}
+  AND m.row_id = p.row_id WHERE r = 1 GROUP BY p.model)""",
+        f"""acc AS (SELECT list(a ORDER BY mask) AS t FROM (SELECT model // {per_mask} AS mask,
+  round(avg(accuracy), 2) AS a FROM per_model GROUP BY ALL))""",
+    ]
+
+
+def search(source: str, n: int, folds: int | None, tolerance: float, threshold: float,
+           group_min: int = 1) -> str:
+    full = (1 << n) - 1
+    rounds = f"""search AS (SELECT 0 AS round, {full}::BIGINT AS base, {n} AS size,
+    [{full}::BIGINT] AS kept, t[{full}] AS best FROM acc
+  UNION ALL
+  SELECT round + 1, base2, CAST(bit_count(base2) AS INTEGER) - 1,
+    list_filter(subsets, lambda m: t[m] >= best2 - best2 * {tolerance} / 100.0), best2
+  FROM (SELECT *, list_max(list_transform(subsets, lambda m: t[m])) AS best2
+    FROM (SELECT *, list_transform(list_filter(range({n}), lambda i: (base2 >> i) & 1 = 1),
+        lambda i: base2 - (1::BIGINT << i)) AS subsets
+      FROM (SELECT s.*, t, list_reduce(kept, lambda a, b: a & b) AS base2 FROM search s, acc
+        WHERE size - 1 >= {group_min} AND best >= {threshold}) WHERE bit_count(base2) > 1)))"""
+    return "WITH RECURSIVE " + ",\n".join([*subset_scores(source, n, folds), rounds]) + "\n"
+
+
+def selection(source: str, names: list[str], folds, tolerance, threshold) -> str:
+    listed = "[" + ", ".join(f"'{x}'" for x in names) + "]"
+    return search(source, len(names), folds, tolerance, threshold) + f"""
+SELECT 0 AS chunk, size AS group_size, best AS accuracy, unnest(list_transform(list_filter(
+  range({len(names)}), lambda i: (list_reduce(kept, lambda a, b: a | b) >> i) & 1 = 1),
+  lambda i: {listed}[i + 1])) AS feature
+FROM (SELECT * FROM search ORDER BY best DESC, size LIMIT 1)"""
+
+
+def retained(source: str, letters: str, folds, tolerance, threshold) -> str:
+    """Retained runs; ``letters`` must be in alphabetical order."""
+    n = len(letters)
+    bits = f"list_filter(range({n}), lambda i: ({{}} >> i) & 1 = 1)"
+    text = f"list_transform({{}}, lambda i: substr('{letters}', CAST(i AS INTEGER) + 1, 1))"
+    mine, gone = text.format(bits.format("mask")), text.format(bits.format("(base - mask)"))
+    return search(source, n, folds, tolerance, threshold) + f"""
+SELECT md5('[''' || array_to_string({mine}, ''', ''') || ''']') AS run_id, size AS group_size,
+  t[mask] AS accuracy, 0 AS iteration, coalesce(array_to_string({gone}, ','), '') AS excluded
+FROM (SELECT *, unnest(kept) AS mask FROM search), acc"""
+
+
+ORACLES["language_feature_elimination"] = selection(
+    letters_cte(FEW + "ou", True), list(FEW + "ou"), None, 5.0, 60.0)
+ORACLES["language_elimination_runs"] = retained(letters_cte(FEW, True), FEW, FOLDS, 1.0, 60.0)
+ORACLES["backward_selection"] = selection(
+    ITEMS, ["quantity", "extendedprice", "discount", "tax"], None, 5.0, 0.0)
+
+# Model 5 is the classifier on the real labels, models 0 to 4 are the permuted replicates.
+ORACLES["permutation_null"] = with_(
+    EMB,
+    "reps AS (SELECT r.i AS model, row_id, label FROM emb, range(5) r(i))",
+    "places AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY row_id) AS k FROM reps)",
+    f"""drawn AS (SELECT model, label, row_number() OVER (PARTITION BY model
+  ORDER BY md5(model || ':{SEED}:' || row_id), row_id) AS k FROM reps)""",
+    """relabeled AS (SELECT model, row_id, d.label FROM places JOIN drawn d USING (model, k)
+  UNION ALL SELECT 5, row_id, label FROM emb)""",
+    f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY model, label
+  ORDER BY md5('{SEED}:' || row_id), row_id) <= floor(count(*) OVER (PARTITION BY model, label)
+  * {PERCENT} / 100.0) AS train FROM relabeled)""",
+    "member AS (SELECT model, row_id, label, train, NOT train AS test FROM ordered)",
+    CELLS, MEMORY, model_ctes(), scores("classes", "scored"), guesses("scored", "guessed"),
+    f"results AS (SELECT model, {ACCURACY} AS accuracy FROM guessed WHERE test GROUP BY model)",
+    "seen AS (SELECT accuracy AS observed FROM results WHERE model = 5)",
+) + """SELECT count(*) AS n_replicates, any_value(observed) AS observed, max(accuracy) AS null_max,
+  round(avg(accuracy), 9) AS null_mean,
+  round((count(*) FILTER (accuracy >= observed) + 1) / (count(*) + 1), 9) AS p_value
+FROM results, seen WHERE model <> 5"""
+
+QUALITY = r"""emb AS (SELECT doc_id AS row_id, doc_id AS row_pos, CAST(quality AS VARCHAR) AS label,
+  list_transform(['[a-z]', '[A-Z]', '[0-9]', '\s', '[^\w\s]'], lambda k: coalesce(
+    CAST(length(text) - length(regexp_replace(text, k, '', 'g')) AS DOUBLE)
+    / nullif(length(text), 0), 0.0)) AS features FROM documents JOIN labels USING (doc_id))"""
+ORACLES["text_quality_hdc"] = classifier(
+    QUALITY, HOLDOUT, f"SELECT {ACCURACY} AS accuracy, 0 AS iteration FROM guessed WHERE test")
