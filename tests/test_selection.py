@@ -129,3 +129,36 @@ def test_p_value(spark):
     null = spark.createDataFrame([(v,) for v in (10.0, 20.0, 30.0)], "accuracy DOUBLE")
     row = importance.permutation_p_value(20.0, null).first()
     assert (row.n_replicates, row.null_max, row.p_value) == (3, 30.0, 0.75)
+
+
+def test_importance_equals_brute_force(spark, make_matrix):
+    """Chunks, fixpoint and final run, with every chunk searched by brute force."""
+    from vectorloom.operators.permute import feature_chunks
+
+    x, y = blobs(36, 6, 2, 14, spread=1.2)
+    names = [f"f{i}" for i in range(6)]
+    rules = Elimination(accuracy_threshold=0, tolerance=2.0)
+    found = feature_importance(matrix(make_matrix, x, y), Settings(32, 4), 4, [3], rules,
+                               folds=3, names=names)
+
+    def picked(columns):
+        _, _, chosen = brute_elimination(x[:, columns], y, [names[p] for p in columns], 3, 32, 4, 3,
+                                         rules)
+        return next(iter(chosen.values()))
+
+    want, survivors, before, run = [], list(range(6)), 0, 0
+    while True:
+        table = spark.createDataFrame([(p, names[p]) for p in survivors], "pos INT, name STRING")
+        chunks = {}
+        for r in feature_chunks(table, 4, 3).collect():
+            chunks.setdefault(r.chunk, []).append(r.pos)
+        now = [(run, c, f) for c, columns in chunks.items() for f in picked(sorted(columns))]
+        want += now
+        survivors = sorted(names.index(f) for _, _, f in now)
+        run += 1
+        if len(now) == before:
+            break
+        before = len(now)
+    want += [(run, 0, f) for f in picked(survivors)]
+    got = [(r.run, r.chunk, r.feature) for r in found.selections.collect()]
+    assert sorted(got) == sorted(want)
