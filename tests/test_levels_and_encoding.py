@@ -128,3 +128,16 @@ def test_score_table_equals_dot_products(spark):
     table = mem.score_table(vectors, 60)
     by_table = table[np.arange(60), levels].sum(axis=1)
     assert (by_table == kernels.encode(levels, mem.doubled) @ vectors.T).all()
+
+
+@pytest.mark.parametrize("dim,width", [(64, 64), (51, 40), (64, 9)])
+def test_convolution_equals_addition(spark, monkeypatch, dim, width):
+    mem = load_item_memory(spark, dim, 4, 5)
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 10**6, (2, width, 4))
+    vectors = rng.integers(-10**9, 10**9, (2, dim))
+    fast = mem.bundle(counts), mem.score_table(vectors, width)
+    assert mem._spectral(width, 1e9)
+    monkeypatch.setattr(type(mem), "_spectral", lambda *_: False)
+    assert (mem.bundle(counts) == fast[0]).all()
+    assert (mem.score_table(vectors, width) == fast[1]).all()

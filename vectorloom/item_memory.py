@@ -7,7 +7,7 @@ md5("seed:level:position"), so every session and engine draws the same ones.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -88,10 +88,18 @@ class ItemMemory:
             self.steps[level - 1] = 2 * row[at].astype(np.int64)
             self.matrix[level] = row
 
-    @property
+    @cached_property
     def doubled(self) -> np.ndarray:
+        """Every level vector twice end to end, so that a rotation is a slice."""
         return np.hstack([self.matrix, self.matrix])
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "doubled"}
+
+    def width(self, n_features: int) -> int:
+        """Distinct rotations: features f and f + D rotate alike and share counters."""
+        return min(n_features, self.dimensionality)
+
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(level, self.matrix[level].tolist()) for level in range(self.levels)]
         return spark.createDataFrame(rows, "level INT, hv ARRAY<TINYINT>")
@@ -104,6 +112,8 @@ class ItemMemory:
         """
         classes, width, _ = counts.shape
         dim = self.dimensionality
+        if self._spectral(width, float(counts.sum(axis=(1, 2)).max(initial=0))):
+            return np.stack([self._convolve(c) for c in counts])
         out = np.zeros((classes, dim), dtype=np.int64)
         base = self.matrix[0].astype(np.int64)
         block = max(1, (4 << 20) // (classes * dim))
@@ -125,6 +135,10 @@ class ItemMemory:
         cells' entries, so rows need no encoding to be classified."""
         classes, dim = class_vectors.shape
         table = np.empty((width, self.levels, classes))
+        if self._spectral(width, float(np.abs(class_vectors).max(initial=0)) * dim ** 0.5):
+            for c in range(classes):
+                self._correlate(class_vectors[c], table[:, :, c])
+            return table
         base = self.matrix[0].astype(np.float64)
         steps = self.steps.astype(np.float64)
         for c in range(classes):
@@ -137,6 +151,31 @@ class ItemMemory:
         np.cumsum(table, axis=1, out=table)
         return table
 
+    def _spectral(self, width: int, length: float) -> bool:
+        """Whether rotations are better summed as a circular convolution: many rotations,
+        and values small enough for its rounding error to stay far below one half."""
+        error = length * self.dimensionality ** 0.5 * 1e-14
+        return width > 2 * self.levels and width <= self.dimensionality and error < 0.05
+
+    def _spectra(self):
+        """Spectra of the level vectors, a few levels at a time."""
+        for top in range(0, self.levels, 64):
+            at = slice(top, min(top + 64, self.levels))
+            yield at, np.fft.rfft(self.matrix[at].astype(np.float64), axis=1)
+
+    def _convolve(self, counts: np.ndarray) -> np.ndarray:
+        dim = self.dimensionality
+        total = np.zeros(dim // 2 + 1, dtype=np.complex128)
+        for at, spectra in self._spectra():
+            total += (np.fft.rfft(counts[:, at].T, n=dim, axis=1) * spectra).sum(axis=0)
+        return np.rint(np.fft.irfft(total, n=dim)).astype(np.int64)
+
+    def _correlate(self, vector: np.ndarray, out: np.ndarray) -> None:
+        own = np.fft.rfft(vector.astype(np.float64))
+        for at, spectra in self._spectra():
+            dots = np.fft.irfft(own * spectra.conj(), n=self.dimensionality, axis=1)
+            out[:, at] = np.rint(dots[:, :len(out)]).T
+
 
 @lru_cache(maxsize=8)
 def _changes(dimensionality: int, levels: int, seed: int) -> tuple:

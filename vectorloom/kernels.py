@@ -56,6 +56,10 @@ def encode(levels: np.ndarray, doubled: np.ndarray, first_position: int = 0) ->
     tile = max(1, _TILE_CELLS // dim)
     for top in range(0, rows, tile):
         chunk = levels[top:top + tile]
+        if len(chunk) < 4:  # few long rows: add slices in place instead of gathering them
+            for i in range(len(chunk)):
+                _encode_row(chunk[i], doubled, first_position, out[top + i])
+            continue
         for left in range(0, width, _INT8_RUN):
             narrow = np.zeros((len(chunk), dim), dtype=np.int8)
             for f in range(left, min(left + _INT8_RUN, width)):
@@ -65,6 +69,19 @@ def encode(levels: np.ndarray, doubled: np.ndarray, first_position: int = 0) ->
     return out
 
 
+def _encode_row(levels: np.ndarray, doubled: np.ndarray, first_position: int,
+                out: np.ndarray) -> None:
+    dim = doubled.shape[1] // 2
+    flat = doubled.reshape(-1)
+    turn = (first_position + np.arange(len(levels))) % dim
+    starts = levels.astype(np.int64) * (2 * dim) + dim - turn
+    for left in range(0, len(levels), _INT8_RUN):
+        narrow = np.zeros(dim, dtype=np.int8)
+        for start in starts[left:left + _INT8_RUN].tolist():
+            narrow += flat[start:start + dim]
+        out += narrow
+
+
 def first_best(scores: np.ndarray) -> np.ndarray:
     """Column of the best score per row; ties and missing scores keep the first class."""
     return np.argmax(np.where(np.isnan(scores), -np.inf, scores), axis=1)

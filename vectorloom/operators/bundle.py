@@ -24,8 +24,8 @@ from vectorloom.tables import TableTooLarge, written
 
 # Counters one counting job may hold (int64); larger requests are bundled directly.
 COUNT_CELLS = 1 << 22
-# Bytes of partial sums a task holds before it emits them.
-PARTIAL_BYTES = 128 << 20
+# Bytes of counters a task holds before it turns them into class vectors.
+PARTIAL_BYTES = 512 << 20
 # Bytes of class vectors that may come back to the driver.
 MODEL_BYTES = 1 << 30
 
@@ -56,17 +56,24 @@ def class_counts(matrix: DataFrame, lo: float, hi: float, n_levels: int,
     )
 
 
+def cell_numbers(levels: np.ndarray, memory: ItemMemory) -> np.ndarray:
+    """Counter of each cell: (rotation, level) flattened."""
+    rotation = np.arange(levels.shape[1]) % memory.dimensionality
+    return rotation * memory.levels + levels
+
+
 def count_levels(rows: DataFrame, requests: list[Request], n_parts: int, labels: list[str],
-                 n_levels: int) -> list[np.ndarray]:
-    """Occurrences (parts, classes, features, levels) for each request.
+                 memory: ItemMemory) -> list[np.ndarray]:
+    """Occurrences (parts, classes, rotations, levels) for each request.
 
     Tasks count Arrow batches into a table whose size depends on the parameters
     only; Spark adds the tables up.
     """
-    shapes = [(n_parts, len(labels), len(r.positions), n_levels) for r in requests]
+    shapes = [(n_parts, len(labels), memory.width(len(r.positions)), memory.levels)
+              for r in requests]
     sizes = [int(np.prod(s)) for s in shapes]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    names = pa.array(labels)
+    names, shared = pa.array(labels), rows.sparkSession.sparkContext.broadcast(memory)
 
     def tally(batches):
         counts = np.zeros(starts[-1], dtype=np.int64)
@@ -76,15 +83,10 @@ def count_levels(rows: DataFrame, requests: list[Request], n_parts: int, labels:
             x = kernels.feature_matrix(batch.column("features"))
             part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
             group = part * len(names) + label_index(batch.column("label"), names)
-            for request, start, size in zip(requests, starts, sizes):
-                levels = request.levels(x, n_levels)
-                width = levels.shape[1]
-                cell = (group[:, None] * width + np.arange(width)) * n_levels + levels
-                view = counts[start:start + size]
-                if cell.size > size // 4:
-                    view += np.bincount(cell.ravel(), minlength=size)
-                else:
-                    np.add.at(view, cell.ravel(), 1)
+            for request, start, shape, size in zip(requests, starts, shapes, sizes):
+                cell = cell_numbers(request.levels(x, shape[3]), shared.value)
+                cell = cell + (group * (shape[2] * shape[3]))[:, None]
+                add_counts(counts[start:start + size], cell)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(found), pa.array(counts[found])], names=["cell", "n"]
@@ -99,23 +101,53 @@ def count_levels(rows: DataFrame, requests: list[Request], n_parts: int, labels:
     return [dense[a:a + n].reshape(s) for a, n, s in zip(starts, sizes, shapes)]
 
 
+def add_counts(counts: np.ndarray, cell: np.ndarray, sign: int = 1) -> None:
+    """Add ``sign`` to the counter of every cell."""
+    if cell.size > len(counts) // 4:
+        counts += sign * np.bincount(cell.ravel(), minlength=len(counts)).astype(counts.dtype)
+    else:
+        np.add.at(counts, cell.ravel(), counts.dtype.type(sign))
+
+
+class Partials:
+    """Counters of one task, turned into class vectors when they are emitted: the
+    counters of a wide matrix never leave the task."""
+
+    def __init__(self, key_names: list[str], memory: ItemMemory):
+        self.key_names, self.memory, self.counts, self.held = key_names, memory, {}, 0
+
+    def add(self, key: tuple, levels: np.ndarray, sign: int = 1) -> None:
+        size = self.memory.width(levels.shape[1]) * self.memory.levels
+        if key not in self.counts:
+            self.counts[key] = np.zeros(size, dtype=np.int32)
+            self.held += 4 * size
+        add_counts(self.counts[key], cell_numbers(levels, self.memory), sign)
+
+    def full(self) -> bool:
+        return self.held > PARTIAL_BYTES
+
+    def emit(self) -> pa.RecordBatch:
+        keys = np.array(list(self.counts), dtype=np.int32).reshape(-1, len(self.key_names))
+        vectors = [
+            self.memory.bundle(c.reshape(1, -1, self.memory.levels).astype(np.int64))[0]
+            for c in self.counts.values()
+        ]
+        arrays = [pa.array(keys[:, i]) for i in range(len(self.key_names))]
+        matrix = np.array(vectors).reshape(len(vectors), self.memory.dimensionality)
+        arrays.append(kernels.list_column(matrix, pa.int64()))
+        self.counts, self.held = {}, 0
+        return pa.RecordBatch.from_arrays(arrays, names=[*self.key_names, "hv"])
+
+
 def sum_encoded(rows: DataFrame, requests: list[Request], labels: list[str],
                 memory: ItemMemory) -> DataFrame:
-    """``request, part, label_no, hv``: sums of encoded rows, for matrices too wide to
-    count. Rows are encoded tile by tile and never stored."""
-    shared = rows.sparkSession.sparkContext.broadcast(memory.doubled)
-    names = pa.array(labels)
-    dim, n_levels = memory.dimensionality, memory.levels
-    room = max(1, PARTIAL_BYTES // (8 * dim))
-
-    def emit(sums):
-        keys = np.array(list(sums), dtype=np.int32).reshape(-1, 3)
-        arrays = [pa.array(keys[:, i]) for i in range(3)]
-        arrays.append(kernels.list_column(np.stack(list(sums.values())), pa.int64()))
-        return pa.RecordBatch.from_arrays(arrays, names=["request", "part", "label_no", "hv"])
+    """``request, part, label_no, hv``: sums of encoded rows for matrices with too many
+    counters to collect. Each task counts, bundles and passes on class vectors only."""
+    shared = rows.sparkSession.sparkContext.broadcast(memory)
+    names, key_names = pa.array(labels), ["request", "part", "label_no"]
 
     def partial_sums(batches):
-        sums = {}
+        sums = Partials(key_names, shared.value)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -123,25 +155,17 @@ def sum_encoded(rows: DataFrame, requests: list[Request], labels: list[str],
             part = batch.column("part").to_numpy(zero_copy_only=False)
             label = label_index(batch.column("label"), names)
             for r, request in enumerate(requests):
-                levels = request.levels(x, n_levels)
-                step = max(1, (32 << 20) // (4 * dim))
-                for top in range(0, len(x), step):
-                    at = slice(top, top + step)
-                    hv = kernels.encode(levels[at], shared.value)
-                    for p, c in set(zip(part[at].tolist(), label[at].tolist())):
-                        chosen = (part[at] == p) & (label[at] == c)
-                        add = hv[chosen].sum(axis=0, dtype=np.int64)
-                        sums[r, p, c] = sums[r, p, c] + add if (r, p, c) in sums else add
-                    if len(sums) >= room:
-                        yield emit(sums)
-                        sums = {}
-        if sums:
-            yield emit(sums)
+                levels = request.levels(x, shared.value.levels)
+                for p, c in set(zip(part.tolist(), label.tolist())):
+                    sums.add((r, p, c), levels[(part == p) & (label == c)])
+                    if sums.full():
+                        yield sums.emit()
+        yield sums.emit()
 
     partials = rows.select("part", "label", "features").mapInArrow(
         partial_sums, "request INT, part INT, label_no INT, hv ARRAY<BIGINT>"
     )
-    return sum_vectors(partials, ["request", "part", "label_no"], salted=True)
+    return sum_vectors(partials, key_names, salted=True)
 
 
 def fetch_vectors(sums: DataFrame, n_requests: int, n_parts: int, n_labels: int,

@@ -16,6 +16,8 @@ from vectorloom.operators.bundle import Request, label_index
 
 # A score table up to this size is shipped instead of encoding rows.
 TABLE_BYTES = 16 << 20
+# Score tables a Python worker may build for itself when they are too large to ship.
+WORKER_TABLE_BYTES = 256 << 20
 # Classifiers broadcast together.
 SHIPPED_BYTES = 64 << 20
 # Multiplications the driver may spend on building score tables itself.
@@ -42,11 +44,16 @@ class Classifier:
         if self.vectors is None:
             self.vectors = memory.bundle(self.counts)
         self.inverse = kernels.inverse_norms(self.vectors.astype(np.float64))
-        width = len(self.request.positions)
-        if width * memory.levels * len(self.vectors) * 8 <= TABLE_BYTES:
-            self.table = memory.score_table(self.vectors, width)
+        if self.table_bytes(memory) <= TABLE_BYTES:
+            self.build_table(memory)
         return self
 
+    def table_bytes(self, memory: ItemMemory) -> int:
+        return memory.width(len(self.request.positions)) * memory.levels * len(self.order) * 8
+
+    def build_table(self, memory: ItemMemory) -> None:
+        self.table = memory.score_table(self.vectors, memory.width(len(self.request.positions)))
+
     def slim(self) -> "Classifier":
         """Without what scoring does not need."""
         vectors = None if self.table is not None else self.vectors
@@ -59,13 +66,13 @@ class Classifier:
     def n_bytes(self) -> int:
         return next(a.nbytes for a in (self.table, self.counts, self.vectors) if a is not None)
 
-    def dots(self, levels: np.ndarray, doubled: np.ndarray) -> np.ndarray:
+    def dots(self, levels: np.ndarray, memory: ItemMemory) -> np.ndarray:
         """(rows, classes) dot products of encoded rows with class vectors."""
         if self.table is not None:
-            width, _, classes = self.table.shape
+            rotations, _, classes = self.table.shape
             out = np.empty((len(levels), classes))
-            step = max(1, (1 << 21) // (width * classes))
-            at = np.arange(width)
+            step = max(1, (1 << 21) // (levels.shape[1] * classes))
+            at = np.arange(levels.shape[1]) % rotations
             for top in range(0, len(levels), step):
                 out[top:top + step] = self.table[at, levels[top:top + step]].sum(axis=1)
             return out
@@ -73,13 +80,13 @@ class Classifier:
         out = np.empty((len(levels), classes.shape[1]))
         step = max(1, (16 << 20) // (8 * len(classes)))
         for top in range(0, len(levels), step):
-            out[top:top + step] = kernels.encode(levels[top:top + step], doubled) @ classes
+            out[top:top + step] = kernels.encode(levels[top:top + step], memory.doubled) @ classes
         return out
 
-    def guess(self, levels: np.ndarray, doubled: np.ndarray) -> np.ndarray:
+    def guess(self, levels: np.ndarray, memory: ItemMemory) -> np.ndarray:
         """Class number per row. The row's own length scales all classes alike and
         is left out."""
-        scores = self.dots(levels, doubled) * self.inverse
+        scores = self.dots(levels, memory) * self.inverse
         return self.order[kernels.first_best(scores)]
 
 
@@ -122,6 +129,21 @@ def _scoring_parts(model: Classifier, memory: ItemMemory):
     return model.table, model.inverse, None if model.table is not None else model.vectors
 
 
+class Shipped:
+    """Broadcast classifiers with the item memory. Tables too large to send are built
+    once per Python worker from the class vectors, when they fit together."""
+
+    def __init__(self, classifiers: list[Classifier], memory: ItemMemory):
+        self.classifiers, self.memory = [c.slim() for c in classifiers], memory
+
+    def ready(self) -> list[Classifier]:
+        missing = [c for c in self.classifiers if c.table is None]
+        if missing and sum(c.table_bytes(self.memory) for c in missing) <= WORKER_TABLE_BYTES:
+            for c in missing:
+                c.build_table(self.memory)
+        return self.classifiers
+
+
 class LevelCache:
     """Levels of one batch for each request, computed once."""
 
@@ -150,25 +172,25 @@ def count_correct(rows: DataFrame, classifiers: list[Classifier], labels: list[s
 
 def _count_correct(rows, classifiers, labels, memory) -> DataFrame:
     context = rows.sparkSession.sparkContext
-    shipped = context.broadcast([c.slim() for c in classifiers])
-    doubled = context.broadcast(memory.doubled)
+    shipped = context.broadcast(Shipped(classifiers, memory))
     names, n_levels = pa.array(labels), memory.levels
     wanted = sorted({p for c in classifiers for p in c.test})
 
     def tally(batches):
-        seen = np.zeros((len(shipped.value), 2), dtype=np.int64)
+        ready = shipped.value.ready()
+        seen = np.zeros((len(ready), 2), dtype=np.int64)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             cache = LevelCache(kernels.feature_matrix(batch.column("features")), n_levels)
             part = batch.column("part").to_numpy(zero_copy_only=False)
             label = label_index(batch.column("label"), names)
-            for i, one in enumerate(shipped.value):
+            for i, one in enumerate(ready):
                 chosen = np.flatnonzero(np.isin(part, one.test))
                 if len(chosen):
-                    guess = one.guess(cache.of(one.request, chosen), doubled.value)
+                    guess = one.guess(cache.of(one.request, chosen), shipped.value.memory)
                     seen[i] += len(chosen), int((guess == label[chosen]).sum())
-        ids = np.array([c.model for c in shipped.value], dtype=np.int32)
+        ids = np.array([c.model for c in ready], dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids), pa.array(seen[:, 0]), pa.array(seen[:, 1])],
             names=["model", "n", "right"],
@@ -198,8 +220,7 @@ def predict(rows: DataFrame, classifiers: list[Classifier], labels: list[str],
 
 def _predict(rows, classifiers, labels, memory, similarity) -> DataFrame:
     context = rows.sparkSession.sparkContext
-    shipped = context.broadcast([c.slim() for c in classifiers])
-    doubled = context.broadcast(memory.doubled)
+    shipped = context.broadcast(Shipped(classifiers, memory))
     n_levels = memory.levels
 
     def score(part: pa.Array, features: pa.Array) -> pa.Array:
@@ -207,16 +228,16 @@ def _predict(rows, classifiers, labels, memory, similarity) -> DataFrame:
         part = part.to_numpy(zero_copy_only=False)
         guess = np.full(len(part), -1)
         cosine = np.full(len(part), np.nan)
-        for one in shipped.value:
+        for one in shipped.value.ready():
             chosen = np.flatnonzero(np.isin(part, one.test))
             if not len(chosen):
                 continue
             levels = cache.of(one.request, chosen)
-            scores = one.dots(levels, doubled.value) * one.inverse
+            scores = one.dots(levels, shipped.value.memory) * one.inverse
             best = kernels.first_best(scores)
             guess[chosen] = one.order[best]
             if similarity:
-                length = row_lengths(levels, doubled.value)
+                length = row_lengths(levels, shipped.value.memory.doubled)
                 with np.errstate(all="ignore"):
                     cosine[chosen] = scores[np.arange(len(best)), best] / length
         names = pa.array(labels).take(pa.array(np.where(guess < 0, None, guess)
@@ -247,14 +268,15 @@ def class_similarities(matrix: DataFrame, one: Classifier, labels: list[str],
     """``..., label_guess, class_rank, similarity``: one row per row and class, read
     from a per-row array, so no join of rows with classes is needed."""
     context = matrix.sparkSession.sparkContext
-    shipped, doubled = context.broadcast(one.slim()), context.broadcast(memory.doubled)
+    shipped = context.broadcast(Shipped([one], memory))
     n_levels = memory.levels
 
     @F.arrow_udf("array<double>")
     def cosines(features: pa.Array) -> pa.Array:
-        levels = shipped.value.request.levels(kernels.feature_matrix(features), n_levels)
-        scores = shipped.value.dots(levels, doubled.value) * shipped.value.inverse
-        length = row_lengths(levels, doubled.value)
+        model, memory = shipped.value.ready()[0], shipped.value.memory
+        levels = model.request.levels(kernels.feature_matrix(features), n_levels)
+        scores = model.dots(levels, memory) * model.inverse
+        length = row_lengths(levels, memory.doubled)
         with np.errstate(all="ignore"):
             table = scores / np.where(length > 0, length, np.nan)[:, None]
         return kernels.list_column(table, pa.float64())

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from vectorloom import kernels
 from vectorloom.item_memory import ItemMemory
-from vectorloom.operators.bundle import label_index
-from vectorloom.operators.classify import Classifier, LevelCache, in_shipments
+from vectorloom.operators.bundle import Partials, add_counts, cell_numbers, label_index
+from vectorloom.operators.classify import Classifier, LevelCache, Shipped, in_shipments
 from vectorloom.operators.encode import sum_vectors
 from vectorloom.tables import bounded_rows
 
@@ -59,7 +59,7 @@ def retrain_small(rows: DataFrame, models: list[Classifier], labels: list[str],
     holds the class vectors of the iteration end to end."""
     context = rows.sparkSession.sparkContext
     plan = context.broadcast({m.model: (m.request, m.order, m.train, m.test) for m in models})
-    doubled, names = context.broadcast(memory.doubled), pa.array(labels)
+    shared, names = context.broadcast(memory), pa.array(labels)
     n_levels = memory.levels
 
     def loop(key, table):
@@ -67,7 +67,7 @@ def retrain_small(rows: DataFrame, models: list[Classifier], labels: list[str],
         table = table.sort_by("row_pos")
         part = table.column("part").to_numpy()
         x = kernels.feature_matrix(table.column("features"))
-        hv = kernels.encode(request.levels(x, n_levels), doubled.value)
+        hv = kernels.encode(request.levels(x, n_levels), shared.value.doubled)
         place = np.full(len(labels) + 1, -1)
         place[order] = np.arange(len(order))
         truth = place[label_index(table.column("label").combine_chunks(), names)]
@@ -135,7 +135,7 @@ def online_pass(blocks: DataFrame, one: Classifier, labels: list[str], memory: I
     """
     spark = blocks.sparkSession
     names, n_levels = pa.array(labels), memory.levels
-    doubled = spark.sparkContext.broadcast(memory.doubled)
+    shared = spark.sparkContext.broadcast(memory)
     place = np.full(len(labels) + 1, -1)
     place[one.order] = np.arange(len(one.order))
     request = one.request
@@ -144,7 +144,7 @@ def online_pass(blocks: DataFrame, one: Classifier, labels: list[str], memory: I
         def walk(key, table):
             table = table.sort_by("row_pos")
             x = kernels.feature_matrix(table.column("features"))
-            hv = kernels.encode(request.levels(x, n_levels), doubled.value)
+            hv = kernels.encode(request.levels(x, n_levels), shared.value.doubled)
             truth = place[label_index(table.column("label").combine_chunks(), names)]
             state = OnlinePass(state_now.value)
             errors = state.walk(hv, truth)
@@ -206,29 +206,28 @@ def _train_rows(rows, models):
     return rows.filter(F.col("part").isin(parts)).select("part", "label", "features")
 
 
-def _mistakes(batch, shipped, doubled, names, n_levels, n_labels):
+def _mistakes(batch, shipped, names, n_labels):
     """(index of the model, its rows, wrong levels, guessed place, true place)."""
-    cache = LevelCache(kernels.feature_matrix(batch.column("features")), n_levels)
+    cache = LevelCache(kernels.feature_matrix(batch.column("features")), shipped.memory.levels)
     part = batch.column("part").to_numpy(zero_copy_only=False)
     label = label_index(batch.column("label"), names)
-    for i, one in enumerate(shipped):
+    for i, one in enumerate(shipped.ready()):
         chosen = np.flatnonzero(np.isin(part, one.train))
         if not len(chosen):
             continue
         place = np.full(n_labels + 1, -1)
         place[one.order] = np.arange(len(one.order))
         levels = cache.of(one.request, chosen)
-        guess = one.guess(levels, doubled)
+        guess = one.guess(levels, shipped.memory)
         bad = guess != label[chosen]
         yield i, len(chosen), levels[bad], place[guess[bad]], place[label[chosen][bad]]
 
 
 def _batch_counted(rows, models, labels, memory):
-    context = rows.sparkSession.sparkContext
-    shipped = context.broadcast([m.slim() for m in models])
-    doubled, names = context.broadcast(memory.doubled), pa.array(labels)
-    n_levels, n_labels = memory.levels, len(labels)
+    shipped = rows.sparkSession.sparkContext.broadcast(Shipped(models, memory))
+    names, n_labels = pa.array(labels), len(labels)
     sizes = [2 + m.counts.size for m in models]
+    per_class = [m.counts[0].size for m in models]
     starts = np.concatenate([[0], np.cumsum(sizes)])
 
     def tally(batches):
@@ -236,15 +235,14 @@ def _batch_counted(rows, models, labels, memory):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for i, n, levels, guess, true in _mistakes(batch, shipped.value, doubled.value, names,
-                                                       n_levels, n_labels):
+            for i, n, levels, guess, true in _mistakes(batch, shipped.value, names, n_labels):
                 at = starts[i]
                 change[at] += n
                 change[at + 1] += len(levels)
-                width = levels.shape[1]
-                for sign, where in ((-1, guess), (1, true)):
-                    cell = (where[:, None] * width + np.arange(width)) * n_levels + levels
-                    np.add.at(change, at + 2 + cell.ravel(), sign)
+                cell = cell_numbers(levels, shipped.value.memory)
+                for sign, place in ((-1, guess), (1, true)):
+                    add_counts(change[at + 2:starts[i + 1]],
+                               cell + (place * per_class[i])[:, None], sign)
         found = np.flatnonzero(change)
         yield pa.RecordBatch.from_arrays(
             [pa.array(found), pa.array(change[found])], names=["cell", "n"]
@@ -264,34 +262,29 @@ def _batch_counted(rows, models, labels, memory):
 
 
 def _batch_direct(rows, models, labels, memory):
-    context = rows.sparkSession.sparkContext
-    shipped = context.broadcast([m.slim() for m in models])
-    doubled, names = context.broadcast(memory.doubled), pa.array(labels)
-    n_levels, n_labels, dim = memory.levels, len(labels), memory.dimensionality
+    shipped = rows.sparkSession.sparkContext.broadcast(Shipped(models, memory))
+    names, n_labels, dim = pa.array(labels), len(labels), memory.dimensionality
 
     def changes(batches):
-        sums, seen = {}, np.zeros((len(shipped.value), 2), dtype=np.int64)
+        sums = Partials(["model", "place"], shipped.value.memory)
+        seen = np.zeros((len(shipped.value.classifiers), 2), dtype=np.int64)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for i, n, levels, guess, true in _mistakes(batch, shipped.value, doubled.value, names,
-                                                       n_levels, n_labels):
+            for i, n, levels, guess, true in _mistakes(batch, shipped.value, names, n_labels):
                 seen[i] += n, len(levels)
-                for row in range(len(levels)):
-                    hv = kernels.encode(levels[row:row + 1], doubled.value)[0].astype(np.int64)
-                    for sign, place in ((-1, guess[row]), (1, true[row])):
-                        key = (i, int(place))
-                        sums[key] = sums.get(key, 0) + sign * hv
-        for i, pair in enumerate(seen):
-            padded = np.zeros(dim, dtype=np.int64)
-            padded[:2] = pair
-            sums[i, -1] = padded
-        keys = np.array(list(sums), dtype=np.int32).reshape(-1, 2)
+                for sign, places in ((-1, guess), (1, true)):
+                    for place in set(places.tolist()):
+                        sums.add((i, place), levels[places == place], sign)
+                        if sums.full():
+                            yield sums.emit()
+        yield sums.emit()
+        totals = np.zeros((len(seen), dim), dtype=np.int64)
+        totals[:, :2] = seen
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-             kernels.list_column(np.stack(list(sums.values())), pa.int64())],
-            names=["model", "place", "hv"],
-        )
+            [pa.array(np.arange(len(seen), dtype=np.int32)),
+             pa.array(np.full(len(seen), -1, dtype=np.int32)),
+             kernels.list_column(totals, pa.int64())], names=["model", "place", "hv"])
 
     partials = _train_rows(rows, models).mapInArrow(
         changes, "model INT, place INT, hv ARRAY<BIGINT>"

@@ -155,14 +155,15 @@ def train(rows: DataFrame, numbered: list[tuple[int, Spec]], settings: Settings,
         union.setdefault(edges[i], set()).update(spec.positions)
     shared = {e: Request(*e, tuple(sorted(p))) for e, p in union.items()}
     per_position = stats.n_parts * len(stats.labels) * settings.levels
-    countable = [r for r in shared.values()
-                 if len(r.positions) * per_position <= bundle.COUNT_CELLS]
     specs_of = {}
     for i, spec in numbered:
         specs_of.setdefault(shared[edges[i]], []).append((i, spec))
+    countable = [r for r in shared.values()
+                 if memory.width(len(r.positions)) * per_position <= bundle.COUNT_CELLS
+                 and _shareable(r, specs_of[r], memory)]
     models = []
-    for group in _batches(countable, per_position):
-        tables = bundle.count_levels(rows, group, stats.n_parts, stats.labels, settings.levels)
+    for group in _batches(countable, per_position, memory):
+        tables = bundle.count_levels(rows, group, stats.n_parts, stats.labels, memory)
         for request, counts in zip(group, tables):
             models += _from_counts(rows, request, counts, specs_of[request], stats, memory)
     for request in shared.values():
@@ -171,10 +172,17 @@ def train(rows: DataFrame, numbered: list[tuple[int, Spec]], settings: Settings,
     return sorted(models, key=lambda m: m.model)
 
 
-def _batches(requests: list[Request], per_position: int):
+def _shareable(request: Request, numbered, memory: ItemMemory) -> bool:
+    """Counters stand for single features (needed to drop some), or every model uses all."""
+    return len(request.positions) <= memory.dimensionality or all(
+        spec.positions == request.positions for _, spec in numbered
+    )
+
+
+def _batches(requests: list[Request], per_position: int, memory: ItemMemory):
     group, size = [], 0
     for request in requests:
-        cells = len(request.positions) * per_position
+        cells = memory.width(len(request.positions)) * per_position
         if group and size + cells > bundle.COUNT_CELLS:
             yield group
             group, size = [], 0
@@ -189,8 +197,9 @@ def _from_counts(rows, request, counts, numbered, stats, memory) -> list[Classif
     models = []
     for i, spec in numbered:
         order = stats.order(spec)
-        at = [column[p] for p in spec.positions]
-        mine = counts[list(spec.train)].sum(axis=0)[order][:, at]
+        mine = counts[list(spec.train)].sum(axis=0)[order]
+        if spec.positions != request.positions:
+            mine = mine[:, [column[p] for p in spec.positions]]
         own = Request(request.lo, request.hi, spec.positions)
         models.append(Classifier(i, own, order, None, spec.train, spec.test, mine))
     return classify.make_ready(rows.sparkSession.sparkContext, models, memory)
