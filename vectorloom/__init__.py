@@ -3,7 +3,11 @@
 from vectorloom.item_memory import ItemMemory, item_memory
 from vectorloom.plans.evaluate import cross_validate, evaluate_models, holdout
 from vectorloom.plans.model import HDClassifier, HDModel
-from vectorloom.plans.selection import backward_elimination, feature_importance
+from vectorloom.plans.selection import (
+    backward_elimination,
+    feature_importance,
+    select_in_chunks,
+)
 
 __all__ = [
     "HDClassifier",
@@ -15,4 +19,5 @@ __all__ = [
     "feature_importance",
     "holdout",
     "item_memory",
+    "select_in_chunks",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,10 +32,12 @@ from vectorloom.plans.selection import (
     Elimination,
     backward_elimination,
     feature_importance,
+    select_in_chunks,
 )
 from vectorloom.settings import Settings
 from vectorloom.sources import bio, delimited, sinks
-from vectorloom.tables import cut_lineage, prepare, spread
+from vectorloom.sources.store import ArtifactStore
+from vectorloom.tables import checkpoint_dir, cut_lineage, prepare, spread
 
 # Parameters shared with the SQL texts in plans.oracles.
 DIM, LEVELS, SEED = 64, 8, 0
@@ -596,6 +600,140 @@ def chunked_dataset(spark, sf_dir):
     return mx.long_cells(sinks.chunked_rows(rows, chunks), "chunk", "row_id")
 
 
+# ---- written and read back, in the session's checkpoint folder ------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/query-{uuid4().hex}"
+
+
+def store_item_memory(spark, sf_dir):
+    """Item memory kept in the store, reloaded, and joined with the use of its levels."""
+    store = ArtifactStore(spark, scratch(spark))
+    store.item_memory(DIM, LEVELS, SEED)
+    kept = store.item_memory(DIM, LEVELS, SEED)
+    signs = kept.select("level", F.posexplode("hv").alias("d", "sign"))
+    rows = embeddings(spark, sf_dir)
+    lo, hi = encode.edge_values(rows, LEVELS)
+    used = mx.long_cells(rows).groupBy(level_of("value", lo, hi, LEVELS).alias("level")).agg(
+        F.count(F.lit(1)).alias("n_cells"))
+    return signs.join(used, "level", "left").select(
+        "level", "d", F.col("sign").cast("int").alias("sign"),
+        F.coalesce("n_cells", F.lit(0)).cast("bigint").alias("n_cells"))
+
+
+def store_encoded_set(spark, sf_dir):
+    """Encoded rows kept in the store and reloaded."""
+    store = ArtifactStore(spark, scratch(spark))
+    rows = embeddings(spark, sf_dir)
+    lo, hi = encode.edge_values(rows, LEVELS)
+    for _ in range(2):
+        kept = store.encoded(rows, DIM, LEVELS, SEED, lo, hi, side="all")
+    return kept.select("row_id", F.posexplode("hv").alias("d", "h")).withColumn(
+        "h", F.col("h").cast("bigint"))
+
+
+def dataset_round_trip(spark, sf_dir):
+    """A dataset stored without feature names gets numbers as names."""
+    path = scratch(spark)
+    sinks.write_dataset(embeddings(spark, sf_dir), None, path)
+    matrix, names = sinks.read_dataset(spark, path)
+    return mx.long_cells(matrix, "row_id").join(F.broadcast(names), "pos").select(
+        "row_id", "name", "value")
+
+
+def flat_round_trip(spark, sf_dir):
+    """Exported as text with a header and read again, rows numbered in file order."""
+    path = scratch(spark)
+    rows = embeddings(spark, sf_dir)
+    width = mx.shape_report(rows).first().n_features
+    sinks.export_flat(rows, [f"f{i}" for i in range(width)], path, sep=";")
+    matrix, names = delimited.read_labelled(spark, path, ";")
+    return mx.long_cells(matrix, "row_id", "row_pos", "label").join(
+        F.broadcast(names), "pos").select("row_id", "row_pos", "label", "name", "value")
+
+
+def feature_list_file(spark, sf_dir):
+    """Requested features from a text file, one per line."""
+    path = scratch(spark)
+    parts = table(spark, sf_dir, "part")
+    known = parts.select(F.col("p_type").alias("name")).distinct()
+    lines = known.unionByName(parts.select(F.col("p_brand").alias("name")))
+    lines.select(F.concat(F.lit(" "), "name", F.lit("\n")).alias("value")).write.text(path)
+    yes, no = mx.recognise_features(known, delimited.read_feature_list(spark, path))
+    return yes.withColumn("recognised", F.lit(True)).unionByName(
+        no.withColumn("recognised", F.lit(False)))
+
+
+def chunk_files(spark, sf_dir):
+    """One folder per random chunk of features, written by one job."""
+    path = scratch(spark)
+    rows = embeddings(spark, sf_dir)
+    width = mx.shape_report(rows).first().n_features
+    chunks = permute.feature_chunks(delimited.numbered_features(spark, width), 20, SEED)
+    sinks.write_chunks(rows, chunks, path)
+    return mx.long_cells(spark.read.parquet(f"{path}/matrix"), "chunk", "row_id")
+
+
+def permutation_files(spark, sf_dir):
+    path = scratch(spark)
+    sinks.write_permutations(permute.label_permutations(embeddings(spark, sf_dir), 3, SEED), path)
+    return spark.read.parquet(path).select("replicate", "row_id", "label")
+
+
+def run_summary(spark, sf_dir):
+    """Retained runs of an elimination, appended with their parameters."""
+    path, rules = scratch(spark), Elimination(tolerance=1.0)
+    found = backward_elimination(letter_shares(spark, sf_dir, FEW), SMALL, rules, folds=FOLDS,
+                                 names=list(FEW))
+    sinks.write_summary(found.runs, path, "letters", SMALL, rules)
+    return spark.read.parquet(path).select(
+        "run_id", "group_size", "accuracy", "dataset", "dimensionality", "n_levels", "tolerance")
+
+
+def selection_report(spark, sf_dir):
+    path = scratch(spark)
+    found = backward_elimination(letter_shares(spark, sf_dir, FEW + "ou"), SMALL, Elimination(),
+                                 percentage=PERCENT, names=list(FEW + "ou"))
+    sinks.write_selection(found.selection, path)
+    return spark.read.parquet(path)
+
+
+def run_log(spark, sf_dir):
+    """The same evaluation logged twice under two attempt numbers."""
+    path = scratch(spark)
+    history = ev.cross_validate(embeddings(spark, sf_dir), FOLDS, SMALL).history
+    for _ in range(2):
+        sinks.write_run_log(history, path, "embeddings", SMALL, 0.0)
+    return spark.read.parquet(path).select("model_id", "accuracy", "attempt")
+
+
+def ranking_report(spark, sf_dir):
+    path = scratch(spark)
+    last = importance.last_run_per_seed(constructed_selections(spark, sf_dir))
+    sinks.write_ranking(importance.top_features(importance.selection_frequency(last), 50), path)
+    parts = F.split("value", "\t")
+    return spark.read.text(path).select(
+        F.get(parts, F.lit(0)).alias("feature"),
+        F.round(F.get(parts, F.lit(1)).cast("double"), 9).alias("frequency"))
+
+
+def stored_model_predictions(spark, sf_dir):
+    """Predictions of a model that was saved and loaded."""
+    store = ArtifactStore(spark, scratch(spark))
+    rows = embeddings(spark, sf_dir)
+    store.save_model(HDClassifier(dimensionality=DIM, levels=LEVELS, seed=SEED).fit(rows), "m")
+    return store.load_model("m").transform(rows, similarity=True).select(
+        "row_id", "label", "guess", F.round("similarity", 9).alias("similarity"))
+
+
+def chunked_selection(spark, sf_dir):
+    """Six letters in random chunks of three, one elimination per chunk."""
+    return select_in_chunks(letter_shares(spark, sf_dir, FEW), SMALL, 3,
+                            Elimination(accuracy_threshold=0), percentage=PERCENT,
+                            names=list(FEW)).selection
+
+
 QUERIES = {
     "level_edges": level_edges,
     "level_edges_by_class": level_edges_by_class,
@@ -659,4 +797,17 @@ QUERIES = {
     "sample_classes": sample_classes,
     "flat_export_lines": flat_export_lines,
     "chunked_dataset": chunked_dataset,
+    "store_item_memory": store_item_memory,
+    "store_encoded_set": store_encoded_set,
+    "dataset_round_trip": dataset_round_trip,
+    "flat_round_trip": flat_round_trip,
+    "feature_list_file": feature_list_file,
+    "chunk_files": chunk_files,
+    "permutation_files": permutation_files,
+    "run_summary": run_summary,
+    "selection_report": selection_report,
+    "run_log": run_log,
+    "ranking_report": ranking_report,
+    "stored_model_predictions": stored_model_predictions,
+    "chunked_selection": chunked_selection,
 }

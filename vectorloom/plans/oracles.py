@@ -413,28 +413,31 @@ def subset_scores(source: str, n: int, folds: int | None) -> list[str]:
 
 
 def search(source: str, n: int, folds: int | None, tolerance: float, threshold: float,
-           group_min: int = 1) -> str:
-    full = (1 << n) - 1
-    rounds = f"""search AS (SELECT 0 AS round, {full}::BIGINT AS base, {n} AS size,
-    [{full}::BIGINT] AS kept, t[{full}] AS best FROM acc
+           group_min: int = 1, chunks: str | None = None) -> str:
+    """Rounds of the elimination, for all features or for each chunk ``(chunk, full)``."""
+    chunks = chunks or f"chunks AS (SELECT 0 AS chunk, {(1 << n) - 1}::BIGINT AS full_mask)"
+    rounds = f"""search AS (SELECT chunk, 0 AS round, full_mask AS base,
+    CAST(bit_count(full_mask) AS INTEGER) AS size, [full_mask] AS kept, t[full_mask] AS best
+  FROM acc, chunks
   UNION ALL
-  SELECT round + 1, base2, CAST(bit_count(base2) AS INTEGER) - 1,
+  SELECT chunk, round + 1, base2, CAST(bit_count(base2) AS INTEGER) - 1,
     list_filter(subsets, lambda m: t[m] >= best2 - best2 * {tolerance} / 100.0), best2
   FROM (SELECT *, list_max(list_transform(subsets, lambda m: t[m])) AS best2
     FROM (SELECT *, list_transform(list_filter(range({n}), lambda i: (base2 >> i) & 1 = 1),
         lambda i: base2 - (1::BIGINT << i)) AS subsets
       FROM (SELECT s.*, t, list_reduce(kept, lambda a, b: a & b) AS base2 FROM search s, acc
         WHERE size - 1 >= {group_min} AND best >= {threshold}) WHERE bit_count(base2) > 1)))"""
-    return "WITH RECURSIVE " + ",\n".join([*subset_scores(source, n, folds), rounds]) + "\n"
+    return "WITH RECURSIVE " + ",\n".join([*subset_scores(source, n, folds), chunks, rounds]) + "\n"
 
 
-def selection(source: str, names: list[str], folds, tolerance, threshold) -> str:
+def selection(source: str, names: list[str], folds, tolerance, threshold, chunks=None) -> str:
     listed = "[" + ", ".join(f"'{x}'" for x in names) + "]"
-    return search(source, len(names), folds, tolerance, threshold) + f"""
-SELECT 0 AS chunk, size AS group_size, best AS accuracy, unnest(list_transform(list_filter(
+    return search(source, len(names), folds, tolerance, threshold, 1, chunks) + f"""
+SELECT chunk, size AS group_size, best AS accuracy, unnest(list_transform(list_filter(
   range({len(names)}), lambda i: (list_reduce(kept, lambda a, b: a | b) >> i) & 1 = 1),
   lambda i: {listed}[i + 1])) AS feature
-FROM (SELECT * FROM search ORDER BY best DESC, size LIMIT 1)"""
+FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY best DESC, size) AS place
+  FROM search) WHERE place = 1"""
 
 
 def retained(source: str, letters: str, folds, tolerance, threshold) -> str:
@@ -482,3 +485,43 @@ QUALITY = r"""emb AS (SELECT doc_id AS row_id, doc_id AS row_pos, CAST(quality A
     / nullif(length(text), 0), 0.0)) AS features FROM documents JOIN labels USING (doc_id))"""
 ORACLES["text_quality_hdc"] = classifier(
     QUALITY, HOLDOUT, f"SELECT {ACCURACY} AS accuracy, 0 AS iteration FROM guessed WHERE test")
+
+ORACLES["chunked_selection"] = selection(
+    letters_cte(FEW, True), list(FEW), None, 5.0, 0.0,
+    f"""names AS (SELECT i AS pos, substr('{FEW}', CAST(i AS INTEGER) + 1, 1) AS name
+  FROM range({len(FEW)}) r(i)),
+chunks AS (SELECT chunk, bit_or(1::BIGINT << pos) AS full_mask FROM (
+  SELECT pos, {_CHUNK.format(3)} FROM names) GROUP BY chunk)""")
+
+# Written and read back: the same tables as before they were written.
+ORACLES["store_item_memory"] = ORACLES["item_memory_usage"]
+ORACLES["store_encoded_set"] = ENCODE
+ORACLES["dataset_round_trip"] = with_(EMB, CELLS) + """SELECT row_id, CAST(pos AS VARCHAR) AS name,
+  value FROM cells"""
+ORACLES["flat_round_trip"] = with_(EMB, CELLS) + """SELECT CAST(row_id AS VARCHAR) AS row_id,
+  row_id AS row_pos, label, 'f' || pos AS name, value FROM cells"""
+ORACLES["feature_list_file"] = ORACLES["recognised_features"]
+ORACLES["chunk_files"] = ORACLES["chunked_dataset"]
+ORACLES["permutation_files"] = ORACLES["label_permutation"]
+ORACLES["run_summary"] = f"""SELECT run_id, group_size, accuracy, 'letters' AS dataset,
+  {DIM} AS dimensionality, {LEVELS} AS n_levels, CAST(1.0 AS DOUBLE) AS tolerance
+FROM ({ORACLES["language_elimination_runs"]})"""
+ORACLES["selection_report"] = ORACLES["language_feature_elimination"]
+ORACLES["run_log"] = f"""SELECT model_id, accuracy, unnest([0, 1]) AS attempt
+FROM ({ORACLES["cv_history"]})"""
+ORACLES["ranking_report"] = f"""SELECT feature, frequency FROM ({ORACLES["top_features"]})"""
+ORACLES["stored_model_predictions"] = ORACLES["predict_class"]
+
+# Columns that are 32-bit integers in Spark.
+_INTEGERS = {
+    "quantise_levels": ["pos", "level"], "item_memory_usage": ["level", "d"],
+    "store_item_memory": ["level", "d"], "encode_rows": ["d"], "encode_rows_native": ["d"],
+    "encode_rows_blocked": ["d"], "store_encoded_set": ["d"],
+    "class_hypervectors": ["class_rank", "d"], "line_item_class_vectors": ["class_rank", "d"],
+    "class_similarity": ["class_rank"], "feature_chunks": ["pos"], "loo_candidates": ["group_size"],
+    "run_ids": ["n_features"], "next_base": ["group_size"], "best_group": ["group_size"],
+    "shape_report": ["n_features"], "restrict_features": ["pos"],
+}
+for _name, _columns in _INTEGERS.items():
+    _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _columns)
+    ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]})"

@@ -218,6 +218,21 @@ def backward_elimination(matrix: DataFrame, settings: Settings, rules: Eliminati
     return Selection(matrix.sparkSession, names, searches)
 
 
+def select_in_chunks(matrix: DataFrame, settings: Settings, chunk_size: int,
+                     rules: Elimination | None = None, folds: int | None = None,
+                     percentage: float | None = None, names: list[str] | None = None) -> Selection:
+    """Random decomposition into chunks of features, and one elimination per chunk, all
+    chunks in the same jobs."""
+    names = _named(matrix, names)
+    position = {name: i for i, name in enumerate(names)}
+    chunks = _chunks(matrix.sparkSession, names, chunk_size, settings.seed, position)
+    slim = matrix.select("row_id", "row_pos", "label", "features")
+    with spread(slim, "row_id") as wide, \
+            _prepare(wide, folds, percentage, settings.seed) as prepared:
+        searches = eliminate(prepared, chunks, names, settings, rules or Elimination())
+    return Selection(matrix.sparkSession, names, searches)
+
+
 @dataclass
 class Importance:
     """``selections``: ``seed, run, chunk, feature`` of every run of every seed."""
