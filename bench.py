@@ -30,18 +30,18 @@ def run(df) -> None:
 
 
 def encode_line_items(spark, d):
-    """Every line item encoded at D = 10000; the vectors are produced in full."""
+    """Every line item encoded at D = 10000; all vectors reach the sink."""
     memory = load_item_memory(spark, 10000, 100, 0)
     with spread(c.line_items(spark, d), "row_id") as rows:
         lo, hi = encode.edge_values(rows, 100)
-        run(encode.encode_rows(rows, memory, lo, hi, narrow=True))
+        run(encode.encode_rows(rows, memory, lo, hi, form="packed"))
 
 
 def encode_embeddings(spark, d):
     memory = load_item_memory(spark, 10000, 100, 0)
     with spread(c.embeddings(spark, d), "row_id") as rows:
         lo, hi = encode.edge_values(rows, 100)
-        run(encode.encode_rows(rows, memory, lo, hi, narrow=True))
+        run(encode.encode_rows(rows, memory, lo, hi, form="packed"))
 
 
 def fit_line_items(spark, d):

@@ -98,6 +98,8 @@ def test_encoders_agree(spark, make_matrix, dim, width):
     expected = brute.encode(x, brute.edges(x, 6), mem.matrix.astype(int))
     assert (kernels.encode(kernels.quantise(x, lo, hi, 6), mem.doubled) == expected).all()
     variants = [encode.encode_rows(rows, mem, lo, hi),
+                encode.encode_rows(rows, mem, lo, hi, form="smallint"),
+                encode.unpack(encode.encode_rows(rows, mem, lo, hi, form="packed")),
                 encode.encode_rows_blocked(rows, mem, lo, hi, block=11)]
     if width < 100:
         variants.append(encode.encode_rows_native(rows, mem, lo, hi))

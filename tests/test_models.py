@@ -171,4 +171,4 @@ def test_one_python_evaluation_per_encode(spark, make_matrix):
     rows = make_matrix([("a", [0, 1])])
     hv = encode.encode_rows(rows, load_item_memory(spark, 16, 2, 0), 0.0, 1.0)
     plan = hv.select("row_id", F.posexplode_outer("hv"))._jdf.queryExecution().executedPlan()
-    assert plan.toString().count("ArrowEvalPython") == 1
+    assert plan.toString().count("MapInArrow") == 1

@@ -31,6 +31,15 @@ def list_column(matrix: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, values)
 
 
+def binary_column(matrix: np.ndarray) -> pa.Array:
+    """binary Arrow column holding each row's bytes."""
+    rows = len(matrix)
+    data = np.ascontiguousarray(matrix)
+    offsets = np.arange(rows + 1, dtype=np.int32) * (data.nbytes // max(rows, 1))
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), rows, buffers)
+
+
 def quantise(values: np.ndarray, lo: float, hi: float, n_levels: int) -> np.ndarray:
     """Levels of an array of values (see functions.levels.level_of)."""
     last = n_levels - 1
@@ -44,7 +53,8 @@ def quantise(values: np.ndarray, lo: float, hi: float, n_levels: int) -> np.ndar
     return np.clip(guess + above - below, 0, last).astype(np.int32)
 
 
-def encode(levels: np.ndarray, doubled: np.ndarray, first_position: int = 0) -> np.ndarray:
+def encode(levels: np.ndarray, doubled: np.ndarray, first_position: int = 0,
+           dtype=np.int32) -> np.ndarray:
     """Sum of rotated level vectors for each row.
 
     ``doubled`` holds every level vector twice end to end, so a rotation is a
@@ -52,7 +62,7 @@ def encode(levels: np.ndarray, doubled: np.ndarray, first_position: int = 0) ->
     """
     rows, width = levels.shape
     dim = doubled.shape[1] // 2
-    out = np.zeros((rows, dim), dtype=np.int32)
+    out = np.zeros((rows, dim), dtype=dtype)
     tile = max(1, _TILE_CELLS // dim)
     for top in range(0, rows, tile):
         chunk = levels[top:top + tile]

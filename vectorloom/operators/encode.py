@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom import kernels
 from vectorloom.functions.levels import levels_of
 from vectorloom.functions.vectors import hv_add
 from vectorloom.item_memory import ItemMemory
 from vectorloom.operators.matrix import int_array
-from vectorloom.tables import bounded_rows
+from vectorloom.tables import bounded_rows, prepare
+
+# Bytes of encoded vectors per batch leaving a task.
+_BATCH_BYTES = 4 << 20
 
 
 def level_edges(matrix: DataFrame, n_levels: int, by=()) -> DataFrame:
@@ -30,28 +34,54 @@ def edge_values(matrix: DataFrame, n_levels: int) -> tuple[float, float]:
     return row.lo, row.hi
 
 
-def encoded(features: str, memory: ItemMemory, lo: float, hi: float,
-            narrow: bool = False) -> Column:
-    """Encoded row as an array column (Arrow batches, any D): INT, or SMALLINT when
-    ``narrow``, which up to 32767 features always fit."""
+def encode_rows(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float,
+                form: str = "int") -> DataFrame:
+    """Replace ``features`` by ``hv``. Vectors leave a task in batches of a few megabytes.
+
+    ``form``: ``int`` (ARRAY<INT>), ``smallint`` (ARRAY<SMALLINT>) or ``packed`` (BINARY,
+    little-endian 16-bit integers; Spark moves these as a block instead of element by
+    element, see ``unpack``). Up to 32767 features fit 16 bits.
+    """
+    spark_type, kind = {
+        "int": (T.ArrayType(T.IntegerType()), np.dtype("<i4")),
+        "smallint": (T.ArrayType(T.ShortType()), np.dtype("<i2")),
+        "packed": (T.BinaryType(), np.dtype("<i2")),
+    }[form]
     shared = _broadcast(memory)
-    kind, spark_type = (pa.int16(), "array<smallint>") if narrow else (pa.int32(), "array<int>")
+    step = max(1, _BATCH_BYTES // (kind.itemsize * memory.dimensionality))
+    kept = [c for c in matrix.columns if c != "features"]
+    schema = T.StructType([matrix.schema[c] for c in kept] + [T.StructField("hv", spark_type)])
 
-    @F.arrow_udf(spark_type)
-    def encode_udf(column: pa.Array) -> pa.Array:
-        x = kernels.feature_matrix(column)
-        if narrow and x.shape[1] > 32767:
-            raise ValueError("too many features for narrow vectors")
-        levels = kernels.quantise(x, lo, hi, shared.value.shape[0])
-        return kernels.list_column(kernels.encode(levels, shared.value), kind)
+    def encode_batches(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = kernels.feature_matrix(batch.column("features"))
+            if kind.itemsize == 2 and x.shape[1] > 32767:
+                raise ValueError("too many features for 16-bit vectors")
+            levels = kernels.quantise(x, lo, hi, shared.value.levels)
+            for top in range(0, len(x), step):
+                vectors = kernels.encode(levels[top:top + step], shared.value.doubled, dtype=kind)
+                columns = [batch.column(c).slice(top, step) for c in kept]
+                if form == "packed":
+                    columns.append(kernels.binary_column(vectors))
+                else:
+                    columns.append(kernels.list_column(vectors, pa.from_numpy_dtype(kind)))
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "hv"])
 
-    return encode_udf(features)
+    return matrix.mapInArrow(encode_batches, schema)
 
 
-def encode_rows(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float,
-                narrow: bool = False) -> DataFrame:
-    """Replace ``features`` by ``hv``."""
-    return matrix.withColumn("hv", encoded("features", memory, lo, hi, narrow)).drop("features")
+def unpack(encoded: DataFrame) -> DataFrame:
+    """Packed ``hv`` back to ARRAY<INT>."""
+    prepare(encoded.sparkSession)
+
+    @F.arrow_udf("array<int>")
+    def widen(column: pa.Array) -> pa.Array:
+        vectors = np.frombuffer(b"".join(column.to_pylist()), dtype="<i2")
+        return kernels.list_column(vectors.reshape(len(column), -1), pa.int32())
+
+    return encoded.withColumn("hv", widen("hv"))
 
 
 def encode_rows_native(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float) -> DataFrame:
@@ -85,7 +115,7 @@ def encode_rows_blocked(matrix: DataFrame, memory: ItemMemory, lo: float, hi: fl
 
     @F.arrow_udf("array<bigint>")
     def encode_block(first: pa.Array, cells: pa.Array) -> pa.Array:
-        doubled = shared.value
+        doubled = shared.value.doubled
         out = np.zeros((len(first), doubled.shape[1] // 2), dtype=np.int64)
         for i, (start, cell) in enumerate(zip(first.to_numpy(), cells)):
             x = np.asarray(cell.values, dtype=np.float64)[None, :]
@@ -143,5 +173,5 @@ def _one_row(key, vector, like, names):
 
 
 def _broadcast(memory: ItemMemory):
-    """Doubled item memory on every executor: 2*L*D bytes, set by the parameters."""
-    return SparkSession.getActiveSession().sparkContext.broadcast(memory.doubled)
+    """Item memory on every executor: L*D bytes, set by the parameters."""
+    return SparkSession.getActiveSession().sparkContext.broadcast(memory)
