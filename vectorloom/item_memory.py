@@ -179,7 +179,7 @@ class ItemMemory:
 
 @lru_cache(maxsize=8)
 def _changes(dimensionality: int, levels: int, seed: int) -> tuple:
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     found = sign_changes(spark, dimensionality, levels, seed).toPandas()
     grouped = {int(k): np.sort(v.to_numpy()) for k, v in found.groupby("level")["d"]}
     empty = np.empty(0, dtype=np.int64)

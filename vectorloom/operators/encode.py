@@ -174,4 +174,4 @@ def _one_row(key, vector, like, names):
 
 def _broadcast(memory: ItemMemory):
     """Item memory on every executor: L*D bytes, set by the parameters."""
-    return SparkSession.getActiveSession().sparkContext.broadcast(memory)
+    return SparkSession.active().sparkContext.broadcast(memory)

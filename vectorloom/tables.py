@@ -6,6 +6,7 @@ import shutil
 import tempfile
 from contextlib import contextmanager
 from pathlib import Path
+from threading import Lock
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 _prepared: set[str] = set()
+_preparing = Lock()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -99,13 +101,14 @@ def prepare(spark: SparkSession) -> None:
     anywhere) and keep Arrow batches of wide rows small."""
     bound_arrow_batches(spark)
     application = spark.sparkContext.applicationId
-    if application in _prepared:
-        return
-    folder = tempfile.mkdtemp(prefix="vectorloom-package-")
-    root = Path(__file__).resolve().parent
-    archive = shutil.make_archive(f"{folder}/vectorloom", "zip", root.parent, root.name)
-    spark.sparkContext.addPyFile(archive)
-    _prepared.add(application)
+    with _preparing:
+        if application in _prepared:
+            return
+        folder = tempfile.mkdtemp(prefix="vectorloom-package-")
+        root = Path(__file__).resolve().parent
+        name = f"{folder}/vectorloom-{uuid4().hex}"
+        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root.parent, root.name))
+        _prepared.add(application)
 
 
 def bound_arrow_batches(spark: SparkSession, n_bytes: int = 64 << 20) -> None:
