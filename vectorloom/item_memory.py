@@ -75,6 +75,7 @@ class ItemMemory:
     def __init__(self, dimensionality: int, levels: int, changes: list[np.ndarray]):
         self.dimensionality = dimensionality
         self.levels = levels
+        self._handles = {}
         base = np.full(dimensionality, -1, dtype=np.int8)
         base[changes[0]] = 1
         self.matrix = np.empty((levels, dimensionality), dtype=np.int8)
@@ -93,8 +94,15 @@ class ItemMemory:
         """Every level vector twice end to end, so that a rotation is a slice."""
         return np.hstack([self.matrix, self.matrix])
 
+    def on(self, context):
+        """Broadcast handle, one per application: L*D bytes, set by the parameters."""
+        if context.applicationId not in self._handles:
+            self._handles[context.applicationId] = context.broadcast(self)
+        return self._handles[context.applicationId]
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "doubled"}
+        state = {k: v for k, v in self.__dict__.items() if k != "doubled"}
+        return {**state, "_handles": {}}
 
     def width(self, n_features: int) -> int:
         """Distinct rotations: features f and f + D rotate alike and share counters."""

@@ -73,7 +73,7 @@ def count_levels(rows: DataFrame, requests: list[Request], n_parts: int, labels:
               for r in requests]
     sizes = [int(np.prod(s)) for s in shapes]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    names, shared = pa.array(labels), rows.sparkSession.sparkContext.broadcast(memory)
+    names, shared = pa.array(labels), memory.on(rows.sparkSession.sparkContext)
 
     def tally(batches):
         counts = np.zeros(starts[-1], dtype=np.int64)
@@ -143,7 +143,7 @@ def sum_encoded(rows: DataFrame, requests: list[Request], labels: list[str],
                 memory: ItemMemory) -> DataFrame:
     """``request, part, label_no, hv``: sums of encoded rows for matrices with too many
     counters to collect. Each task counts, bundles and passes on class vectors only."""
-    shared = rows.sparkSession.sparkContext.broadcast(memory)
+    shared = memory.on(rows.sparkSession.sparkContext)
     names, key_names = pa.array(labels), ["request", "part", "label_no"]
 
     def partial_sums(batches):
@@ -197,7 +197,7 @@ def class_hypervectors(matrix: DataFrame, memory: ItemMemory, lo: float, hi: flo
 def bundle_counts(counts: DataFrame, memory: ItemMemory, block: int = 256) -> DataFrame:
     """``label, hv`` from ``label, pos, level, n``: each (class, block of positions)
     becomes one partial vector, at most block*L counter rows per group."""
-    shared = counts.sparkSession.sparkContext.broadcast(memory)
+    shared = memory.on(counts.sparkSession.sparkContext)
 
     def partial(key, table):
         bundler = shared.value

@@ -110,7 +110,7 @@ def make_ready(context, models: list[Classifier], memory: ItemMemory) -> list[Cl
         return [m.ready(memory) for m in models]
     here = [m for m in models if m.counts is None]
     there = [m for m in models if m.counts is not None]
-    shared = context.broadcast(memory)
+    shared = memory.on(context)
     for group in in_shipments(there):
         tasks = min(len(group), 4 * context.defaultParallelism)
         made = context.parallelize(group, tasks).map(
@@ -130,17 +130,17 @@ def _scoring_parts(model: Classifier, memory: ItemMemory):
 
 
 class Shipped:
-    """Broadcast classifiers with the item memory. Tables too large to send are built
-    once per Python worker from the class vectors, when they fit together."""
+    """Classifiers to broadcast. Tables too large to send are built once per Python
+    worker from the class vectors, when they fit together."""
 
-    def __init__(self, classifiers: list[Classifier], memory: ItemMemory):
-        self.classifiers, self.memory = [c.slim() for c in classifiers], memory
+    def __init__(self, classifiers: list[Classifier]):
+        self.classifiers = [c.slim() for c in classifiers]
 
-    def ready(self) -> list[Classifier]:
+    def ready(self, memory: ItemMemory) -> list[Classifier]:
         missing = [c for c in self.classifiers if c.table is None]
-        if missing and sum(c.table_bytes(self.memory) for c in missing) <= WORKER_TABLE_BYTES:
+        if missing and sum(c.table_bytes(memory) for c in missing) <= WORKER_TABLE_BYTES:
             for c in missing:
-                c.build_table(self.memory)
+                c.build_table(memory)
         return self.classifiers
 
 
@@ -165,19 +165,19 @@ def count_correct(rows: DataFrame, classifiers: list[Classifier], labels: list[s
     """model -> (rows scored, rows right) over each model's test parts."""
     out = {}
     for group in in_shipments(classifiers):
-        for row in _count_correct(rows, group, labels, memory).collect():
+        for row in _count_correct(rows, group, labels, memory):
             out[row.model] = (row.n, row.right)
     return out
 
 
-def _count_correct(rows, classifiers, labels, memory) -> DataFrame:
+def _count_correct(rows, classifiers, labels, memory) -> list:
     context = rows.sparkSession.sparkContext
-    shipped = context.broadcast(Shipped(classifiers, memory))
+    shared, shipped = memory.on(context), context.broadcast(Shipped(classifiers))
     names, n_levels = pa.array(labels), memory.levels
     wanted = sorted({p for c in classifiers for p in c.test})
 
     def tally(batches):
-        ready = shipped.value.ready()
+        ready = shipped.value.ready(shared.value)
         seen = np.zeros((len(ready), 2), dtype=np.int64)
         for batch in batches:
             if batch.num_rows == 0:
@@ -188,7 +188,7 @@ def _count_correct(rows, classifiers, labels, memory) -> DataFrame:
             for i, one in enumerate(ready):
                 chosen = np.flatnonzero(np.isin(part, one.test))
                 if len(chosen):
-                    guess = one.guess(cache.of(one.request, chosen), shipped.value.memory)
+                    guess = one.guess(cache.of(one.request, chosen), shared.value)
                     seen[i] += len(chosen), int((guess == label[chosen]).sum())
         ids = np.array([c.model for c in ready], dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -197,10 +197,12 @@ def _count_correct(rows, classifiers, labels, memory) -> DataFrame:
         )
 
     tested = rows.filter(F.col("part").isin(wanted)).select("part", "label", "features")
-    return (
+    found = (
         tested.mapInArrow(tally, "model INT, n BIGINT, right BIGINT")
         .groupBy("model").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
-    )
+    ).collect()
+    shipped.destroy()
+    return found
 
 
 def predict(rows: DataFrame, classifiers: list[Classifier], labels: list[str],
@@ -220,7 +222,7 @@ def predict(rows: DataFrame, classifiers: list[Classifier], labels: list[str],
 
 def _predict(rows, classifiers, labels, memory, similarity) -> DataFrame:
     context = rows.sparkSession.sparkContext
-    shipped = context.broadcast(Shipped(classifiers, memory))
+    shared, shipped = memory.on(context), context.broadcast(Shipped(classifiers))
     n_levels = memory.levels
 
     def score(part: pa.Array, features: pa.Array) -> pa.Array:
@@ -228,16 +230,16 @@ def _predict(rows, classifiers, labels, memory, similarity) -> DataFrame:
         part = part.to_numpy(zero_copy_only=False)
         guess = np.full(len(part), -1)
         cosine = np.full(len(part), np.nan)
-        for one in shipped.value.ready():
+        for one in shipped.value.ready(shared.value):
             chosen = np.flatnonzero(np.isin(part, one.test))
             if not len(chosen):
                 continue
             levels = cache.of(one.request, chosen)
-            scores = one.dots(levels, shipped.value.memory) * one.inverse
+            scores = one.dots(levels, shared.value) * one.inverse
             best = kernels.first_best(scores)
             guess[chosen] = one.order[best]
             if similarity:
-                length = row_lengths(levels, shipped.value.memory.doubled)
+                length = row_lengths(levels, shared.value.doubled)
                 with np.errstate(all="ignore"):
                     cosine[chosen] = scores[np.arange(len(best)), best] / length
         names = pa.array(labels).take(pa.array(np.where(guess < 0, None, guess)
@@ -268,15 +270,15 @@ def class_similarities(matrix: DataFrame, one: Classifier, labels: list[str],
     """``..., label_guess, class_rank, similarity``: one row per row and class, read
     from a per-row array, so no join of rows with classes is needed."""
     context = matrix.sparkSession.sparkContext
-    shipped = context.broadcast(Shipped([one], memory))
+    shared, shipped = memory.on(context), context.broadcast(Shipped([one]))
     n_levels = memory.levels
 
     @F.arrow_udf("array<double>")
     def cosines(features: pa.Array) -> pa.Array:
-        model, memory = shipped.value.ready()[0], shipped.value.memory
+        model = shipped.value.ready(shared.value)[0]
         levels = model.request.levels(kernels.feature_matrix(features), n_levels)
-        scores = model.dots(levels, memory) * model.inverse
-        length = row_lengths(levels, memory.doubled)
+        scores = model.dots(levels, shared.value) * model.inverse
+        length = row_lengths(levels, shared.value.doubled)
         with np.errstate(all="ignore"):
             table = scores / np.where(length > 0, length, np.nan)[:, None]
         return kernels.list_column(table, pa.float64())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,7 @@ def encode_rows(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float,
         "smallint": (T.ArrayType(T.ShortType()), np.dtype("<i2")),
         "packed": (T.BinaryType(), np.dtype("<i2")),
     }[form]
-    shared = _broadcast(memory)
+    shared = memory.on(matrix.sparkSession.sparkContext)
     step = max(1, _BATCH_BYTES // (kind.itemsize * memory.dimensionality))
     kept = [c for c in matrix.columns if c != "features"]
     schema = T.StructType([matrix.schema[c] for c in kept] + [T.StructField("hv", spark_type)])
@@ -107,7 +107,7 @@ def encode_rows_blocked(matrix: DataFrame, memory: ItemMemory, lo: float, hi: fl
                         block: int = 4096, key: str = "row_id") -> DataFrame:
     """``key, hv`` for very wide rows: blocks of features are encoded by different
     tasks with their position offset and the partial vectors added per row."""
-    shared = _broadcast(memory)
+    shared = memory.on(matrix.sparkSession.sparkContext)
     starts = F.sequence(F.lit(0), F.size("features") - 1, F.lit(block))
     blocks = matrix.select(key, "features", F.explode(starts).alias("first")).select(
         key, "first", F.slice("features", F.col("first") + 1, F.lit(block)).alias("cells")
@@ -170,8 +170,3 @@ def _one_row(key, vector, like, names):
     arrays = [pa.array([k], type=like.field(i).type) for i, k in enumerate(key)]
     arrays.append(kernels.list_column(vector[None, :], pa.int64()))
     return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def _broadcast(memory: ItemMemory):
-    """Item memory on every executor: L*D bytes, set by the parameters."""
-    return SparkSession.active().sparkContext.broadcast(memory)

@@ -59,7 +59,7 @@ def retrain_small(rows: DataFrame, models: list[Classifier], labels: list[str],
     holds the class vectors of the iteration end to end."""
     context = rows.sparkSession.sparkContext
     plan = context.broadcast({m.model: (m.request, m.order, m.train, m.test) for m in models})
-    shared, names = context.broadcast(memory), pa.array(labels)
+    shared, names = memory.on(context), pa.array(labels)
     n_levels = memory.levels
 
     def loop(key, table):
@@ -135,7 +135,7 @@ def online_pass(blocks: DataFrame, one: Classifier, labels: list[str], memory: I
     """
     spark = blocks.sparkSession
     names, n_levels = pa.array(labels), memory.levels
-    shared = spark.sparkContext.broadcast(memory)
+    shared = memory.on(spark.sparkContext)
     place = np.full(len(labels) + 1, -1)
     place[one.order] = np.arange(len(one.order))
     request = one.request
@@ -169,7 +169,7 @@ def online_pass(blocks: DataFrame, one: Classifier, labels: list[str], memory: I
             .groupBy("block").applyInArrow(block_walk(state_now), "block BIGINT, errors BIGINT, hv ARRAY<BIGINT>")
             .filter("errors > 0").orderBy("block").limit(1).collect()
         )
-        state_now.unpersist()
+        state_now.destroy()
         if results:
             first = results[0]
             vectors = np.asarray(first.hv, dtype=np.int64).reshape(vectors.shape)
@@ -206,25 +206,26 @@ def _train_rows(rows, models):
     return rows.filter(F.col("part").isin(parts)).select("part", "label", "features")
 
 
-def _mistakes(batch, shipped, names, n_labels):
+def _mistakes(batch, shipped, memory, names, n_labels):
     """(index of the model, its rows, wrong levels, guessed place, true place)."""
-    cache = LevelCache(kernels.feature_matrix(batch.column("features")), shipped.memory.levels)
+    cache = LevelCache(kernels.feature_matrix(batch.column("features")), memory.levels)
     part = batch.column("part").to_numpy(zero_copy_only=False)
     label = label_index(batch.column("label"), names)
-    for i, one in enumerate(shipped.ready()):
+    for i, one in enumerate(shipped.ready(memory)):
         chosen = np.flatnonzero(np.isin(part, one.train))
         if not len(chosen):
             continue
         place = np.full(n_labels + 1, -1)
         place[one.order] = np.arange(len(one.order))
         levels = cache.of(one.request, chosen)
-        guess = one.guess(levels, shipped.memory)
+        guess = one.guess(levels, memory)
         bad = guess != label[chosen]
         yield i, len(chosen), levels[bad], place[guess[bad]], place[label[chosen][bad]]
 
 
 def _batch_counted(rows, models, labels, memory):
-    shipped = rows.sparkSession.sparkContext.broadcast(Shipped(models, memory))
+    context = rows.sparkSession.sparkContext
+    shared, shipped = memory.on(context), context.broadcast(Shipped(models))
     names, n_labels = pa.array(labels), len(labels)
     sizes = [2 + m.counts.size for m in models]
     per_class = [m.counts[0].size for m in models]
@@ -235,11 +236,12 @@ def _batch_counted(rows, models, labels, memory):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for i, n, levels, guess, true in _mistakes(batch, shipped.value, names, n_labels):
+            for i, n, levels, guess, true in _mistakes(batch, shipped.value, shared.value,
+                                                       names, n_labels):
                 at = starts[i]
                 change[at] += n
                 change[at + 1] += len(levels)
-                cell = cell_numbers(levels, shipped.value.memory)
+                cell = cell_numbers(levels, shared.value)
                 for sign, place in ((-1, guess), (1, true)):
                     add_counts(change[at + 2:starts[i + 1]],
                                cell + (place * per_class[i])[:, None], sign)
@@ -252,6 +254,7 @@ def _batch_counted(rows, models, labels, memory):
         _train_rows(rows, models).mapInArrow(tally, "cell BIGINT, n BIGINT")
         .groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     )
+    shipped.destroy()
     dense = np.zeros(starts[-1], dtype=np.int64)
     dense[totals.column("cell").to_numpy()] = totals.column("n").to_numpy()
     out = {}
@@ -262,16 +265,18 @@ def _batch_counted(rows, models, labels, memory):
 
 
 def _batch_direct(rows, models, labels, memory):
-    shipped = rows.sparkSession.sparkContext.broadcast(Shipped(models, memory))
+    context = rows.sparkSession.sparkContext
+    shared, shipped = memory.on(context), context.broadcast(Shipped(models))
     names, n_labels, dim = pa.array(labels), len(labels), memory.dimensionality
 
     def changes(batches):
-        sums = Partials(["model", "place"], shipped.value.memory)
+        sums = Partials(["model", "place"], shared.value)
         seen = np.zeros((len(shipped.value.classifiers), 2), dtype=np.int64)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for i, n, levels, guess, true in _mistakes(batch, shipped.value, names, n_labels):
+            for i, n, levels, guess, true in _mistakes(batch, shipped.value, shared.value,
+                                                       names, n_labels):
                 seen[i] += n, len(levels)
                 for sign, places in ((-1, guess), (1, true)):
                     for place in set(places.tolist()):
@@ -291,6 +296,7 @@ def _batch_direct(rows, models, labels, memory):
     )
     totals = bounded_rows(sum_vectors(partials, ["model", "place"], salted=True),
                           len(models) * (n_labels + 1), "class changes")
+    shipped.destroy()
     vectors = [m.vectors.copy() for m in models]
     seen = {}
     for row in totals:
