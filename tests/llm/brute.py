@@ -1,0 +1,101 @@
+"""Plain single-process statements of the operators' results."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import xxhash
+from tokenizers import Tokenizer
+
+_tokenizer = None
+
+
+def ids_of(text, end):
+    global _tokenizer
+    if _tokenizer is None:
+        _tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        _tokenizer.encode_special_tokens = True
+    return [*_tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def substrings(docs, window=35):
+    """{doc_id: (n_words, n_removed, sha256)} for (doc_id, text) rows."""
+    words = [words_of(t) for _, t in docs]
+    seen = Counter()
+    for w in words:
+        seen.update(tuple(w[i:i + window]) for i in range(len(w) - window + 1))
+    out = []
+    for (doc_id, _), w in zip(docs, words, strict=True):
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i:i + window])] > 1:
+                gone[i:i + window] = [True] * window
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((doc_id, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def fingerprint(text, k=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64)
+               if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_components(docs, radius=2):
+    """(doc_id, fingerprint, component_id) for (doc_id, text) rows."""
+    prints = [fingerprint(t) for _, t in docs]
+    nodes = np.array(sorted(set(prints)), "<u8")
+    root = {int(p): int(p) for p in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for p in nodes:
+        for q in nodes[np.bitwise_count(nodes ^ p) <= radius]:
+            root[find(int(q))] = find(int(p))
+    least = defaultdict(list)
+    for (doc_id, _), p in zip(docs, prints, strict=True):
+        if doc_id is not None:
+            least[find(p)].append(doc_id)
+    return [(doc_id, f"{p:016x}", min(least[find(p)], default=None))
+            for (doc_id, _), p in zip(docs, prints, strict=True)]
+
+
+PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache",
+           ("general", "public", "license"): "gpl"}
+
+
+def license_base(text):
+    """n_words, n_base, first_word, last_word, base_labels."""
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    places = [(i, label) for phrase, label in PHRASES.items() for i in range(len(words))
+              if tuple(words[i:i + len(phrase)]) == phrase]
+    starts = [i for i, _ in places]
+    return (len(words), len(places), min(starts, default=None), max(starts, default=None),
+            ",".join(sorted({label for _, label in places})))
+
+
+def exact(docs):
+    """(doc_id, keep_id, group_size, sha256) for (doc_id, text) rows."""
+    groups = defaultdict(list)
+    for doc_id, text in docs:
+        groups[text or ""].append(doc_id)
+    return [(doc_id, max((d for d in groups[text or ""] if d is not None), default=None),
+             len(groups[text or ""]), hashlib.sha256((text or "").encode()).hexdigest())
+            for doc_id, text in docs]

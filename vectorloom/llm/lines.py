@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import SPACE, WORD, let, rows_as
+from vectorloom.tables import written
 
+#: Line keys that may be sent to every task; longer lists are joined by shuffle.
+BROADCAST_KEYS = 200_000
 RATIO = 0.1
 MIN_PAGES = 5
 
@@ -50,8 +53,10 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO,
 def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO,
                         min_pages: int = MIN_PAGES) -> DataFrame:
     """row (all columns of ``docs``), n_lines (lines with a word), n_removed, kept_text."""
-    listed = boilerplate(docs, host, ratio, min_pages).select(
-        F.col("host").alias("l_host"), "listed")
+    listed = written(boilerplate(docs, host, ratio, min_pages).select(
+        F.col("host").alias("l_host"), "listed"))
+    if (listed.agg(F.sum(F.size("listed"))).first()[0] or 0) <= BROADCAST_KEYS:
+        listed = F.broadcast(listed)
     rows = docs.select(rows_as(docs, "row"), docs[host].alias("host"), docs["text"].alias("text"))
     bad = F.col("listed")
     cut = let(F.split("text", "\n"), lambda all_lines: let(
