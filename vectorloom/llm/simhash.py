@@ -108,7 +108,7 @@ def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
             n += len(x)
             both += x.T @ x
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(BITS * BITS + 1)), pa.array(np.append(both.ravel(), n))],
+            [pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(np.append(both.ravel(), n))],
             names=["cell", "n"])
 
     rows = (nodes.select("fp").mapInArrow(count, "cell INT, n DOUBLE")
