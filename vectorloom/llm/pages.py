@@ -65,14 +65,17 @@ class PageLines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool]] = []
         self.buffer: list[str] = []
         self.tags = 0
+        self.dropped = False
 
     def _line(self) -> None:
+        """Ends a line; one of a skipped part only keeps its place among the ratios."""
         text = _SPACE.sub(" ", "".join(self.buffer)).strip()
-        if text:
+        if text or self.dropped:
             element = next((e for _, e, _ in reversed(self.open) if e >= 0), 0)
-            self.lines.append((text, self.tags, element, self.skipping > 0))
+            self.lines.append((text, self.tags, element, not text))
             self.tags = 0
         self.buffer.clear()
+        self.dropped = False
 
     def _close(self, at: int) -> None:
         for _, _, skipped in self.open[at:]:
@@ -91,8 +94,6 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         skipped = self._other_part(tag, attrs)
-        if skipped and not block:
-            self._line()
         if not block and not skipped:
             if tag in ("a", "b", "i", "em", "strong", "span", "font", "u", "s", "small"):
                 return  # inline markup neither ends a line nor is a region
@@ -141,7 +142,7 @@ class PageLines(HTMLParser):
         self.tags += 1
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                if tag in BLOCKS or tag in SKIPPED or self.open[at][2]:
+                if tag in BLOCKS or tag in SKIPPED:
                     self._line()
                 self._close(at)
                 return
@@ -149,7 +150,10 @@ class PageLines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.buffer.append(data)
+        if self.skipping:
+            self.dropped = self.dropped or not data.isspace()
+        else:
+            self.buffer.append(data)
 
     def finish(self) -> None:
         self.close()
