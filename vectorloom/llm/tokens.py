@@ -1,22 +1,44 @@
 """Token ids of whole texts by a byte-level BPE of the tokenizers library.
 
-The vocabulary's pre-tokenizer always starts a piece at a space before a non-space, so the ids
-of a text are the ids of its space-separated units put together. Each worker encodes a unit
-once with the library and keeps a bounded table of what it has seen; ids are the same as those
-of the whole text. Strings that spell special tokens are ordinary text.
+A byte-level vocabulary's pre-tokenizer always starts a piece at a space before a non-space, so
+the ids of a text are the ids of its space-separated units put together. Each worker encodes a
+unit once with the library and keeps a bounded table of what it has seen. Most of the library's
+time for a new unit goes into cutting it into pieces; units of plain Latin characters are cut
+here by the same published pattern and only their pieces go to the library's model. Ids are the
+same as those of the whole text. Any other kind of vocabulary encodes whole texts. Strings that
+spell special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import regex
 
 #: Cuts a text where a piece always begins.
 _CUT = re.compile(r" (?=\S)")
-#: Units kept per worker; when full the table starts anew. Longer units are never kept.
-MAX_UNITS = 400_000
+#: Fixed value: the pattern by which byte-level pre-tokenizers cut texts into pieces.
+_PIECES = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Units whose characters have the same classes in every Unicode version.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]+")
+
+
+def _byte_characters() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes: printable ones as they are, others from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_SPELLED = _byte_characters()
+#: Units and pieces kept per worker (about 100 bytes each); a full table starts anew. Longer
+#: units are never kept.
+MAX_UNITS = 1_000_000
+MAX_PIECES = 500_000
 MAX_UNIT_CHARS = 64
 #: Characters encoded at a time, so that unit lists stay small however long a text is.
 STEP_CHARS = 1 << 20
@@ -37,7 +59,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        cut, model = made.get("pre_tokenizer") or {}, made["model"]
+        self.by_units = (
+            cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+            and not cut.get("add_prefix_space") and not made.get("normalizer")
+            and model.get("type", "BPE") == "BPE" and not model.get("dropout")
+            and not model.get("ignore_merges"))
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -49,8 +81,33 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(_SPELLED)
+        ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        if len(piece) <= MAX_UNIT_CHARS:
+            if len(self.pieces) >= MAX_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def _new(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units that stand behind a space."""
+        out, others = {}, []
+        get = self.pieces.get
+        for unit in units:
+            if _PLAIN.fullmatch(unit):
+                out[unit] = b"".join([get(p) or self._piece(p)
+                                      for p in _PIECES.findall(" " + unit)])
+            else:
+                others.append(unit)
+        if others:
+            out.update(zip(others, self._library([" " + u for u in others]), strict=True))
+        return out
+
     def _some(self, texts: list[str]) -> list[bytes]:
         """Ids of a few texts (little-endian, 32 bits)."""
+        if not self.by_units:
+            return self._library(texts)
         units = [_CUT.split(t) for t in texts]
         first = self._library([u[0] for u in units])
         get = self.known.get
@@ -60,8 +117,7 @@ class Encoder:
             if None in i:
                 missing.update(w for w, known in zip(u[1:], i, strict=True) if known is None)
         if missing:
-            new = list(missing)
-            fresh = dict(zip(new, self._library([" " + w for w in new]), strict=True))
+            fresh = self._new(list(missing))
             for u, i in zip(units, ids, strict=True):
                 if None in i:
                     i[:] = [fresh[w] if known is None else known
@@ -90,7 +146,7 @@ class Encoder:
             if held + len(text) > STEP_CHARS and some:
                 out += self._some(some)
                 some, held = [], 0
-            if len(text) > STEP_CHARS:
+            if len(text) > STEP_CHARS and self.by_units:
                 out.append(self._long(text))
             else:
                 some.append(text)
