@@ -48,6 +48,10 @@ class Classifier:
             self.build_table(memory)
         return self
 
+    def class_vectors(self, memory: ItemMemory) -> np.ndarray:
+        """The class vectors, bundled from the counters again if tasks dropped them."""
+        return memory.bundle(self.counts) if self.vectors is None else self.vectors
+
     def table_bytes(self, memory: ItemMemory) -> int:
         return memory.width(len(self.request.positions)) * memory.levels * len(self.order) * 8
 

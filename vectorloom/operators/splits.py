@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.keys import order_key
 from vectorloom.settings import check_folds, check_percentage
-from vectorloom.tables import BROADCAST_ROWS, attach_small, bounded_rows
+from vectorloom.tables import attach_small, cut_lineage
 
 # Each histogram splits a class into 16**3 buckets by key prefix; the bucket holding the
 # last drawn row is split again while it is longer than one task should sort.
@@ -28,7 +28,10 @@ def stratified_split(matrix: DataFrame, percentage: float, seed: int = 0,
     """
     check_percentage("percentage", percentage)
     key = order_key(seed, row_id)
-    slim = matrix.select("label", F.col(row_id).alias("_id"), key.alias("_key"))
+    # Rows that share an id are told apart by their position, where there is one.
+    place = F.col("row_pos") if "row_pos" in matrix.columns else F.lit(0)
+    slim = matrix.select("label", F.col(row_id).alias("_id"), key.alias("_key"),
+                         place.alias("_place"))
     n = F.sum("n").over(Window.partitionBy("label"))
     quota = F.floor(n * F.lit(percentage) / 100.0)
     digits = _DIGITS
@@ -41,17 +44,19 @@ def stratified_split(matrix: DataFrame, percentage: float, seed: int = 0,
         holding, longest = _holding_bucket(inside, digits, wanted, "take")
     inside = attach_small(slim.withColumn("_bucket", _prefix(digits)), holding,
                           ["label", "_bucket"])
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("_key", "_id"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("_key", "_id", "_place"))
     cutoff = (
         inside.withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("take"))
-        .select("label", F.col("_key").alias("_last_key"), F.col("_id").alias("_last_id"))
+        .select("label", F.col("_key").alias("_last_key"), F.col("_id").alias("_last_id"),
+                F.col("_place").alias("_last_place"))
     )
-    drawn = F.struct(key, F.col(row_id)) <= F.struct("_last_key", "_last_id")
+    drawn = F.struct(key, F.col(row_id), place) <= F.struct(
+        "_last_key", "_last_id", "_last_place")
     return (
         attach_small(matrix, cutoff, "label", "left")
         .withColumn("is_train", F.coalesce(drawn, F.lit(False)))
-        .drop("_last_key", "_last_id")
+        .drop("_last_key", "_last_id", "_last_place")
     )
 
 
@@ -73,9 +78,8 @@ def _holding_bucket(keyed: DataFrame, digits: int, quota, *carried: str):
     found = placed.filter("_below < _quota and _quota <= _below + n").select(
         "label", "_bucket", "n", (F.col("_quota") - F.col("_below")).alias("take")
     )
-    rows = bounded_rows(found, BROADCAST_ROWS, "classes")
-    longest = max((r.n for r in rows), default=0)
-    return keyed.sparkSession.createDataFrame(rows, found.schema), longest
+    found = cut_lineage(found)  # one row per class, however many there are
+    return found, found.agg(F.max("n")).first()[0] or 0
 
 
 def kfold_assign(matrix: DataFrame, k: int) -> DataFrame:
@@ -90,8 +94,8 @@ def kfold_held_out(matrix: DataFrame, k: int) -> DataFrame:
 
     Only 64-bit hashes are shuffled to find vectors present in several folds;
     the full vectors of just those candidates are then compared, and the result
-    joins the rows by their unique position, so no vector is a hot join key for
-    the whole table.
+    joins the rows by position and hash, so no vector is a hot join key for the
+    whole table.
     """
     rows = kfold_assign(matrix, k).withColumn("_hash", F.xxhash64("features"))
     spread = (
@@ -109,14 +113,15 @@ def kfold_held_out(matrix: DataFrame, k: int) -> DataFrame:
         .agg(F.array_sort(F.collect_set("fold")).alias("_folds"))
         .filter(F.size("_folds") > 1)
     )
-    width = rows.select(F.size("features").alias("n")).limit(1).first().n
+    width = rows.agg(F.max(F.size("features"))).first()[0]
     longest = max(1, COPIES_BYTES // (8 * width + 64))
     members = attach_small(candidates, copies, ["_hash", "features"], limit=longest)
-    folds_of_row = members.select("row_pos", "_folds")
+    # Positions may repeat: with the vector's hash a row finds its own folds, and once.
+    folds_of_row = members.select("row_pos", "_hash", "_folds").distinct()
     return (
-        attach_small(rows.drop("_hash"), folds_of_row, "row_pos", "left")
+        attach_small(rows, folds_of_row, ["row_pos", "_hash"], "left")
         .withColumn("held", F.coalesce("_folds", F.array("fold")))
-        .drop("_folds")
+        .drop("_folds", "_hash")
     )
 
 

@@ -36,7 +36,7 @@ from vectorloom.plans.selection import (
 )
 from vectorloom.settings import Settings
 from vectorloom.sources import bio, delimited, sinks
-from vectorloom.sources.store import ArtifactStore
+from vectorloom.sources.store import ArtifactStore, fingerprint
 from vectorloom.tables import checkpoint_dir, cut_lineage, prepare, spread
 
 # Parameters shared with the SQL texts in plans.oracles.
@@ -393,12 +393,13 @@ FEW = "aeinrt"
 
 
 def loo_round_accuracy(spark, sf_dir):
-    """First elimination round on six letters: accuracy of every leave-one-out subset."""
-    rows = letter_shares(spark, sf_dir, FEW)
-    subsets = [tuple(p for p in range(len(FEW)) if p != out) for out in range(len(FEW))]
+    """First elimination round on all letters: accuracy of every leave-one-out subset."""
+    rows = letter_shares(spark, sf_dir)
+    every = range(len(LETTERS))
+    subsets = [tuple(p for p in every if p != out) for out in every]
     with spread(rows, "row_id") as wide:
         parted = ev.holdout_rows(wide, PERCENT, SEED)
-        specs = [ev.Spec(FEW[out], (1,), (0,), s) for out, s in enumerate(subsets)]
+        specs = [ev.Spec(LETTERS[out], (1,), (0,), s) for out, s in enumerate(subsets)]
         best = ev.evaluate_models(parted, specs, SMALL).best
     return best.select(F.col("model_id").alias("excluded"), "accuracy")
 
@@ -429,6 +430,12 @@ def feature_importance_query(spark, sf_dir):
     return found.top()
 
 
+def line_item_label_permutation(spark, sf_dir):
+    """Labels shuffled over rows whose positions are hashes, so with gaps everywhere."""
+    return permute.label_permutations(line_items(spark, sf_dir), 2, SEED).select(
+        "replicate", "row_id", "label")
+
+
 def permutation_null(spark, sf_dir):
     """Accuracy of the embedding classifier against label-permuted replicates."""
     rows = embeddings(spark, sf_dir)
@@ -577,11 +584,59 @@ def bed_matrix(spark, sf_dir):
     return mx.long_cells(bio.bed_matrix(bio.parse_bed(lines)), "sample")
 
 
-def sample_classes(spark, sf_dir):
-    lines = table(spark, sf_dir, "part").select(F.concat_ws(
+def class_lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.concat_ws(
         "\t", F.lit("study"), F.col("p_partkey").cast("string"), F.lit("a"), F.lit("b"),
         F.lit("c"), "p_type").alias("value"))
-    return bio.parse_sample_classes(lines)
+
+
+def sample_classes(spark, sf_dir):
+    return bio.parse_sample_classes(class_lines(spark, sf_dir))
+
+
+def profile_file(spark, sf_dir):
+    """Taxa profile written as a text file with its header and read again."""
+    path = scratch(spark)
+    header = spark.createDataFrame([("clade\tsample0\tsample1\tsample2",)], "value STRING")
+    header.coalesce(1).union(taxa_lines(spark, sf_dir)).write.text(path)
+    return bio.at_rank(bio.read_profile(spark, path)).select("taxon", "sample", "value")
+
+
+def sample_class_file(spark, sf_dir):
+    """Table of sample classes written as text and read again."""
+    path = scratch(spark)
+    class_lines(spark, sf_dir).write.text(path)
+    return bio.read_sample_classes(spark, path)
+
+
+def species_export_file(spark, sf_dir):
+    """Sample x species export and the lines it holds, the header among them."""
+    path = scratch(spark)
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_id"), F.col("p_partkey").alias("row_pos"),
+        F.col("p_type").alias("label"),
+        F.array(F.col("p_size").cast("double"), F.lit(0.5)).alias("features"))
+    sinks.export_species_matrix(rows, ["s__a", "s__b"], path)
+    return spark.read.text(path)
+
+
+def store_clean_up(spark, sf_dir):
+    """An encoded set and the item memory are kept, then removed in two steps; rows that each
+    state still serves."""
+    store = ArtifactStore(spark, scratch(spark))
+    rows = embeddings(spark, sf_dir)
+    lo, hi = encode.edge_values(rows, LEVELS)
+    key = dict(data=fingerprint(rows), dimensionality=DIM, levels=LEVELS, seed=SEED, lo=lo, hi=hi)
+    memory = dict(dimensionality=DIM, levels=LEVELS, seed=SEED)
+    store.item_memory(DIM, LEVELS, SEED)
+    n = store.encoded(rows, DIM, LEVELS, SEED, lo, hi).count()
+    states = []
+    for step, keep in (("kept", None), ("encoded removed", True), ("all removed", False)):
+        if keep is not None:
+            store.clean_up(keep_levels=keep)
+        states.append((step, n if store.has("encoded", **key) else 0,
+                       store.has("levels", **memory)))
+    return spark.createDataFrame(states, "step STRING, encoded_rows BIGINT, has_levels BOOLEAN")
 
 
 def flat_export_lines(spark, sf_dir):
@@ -753,6 +808,7 @@ QUERIES = {
     "kfold_train_exclusion": kfold_train_exclusion,
     "feature_chunks": feature_chunks,
     "label_permutation": label_permutation,
+    "line_item_label_permutation": line_item_label_permutation,
     "loo_candidates": loo_candidates,
     "run_ids": run_ids,
     "language_holdout": language_holdout,
@@ -795,6 +851,10 @@ QUERIES = {
     "long_to_matrix": long_to_matrix,
     "bed_matrix": bed_matrix,
     "sample_classes": sample_classes,
+    "profile_file": profile_file,
+    "sample_class_file": sample_class_file,
+    "species_export_file": species_export_file,
+    "store_clean_up": store_clean_up,
     "flat_export_lines": flat_export_lines,
     "chunked_dataset": chunked_dataset,
     "store_item_memory": store_item_memory,

@@ -6,9 +6,11 @@ from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom import kernels
 from vectorloom.item_memory import ItemMemory, load_item_memory
 from vectorloom.operators import bundle, classify, retrain
 from vectorloom.operators.bundle import Request
@@ -31,6 +33,29 @@ class Spec:
     positions: tuple[int, ...]
 
 
+def _task_ranges(batches):
+    """Least and greatest value of each feature in a task's rows, one row per part."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        x = kernels.feature_matrix(batch.column("features"))
+        part = batch.column("part").to_numpy()
+        for p in np.unique(part):
+            own = x[part == p]
+            both = np.stack([own.min(axis=0), own.max(axis=0)])
+            if p in held:
+                both = np.stack([np.minimum(held[p][0], both[0]), np.maximum(held[p][1], both[1])])
+            held[p] = both
+    for p, (lo, hi) in held.items():
+        yield pa.RecordBatch.from_arrays([
+            pa.array([int(p)], pa.int32()), kernels.list_column(lo[None], pa.float64()),
+            kernels.list_column(hi[None], pa.float64())], names=["part", "lo", "hi"])
+
+
+def _has_missing(features):
+    """A null or NaN among the cells; NaN is the greatest value there is."""
+    return F.isnan(F.array_max(features)) | F.exists(features, lambda v: v.isNull())
+
+
 class PartStats:
     """Per part: value range of every feature, and per class the first row and count.
 
@@ -42,12 +67,16 @@ class PartStats:
             F.min("row_pos").alias("first"), F.count(F.lit(1)).alias("n"),
             F.min(F.array_min("features")).alias("lo"), F.max(F.array_max("features")).alias("hi"),
             F.min(F.size("features")).alias("narrow"), F.max(F.size("features")).alias("wide"),
+            F.count_if(_has_missing(F.col("features"))).alias("missing"),
         )
         found = bounded_rows(shape, _MAX_STATS, "classes per part")
         if not found:
             raise ValueError("no rows")
         if min(r.narrow for r in found) != max(r.wide for r in found):
             raise ValueError("rows with different feature counts; run validate_matrix first")
+        if missing := sum(r.missing for r in found):
+            raise ValueError(f"{missing} rows have missing (null or NaN) cells; "
+                             "fill them or drop the rows first")
         self.width = found[0].wide
         self.labels = sorted({r.label for r in found})
         self.n_parts = max(r.part for r in found) + 1
@@ -66,9 +95,11 @@ class PartStats:
             self._feature_ranges(rows)
 
     def _feature_ranges(self, rows: DataFrame) -> None:
-        cells = rows.select("part", F.posexplode("features").alias("pos", "value"))
-        found = cells.groupBy("part", "pos").agg(F.min("value").alias("lo"),
-                                                 F.max("value").alias("hi"))
+        ranges = rows.select("part", "features").mapInArrow(
+            _task_ranges, "part INT, lo ARRAY<DOUBLE>, hi ARRAY<DOUBLE>")
+        cells = ranges.select("part", F.posexplode(F.arrays_zip("lo", "hi")).alias("pos", "v"))
+        found = cells.groupBy("part", "pos").agg(F.min("v.lo").alias("lo"),
+                                                 F.max("v.hi").alias("hi"))
         table = found.toArrow()
         at = table.column("part").to_numpy(), table.column("pos").to_numpy()
         self.feature_lo = np.full((self.n_parts, self.width), np.inf)

@@ -38,8 +38,9 @@ class HDModel:
 
     def class_vectors(self, spark: SparkSession) -> DataFrame:
         """``label, class_rank, hv``."""
+        vectors = self.classifier.class_vectors(self.memory)
         rows = [
-            (self.labels[c], rank, self.classifier.vectors[rank].tolist())
+            (self.labels[c], rank, vectors[rank].tolist())
             for rank, c in enumerate(self.classifier.order)
         ]
         return spark.createDataFrame(rows, "label STRING, class_rank INT, hv ARRAY<BIGINT>")

@@ -347,20 +347,20 @@ placed AS (SELECT chunk, pos, row_number() OVER (PARTITION BY chunk ORDER BY pos
 
 # One elimination round: model m leaves out letter m, and later letters move up by one.
 ORACLES["loo_round_accuracy"] = with_(
-    letters_cte(FEW, True), split_cte(),
+    letters_cte(LETTERS, True), split_cte(),
     f"""member AS (SELECT g.m AS model, row_id, label, is_train AS train, NOT is_train AS test
-  FROM split, range({len(FEW)}) g(m))""",
+  FROM split, range({len(LETTERS)}) g(m))""",
     """all_cells AS (SELECT row_id, label, unnest(features) AS value,
   unnest(range(len(features))) AS pos FROM emb)""",
     f"""cells AS (SELECT g.m AS model, row_id, label, value,
-  CASE WHEN pos > g.m THEN pos - 1 ELSE pos END AS pos FROM all_cells, range({len(FEW)}) g(m)
+  CASE WHEN pos > g.m THEN pos - 1 ELSE pos END AS pos FROM all_cells, range({len(LETTERS)}) g(m)
   WHERE pos <> g.m)""",
     MEMORY,
     model_ctes().replace("FROM cells JOIN member USING (row_id)",
                          "FROM cells JOIN member USING (model, row_id)")
     .replace("FROM cells, edges", "FROM cells JOIN edges USING (model)"),
     scores("classes", "scored"), guesses("scored", "guessed"),
-) + f"""SELECT substr('{FEW}', CAST(model AS INTEGER) + 1, 1) AS excluded, {ACCURACY} AS accuracy
+) + f"""SELECT substr('{LETTERS}', CAST(model AS INTEGER) + 1, 1) AS excluded, {ACCURACY} AS accuracy
 FROM guessed WHERE test GROUP BY model"""
 
 
@@ -500,6 +500,19 @@ ORACLES["dataset_round_trip"] = with_(EMB, CELLS) + """SELECT row_id, CAST(pos A
   value FROM cells"""
 ORACLES["flat_round_trip"] = with_(EMB, CELLS) + """SELECT CAST(row_id AS VARCHAR) AS row_id,
   row_id AS row_pos, label, 'f' || pos AS name, value FROM cells"""
+ORACLES["line_item_label_permutation"] = with_(ITEMS, """places AS (SELECT r.i AS replicate,
+  row_id, row_number() OVER (PARTITION BY r.i ORDER BY row_pos, row_id) AS k
+  FROM emb, range(2) r(i))""", f"""drawn AS (SELECT r.i AS replicate, label, row_number() OVER (
+  PARTITION BY r.i ORDER BY md5(r.i || ':{SEED}:' || row_id), row_pos) AS k
+  FROM emb, range(2) r(i))""") + """SELECT CAST(replicate AS INTEGER) AS replicate, row_id, label
+FROM places JOIN drawn USING (replicate, k)"""
+ORACLES["profile_file"] = ORACLES["lineage_filter"]
+ORACLES["sample_class_file"] = ORACLES["sample_classes"]
+ORACLES["species_export_file"] = """SELECT 'Profiles;s__a;s__b;Class' AS value UNION ALL
+  SELECT p_partkey || ';' || p_size || '.0;0.5;' || p_type FROM part"""
+ORACLES["store_clean_up"] = """SELECT unnest(['kept', 'encoded removed', 'all removed']) AS step,
+  unnest([count(*), 0, 0]) AS encoded_rows, unnest([true, true, false]) AS has_levels
+FROM embeddings"""
 ORACLES["feature_list_file"] = ORACLES["recognised_features"]
 ORACLES["chunk_files"] = ORACLES["chunked_dataset"]
 ORACLES["permutation_files"] = ORACLES["label_permutation"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators.matrix import cells_to_matrix
-from vectorloom.sources.delimited import number
+from vectorloom.sources.delimited import header_line, is_header, number, positioned_lines
 
 # 0-based columns of the tab-separated inputs.
 BED_FEATURE_COLUMN = 4
@@ -19,8 +19,9 @@ PLATFORM_KEY = "gdc__platform"
 
 
 def sample_of(file_name: Column) -> Column:
-    """Sample id: file stem up to its last ``-`` part."""
-    stem = F.regexp_replace(file_name, r"\..*$", "")
+    """Sample id: file name without its ``.bed`` or ``.bed.meta`` ending, up to the last
+    ``-`` part; dots inside the id stay."""
+    stem = F.regexp_replace(file_name, r"\.bed(\.meta)?$", "")
     return F.regexp_replace(stem, r"-[^-]*$", "")
 
 
@@ -126,8 +127,12 @@ def at_rank(profile: DataFrame, rank: str = "s__") -> DataFrame:
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path)
-    return parse_profile(lines, lines.first().value)
+    """Profile file or folder; the header is the first line of the first file by name."""
+    lines = positioned_lines(spark, path)
+    head = header_line(lines)
+    if head is None:
+        raise ValueError(f"{path} is empty")
+    return parse_profile(lines.filter(~is_header(head)).select("value"), head["value"])
 
 
 def profile_matrix(profile: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -98,17 +98,31 @@ def with_row_pos(parsed: DataFrame) -> DataFrame:
     ).drop("_file", "_block", "_id", "_shift")
 
 
+def header_line(lines: DataFrame):
+    """The first line of the first file by name (``value, _file``), None if there is none;
+    ``lines`` as from ``positioned_lines``."""
+    placed = lines.filter("_block = 0").withColumn("_id", F.monotonically_increasing_id())
+    first = F.min(F.struct("_file", "_id", "value")).alias("head")
+    return placed.agg(first).first().head
+
+
+def is_header(head):
+    """Whether a positioned line is the header; equal lines elsewhere are data."""
+    return ((F.col("_file") == F.lit(head["_file"])) & (F.col("_block") == 0)
+            & (F.col("value") == F.lit(head["value"])))
+
+
 def read_labelled(spark: SparkSession, path: str, sep: str = ",", missing: str | None = None,
                   fill: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(matrix, feature_dim) of a labelled text file; the first line is the header."""
     lines = positioned_lines(spark, path)
-    head = lines.filter("_block = 0").orderBy("_file").limit(1).first()
+    head = header_line(lines)
     if head is None:
         raise ValueError(f"{path} is empty")
-    rows = lines.filter(F.col("value") != F.lit(head.value))
+    rows = lines.filter(~is_header(head))
     matrix = with_row_pos(parse_labelled(rows, sep, missing, fill))
     ordered = matrix.select("row_id", "row_pos", "label", "features")
-    return ordered, feature_table(spark, header_names(head.value, sep))
+    return ordered, feature_table(spark, header_names(head["value"], sep))
 
 
 def read_feature_list(spark: SparkSession, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     matrix = spark.read.parquet(f"{path}/matrix")
     if path_exists(spark, f"{path}/feature_dim"):
         return matrix, spark.read.parquet(f"{path}/feature_dim")
-    width = matrix.select(F.size("features").alias("n")).limit(1).first().n
+    width = matrix.agg(F.max(F.size("features"))).first()[0] or 0
     return matrix, numbered_features(spark, width)
 
 

@@ -13,7 +13,7 @@ from vectorloom.operators.encode import encode_rows
 from vectorloom.sources.sinks import path_exists, remove_path
 
 # Changes whenever stored artifacts would no longer be equal.
-FORMAT = 1
+FORMAT = 2
 
 
 def fingerprint(matrix: DataFrame) -> str:
@@ -54,13 +54,11 @@ class ArtifactStore:
 
     def encoded(self, matrix: DataFrame, dimensionality: int, levels: int, seed: int,
                 lo: float, hi: float, **split) -> DataFrame:
-        """Encoded rows, ARRAY<SMALLINT> up to 32767 features, else ARRAY<INT>; ``split``
-        names the fold, side and feature list they belong to."""
+        """Encoded rows as ARRAY<INT>; ``split`` names the fold, side and feature list they
+        belong to."""
         def build():
             memory = load_item_memory(self.spark, dimensionality, levels, seed)
-            width = matrix.select(F.size("features").alias("n")).limit(1).first()
-            small = width is None or width.n <= 32767
-            return encode_rows(matrix, memory, lo, hi, "smallint" if small else "int")
+            return encode_rows(matrix, memory, lo, hi, "int")
 
         return self.load_or_build(
             build, "encoded", data=fingerprint(matrix), dimensionality=dimensionality,
