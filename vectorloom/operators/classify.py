@@ -246,8 +246,7 @@ def _predict(rows, classifiers, labels, memory, similarity) -> DataFrame:
                 length = row_lengths(levels, shared.value.doubled)
                 with np.errstate(all="ignore"):
                     cosine[chosen] = scores[np.arange(len(best)), best] / length
-        names = pa.array(labels).take(pa.array(np.where(guess < 0, None, guess)
-                                               .astype(object).tolist(), type=pa.int64()))
+        names = pa.array(labels, pa.string()).take(pa.array(guess, mask=guess < 0))
         return pa.StructArray.from_arrays(
             [names, pa.array(cosine, mask=np.isnan(cosine))], names=["guess", "similarity"]
         )

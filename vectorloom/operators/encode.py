@@ -104,44 +104,54 @@ def encode_rows_native(matrix: DataFrame, memory: ItemMemory, lo: float, hi: flo
 
 
 def encode_rows_blocked(matrix: DataFrame, memory: ItemMemory, lo: float, hi: float,
-                        block: int = 4096, key: str = "row_id") -> DataFrame:
+                        block: int | None = None, key: str = "row_id") -> DataFrame:
     """``key, hv`` for very wide rows: blocks of features are encoded by different
-    tasks with their position offset and the partial vectors added per row."""
+    tasks with their position offset and the partial vectors added per row. By default a block
+    has at least D features, so the partial vectors (32-bit) are no larger than the cells (64-bit)
+    they stand for, and they leave a task a few megabytes at a time."""
     shared = memory.on(matrix.sparkSession.sparkContext)
+    block = block or max(4096, memory.dimensionality)
     starts = F.sequence(F.lit(0), F.size("features") - 1, F.lit(block))
     blocks = matrix.select(key, "features", F.explode(starts).alias("first")).select(
         key, "first", F.slice("features", F.col("first") + 1, F.lit(block)).alias("cells")
     ).repartition(key, "first")
 
-    @F.arrow_udf("array<bigint>")
-    def encode_block(first: pa.Array, cells: pa.Array) -> pa.Array:
+    def encode_blocks(batches):
         doubled = shared.value.doubled
-        out = np.zeros((len(first), doubled.shape[1] // 2), dtype=np.int64)
-        for i, (start, cell) in enumerate(zip(first.to_numpy(), cells)):
-            x = np.asarray(cell.values, dtype=np.float64)[None, :]
-            levels = kernels.quantise(x, lo, hi, doubled.shape[0])
-            out[i] = kernels.encode(levels, doubled, int(start))[0]
-        return kernels.list_column(out, pa.int64())
+        dim = doubled.shape[1] // 2
+        step = max(1, _BATCH_BYTES // (4 * dim))
+        for batch in batches:
+            for top in range(0, batch.num_rows, step):
+                part = batch.slice(top, step)
+                out = np.empty((part.num_rows, dim), dtype=np.int32)
+                cells = zip(part.column("first").to_numpy(), part.column("cells"))
+                for i, (start, cell) in enumerate(cells):
+                    x = np.asarray(cell.values, dtype=np.float64)[None, :]
+                    levels = kernels.quantise(x, lo, hi, doubled.shape[0])
+                    out[i] = kernels.encode(levels, doubled, int(start))[0]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key), kernels.list_column(out, pa.int32())], names=[key, "hv"])
 
-    return sum_vectors(blocks.select(key, encode_block("first", "cells").alias("hv")), [key])
+    kind = matrix.schema[key].dataType.simpleString()
+    return sum_vectors(blocks.mapInArrow(encode_blocks, f"{key} {kind}, hv ARRAY<INT>"), [key])
 
 
 def sum_vectors(partials: DataFrame, keys: list[str], salted: bool = False) -> DataFrame:
-    """Elementwise sum of ``hv ARRAY<BIGINT>`` per key.
+    """Elementwise sum of ``hv`` (integers) per key, as ARRAY<BIGINT>.
 
     Rows arrive sorted by key and are added as they stream by, so a task holds
     one vector whatever the number of partials. ``salted`` adds a first round
     over 64 salts for keys with one partial per upstream task.
     """
-    schema = partials.select(*keys, "hv").schema
     if salted:
         salt = F.pmod(F.spark_partition_id(), F.lit(64))
         first = partials.select(*keys, salt.alias("_salt"), "hv")
-        partials = _sum_sorted(first, [*keys, "_salt"], first.schema)
-    return _sum_sorted(partials.select(*keys, "hv"), keys, schema)
+        partials = _sum_sorted(first, [*keys, "_salt"])
+    return _sum_sorted(partials.select(*keys, "hv"), keys)
 
 
-def _sum_sorted(partials: DataFrame, keys: list[str], schema) -> DataFrame:
+def _sum_sorted(partials: DataFrame, keys: list[str]) -> DataFrame:
+    schema = partials.select(*keys, F.col("hv").cast("array<bigint>").alias("hv")).schema
     names = [*keys, "hv"]
 
     def add_up(batches):

@@ -252,8 +252,8 @@ def stratified_split(spark, sf_dir):
 
 
 def line_item_split(spark, sf_dir):
-    with spread(line_items(spark, sf_dir).select("row_id", "label"), "row_id") as rows:
-        return splits.stratified_split(rows, PERCENT, SEED)
+    rows = line_items(spark, sf_dir).select("row_id", "label")
+    return splits.stratified_split(rows, PERCENT, SEED)
 
 
 def kfold_assign(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from contextlib import contextmanager
@@ -35,12 +36,10 @@ def attach_small(df: DataFrame, small: DataFrame, on, how: str = "inner",
                  limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a table that is usually small: broadcast it only when its measured
     length allows, else leave the join (and its skew) to adaptive execution."""
-    try:
-        rows = bounded_rows(small, limit, "broadcast side")
-    except TableTooLarge:
+    small = cut_lineage(small)  # computed once, for its length and for the join
+    if small.limit(limit + 1).count() > limit:
         return df.join(small, on, how)
-    local = df.sparkSession.createDataFrame(rows, small.schema)
-    return df.join(F.broadcast(local), on, how)
+    return df.join(F.broadcast(small), on, how)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -82,6 +81,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="vectorloom-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
@@ -104,7 +104,9 @@ def prepare(spark: SparkSession) -> None:
     with _preparing:
         if application in _prepared:
             return
+        # Executors fetch the archive from the driver whenever they start: it goes at exit.
         folder = tempfile.mkdtemp(prefix="vectorloom-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = Path(__file__).resolve().parent
         name = f"{folder}/vectorloom-{uuid4().hex}"
         spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root.parent, root.name))
