@@ -85,6 +85,19 @@ def language_importance(spark, d):
                        names=list(c.LETTERS)).top().collect()
 
 
+def elimination_embeddings(spark, d):
+    """Three rounds of leave-one-out over all 64 embedding features."""
+    backward_elimination(c.embeddings(spark, d), TEXT, Elimination(
+        group_min=62, accuracy_threshold=0, tolerance=0), percentage=80).selection.collect()
+
+
+def holdout_wide(spark, d):
+    """256 rows of 200 000 features, the embedding values over and over; 1000 levels."""
+    rows = c.embeddings(spark, d).where("row_id < 256").withColumn(
+        "features", F.flatten(F.array_repeat("features", 3125)))
+    holdout(rows, 80, Settings(dimensionality=10000, levels=1000)).history.collect()
+
+
 def split_line_items(spark, d):
     with spread(c.line_items(spark, d).select("row_id", "label"), "row_id") as rows:
         run(splits.stratified_split(rows, 80, 0))
@@ -94,6 +107,7 @@ HEADLINE = [
     encode_line_items, encode_embeddings, fit_line_items, holdout_line_items,
     retrain_line_items, cv_embeddings, cv_embeddings_online, language_holdout,
     language_cv_exclusion, language_elimination, language_importance, split_line_items,
+    elimination_embeddings, holdout_wide,
 ]
 
 
