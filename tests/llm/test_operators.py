@@ -72,9 +72,11 @@ def test_hot_prefixes_are_counted(spark, make_docs):
     assert any(r for _, _, r in want)
 
 
+@pytest.mark.parametrize("radius", [2, 6])
 @pytest.mark.parametrize("group", [1, 4, 512])
-def test_links_in_large_groups(spark, group):
-    """Keys above ``group`` lose no link."""
+def test_links_in_large_groups(spark, group, radius, monkeypatch):
+    """Keys above ``group`` lose no link, whether searched as matrix or outwards."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
     prints = [int(c) for c in centres]
@@ -86,7 +88,7 @@ def test_links_in_large_groups(spark, group):
             prints.append(p)
     signed = sorted({p - 2**64 if p >= 2**63 else p for p in prints})
     nodes = spark.createDataFrame([(p,) for p in signed], "fp BIGINT")
-    edges = [(r.u, r.v) for r in simhash.links(nodes, group=group).collect()]
+    edges = [(r.u, r.v) for r in simhash.links(nodes, radius, group).collect()]
     root = {p: p for p in signed}
 
     def find(x, of):
@@ -99,7 +101,7 @@ def test_links_in_large_groups(spark, group):
     real = {p: p for p in signed}
     values = np.array(signed, "<i8").view("<u8")
     for i, p in enumerate(signed):
-        for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 2):
+        for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= radius):
             real[find(signed[j], real)] = find(p, real)
     same = {}
     for p in signed:
@@ -115,12 +117,51 @@ def test_thresholds_cover_the_radius():
     assert len({b for part, _ in chosen for b in part}) == sum(len(p) for p, _ in chosen)
 
 
-def test_one_of_each(spark, odd_docs):
+def test_connected_outwards_and_as_matrix():
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 2**63, dtype=np.uint64)
+    prints = np.unique(np.array([centre ^ np.uint64(sum(1 << int(b) for b in set(
+        rng.integers(0, 64, int(rng.integers(0, 9)))))) for _ in range(700)], np.uint64))
+    own = rng.random(len(prints)) < 0.5
+    for rows in (prints, prints[:500]):
+        mine = own[:len(rows)]
+        found = dict(simhash._connected(rows, mine, 5))
+        label = [found.get(i, i) for i in range(len(rows))]
+        near = (np.bitwise_count(rows[:, None] ^ rows[None, :]) <= 5) & (
+            mine[:, None] | mine[None, :])
+        want = np.arange(len(rows))
+        while True:
+            low = np.where(near, want[None, :], len(rows)).min(axis=1)
+            low = np.minimum(low, want)
+            if (low == want).all():
+                break
+            want = low
+        pairs = set(zip(label, want.tolist(), strict=True))
+        assert len(pairs) == len(set(label)) == len(set(want.tolist()))
+
+
+def test_one_of_each(spark, odd_docs, make_docs):
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    classes = {c for _, _, c in brute.simhash_components([(r[0], r[1]) for r in ODD])}
     rows = kept.collect()
-    assert len(rows) == len(classes) and {r.doc_id for r in rows} == classes
+    texts = [r.text for r in rows]
+    assert sum(t == LONG for t in texts) + sum(" changed " in (t or "") for t in texts) == 1
+    assert sum(not brute.words_of(t) for t in texts) == 1
+    assert len(rows) == len(ODD) - 4 - 3
+
+    rng = np.random.default_rng(4)
+    base = [[f"w{x}" for x in rng.integers(0, 10**6, 400)] for _ in range(30)]
+    docs, near = [], []
+    for i, words in enumerate(base):
+        docs.append((i, " ".join(words)))
+        for j in range(3):
+            copy = list(words)
+            for at in rng.integers(0, 400, 6):
+                copy[at] = f"new{rng.integers(0, 10**6)}"
+            near.append((100 + 10 * i + j, " ".join(copy)))
+    left = [r.doc_id for r in simhash.one_of_each(make_docs(docs + near)).collect()]
+    groups = [i if i < 100 else (i - 100) // 10 for i in left]
+    assert set(groups) == set(range(30)) and len(left) <= 30 + 0.2 * len(near)
 
 
 def test_quality_filter_keeps_rows_whole(spark, odd_docs):

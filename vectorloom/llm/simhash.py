@@ -12,11 +12,18 @@ the bits' odds to differ). The cheapest m wins. Statistics are sums over all fin
 
 Probing: every fingerprint goes to the key of its part and, for t > 0, of the part's variants.
 Fingerprints that meet are verified by popcount. A key with at most ``GROUP`` fingerprints is
-verified in one task and gives at most one link per fingerprint (a spanning forest of the real
-links). Larger keys are never compared pairwise: there each fingerprint goes on to itself with
-one bit flipped (or none), and fingerprints within two bits always meet at such a key, which
-holds at most 65 of them; the links run to the least one. So no link is lost, and work grows
-with the number of fingerprints.
+verified in one task and gives at most one link per fingerprint, which connects what the real
+links connect. Larger keys of a radius up to 2 are never compared pairwise: there each
+fingerprint goes on to itself with one bit flipped (or none), and fingerprints within two bits
+always meet at such a key, which holds at most 65 of them; the links run to the least one. For
+wider radii a large key is cut into blocks of ``BLOCK`` fingerprints, every pair of blocks is one
+group of its own, and a group is searched outwards from one fingerprint at a time, so that a
+dense group takes few steps and no list of pairs is made. So no link is lost.
+
+Documents can also be told apart by what they say: ``one_of_each`` takes components of a wider
+radius as candidates and verifies the Jaccard similarity of word shingles against the most
+typical member. Members that are similar to it go, the others are judged among themselves in the
+next round, until a round finds none.
 
 Defined results: null and empty texts have fingerprint zero, a node like any other; repeated
 rows share a fingerprint; a component's id is the least doc_id in it, null only if all are
@@ -32,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from vectorloom.llm.common import rows_as, text_of
 from vectorloom.llm.components import components
@@ -44,30 +51,42 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints a key may have to be verified within one task.
 GROUP = 512
+#: Fingerprints of one block of a larger key, for radii above STAR_RADIUS.
+BLOCK = 8192
+STAR_RADIUS = 2
 #: Cost of sending one probe, in candidate comparisons.
 PROBE_COST = 20.0
-MOST_PARTS = 4
+MOST_PARTS = 8
+#: ``one_of_each``: candidates by 2-word fingerprints within 8 bits, verified on 5-word shingles.
+FILTER_RADIUS, FILTER_WORDS = 8, 2
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 STEP = 1 << 16
 
 
-def fingerprint(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the lower-cased (A-Z) text's word shingles, repeats counted."""
+def shingle_hashes(text: str, words: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of the lower-cased (A-Z) text's word shingles in order, some at a time."""
     from xxhash import xxh64_intdigest
 
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found])
     n = max(1, len(found) - words + 1)
     starts = np.concatenate([[0], ends[:n - 1]]).tolist()
     stops = (ends[min(words, len(found)) - 1:] - 1).tolist()
-    votes = np.zeros(BITS, np.int64)
     for lo in range(0, n, STEP):
-        hashes = np.fromiter(
+        yield np.fromiter(
             (xxh64_intdigest(joined[a:b], seed)
              for a, b in zip(starts[lo:lo + STEP], stops[lo:lo + STEP], strict=True)),
             dtype="<u8")
+
+
+def fingerprint(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the text's shingles, repeats counted; zero without words."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words, seed):
+        n += len(hashes)
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1,
                                bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
@@ -219,18 +238,41 @@ def probes(nodes: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "part INT, key BIGINT, fp BIGINT, own BOOLEAN")
 
 
-def _links_within(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a few fingerprints."""
-    distance = np.bitwise_count(prints[:, None] ^ prints[None, :])
-    near = distance <= radius
-    label = np.arange(len(prints))
-    while True:
-        low = np.where(near, label[None, :], len(prints)).min(axis=1)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    return [(i, int(label[i])) for i in range(len(prints)) if label[i] != i]
+def _connected(prints: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(i, root) for fingerprints connected by links that have an end in ``own``. The search
+    goes outwards from one fingerprint of ``own`` at a time over those not yet reached."""
+    root = np.arange(len(prints))
+    if len(prints) <= GROUP:
+        near = np.bitwise_count(prints[own][:, None] ^ prints[None, :]) <= radius
+        a, b = np.nonzero(near)
+        a = np.flatnonzero(own)[a]
+        while True:
+            before = root.copy()
+            np.minimum.at(root, a, before[b])
+            np.minimum.at(root, b, before[a])
+            root = root[root]
+            if (root == before).all():
+                break
+    else:
+        linked = np.zeros(len(prints), bool)
+        for lo in range(0, len(prints), 256):
+            some = slice(lo, lo + 256)
+            near = np.bitwise_count(prints[some][:, None] ^ prints[None, :]) <= radius
+            near &= own[some][:, None] | own[None, :]
+            linked[some] = near.sum(axis=1) > own[some]  # itself left out
+        rest = np.flatnonzero(linked)
+        while len(rest):
+            first = rest[0]
+            front, rest = rest[:1], rest[1:]
+            while len(front) and len(rest):
+                some, front = front[:64], front[64:]
+                near = np.bitwise_count(prints[some][:, None] ^ prints[rest][None, :]) <= radius
+                near &= own[some][:, None] | own[rest][None, :]
+                hit = near.any(axis=0)
+                root[rest[hit]] = first
+                front = np.concatenate([front, rest[hit]])
+                rest = rest[~hit]
+    return [(int(i), int(root[i])) for i in np.flatnonzero(root != np.arange(len(root)))]
 
 
 def _star_keys(radius: int) -> np.ndarray:
@@ -248,36 +290,43 @@ def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
     met = sizes.where((F.col("size") > 1) & F.col("any_own")).select(
         F.col("part").alias("m_part"), F.col("key").alias("m_key"), "size")
     joined = placed.join(met, (F.col("part") == F.col("m_part"))
-                         & (F.col("key") == F.col("m_key"))).select("part", "key", "fp", "size")
+                         & (F.col("key") == F.col("m_key"))).select(
+        "part", "key", "fp", "own", "size")
     joined = written(joined)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         prints: list[np.ndarray] = []
+        owned: list[np.ndarray] = []
 
         def done():
             both_ends = np.concatenate(prints)
-            found = _links_within(both_ends.view("<u8"), radius)
+            found = _connected(both_ends.view("<u8"), np.concatenate(owned), radius)
             u = [int(both_ends[i]) for i, _ in found]
             v = [int(both_ends[j]) for _, j in found]
             return u, v
 
         for batch in batches:
             part, key = batch.column("part").to_numpy(), batch.column("key").to_numpy()
+            pair = batch.column("pair").to_numpy()
             fp = batch.column("fp").to_numpy().astype("<i8")
-            edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(key) != 0)) + 1
+            own = batch.column("own").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(key) != 0)
+                                   | (np.diff(pair) != 0)) + 1
             us, vs = [], []
             for lo, hi in zip([0, *edges], [*edges, len(fp)], strict=True):
                 if lo == hi:
                     continue
-                here = (part[lo], key[lo])
+                here = (part[lo], key[lo], pair[lo])
                 if held is not None and here != held:
                     u, v = done()
                     us += u
                     vs += v
                     prints.clear()
+                    owned.clear()
                 held = here
                 prints.append(fp[lo:hi])
+                owned.append(own[lo:hi])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
         if held is not None:
@@ -285,9 +334,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    small = (joined.where(F.col("size") <= group).repartition("part", "key")
-             .sortWithinPartitions("part", "key").select("part", "key", "fp")
-             .mapInArrow(verify, "u BIGINT, v BIGINT"))
+    def verified(rows: DataFrame) -> DataFrame:
+        place = ["part", "key", "pair"]
+        return (rows.repartition(*place).sortWithinPartitions(*place)
+                .select(*place, "fp", "own").mapInArrow(verify, "u BIGINT, v BIGINT"))
+
+    few, many = F.col("size") <= group, F.col("size") > group
+    small = verified(joined.where(few).withColumn("pair", F.lit(0).cast("bigint")))
+    if radius > STAR_RADIUS:
+        return small.union(verified(_block_pairs(joined.where(many), max(1, min(BLOCK, group)))))
 
     flips = _star_keys(radius)
 
@@ -310,6 +365,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
     return small.union(large)
 
 
+def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of large keys dealt to every pair of blocks they belong to: ``pair`` numbers it."""
+    blocks = F.ceil(F.col("size") / block)
+    mine = F.pmod(F.xxhash64("fp"), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other")
+    dealt = rows.select("*", mine.alias("mine"), blocks.alias("blocks"), other)
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return dealt.select("part", "key", "fp", "own",
+                        (low * F.col("blocks") + high).cast("bigint").alias("pair"))
+
+
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, root: the component of every fingerprint in ``prints`` (fp, any rows)."""
     spark: SparkSession = prints.sparkSession
@@ -333,14 +399,87 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
     return rows.join(by_fp, F.col("fp") == F.col("k_fp")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row per component: the one with the least doc_id (null last)."""
+def _shingle_sets(members: DataFrame, words: int) -> DataFrame:
+    """``members`` with text replaced by shingles, the hashes of its set of shingles."""
+    rest = members.drop("text").schema
+    names = rest.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [np.unique(np.concatenate([
+                    np.zeros(0, "<u8"), *shingle_hashes(x.as_py(), words)])).view("<i8")
+                    for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in names], pa.array(sets, pa.list_(pa.int64()))],
+                    names=[*names, "shingles"])
+
+    return members.mapInArrow(
+        run, StructType([*rest, StructField("shingles", ArrayType(LongType()))]))
+
+
+def _most_typical(members: DataFrame) -> DataFrame:
+    """r_root, r_place: per root the member with the most shingles that over half of the
+    members have, so the original of many copies; of equals the least doc_id, null last. A
+    root's list of such shingles is at most twice as long as its mean member."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2)
+    sizes = sizes.select(F.col("root").alias("n_root"), "n")
+    usual = (members.join(sizes, F.col("root") == F.col("n_root"))
+             .select("root", "n", F.explode("shingles").alias("shingle"))
+             .groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+             .where(F.col("k") * 2 > F.col("n"))
+             .groupBy("root").agg(F.collect_list("shingle").alias("usual"))
+             .select(F.col("root").alias("u_root"), "usual"))
+    score = F.coalesce(F.size(F.array_intersect("shingles", "usual")), F.lit(0))
+    order = F.struct((-score).alias("few"), F.col("doc_id").isNull().alias("none"), "doc_id",
+                     "place")
+    return (members.join(usual, F.col("root") == F.col("u_root"), "left")
+            .groupBy("root").agg(F.min(order).alias("best"))
+            .select(F.col("root").alias("r_root"), F.col("best.place").alias("r_place")))
+
+
+def _compared(members: DataFrame, similarity: float) -> DataFrame:
+    """``members`` with verdict: 0 chosen, 1 similar to the chosen of its root, 2 neither."""
+    chosen = members.join(_most_typical(members), (F.col("root") == F.col("r_root"))
+                          & (F.col("place") == F.col("r_place")))
+    chosen = chosen.select("r_root", "r_place", F.col("shingles").alias("r_shingles"))
+    both = members.join(chosen, F.col("root") == F.col("r_root"))
+    common = F.size(F.array_intersect("shingles", "r_shingles"))
+    every = F.size("shingles") + F.size("r_shingles") - common
+    return both.select(*members.columns, F.when(F.col("place") == F.col("r_place"), 0).when(
+        common >= every * F.lit(similarity), 1).otherwise(2).alias("verdict"))
+
+
+def one_of_each(docs: DataFrame, radius: int = FILTER_RADIUS, words: int = FILTER_WORDS,
+                shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without near copies: of documents in one component of the filter, those whose
+    shingles have at least ``similarity`` in common with the chosen one's go. Documents
+    without words are each other's copies."""
     rows = written(with_fingerprint(
         docs, words, rows_as(docs), docs["doc_id"].alias("doc_id"),
         F.monotonically_increasing_id().alias("place")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    least = rows.groupBy("fp").agg(F.min(order).alias("least"))
     rooted = classes(rows, radius).select(F.col("fp").alias("k_fp"), "root")
-    keep = (rooted.join(least, F.col("k_fp") == F.col("fp")).groupBy("root")
-            .agg(F.min("least").alias("least")).select(F.col("least.place").alias("k_place")))
-    return rows.join(keep, F.col("place") == F.col("k_place"), "left_semi").select("row.*")
+    counts = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    shared = (counts.join(rooted, F.col("fp") == F.col("k_fp")).groupBy("root")
+              .agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+              .select(F.col("root").alias("s_root")))
+    wanted = rooted.join(shared, F.col("root") == F.col("s_root")).select("k_fp", "root")
+    members = rows.join(wanted, F.col("fp") == F.col("k_fp")).select(
+        "root", "place", "doc_id", "fp", text_of_row(F.col("row")).alias("text"))
+    left = written(_shingle_sets(members, shingle_words))
+    gone: DataFrame | None = None
+    while True:
+        judged = written(_compared(left, similarity))
+        removed = judged.where("verdict = 1").select(F.col("place").alias("gone"))
+        if removed.isEmpty():
+            break
+        gone = removed if gone is None else gone.union(removed)
+        left = judged.where("verdict = 2").drop("verdict")
+    kept = rows if gone is None else rows.join(
+        gone, F.col("place") == F.col("gone"), "left_anti")
+    return kept.select("row.*")
+
+
+def text_of_row(row):
+    return F.coalesce(row["text"].cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import text_of
-from vectorloom.tables import prepare
+from vectorloom.tables import prepare, written
 
 WINDOW = 35
 PREFIX = 10
@@ -90,10 +90,6 @@ def _digest(codes: np.ndarray, first: int, count: int, window: int) -> int:
     return xxh3_64_intdigest(codes[first:first + count + window - 1].tobytes())
 
 
-def _split(text) -> list[bytes]:
-    return (text or "").encode().split()
-
-
 KEY = ["doc_id", "dhash"]
 
 
@@ -102,6 +98,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"], F.xxhash64(text).alias("dhash"), text.alias("text"))
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with text as compressed bytes: texts are shuffled twice, at half the size."""
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = [pack(x.as_py().encode()) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("dhash"), pa.array(texts, pa.binary())],
+                names=["doc_id", "dhash", "packed"])
+
+    return keyed.mapInArrow(run, f"doc_id {kind}, dhash BIGINT, packed BINARY")
+
+
+def _unpacked(column: pa.Array) -> Iterator[list[bytes]]:
+    """The words of each compressed text."""
+    from zstandard import ZstdDecompressor
+
+    unpack = ZstdDecompressor().decompress
+    for x in column:
+        yield unpack(x.as_py()).split()
+
+
 def _fragment_rows(keyed: DataFrame, window: int, prefix: int) -> DataFrame:
     """doc_id, dhash, mini, fh, lo, n: every fragment of every document."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
@@ -112,7 +134,7 @@ def _fragment_rows(keyed: DataFrame, window: int, prefix: int) -> DataFrame:
                 part = batch.slice(base, 500)
                 minis, prints, los, ns, rows = [], [], [], [], []
                 for i, text in enumerate(part.column("text")):
-                    codes = word_codes(_split(text.as_py()))
+                    codes = word_codes(text.as_py().encode().split())
                     mini, first, count, _ = fragments(codes, window, prefix)
                     minis.append(mini)
                     prints += [_digest(codes, f, c, window)
@@ -150,9 +172,9 @@ def _contents(opened: DataFrame, window: int, prefix: int) -> DataFrame:
             for base in range(0, batch.num_rows, 200):
                 part = batch.slice(base, 200)
                 out = {k: [] for k in ("row", "mini", "fh", "lo", "at", "codes")}
-                for i, (text, wanted) in enumerate(zip(
-                        part.column("text"), part.column("open"), strict=True)):
-                    codes = word_codes(_split(text.as_py()))
+                for i, (words, wanted) in enumerate(zip(
+                        _unpacked(part.column("packed")), part.column("open"), strict=True)):
+                    codes = word_codes(words)
                     mini, first, count, at = fragments(codes, window, prefix)
                     wanted = np.array(wanted.as_py())
                     for j in np.searchsorted(first, np.unique(wanted)).tolist():
@@ -172,7 +194,7 @@ def _contents(opened: DataFrame, window: int, prefix: int) -> DataFrame:
                     pa.array(out["codes"], pa.binary())],
                     names=["doc_id", "dhash", "mini", "fh", "lo", "at", "codes"])
 
-    return opened.select("doc_id", "dhash", "text", "open").mapInArrow(
+    return opened.select("doc_id", "dhash", "packed", "open").mapInArrow(
         run, f"doc_id {kind}, dhash BIGINT, mini BIGINT, fh BIGINT, lo INT, at INT, codes BINARY")
 
 
@@ -286,11 +308,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         .where(F.col("times") > 1)
         .select(F.col("mini").alias("s_mini"), (F.col("low") == F.col("high")).alias("same")))
     hits = rows.join(shared, F.col("mini") == F.col("s_mini"))
-    listed = hits.groupBy(*KEY).agg(
+    listed = written(hits.groupBy(*KEY).agg(
         F.collect_set(F.when(F.col("same"), F.struct("lo", "n"))).alias("whole"),
-        F.collect_set(F.when(~F.col("same"), F.col("lo"))).alias("open"))
-    opened = _same_key(keyed, listed.where(F.size("open") > 0).select(*KEY, "open"), "inner")
-    contents = _contents(opened, window, prefix)
+        F.collect_set(F.when(~F.col("same"), F.col("lo"))).alias("open")))
+    packed = _packed(keyed)
+    opened = _same_key(packed, listed.where(F.size("open") > 0).select(*KEY, "open"), "inner")
+    contents = written(_contents(opened, window, prefix))
     leaves = contents.groupBy("mini", "fh").agg(
         F.count(F.lit(1)).alias("weight"), F.first("at").alias("at"),
         F.first("codes").alias("codes"))
@@ -303,16 +326,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     marks = (contents.drop("codes").join(masks, (F.col("mini") == F.col("m_mini"))
                                          & (F.col("fh") == F.col("m_fh")))
              .groupBy(*KEY).agg(F.collect_set(F.struct("lo", "mask")).alias("marks")))
-    done = _same_key(_same_key(keyed, listed.select(*KEY, "whole"), "left"), marks, "left")
+    done = _same_key(_same_key(packed, listed.select(*KEY, "whole"), "left"), marks, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base in range(0, batch.num_rows, 500):
                 part = batch.slice(base, 500)
                 out = {k: [] for k in ("n_words", "n_removed", "kept_text", "spans")}
-                for text, whole, marked in zip(part.column("text"), part.column("whole"),
-                                               part.column("marks"), strict=True):
-                    words = _split(text.as_py())
+                for words, whole, marked in zip(
+                        _unpacked(part.column("packed")), part.column("whole"),
+                        part.column("marks"), strict=True):
                     edge = np.zeros(len(words) + 1, np.int64)
                     for x in whole.as_py() or ():
                         edge[x["lo"]] += 1
@@ -339,6 +362,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                         [("first", pa.int64()), ("words", pa.int64())])))],
                     names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
-    return done.select("doc_id", "text", "whole", "marks").mapInArrow(
+    return done.select("doc_id", "packed", "whole", "marks").mapInArrow(
         cut, f"doc_id {kind}, n_words BIGINT, n_removed BIGINT, kept_text STRING, "
              "spans ARRAY<STRUCT<first: BIGINT, words: BIGINT>>")
