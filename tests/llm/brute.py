@@ -54,6 +54,15 @@ def fingerprint(text, k=3):
                if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def simhash_components(docs, radius=2):
     """(doc_id, fingerprint, component_id) for (doc_id, text) rows."""
     prints = [fingerprint(t) for _, t in docs]

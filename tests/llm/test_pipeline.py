@@ -35,9 +35,16 @@ def test_stages(spark, sf_dir):
     assert sorted((r.doc_id, r.text) for r in cut.collect()) == sorted(want)
     assert all(r.n_chars == len(r.text) for r in cut.collect())
 
-    rows = [(r.doc_id, r.text) for r in cut.collect()]
-    want = {c for _, _, c in brute.simhash_components(rows)}
-    assert sorted(r.doc_id for r in unique.collect()) == sorted(want)
+    sets = {r.doc_id: brute.shingles(r.text) for r in cut.collect()}
+    kept = {r.doc_id for r in unique.collect()}
+    assert len(kept) == unique.count() and kept <= set(sets)
+    near = {d: {e for e in sets if e != d and brute.jaccard(sets[d], sets[e]) >= 0.8}
+            for d in sets}
+    assert all(near[d] & kept for d in sets if d not in kept)
+    assert all(d in kept for d in sets if not near[d])
+    assert not any(sets[d] == sets[e] for d in kept for e in near[d] & kept)
+    missed = sum(len(near[d] & kept) for d in kept)
+    assert missed <= 0.25 * sum(map(len, near.values()))
 
     texts = {r.doc_id: (r.source, r.text) for r in unique.collect()}
     sizes, taken = Counter(), Counter()
