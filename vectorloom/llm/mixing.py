@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import WORD, rows_as, text_of
+from vectorloom.llm.common import WORD, rows_as, small_side, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, keep: Column | None = None, weights: Sequence[int] = WE
     goal = targets(rows, weights, share, most).withColumns({
         "bits": F.greatest(F.ceil(F.log2(F.col("docs") / RANGE_ROWS)), F.lit(0)).cast("int"),
         "words": F.round("target").cast("long")})
-    goal = goal.select(*[F.col(c).alias(f"g_{c}") for c in goal.columns])
+    goal = small_side(goal.select(*[F.col(c).alias(f"g_{c}") for c in goal.columns]))
     ranged = rows.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).withColumn(
         "range", F.call_function("shiftright", F.col("key"), F.lit(HASH_BITS) - F.col("g_bits")))
     sums = ranged.groupBy("g_rank", "range").agg(F.sum("size").alias("range_size"))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import WORD, let, rows_as, text_of
+from vectorloom.llm.common import WORD, let, rows_as, small_side, text_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -118,11 +118,13 @@ def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, rule, bucket, n: one mergeable sketch per language, source and rule.
     ``measured`` has lang, source and the struct m. Rows the base rules reject are no model
     of good text and are left out."""
-    of = values(F.col("m"))
-    each = F.array(*[F.struct(F.lit(r.name).alias("rule"), bucket(of[r.name]).alias("bucket"))
-                     for r in RULES])
-    return (measured.where(~base_failed(F.col("m")))
-            .select("lang", "source", F.explode(each).alias("x"))
+    def listed(m: Column) -> Column:
+        each = F.array(*[F.struct(F.lit(r.name).alias("rule"),
+                                  bucket(values(m)[r.name]).alias("bucket")) for r in RULES])
+        return F.when(base_failed(m), F.slice(each, 1, 0)).otherwise(each)
+
+    # One expression rather than a filter, which would be pushed down to measure texts again.
+    return (measured.select("lang", "source", F.explode(let(F.col("m"), listed)).alias("x"))
             .groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -185,13 +187,13 @@ def within(m: Column, t: Column) -> Column:
 
 def judged(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """``measured`` (lang, source, m, ...) with base_failed and kept."""
-    t = thresholds(sketches(measured), min_rows).select(
-        F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "t")
-    failed = base_failed(F.col("m"))
+    t = small_side(thresholds(sketches(measured), min_rows).select(
+        F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "t"))
+    failed = let(F.col("m"), base_failed)
+    kept = let(F.struct("m", "t"), lambda x: ~base_failed(x["m"]) & within(x["m"], x["t"]))
     return (measured.join(t, F.col("lang").eqNullSafe(F.col("t_lang"))
                           & F.col("source").eqNullSafe(F.col("t_source")), "left")
-            .select(*measured.columns, failed.alias("base_failed"),
-                    (~failed & within(F.col("m"), F.col("t"))).alias("kept")))
+            .select(*measured.columns, failed.alias("base_failed"), kept.alias("kept")))
 
 
 def measured(docs: DataFrame, *carry: Column) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from vectorloom.llm.common import rows_as, text_of
+from vectorloom.llm.common import rows_as, small_side, text_of
 from vectorloom.llm.components import components
 from vectorloom.tables import prepare, written
 
@@ -464,7 +464,8 @@ def one_of_each(docs: DataFrame, radius: int = FILTER_RADIUS, words: int = FILTE
     shared = (counts.join(rooted, F.col("fp") == F.col("k_fp")).groupBy("root")
               .agg(F.sum("n").alias("n")).where(F.col("n") > 1)
               .select(F.col("root").alias("s_root")))
-    wanted = rooted.join(shared, F.col("root") == F.col("s_root")).select("k_fp", "root")
+    wanted = small_side(
+        rooted.join(shared, F.col("root") == F.col("s_root")).select("k_fp", "root"))
     members = rows.join(wanted, F.col("fp") == F.col("k_fp")).select(
         "root", "place", "doc_id", "fp", text_of_row(F.col("row")).alias("text"))
     left = written(_shingle_sets(members, shingle_words))
@@ -477,7 +478,7 @@ def one_of_each(docs: DataFrame, radius: int = FILTER_RADIUS, words: int = FILTE
         gone = removed if gone is None else gone.union(removed)
         left = judged.where("verdict = 2").drop("verdict")
     kept = rows if gone is None else rows.join(
-        gone, F.col("place") == F.col("gone"), "left_anti")
+        small_side(gone), F.col("place") == F.col("gone"), "left_anti")
     return kept.select("row.*")
 
 
