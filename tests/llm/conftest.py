@@ -4,8 +4,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-
-SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+from odd import ODD, SCHEMA  # noqa: E402
 
 
 @pytest.fixture
@@ -28,15 +27,6 @@ def write_sf(tmp_path):
     return write
 
 
-LONG = " ".join(f"w{i % 97}x{i % 89}" for i in range(3000))
-ODD = [
-    (1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "two words"), (6, "the MIT License here"),
-    (7, LONG), (8, LONG), (8, LONG), (None, LONG), (None, None), (9, "äß   \U0001f600 a\u0085b"),
-    (10, "a  b\n\n c \n"), (11, "x" * 5000), (12, LONG[:900] + " changed " + LONG[907:]),
-    (13, "<|endoftext|> \n <|endoftext|>"), (14, "\x1c \x1c"), (15, "a \n b"),
-]
-
-
 @pytest.fixture
 def odd_docs(make_docs):
     return make_docs(ODD)

@@ -3,7 +3,7 @@
 import brute
 import numpy as np
 import pytest
-from conftest import LONG, ODD
+from odd import LONG, ODD
 from pyspark.sql import functions as F
 
 from vectorloom.llm import exact, licenses, lines, mixing, packing, pages, quality, shards

@@ -5,7 +5,7 @@ from collections import Counter
 import brute
 import corpus_pipeline
 import duckdb
-from conftest import ODD, SCHEMA
+from odd import ODD, SCHEMA
 
 from vectorloom.llm import sql
 from vectorloom.tables import written

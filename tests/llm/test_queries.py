@@ -2,7 +2,7 @@
 
 import brute
 import pytest
-from conftest import ODD, SCHEMA
+from odd import ODD, SCHEMA
 
 from vectorloom.llm.queries import QUERIES
 
