@@ -37,8 +37,8 @@ def _byte_characters() -> dict[int, int]:
 _SPELLED = _byte_characters()
 #: Units and pieces kept per worker (about 100 bytes each); a full table starts anew. Longer
 #: units are never kept.
-MAX_UNITS = 1_000_000
-MAX_PIECES = 500_000
+MAX_UNITS = 2_000_000
+MAX_PIECES = 1_000_000
 MAX_UNIT_CHARS = 64
 #: Characters encoded at a time, so that unit lists stay small however long a text is.
 STEP_CHARS = 1 << 20
@@ -83,25 +83,25 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin-1").translate(_SPELLED)
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
         if len(piece) <= MAX_UNIT_CHARS:
             if len(self.pieces) >= MAX_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
 
-    def _new(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units that stand behind a space."""
+    def _new(self, units: list[str], lead: str = " ") -> dict[str, bytes]:
+        """Ids of units that stand behind ``lead``."""
         out, others = {}, []
         get = self.pieces.get
         for unit in units:
             if _PLAIN.fullmatch(unit):
                 out[unit] = b"".join([get(p) or self._piece(p)
-                                      for p in _PIECES.findall(" " + unit)])
+                                      for p in _PIECES.findall(lead + unit)])
             else:
                 others.append(unit)
         if others:
-            out.update(zip(others, self._library([" " + u for u in others]), strict=True))
+            out.update(zip(others, self._library([lead + u for u in others]), strict=True))
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
@@ -109,7 +109,8 @@ class Encoder:
         if not self.by_units:
             return self._library(texts)
         units = [_CUT.split(t) for t in texts]
-        first = self._library([u[0] for u in units])
+        starts = self._new(list({u[0] for u in units}), "")
+        first = [starts[u[0]] for u in units]
         get = self.known.get
         ids = [list(map(get, u[1:])) for u in units]
         missing: set[str] = set()
