@@ -74,7 +74,7 @@ def test_hot_prefixes_are_counted(spark, make_docs):
 
 @pytest.mark.parametrize("radius", [2, 6])
 @pytest.mark.parametrize("group", [1, 4, 512])
-def test_links_in_large_groups(spark, group, radius, monkeypatch):
+def test_links_in_large_groups(spark, group, radius, monkeypatch, tmp_path):
     """Keys above ``group`` lose no link, whether searched as matrix or outwards."""
     monkeypatch.setattr(simhash, "GROUP", group)
     rng = np.random.default_rng(2)
@@ -88,7 +88,8 @@ def test_links_in_large_groups(spark, group, radius, monkeypatch):
             prints.append(p)
     signed = sorted({p - 2**64 if p >= 2**63 else p for p in prints})
     nodes = spark.createDataFrame([(p,) for p in signed], "fp BIGINT")
-    edges = [(r.u, r.v) for r in simhash.links(nodes, radius, group).collect()]
+    edges = [(r.u, r.v) for r in simhash.links(
+        nodes, f"{tmp_path}/links", radius, group, group).collect()]
     root = {p: p for p in signed}
 
     def find(x, of):

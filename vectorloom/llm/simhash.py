@@ -16,7 +16,7 @@ verified in one task and gives at most one link per fingerprint, which connects
 links connect. Larger keys of a radius up to 2 are never compared pairwise: there each
 fingerprint goes on to itself with one bit flipped (or none), and fingerprints within two bits
 always meet at such a key, which holds at most 65 of them; the links run to the least one. For
-wider radii a large key is cut into blocks of ``BLOCK`` fingerprints, every pair of blocks is one
+wider radii a key of over ``BLOCK`` is cut into blocks of ``BLOCK`` fingerprints, every pair of blocks is one
 group of its own, and a group is searched outwards from one fingerprint at a time, so that a
 dense group takes few steps and no list of pairs is made. So no link is lost.
 
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from vectorloom.llm.common import rows_as, small_side, text_of
 from vectorloom.llm.components import components
-from vectorloom.tables import prepare, written
+from vectorloom.sources.sinks import remove_path
+from vectorloom.tables import checkpoint_dir, prepare, written
 
 BITS = 64
 RADIUS = 2
@@ -281,8 +283,10 @@ def _star_keys(radius: int) -> np.ndarray:
     return _probe_masks(list(range(BITS)), half)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """u, v: edges that connect all fingerprints linked directly or over others."""
+def links(nodes: DataFrame, folder: str, radius: int = RADIUS, group: int = GROUP,
+          block: int = BLOCK) -> DataFrame:
+    """u, v: edges that connect all fingerprints linked directly or over others. Probes that
+    meet are kept in ``folder`` until the edges have been used."""
     n, both = bit_counts(nodes)
     placed = probes(nodes, plan(n, both, radius))
     sizes = placed.groupBy("part", "key").agg(
@@ -292,7 +296,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
     joined = placed.join(met, (F.col("part") == F.col("m_part"))
                          & (F.col("key") == F.col("m_key"))).select(
         "part", "key", "fp", "own", "size")
-    joined = written(joined)
+    joined.write.parquet(folder)
+    joined = nodes.sparkSession.read.parquet(folder)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -339,10 +344,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
         return (rows.repartition(*place).sortWithinPartitions(*place)
                 .select(*place, "fp", "own").mapInArrow(verify, "u BIGINT, v BIGINT"))
 
-    few, many = F.col("size") <= group, F.col("size") > group
+    limit = group if radius <= STAR_RADIUS else block
+    few, many = F.col("size") <= limit, F.col("size") > limit
     small = verified(joined.where(few).withColumn("pair", F.lit(0).cast("bigint")))
     if radius > STAR_RADIUS:
-        return small.union(verified(_block_pairs(joined.where(many), max(1, min(BLOCK, group)))))
+        return small.union(verified(_block_pairs(joined.where(many), block)))
 
     flips = _star_keys(radius)
 
@@ -381,7 +387,10 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark: SparkSession = prints.sparkSession
     prepare(spark)
     nodes = written(prints.select("fp").distinct())
-    found = components(links(nodes, radius)).select(
+    folder = f"{checkpoint_dir(spark)}/links-{uuid4().hex}"
+    found = components(links(nodes, folder, radius))  # checkpointed
+    remove_path(spark, folder)
+    found = found.select(
         F.col("node").alias("c_node"), F.col("root").alias("c_root"))
     return nodes.join(found, F.col("fp") == F.col("c_node"), "left").select(
         "fp", F.coalesce("c_root", "fp").alias("root"))
