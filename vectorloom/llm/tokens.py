@@ -35,10 +35,10 @@ def _byte_characters() -> dict[int, int]:
 
 
 _SPELLED = _byte_characters()
-#: Units and pieces kept per worker (about 100 bytes each); a full table starts anew. Longer
+#: Units and pieces kept per worker (about 200 bytes each); a full table starts anew. Longer
 #: units are never kept.
-MAX_UNITS = 2_000_000
-MAX_PIECES = 1_000_000
+MAX_UNITS = 1_200_000
+MAX_PIECES = 650_000
 MAX_UNIT_CHARS = 64
 #: Characters encoded at a time, so that unit lists stay small however long a text is.
 STEP_CHARS = 1 << 20
