@@ -141,6 +141,30 @@ def test_connected_outwards_and_as_matrix():
         assert len(pairs) == len(set(label)) == len(set(want.tolist()))
 
 
+@pytest.mark.parametrize("pairs", [0, 8])
+def test_no_near_pair_of_a_component_stays(spark, make_docs, monkeypatch, pairs):
+    """Also where the most typical or least member is dissimilar to all the others, and with
+    rounds alone (no pairs) as with all pairs at once."""
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    rng = np.random.default_rng(11)
+    one = [f"o{i}" for i in range(100)]
+    rows = [(0, " ".join(one))]
+    for k in range(1, 5):
+        base = one[:40] + [f"b{k}x{i}" for i in range(60)]
+        for j in range(6):
+            changed = list(base)
+            changed[int(rng.integers(0, 100))] = f"c{k}x{j}"
+            rows.append((10 * k + j, " ".join(changed)))
+    rows.append((99, rows[-1][1]))
+    found = simhash.one_of_each(make_docs(rows), radius=64)
+    kept = {r.doc_id for r in found.collect()}
+    sets = {d: brute.shingles(t) for d, t in rows}
+    near = {d: {e for e in sets if e != d and brute.jaccard(sets[d], sets[e]) >= 0.8}
+            for d in sets}
+    assert 0 in kept and not any(near[d] & kept for d in kept)
+    assert all(near[d] & kept for d in sets if d not in kept)
+
+
 def test_one_of_each(spark, odd_docs, make_docs):
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns

@@ -21,9 +21,9 @@ group of its own, and a group is searched outwards from one fingerprint at a tim
 dense group takes few steps and no list of pairs is made. So no link is lost.
 
 Documents can also be told apart by what they say: ``one_of_each`` takes components of a wider
-radius as candidates and verifies the Jaccard similarity of word shingles against the most
-typical member. Members that are similar to it go, the others are judged among themselves in the
-next round, until a round finds none.
+radius as candidates and verifies the Jaccard similarity of word shingles between members that
+share one of their rarest shingles, which similar members always do. A member stays unless it is
+similar to one that stays, so no two of a component that stay are similar.
 
 Defined results: null and empty texts have fingerprint zero, a node like any other; repeated
 rows share a fingerprint; a component's id is the least doc_id in it, null only if all are
@@ -62,6 +62,10 @@ MOST_PARTS = 8
 #: ``one_of_each``: candidates by 2-word fingerprints within 8 bits, verified on 5-word shingles.
 FILTER_RADIUS, FILTER_WORDS = 8, 2
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Buckets of the counts that tell rare shingles from common ones.
+BUCKETS = 1 << 18
+#: Pairs per entry up to which all pairs that share a rare shingle are compared at once.
+PAIRS = 8
 STEP = 1 << 16
 
 
@@ -428,42 +432,158 @@ def _shingle_sets(members: DataFrame, words: int) -> DataFrame:
         run, StructType([*rest, StructField("shingles", ArrayType(LongType()))]))
 
 
-def _most_typical(members: DataFrame) -> DataFrame:
-    """r_root, r_place: per root the member with the most shingles that over half of the
-    members have, so the original of many copies; of equals the least doc_id, null last. A
-    root's list of such shingles is at most twice as long as its mean member."""
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2)
-    sizes = sizes.select(F.col("root").alias("n_root"), "n")
-    usual = (members.join(sizes, F.col("root") == F.col("n_root"))
-             .select("root", "n", F.explode("shingles").alias("shingle"))
-             .groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-             .where(F.col("k") * 2 > F.col("n"))
-             .groupBy("root").agg(F.collect_list("shingle").alias("usual"))
-             .select(F.col("root").alias("u_root"), "usual"))
-    score = F.coalesce(F.size(F.array_intersect("shingles", "usual")), F.lit(0))
-    order = F.struct((-score).alias("few"), F.col("doc_id").isNull().alias("none"), "doc_id",
-                     "place")
-    return (members.join(usual, F.col("root") == F.col("u_root"), "left")
-            .groupBy("root").agg(F.min(order).alias("best"))
-            .select(F.col("root").alias("r_root"), F.col("best.place").alias("r_place")))
-
-
-def _compared(members: DataFrame, similarity: float) -> DataFrame:
-    """``members`` with verdict: 0 chosen, 1 similar to the chosen of its root, 2 neither."""
-    chosen = members.join(_most_typical(members), (F.col("root") == F.col("r_root"))
-                          & (F.col("place") == F.col("r_place")))
-    chosen = chosen.select("r_root", "r_place", F.col("shingles").alias("r_shingles"))
-    both = members.join(chosen, F.col("root") == F.col("r_root"))
-    common = F.size(F.array_intersect("shingles", "r_shingles"))
-    every = F.size("shingles") + F.size("r_shingles") - common
-    return both.select(*members.columns, F.when(F.col("place") == F.col("r_place"), 0).when(
-        common >= every * F.lit(similarity), 1).otherwise(2).alias("verdict"))
+def _how_common(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each of ``BUCKETS`` buckets occur. It only orders shingles, so
+    that the rare ones come first; any order gives the same result."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            n += np.bincount(_bucket(batch.column("shingles").flatten().to_numpy()),
+                             minlength=BUCKETS)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int64()), pa.array(n[used])], names=["bucket", "n"])
+
+    found = (sets.select("shingles").mapInArrow(count, "bucket BIGINT, n BIGINT")
+             .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.astype("<i8").view("<u8") % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """root, doc_id, place, n (shingles), token: the rarest shingles of each member, so many
+    that two members with ``similarity`` have at least one of them in common."""
+    common = _how_common(sets)
+    rest = sets.select("root", "doc_id", "place").schema
+    names = rest.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sizes, tokens = [], []
+                for x in part.column("shingles"):
+                    held = x.values.to_numpy()
+                    first = int(len(held) * (1 - similarity) + 1e-6) + 1
+                    order = np.lexsort((held, common[_bucket(held)]))
+                    sizes.append(len(held))
+                    # Members without words meet at one token.
+                    tokens.append(held[order[:first]] if len(held) else np.zeros(1, np.int64))
+                at = np.repeat(np.arange(len(sizes)), [len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c).take(pa.array(at)) for c in names],
+                     pa.array(np.array(sizes, np.int64)[at]),
+                     pa.array(np.concatenate([np.zeros(0, np.int64), *tokens]))],
+                    names=[*names, "n", "token"])
+
+    return sets.select(*names, "shingles").mapInArrow(
+        run, StructType([*rest, StructField("n", LongType()), StructField("token", LongType())]))
+
+
+def _entries(rare: DataFrame) -> DataFrame:
+    """root, token, rank: tokens that several members have. The least rank is decided first:
+    the fewest tokens of its own (so the original of many copies), then the least doc_id."""
+    rare = written(rare)
+    several = (rare.groupBy("root", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+               .select(F.col("root").alias("k_root"), F.col("token").alias("k_token")))
+    met = (rare.join(several, (F.col("root") == F.col("k_root"))
+                     & (F.col("token") == F.col("k_token")))
+           .groupBy("place").agg(F.first("root").alias("root"), F.first("doc_id").alias("doc_id"),
+                                 F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
+    rank = F.struct((-F.size("tokens") / F.greatest("n", F.lit(1))).alias("few"),
+                    F.col("doc_id").isNull().alias("none"), "doc_id", "place", "n")
+    return met.select("root", F.explode("tokens").alias("token"), rank.alias("rank"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a and b, ranks) whose shingles have ``similarity`` in common."""
+    least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    pairs = pairs.where(least >= most * F.lit(similarity)).distinct()
+    for side in ("a", "b"):
+        own = sets.select(F.col("place").alias(f"{side}_place"),
+                          F.col("shingles").alias(f"{side}_shingles"))
+        pairs = pairs.join(own, F.col(side)["place"] == F.col(f"{side}_place"))
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    every = F.size("a_shingles") + F.size("b_shingles") - common
+    return pairs.where(common >= every * F.lit(similarity)).select("a", "b")
+
+
+def _places(ranks: DataFrame, side: str) -> DataFrame:
+    return ranks.select(F.col(side)["place"].alias("gone")).distinct()
+
+
+def _all_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
+    """Tables of ``gone``: all pairs that share a token are compared at once; then, round by
+    round, members without a similar one of less rank stay and those similar to them go."""
+    other = left.select(F.col("root").alias("o_root"), F.col("token").alias("o_token"),
+                        F.col("rank").alias("b"))
+    met = left.join(other, (F.col("root") == F.col("o_root"))
+                    & (F.col("token") == F.col("o_token")) & (F.col("rank") < F.col("b")))
+    near = written(_similar(met.select(F.col("rank").alias("a"), "b"), sets, similarity).select(
+        F.col("a")["place"].alias("a"), F.col("b")["place"].alias("b")))
+    out = []
+    while not near.isEmpty():
+        under = near.select(F.col("b").alias("u")).distinct()
+        tops = near.join(under, F.col("a") == F.col("u"), "left_anti")
+        gone = written(tops.select(F.col("b").alias("gone")).distinct())
+        out.append(gone)
+        near = near.join(gone, F.col("a") == F.col("gone"), "left_anti")
+        near = written(near.join(gone, F.col("b") == F.col("gone"), "left_anti"))
+    return out
+
+
+def _copies(sets: DataFrame, similarity: float) -> DataFrame | None:
+    """gone: the places of members similar to one that stays. Members are decided by rank:
+    one stays unless it is similar to one that stays, until no member is undecided.
+
+    In a round the member of least rank among the undecided of a token is its first. Who is
+    first at all its tokens stays and is compared with those it meets there, so that a group
+    of many copies is thinned without pairs among them. Once few pairs are left that share a
+    token, they are all compared; the result is the same.
+    """
+    left = written(_entries(_rare(sets, similarity)))
+    out: list[DataFrame] = []
+    while True:
+        groups = written(left.groupBy("root", "token").agg(
+            F.min("rank").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+        entries, pairs = groups.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
+        if not entries:
+            break
+        if pairs <= entries * PAIRS:
+            out += _all_pairs(left, sets, similarity)
+            break
+        heads = groups.select(F.col("root").alias("g_root"), F.col("token").alias("g_token"),
+                              "first")
+        led = written(left.join(heads, (F.col("root") == F.col("g_root"))
+                                & (F.col("token") == F.col("g_token")))
+                      .select("root", "token", "rank", "first"))
+        own = F.col("first")["place"] == F.col("rank")["place"]
+        stays = written(led.groupBy(F.col("rank")["place"].alias("stay")).agg(
+            F.every(own).alias("all")).where("all").select("stay"))
+        met = led.where(~own).join(stays, F.col("first")["place"] == F.col("stay")).select(
+            F.col("first").alias("a"), F.col("rank").alias("b"))
+        gone = written(_places(_similar(met, sets, similarity), "b"))
+        out.append(gone)
+        place = F.col("rank")["place"]
+        left = led.join(stays, place == F.col("stay"), "left_anti")
+        left = written(left.join(gone, place == F.col("gone"), "left_anti").select(
+            "root", "token", "rank"))
+    whole = None
+    for gone in out:
+        whole = gone if whole is None else whole.union(gone)
+    return whole
 
 
 def one_of_each(docs: DataFrame, radius: int = FILTER_RADIUS, words: int = FILTER_WORDS,
                 shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near copies: of documents in one component of the filter, those whose
-    shingles have at least ``similarity`` in common with the chosen one's go. Documents
+    shingles have at least ``similarity`` in common with one that stays go. Documents
     without words are each other's copies."""
     rows = written(with_fingerprint(
         docs, words, rows_as(docs), docs["doc_id"].alias("doc_id"),
@@ -477,15 +597,9 @@ def one_of_each(docs: DataFrame, radius: int = FILTER_RADIUS, words: int = FILTE
         rooted.join(shared, F.col("root") == F.col("s_root")).select("k_fp", "root"))
     members = rows.join(wanted, F.col("fp") == F.col("k_fp")).select(
         "root", "place", "doc_id", "fp", text_of_row(F.col("row")).alias("text"))
-    left = written(_shingle_sets(members, shingle_words))
-    gone: DataFrame | None = None
-    while True:
-        judged = written(_compared(left, similarity))
-        removed = judged.where("verdict = 1").select(F.col("place").alias("gone"))
-        if removed.isEmpty():
-            break
-        gone = removed if gone is None else gone.union(removed)
-        left = judged.where("verdict = 2").drop("verdict")
+    sets = written(_shingle_sets(members, shingle_words).select(
+        "root", "place", "doc_id", "shingles"))
+    gone = _copies(sets, similarity)
     kept = rows if gone is None else rows.join(
         small_side(gone), F.col("place") == F.col("gone"), "left_anti")
     return kept.select("row.*")
