@@ -28,6 +28,27 @@ def test_main_text():
     assert pages.main_text("<article><h1>A</h1><p>b") == "A\nb"
 
 
+def test_names_do_not_drop_the_article():
+    paragraphs = [f"Paragraph {i} of the article has quite a number of words, all to be kept."
+                  for i in range(5)]
+    article = "".join(f"<p>{p}</p>" for p in paragraphs)
+    menu = "<div class=menu><a>Home</a> <a>About</a></div>"
+    comments = "<div id=comments><p>I agree with this text so very much, friends.</p></div>"
+    for name in ("class='content has-sidebar'", "class='post comments-open'",
+                 "class='elementor-widget elementor-widget-text-editor'",
+                 "id='search-results'", "class='notice'"):
+        for block in (article, f"<h1>T</h1>{article}", f"<article>{article}</article>"):
+            page = f"<body>{menu}<div {name}>{block}</div>{comments}</body>"
+            found = pages.main_text(page).split("\n")
+            assert found[-5:] == paragraphs and set(found[:-5]) <= {"T"}
+    widgets = "".join(f"<div class='elementor-widget elementor-widget-text'><p>{p}</p></div>"
+                      for p in paragraphs)
+    assert pages.main_text(f"<div>{menu}{widgets}</div>").split("\n") == paragraphs
+    page = f"<body><article><p>{paragraphs[0]}</p></article><div id=comments>{article}</div>"
+    assert pages.main_text(page) == paragraphs[0]
+    assert pages.main_text(f"<body><div class='notice'>{article}") == "\n".join(paragraphs)
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", PAGE, "a"), (None, None, None, None), (2, "u", "", "b"), (2, "u", "", "b")]
     df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, text STRING")

@@ -3,7 +3,7 @@
 The standard library's HTML parser streams events; the page becomes lines (one per block
 element) with their text, the tags they hold and the element they lie in. Lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments carry no
-weight. The text-to-tag ratio of the lines (characters per tag) is smoothed with a Gaussian and
+weight; where only the name of a block says so, the content cluster can overrule it. The text-to-tag ratio of the lines (characters per tag) is smoothed with a Gaussian and
 clustered into content and other by a threshold; the smallest element that holds nearly all of
 the content cluster's text is the content region, an article or main element if one does.
 All lines of the region that are not of those kinds form the text, however short.
@@ -46,14 +46,27 @@ OTHER_PARTS = frozenset(
     "promo promotion related replies reply respond share sharing sidebar sidebars skyscraper "
     "social sponsor sponsored subscribe subscription toolbar widget widgets alert alerts "
     "complementary contentinfo search login signup".split())
+#: First and last words of class names that tell a state, such as has-sidebar, comments-open.
+STATES = (frozenset("has is no with without".split()),
+          frozenset("open opened closed enabled disabled active".split()))
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Share of the content cluster's text that the region must hold.
 HELD = 0.9
+#: Share of the cluster that makes a part count beside a block named as another part.
+SOME = 0.1
 SIGMA = 1.0
 
 
+def _name_words(name: str) -> list[str]:
+    """Words of one class, id or role; none of a state, widget only at its start."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if len(words) > 1 and (words[0] in STATES[0] or words[-1] in STATES[1]):
+        return []
+    return [w for i, w in enumerate(words) if i == 0 or w not in ("widget", "widgets")]
+
+
 class PageLines(HTMLParser):
     """Collects lines: text, tags, element number; and per element its parent and name."""
 
@@ -66,6 +79,7 @@ class PageLines(HTMLParser):
         self.buffer: list[str] = []
         self.tags = 0
         self.dropped = False
+        self.named: set[int] = set()  # elements whose name says that they are another part
 
     def _line(self) -> None:
         """Ends a line; one of a skipped part only keeps its place among the ratios."""
@@ -93,7 +107,8 @@ class PageLines(HTMLParser):
             self._implied(tag)
         if tag in VOID:
             return
-        skipped = self._other_part(tag, attrs)
+        skipped, named = self._other_part(tag, attrs)
+        skipped = skipped or named and not block
         if not block and not skipped:
             if tag in ("a", "b", "i", "em", "strong", "span", "font", "u", "s", "small"):
                 return  # inline markup neither ends a line nor is a region
@@ -103,6 +118,8 @@ class PageLines(HTMLParser):
             self.parents.append(parent)
             self.names.append(tag)
             element = len(self.names) - 1
+            if named:
+                self.named.add(element)
         self.open.append((tag, element, skipped))
         self.skipping += skipped
 
@@ -116,22 +133,23 @@ class PageLines(HTMLParser):
             elif name in BLOCKS or name in SKIPPED:
                 break
 
-    def _other_part(self, tag: str, attrs) -> bool:
+    def _other_part(self, tag: str, attrs) -> tuple[bool, bool]:
+        """Whether the element is skipped, and whether it is named as another part."""
         if tag in SKIPPED:
-            return True
+            return True, False
         named = False
         for key, value in attrs:
             if key == "hidden" or key == "style" and value and _HIDDEN.search(value):
-                return tag not in ("html", "body")
+                return tag not in ("html", "body"), False
             if key == "aria-hidden" and value == "true":
                 named = True
             if key in ("class", "id", "role") and value:
-                words = {w.lower() for w in _WORDS.findall(value)}
+                words = {w for name in value.split() for w in _name_words(name)}
                 if tag in ("article", "main", "h1", "h2", "h3", "p"):
                     words &= {"comment", "comments", "ad", "ads", "advert", "advertisement",
                               "reply", "cookie", "sponsored", "promo"}
                 named = named or not words.isdisjoint(OTHER_PARTS)
-        return named and tag not in ("html", "body")
+        return False, named and tag not in ("html", "body")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -193,7 +211,7 @@ def main_text(html: str | None) -> str:
     page.finish()
     if not page.lines:
         return ""
-    skipped = np.array([x[3] for x in page.lines])
+    skipped = np.array([x[3] for x in page.lines]) | _other_parts(page)
     chars = np.where(skipped, 0, [len(x[0]) for x in page.lines])
     if not chars.any():
         return ""
@@ -214,7 +232,63 @@ def main_text(html: str | None) -> str:
     inside[region] = True
     for element in range(region + 1, len(held)):
         inside[element] = inside[page.parents[element]]
-    return "\n".join(x[0] for x in page.lines if inside[x[2]] and not x[3])
+    return "\n".join(x[0] for x, skip in zip(page.lines, skipped, strict=True)
+                      if inside[x[2]] and not x[3] and not skip)
+
+
+def _within(page: PageLines, elements: set[int]) -> np.ndarray:
+    """Per element, whether it is or lies in one of ``elements``."""
+    inside = np.zeros(len(page.names), bool)
+    for e in range(len(inside)):
+        inside[e] = e in elements or e > 0 and inside[page.parents[e]]
+    return inside
+
+
+def _sums(page: PageLines, weights: np.ndarray) -> np.ndarray:
+    """Per element, the weight of its lines and those of the elements in it."""
+    held = np.zeros(len(page.names))
+    np.add.at(held, [x[2] for x in page.lines], weights)
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parents[e]] += held[e]
+    return held
+
+
+def _other_parts(page: PageLines) -> np.ndarray:
+    """Lines of blocks named as parts other than the article. A name is overruled where the
+    block holds the page's article or main element, its h1 with some of the content cluster, or
+    half of the cluster, unless some of the cluster stands in such an element elsewhere. If
+    nothing would be left, all names are overruled."""
+    at = np.array([x[2] for x in page.lines])
+    if not page.named:
+        return np.zeros(len(at), bool)
+    chars = np.array([0 if x[3] else len(x[0]) for x in page.lines])
+    ratios = chars / np.maximum(1, [x[1] for x in page.lines])
+    weight = np.where(content_cluster(smoothed(ratios)), chars, 0)
+    below = _within(page, page.named)
+    held, outside = _sums(page, weight), _sums(page, np.where(below[at], 0, weight))
+    some = SOME * held[0]
+    articles = {e for e, name in enumerate(page.names)
+                if name in ("article", "main") and e not in page.named}
+    heads = {e for e, name in enumerate(page.names) if name == "h1" and e not in page.named}
+    named = set(page.named)
+    if not any(outside[e] >= max(some, 1) for e in articles):
+        over, top = _above(page, articles), _above(page, heads)
+        rival = outside[0] >= some and any(not below[e] for e in heads)
+        for e in page.named:
+            if over[e] or top[e] and held[e] >= some or held[e] * 2 >= held[0] and not rival:
+                named.discard(e)
+    dropped = _within(page, named)[at]
+    return dropped if chars[~dropped].any() else np.zeros(len(at), bool)
+
+
+def _above(page: PageLines, elements: set[int]) -> np.ndarray:
+    """Per element, whether one of ``elements`` is or lies in it."""
+    above = np.zeros(len(page.names), bool)
+    for e in range(len(above) - 1, -1, -1):
+        above[e] |= e in elements
+        if e:
+            above[page.parents[e]] |= above[e]
+    return above
 
 
 def _region(page: PageLines, enough: list[int]) -> int:
