@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from odd import ODD, SCHEMA  # noqa: E402
+from text_odd import ODD, SCHEMA  # noqa: E402
 
 
 @pytest.fixture

@@ -1,9 +1,9 @@
 """Operators beyond their queries: general interfaces, hot groups, markup, indexes."""
 
-import brute
+import text_brute as brute
 import numpy as np
 import pytest
-from odd import LONG, ODD
+from text_odd import LONG, ODD
 from pyspark.sql import functions as F
 
 from vectorloom.llm import exact, licenses, lines, mixing, packing, pages, quality, shards

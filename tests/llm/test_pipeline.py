@@ -2,10 +2,10 @@
 
 from collections import Counter
 
-import brute
+import text_brute as brute
 import corpus_pipeline
 import duckdb
-from odd import ODD, SCHEMA
+from text_odd import ODD, SCHEMA
 
 from vectorloom.llm import sql
 from vectorloom.tables import written

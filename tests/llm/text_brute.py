@@ -108,3 +108,95 @@ def exact(docs):
     return [(doc_id, max((d for d in groups[text or ""] if d is not None), default=None),
              len(groups[text or ""]), hashlib.sha256((text or "").encode()).hexdigest())
             for doc_id, text in docs]
+
+
+def one_edit(a, b):
+    """Whether two different words differ by one inserted, deleted or replaced character."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        return a[i + 1:] == b[i + 1:]
+    return a[i + 1:] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1:]
+
+
+def spelling(rows, min_length=7, min_count=2, ratio=10):
+    """(word, form, root, n, n_near, form_n); every word against words of about its length."""
+    n = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'null' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            if len(run) >= min_length:
+                n[run] += 1
+    n = {w: c for w, c in n.items() if c >= min_count}
+    by_half = defaultdict(set)  # one half of a word stays as it is
+    for w in n:
+        k = len(w) // 2
+        for size in (k - 1, k):
+            by_half["<", w[:size]].add(w)
+            by_half[">", w[len(w) - size:]].add(w)
+    forms, out = {}, []
+    for w in n:
+        k = len(w) // 2
+        met = set().union(*(by_half["<", w[:s]] | by_half[">", w[len(w) - s:]]
+                            for s in (k - 1, k)))
+        near = [x for x in met if one_edit(w, x)]
+        top = min(near, key=lambda x: (-n[x], x), default=None)
+        forms[w] = top if top is not None and n[top] >= ratio * n[w] else None
+        out.append((w, len(near)))
+    rows = []
+    for w, n_near in out:
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        rows.append((w, forms[w], root, n[w], n_near, n.get(forms[w])))
+    return rows
+
+
+def secrets_base(text):
+    """n_assign, n_access, n_hex and the hash of the strong findings."""
+    text = text or ""
+    found = []
+    for rank, (kind, pattern, flags, good) in enumerate((
+            ("assign", "(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
+             "([A-Za-z0-9+/_.=-]+)", re.I | re.A, lambda m: len(m[2]) >= 12),
+            ("access", "AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 18),
+            ("hex", "[0-9a-f]+", 0, lambda m: len(m[0]) >= 16))):
+        found += [(m.start(), rank, kind, m.end())
+                  for m in re.finditer(pattern, text, flags) if good(m)]
+    kinds = [f[2] for f in found]
+    listed = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+    return (kinds.count("assign"), kinds.count("access"), kinds.count("hex"),
+            hashlib.sha256(listed.encode()).hexdigest())
+
+
+def ranked(rows, items, top=10):
+    """(item_id, rank, doc_id, score) by scoring every document for every item."""
+    from math import floor, log
+
+    def terms(text):
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+
+    docs = [(d, Counter(terms(t))) for d, t in rows]
+    docs = [(d, c, sum(c.values())) for d, c in docs if c]
+    n_docs, n_terms = len(docs), sum(n for _, _, n in docs)
+    df = Counter(t for _, c, _ in docs for t in c)
+    out = []
+    for item_id, text in items:
+        scored = []
+        for d, c, n in docs:
+            m = 100 - 75 + 75 * n * n_docs // n_terms
+            score = sum(floor(1000 * log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                        * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t in terms(text) if t in c)
+            if score > 0:
+                scored.append((-score, d is None, d or 0, d))
+        scored.sort(key=lambda x: x[:3])
+        out += [(item_id, i + 1, d, -s) for i, (s, _, _, d) in enumerate(scored[:top])]
+    return out

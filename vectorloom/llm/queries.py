@@ -13,8 +13,11 @@ from vectorloom.llm import (
     packing,
     pages,
     quality,
+    ranking,
+    secrets,
     shards,
     simhash,
+    spelling,
     substrings,
 )
 from vectorloom.tables import written
@@ -100,6 +103,28 @@ def op10_exact_dedup(spark, sf_dir) -> DataFrame:
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_spelling_variants(spark, sf_dir) -> DataFrame:
+    """Form, root and neighbours of every word."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_secret_scan(spark, sf_dir) -> DataFrame:
+    """Findings of every document."""
+    found = secrets.secret_scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *[secrets.number_of(F.col("base"), k).alias(f"n_{k}")
+                    for k, _, _ in secrets.STRONG],
+        F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"))
+
+
+def op13_ranked_search(spark, sf_dir) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranking.search(documents(spark, sf_dir), items).select(
+        "item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_shards": op2_token_shards,
@@ -111,4 +136,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_ranked_search": op13_ranked_search,
 }

@@ -59,6 +59,8 @@ STAR_RADIUS = 2
 #: Cost of sending one probe, in candidate comparisons.
 PROBE_COST = 20.0
 MOST_PARTS = 8
+#: Variants of a part that may be probed; plans with more are not considered.
+MOST_PROBES = 1 << 16
 #: ``one_of_each``: candidates by 2-word fingerprints within 8 bits, verified on 5-word shingles.
 FILTER_RADIUS, FILTER_WORDS = 8, 2
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -207,11 +209,16 @@ def plan(n: int, both: np.ndarray, radius: int = RADIUS) -> list[tuple[list[int]
         costs = []
         for bits in parts:
             each = within_cost(n, p[bits], radius)
-            costs.append([probes * n * PROBE_COST + pairs for probes, pairs in each])
+            costs.append([probes * n * PROBE_COST + pairs
+                          for probes, pairs in each if probes <= MOST_PROBES])
+        if radius - m + 1 > sum(len(c) - 1 for c in costs):
+            continue  # more probes than allowed
         cost, thresholds = allocate(costs, radius - m + 1)
         chosen = [(b, t) for b, t in zip(parts, thresholds, strict=True) if t >= 0]
         if found is None or cost < found[0]:
             found = (cost, chosen)
+    if found is None:
+        raise ValueError(f"radius {radius}: every plan probes over {MOST_PROBES} variants a part")
     return found[1]
 
 
@@ -292,6 +299,8 @@ def links(nodes: DataFrame, folder: str, radius: int = RADIUS, group: int = GROU
     """u, v: edges that connect all fingerprints linked directly or over others. Probes that
     meet are kept in ``folder`` until the edges have been used."""
     n, both = bit_counts(nodes)
+    if n < 2:
+        return nodes.sparkSession.createDataFrame([], "u BIGINT, v BIGINT")
     placed = probes(nodes, plan(n, both, radius))
     sizes = placed.groupBy("part", "key").agg(
         F.count(F.lit(1)).alias("size"), F.max("own").alias("any_own"))

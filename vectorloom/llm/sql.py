@@ -2,7 +2,7 @@ r"""DuckDB SQL with the same columns as the queries that SQL can express."""
 
 from __future__ import annotations
 
-from vectorloom.llm import lines, mixing, quality
+from vectorloom.llm import lines, mixing, quality, ranking, secrets
 
 W = r"[^\x20\x09-\x0D]+"
 TRIM = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
@@ -159,8 +159,80 @@ cut AS (SELECT s.* EXCLUDE (lrn, ls), coalesce(n_lines, 0)::BIGINT AS n_lines,
 OP8 = f"""WITH {line_cuts()}
 SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM cut"""
 
+
+
+def _secret_parts() -> str:
+    def quoted(text: str) -> str:
+        return text.replace("'", "''")
+
+    each = []
+    for kind, pattern, least in (*secrets.STRONG, *secrets.WEAK, ("break", secrets._BREAK, 2)):
+        find = quoted(secrets.finder(pattern))
+        each.append(f"""
+SELECT rn, '{kind}' AS kind, unnest(range(len(a))) AS i, unnest(a) AS step, unnest(b) AS match,
+  {least} AS least, unnest(c) AS val FROM (SELECT rn, regexp_extract_all(body, '{find}', 1) AS a,
+  regexp_extract_all(body, '{find}', 2) AS b, regexp_extract_all(body, '{find}', 3) AS c FROM src)""")
+    return " UNION ALL ".join(each)
+
+
+def _listed(kinds) -> str:
+    return ", ".join(f"'{k}'" for k in kinds)
+
+
+_STRONG = _listed(k for k, _, _ in secrets.STRONG)
+_RANK = f"list_position([{_listed(secrets.KINDS)}], kind)"
+OP12 = f"""WITH src AS (SELECT doc_id, coalesce(text, '') AS body, row_number() OVER () AS rn
+  FROM documents),
+each AS ({_secret_parts()}),
+sums AS (SELECT *, sum(length(step)) OVER (PARTITION BY rn, kind ORDER BY i) AS stop FROM each),
+good AS (SELECT rn, kind, (stop - length(match))::BIGINT AS start, stop::BIGINT AS stop,
+  kind IN ({_STRONG}) AS strong FROM sums WHERE length(match) > 0 AND length(val) >= least),
+marked AS (SELECT *,
+  count(*) FILTER (kind = 'break') OVER (PARTITION BY rn ORDER BY start, stop, kind
+    ROWS UNBOUNDED PRECEDING) AS scope FROM good),
+placed AS (SELECT * FROM marked m WHERE kind <> 'break' AND (strong OR NOT EXISTS (
+  SELECT 1 FROM good s WHERE s.strong AND s.rn = m.rn AND s.start < m.stop
+  AND s.stop > m.start))),
+met AS (SELECT s.rn, s.kind, s.start, s.stop, c.kind AS c_kind, c.start AS c_start,
+  c.stop AS c_stop FROM placed s JOIN placed c ON s.rn = c.rn AND s.scope = c.scope
+  AND s.kind IN ({_listed(secrets.SECRETS)}) AND c.kind IN ({_listed(secrets.COMPLEMENTS)})
+  AND (c.start BETWEEN s.stop AND s.stop + {secrets.REACH}
+       OR s.start BETWEEN c.stop AND c.stop + {secrets.REACH})),
+spans AS (SELECT rn, kind, start, stop FROM placed WHERE strong
+  UNION SELECT rn, kind, start, stop FROM met UNION SELECT rn, c_kind, c_start, c_stop FROM met),
+told AS (SELECT rn, count(*) FILTER (kind = 'assign') AS n_assign,
+  count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {_RANK})
+    FILTER (kind IN ({_STRONG})) AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {_RANK}) AS spans
+  FROM spans GROUP BY rn)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans FROM src LEFT JOIN told USING (rn)"""
+
+_TERMS = (f"regexp_extract_all(translate(coalesce(text, ''), '{ranking.UPPER}', "
+          f"'{ranking.UPPER.lower()}'), '{ranking.TERM}')")
+OP13 = f"""WITH src AS (SELECT row_number() OVER () AS rn, doc_id, {_TERMS} AS w FROM documents),
+full_docs AS (SELECT rn, doc_id, len(w)::BIGINT AS n FROM src WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM full_docs),
+item AS (SELECT row_number() OVER () AS rk, item_id, {_TERMS} AS w FROM benchmark),
+need AS (SELECT rk, t, count(*)::BIGINT AS reps FROM (SELECT rk, unnest(w) AS t FROM item)
+  GROUP BY rk, t),
+tf AS (SELECT rn, t, count(*)::BIGINT AS tf FROM (SELECT rn, unnest(w) AS t FROM src)
+  WHERE t IN (SELECT t FROM need) GROUP BY rn, t),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t), total),
+m AS (SELECT rn, doc_id, 25 + (75 * n * nn) // ll AS m FROM full_docs, total),
+hit AS (SELECT rk, rn, doc_id, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT
+  AS score FROM need JOIN tf USING (t) JOIN w USING (t) JOIN m USING (rn) GROUP BY rk, rn, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT rk, doc_id, score, (row_number() OVER (
+  PARTITION BY rk ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank FROM hit
+  WHERE score > 0) JOIN item USING (rk) WHERE rank <= 10"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op5_source_mixing": OP5,
     "op8_line_dedup": OP8,
+    "op12_secret_scan": OP12,
+    "op13_ranked_search": OP13,
 }
