@@ -179,8 +179,9 @@ def test_search_without_items_or_documents(spark, make_docs):
     assert search(spark, make_docs([(1, None), (2, " .")]), [(1, "a")]) == []
 
 
-def test_bounds_prune(spark):
-    """Batches that no item can use are dropped, and the others keep every result."""
+def test_bounds_prune(spark, monkeypatch):
+    """Batches that no item can use are dropped whole."""
+    monkeypatch.setattr(ranking, "BATCH_DOCS", 50)
     rows = [(i, f"alpha{i % 3} " * (1 + i % 5) + "common filler words") for i in range(600)]
     rows += [(1000 + i, "rare needle " * 3) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
