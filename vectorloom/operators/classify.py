@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
-from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from vectorloom import kernels
 from vectorloom.item_memory import ItemMemory
 from vectorloom.operators.bundle import Request, label_index
+from vectorloom.tables import attach_small, checkpoint_dir, cut_lineage
 
 # A score table up to this size is shipped instead of encoding rows.
 TABLE_BYTES = 16 << 20
@@ -20,6 +23,8 @@ TABLE_BYTES = 16 << 20
 WORKER_TABLE_BYTES = 256 << 20
 # Classifiers broadcast together.
 SHIPPED_BYTES = 64 << 20
+# Rows dealt to one copy of a model when there are too many models to broadcast.
+DEALT_ROWS = 100_000
 # Multiplications the driver may spend on building score tables itself.
 DRIVER_WORK = 1 << 27
 
@@ -212,16 +217,106 @@ def _count_correct(rows, classifiers, labels, memory) -> list:
 def predict(rows: DataFrame, classifiers: list[Classifier], labels: list[str],
             memory: ItemMemory, similarity: bool = False) -> DataFrame:
     """Add ``guess`` (and ``similarity``, the cosine to the guessed class) to rows with
-    ``part`` and ``features``; each row is scored by the model testing its part."""
+    ``part`` and ``features``; each row is scored by the model testing its part. Rows with a
+    null or NaN cell get no guess. Few models are broadcast; many meet their rows in a shuffle,
+    so that the rows are read once for any number of models."""
     groups = list(in_shipments(classifiers))
     if len(groups) == 1:
         return _predict(rows, groups[0], labels, memory, similarity)
-    scored = [
-        _predict(rows.filter(F.col("part").isin([p for c in group for p in c.test])), group,
-                 labels, memory, similarity)
-        for group in groups
-    ]
-    return reduce(DataFrame.unionByName, scored)
+    return _predict_dealt(rows, groups, labels, memory, similarity)
+
+
+def _scored(one: Classifier, levels: np.ndarray, memory: ItemMemory, similarity: bool):
+    """Class number and cosine of each row."""
+    scores = one.dots(levels, memory) * one.inverse
+    best = kernels.first_best(scores)
+    cosine = np.full(len(best), np.nan)
+    if similarity:
+        length = row_lengths(levels, memory.doubled)
+        with np.errstate(all="ignore"):
+            cosine = scores[np.arange(len(best)), best] / length
+    return one.order[best], cosine
+
+
+def _guesses(guess: np.ndarray, cosine: np.ndarray, labels: list[str]) -> pa.StructArray:
+    names = pa.array(labels, pa.string()).take(pa.array(guess, mask=guess < 0))
+    return pa.StructArray.from_arrays(
+        [names, pa.array(cosine, mask=np.isnan(cosine))], names=["guess", "similarity"])
+
+
+def _whole_rows(features: pa.Array) -> np.ndarray:
+    """Rows without a null or NaN cell."""
+    flat = features.flatten()
+    rows = np.repeat(np.arange(len(features)), np.diff(features.offsets.to_numpy()))
+    good = np.ones(len(features), bool)
+    values = flat.to_numpy(zero_copy_only=False)  # nulls come as NaN
+    good[rows[np.isnan(values)]] = False
+    return good
+
+
+def _predict_dealt(rows, groups, labels, memory, similarity) -> DataFrame:
+    """Rows are dealt to groups of one model and at most about ``DEALT_ROWS`` rows; a copy of the
+    model comes first in each group. Tasks hold one model and a batch of rows."""
+    spark = rows.sparkSession
+    shared, n_levels = memory.on(spark.sparkContext), memory.levels
+    folder = f"{checkpoint_dir(spark)}/models-{uuid4().hex}"
+    model_of = {}
+    for group in groups:
+        spark.createDataFrame(
+            [(c.model, bytearray(pickle.dumps(c.slim()))) for c in group],
+            "model INT, payload BINARY").write.mode("append").parquet(folder)
+        model_of.update((p, c.model) for c in group for p in c.test)
+    names = spark.createDataFrame(list(model_of.items()), "m_part INT, m_model INT")
+    sizes = attach_small(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), names,
+                         F.col("part") == F.col("m_part")).select(
+        F.col("part").alias("m_part"), F.col("m_model").alias("model"),
+        F.ceil(F.col("n") / DEALT_ROWS).cast("int").alias("salts"))
+    sizes = cut_lineage(sizes)
+    packed = F.struct(*[rows[f"`{c}`"] for c in rows.columns if c != "features"]).alias("row")
+    kept = rows.select(packed, "part", "features")
+    salt = F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")
+    dealt = attach_small(kept, sizes, F.col("part") == F.col("m_part")).select(
+        "model", salt.alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary")
+        .alias("payload"), "row", "features")
+    copies = sizes.groupBy("model").agg(F.max("salts").alias("salts"))
+    models = spark.read.parquet(folder).join(copies, "model").select(
+        "model", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        F.lit(0).alias("kind"), "payload", F.lit(None).cast(dealt.schema["row"].dataType)
+        .alias("row"), F.lit(None).cast(dealt.schema["features"].dataType).alias("features"))
+    order = ["model", "salt", "kind"]
+    ordered = models.union(dealt).repartition("model", "salt").sortWithinPartitions(*order)
+    row_type = dealt.schema["row"]
+
+    def score(batches):
+        one = None
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            at = 0
+            while at < len(kind):
+                if kind[at] == 0:
+                    one = pickle.loads(batch.column("payload")[at].as_py())
+                    if one.table is None and one.table_bytes(shared.value) <= WORKER_TABLE_BYTES:
+                        one.build_table(shared.value)
+                    at += 1
+                    continue
+                model = np.flatnonzero(kind[at:] == 0)
+                some = batch.slice(at, int(model[0]) if len(model) else None)
+                at += some.num_rows
+                features = some.column("features")
+                good = np.flatnonzero(_whole_rows(features))
+                guess, cosine = np.full(some.num_rows, -1), np.full(some.num_rows, np.nan)
+                if len(good):
+                    x = kernels.feature_matrix(features.take(pa.array(good)))
+                    guess[good], cosine[good] = _scored(
+                        one, one.request.levels(x, n_levels), shared.value, similarity)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("row"), _guesses(guess, cosine, labels)],
+                    names=["row", "scored"])
+
+    out = StructType([row_type, StructField("scored", StructType([
+        StructField("guess", StringType()), StructField("similarity", DoubleType())]))])
+    scored = ordered.mapInArrow(score, out)
+    return scored.select("row.*", "scored.guess", *(["scored.similarity"] if similarity else []))
 
 
 def _predict(rows, classifiers, labels, memory, similarity) -> DataFrame:
@@ -230,26 +325,21 @@ def _predict(rows, classifiers, labels, memory, similarity) -> DataFrame:
     n_levels = memory.levels
 
     def score(part: pa.Array, features: pa.Array) -> pa.Array:
-        cache = LevelCache(kernels.feature_matrix(features), n_levels)
         part = part.to_numpy(zero_copy_only=False)
-        guess = np.full(len(part), -1)
-        cosine = np.full(len(part), np.nan)
+        guess, cosine = np.full(len(part), -1), np.full(len(part), np.nan)
+        good = np.flatnonzero(_whole_rows(features))
+        if len(good) < len(part):
+            features, own = features.take(pa.array(good)), part[good]
+        else:
+            own = part
+        cache = LevelCache(kernels.feature_matrix(features), n_levels)
         for one in shipped.value.ready(shared.value):
-            chosen = np.flatnonzero(np.isin(part, one.test))
-            if not len(chosen):
-                continue
-            levels = cache.of(one.request, chosen)
-            scores = one.dots(levels, shared.value) * one.inverse
-            best = kernels.first_best(scores)
-            guess[chosen] = one.order[best]
-            if similarity:
-                length = row_lengths(levels, shared.value.doubled)
-                with np.errstate(all="ignore"):
-                    cosine[chosen] = scores[np.arange(len(best)), best] / length
-        names = pa.array(labels, pa.string()).take(pa.array(guess, mask=guess < 0))
-        return pa.StructArray.from_arrays(
-            [names, pa.array(cosine, mask=np.isnan(cosine))], names=["guess", "similarity"]
-        )
+            chosen = np.flatnonzero(np.isin(own, one.test))
+            if len(chosen):
+                levels = cache.of(one.request, chosen)
+                guess[good[chosen]], cosine[good[chosen]] = _scored(
+                    one, levels, shared.value, similarity)
+        return _guesses(guess, cosine, labels)
 
     scored = F.arrow_udf(score, "guess STRING, similarity DOUBLE")
     out = rows.withColumn("_scored", scored("part", "features"))

@@ -24,9 +24,10 @@ def selection_frequency(selections: DataFrame) -> DataFrame:
     """``feature, n_selected, n_seeds``: how many seeds selected each feature.
 
     Distinct (feature, seed) pairs are formed first, so a feature selected by
-    most seeds still aggregates in small pieces.
+    most seeds still aggregates in small pieces. A seed that selected nothing has one row
+    with a null feature.
     """
-    pairs = selections.select("feature", "seed").distinct()
+    pairs = selections.where("feature IS NOT NULL").select("feature", "seed").distinct()
     counts = pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n_selected"))
     seeds = selections.select("seed").distinct().agg(F.count(F.lit(1)).alias("n_seeds"))
     return attach_small(

@@ -53,6 +53,11 @@ def fill_missing(features, fill: float | None = 0.0) -> Column:
                        .otherwise(v))
 
 
+def has_missing(features: Column) -> Column:
+    """A null or NaN among the cells; NaN is the greatest value there is."""
+    return F.isnan(F.array_max(features)) | F.exists(features, lambda v: v.isNull())
+
+
 def well_formed(n_features: int) -> Column:
     """Row has a label, the right number of features and no missing cell."""
     return (
@@ -91,12 +96,27 @@ def long_cells(matrix: DataFrame, *keep: str) -> DataFrame:
     return matrix.select(*keep, F.posexplode("features").alias("pos", "value"))
 
 
-def cells_to_matrix(cells: DataFrame, key: str = "row_id") -> DataFrame:
-    """Long layout back to one feature array per row, in position order.
+def cells_to_matrix(cells: DataFrame, key: str = "row_id", n_features: int | None = None,
+                    fill: float | None = None) -> DataFrame:
+    """Long layout back to one feature array per row, every value at its position.
 
-    A group holds one row's cells, so its size is the feature count.
+    A group holds one row's cells, so its size is the feature count (by default the greatest
+    position there is). A position without a cell gets ``fill``; null is a missing cell, which
+    ``validate_matrix`` reports and training refuses. Of repeated cells the least stays.
     """
+    if n_features is None:
+        n_features = (cells.agg(F.max("pos")).first()[0] or 0) + 1
     packed = cells.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells")
     )
-    return packed.select(key, F.transform("cells", lambda c: c["value"]).alias("features"))
+    gap = F.lit(fill).cast("double")
+
+    def placed(c: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get("cells", i - 1)["pos"])
+        return F.when(c["pos"] > before, F.concat(
+            F.array_repeat(gap, (c["pos"] - before - 1).cast("int")), F.array(c["value"]))
+        ).otherwise(F.array().cast("array<double>"))
+
+    rest = F.array_repeat(gap, (F.lit(n_features - 1) - F.element_at("cells", -1)["pos"]).cast("int"))
+    return packed.select(key, F.concat(
+        F.flatten(F.transform("cells", placed)), rest).alias("features"))

@@ -28,10 +28,12 @@ from vectorloom.operators import matrix as mx
 from vectorloom.operators import permute, splits
 from vectorloom.plans import evaluate as ev
 from vectorloom.plans.model import HDClassifier
+from vectorloom.plans.replicates import permutation_accuracy
 from vectorloom.plans.selection import (
     Elimination,
     backward_elimination,
     feature_importance,
+    leave_one_out_accuracy,
     select_in_chunks,
 )
 from vectorloom.settings import Settings
@@ -389,30 +391,29 @@ def best_group(spark, sf_dir):
     return elimination.best_group(kept).select("group_size", "accuracy", "feature")
 
 
-FEW = "aeinrt"
-
-
 def loo_round_accuracy(spark, sf_dir):
     """First elimination round on all letters: accuracy of every leave-one-out subset."""
-    rows = letter_shares(spark, sf_dir)
-    every = range(len(LETTERS))
-    subsets = [tuple(p for p in every if p != out) for out in every]
-    with spread(rows, "row_id") as wide:
-        parted = ev.holdout_rows(wide, PERCENT, SEED)
-        specs = [ev.Spec(LETTERS[out], (1,), (0,), s) for out, s in enumerate(subsets)]
-        best = ev.evaluate_models(parted, specs, SMALL).best
-    return best.select(F.col("model_id").alias("excluded"), "accuracy")
+    return leave_one_out_accuracy(letter_shares(spark, sf_dir), SMALL, percentage=PERCENT,
+                                  names=list(LETTERS))
 
 
 def language_feature_elimination(spark, sf_dir):
-    found = backward_elimination(letter_shares(spark, sf_dir, FEW + "ou"), SMALL, Elimination(),
-                                 percentage=PERCENT, names=list(FEW + "ou"))
+    found = backward_elimination(letter_shares(spark, sf_dir), SMALL, Elimination(),
+                                 percentage=PERCENT, names=list(LETTERS))
     return found.selection
 
 
 def language_elimination_runs(spark, sf_dir):
-    found = backward_elimination(letter_shares(spark, sf_dir, FEW), SMALL,
-                                 Elimination(tolerance=1.0), folds=FOLDS, names=list(FEW))
+    found = backward_elimination(letter_shares(spark, sf_dir), SMALL,
+                                 Elimination(tolerance=1.0), folds=FOLDS, names=list(LETTERS))
+    return found.runs.select("run_id", "group_size", "accuracy", "iteration",
+                             F.array_join("excluded", ",").alias("excluded"))
+
+
+def language_elimination_deep(spark, sf_dir):
+    """Without tolerance most rounds keep one run and drop one letter: the longest search."""
+    found = backward_elimination(letter_shares(spark, sf_dir), SMALL, Elimination(
+        accuracy_threshold=0, tolerance=0.0), percentage=PERCENT, names=list(LETTERS))
     return found.runs.select("run_id", "group_size", "accuracy", "iteration",
                              F.array_join("excluded", ",").alias("excluded"))
 
@@ -440,10 +441,7 @@ def permutation_null(spark, sf_dir):
     """Accuracy of the embedding classifier against label-permuted replicates."""
     rows = embeddings(spark, sf_dir)
     observed = ev.holdout(rows, PERCENT, SMALL).best_scores()[0][0]
-    replicates = 5
-    shuffled = permute.label_permutations(rows, replicates, SEED).drop("row_pos").join(
-        rows.drop("label"), "row_id")
-    null = ev.holdout_replicates(shuffled, replicates, PERCENT, SMALL)
+    null = permutation_accuracy(rows, 5, PERCENT, SMALL)
     found = importance.permutation_p_value(observed, null)
     return found.withColumns({c: F.round(c, 9) for c in ("null_mean", "p_value")})
 
@@ -739,8 +737,8 @@ def permutation_files(spark, sf_dir):
 def run_summary(spark, sf_dir):
     """Retained runs of an elimination, appended with their parameters."""
     path, rules = scratch(spark), Elimination(tolerance=1.0)
-    found = backward_elimination(letter_shares(spark, sf_dir, FEW), SMALL, rules, folds=FOLDS,
-                                 names=list(FEW))
+    found = backward_elimination(letter_shares(spark, sf_dir), SMALL, rules, folds=FOLDS,
+                                 names=list(LETTERS))
     sinks.write_summary(found.runs, path, "letters", SMALL, rules)
     return spark.read.parquet(path).select(
         "run_id", "group_size", "accuracy", "dataset", "dimensionality", "n_levels", "tolerance")
@@ -748,8 +746,8 @@ def run_summary(spark, sf_dir):
 
 def selection_report(spark, sf_dir):
     path = scratch(spark)
-    found = backward_elimination(letter_shares(spark, sf_dir, FEW + "ou"), SMALL, Elimination(),
-                                 percentage=PERCENT, names=list(FEW + "ou"))
+    found = backward_elimination(letter_shares(spark, sf_dir), SMALL, Elimination(),
+                                 percentage=PERCENT, names=list(LETTERS))
     sinks.write_selection(found.selection, path)
     return spark.read.parquet(path)
 
@@ -773,6 +771,100 @@ def ranking_report(spark, sf_dir):
         F.round(F.get(parts, F.lit(1)).cast("double"), 9).alias("frequency"))
 
 
+def selection_tree(spark, sf_dir):
+    """Selection files of seeds, runs and chunks, written and read by their paths, and the
+    features ranked by how many seeds' last runs selected them."""
+    path = scratch(spark)
+    seed, run = F.col("p_partkey") % 10, F.col("p_size") % 3
+    picked = table(spark, sf_dir, "part").select(
+        seed.alias("seed"), run.alias("run"),
+        F.when(run == 2, F.lit(0)).otherwise(F.col("p_retailprice").cast("int") % 2).alias("chunk"),
+        F.concat_ws(" ", "p_brand", "p_type").alias("feature")).distinct()
+    sinks.write_selection_tree(picked, path)
+    last = importance.last_run_per_seed(delimited.read_selection_tree(spark, path))
+    top = importance.top_features(importance.selection_frequency(last))
+    return top.select("feature", "n_selected", "n_seeds")
+
+
+def event_files(spark, sf_dir) -> str:
+    """A folder of .bed and .bed.meta files, one of each per user: event counts by type. Every
+    seventh user's lines come in another order; every fifth has no tissue status."""
+    path = scratch(spark)
+    user = F.col("user_id")
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(
+        F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_type"))
+    amount = F.when(F.col("event_type") == "error", F.lit(" ")).otherwise(
+        F.col("n").cast("string"))
+    bed = counts.withColumn("rank", rank).select(
+        F.concat(F.lit("user-"), user.cast("string"), F.lit("-mbv.bed")).alias("file"),
+        F.format_string("%06d", F.when(user % 7 == 3, 1000 - F.col("rank")).otherwise(
+            F.col("rank"))).alias("place"),
+        F.concat_ws("\t", F.lit("chr1"), F.lit("0"), F.lit("1"), F.lit("+"), "event_type",
+                    amount).alias("value"))
+    meta_file = F.concat(F.lit("user-"), user.cast("string"), F.lit("-cbs.bed.meta"))
+    status = F.when(user % 5 != 1, F.concat_ws(
+        "\t", F.lit(bio.TISSUE_KEY), F.when(user % 2 == 0, "tumoral").otherwise("normal")))
+    platform = F.concat_ws("\t", F.lit(bio.PLATFORM_KEY), F.concat(F.lit("P"), (user % 3).cast("string")))
+    meta = counts.select("user_id").distinct().select(meta_file.alias("file"), F.explode(
+        F.array_compact(F.array(F.lit("other\tvalue"), status, platform))).alias("value"))
+    sinks.write_named_files(bed, f"{path}/bed")
+    sinks.write_named_files(meta.select("file", F.col("value").alias("place"), "value"), f"{path}/meta")
+    return path
+
+
+def bed_files(spark, sf_dir):
+    """Labelled matrix of BED files joined with their metadata files."""
+    path = event_files(spark, sf_dir)
+    matrix, names, _ = bio.bed_dataset(spark, f"{path}/bed", f"{path}/meta")
+    cells = mx.long_cells(matrix, "sample", "label")
+    return cells.join(F.broadcast(names), "pos").select("sample", "label", "pos", "name", "value")
+
+
+def bed_file_report(spark, sf_dir):
+    """Which files a dataset of one platform takes, and which have other features."""
+    path = event_files(spark, sf_dir)
+    return bio.bed_dataset(spark, f"{path}/bed", f"{path}/meta", "P1")[2]
+
+
+def reject_counts(spark, sf_dir):
+    """What the reader meets in a file with markers, bad numbers and rows of other widths."""
+    path = scratch(spark)
+    line = F.when(F.col("value").contains("9.5"), F.concat("value", F.lit(",more"))).when(
+        F.col("value").contains(" 4.5"), F.regexp_replace("value", r" 4\.5 ", "4.5.5")).otherwise(
+        F.col("value"))
+    header = spark.createDataFrame([("id,size,half,class",)], "value STRING")
+    header.coalesce(1).union(part_lines(spark, sf_dir).select(line.alias("value"))).write.text(path)
+    matrix, _, counts = delimited.read_labelled_checked(spark, path, ",", "?")
+    unread = matrix.where(mx.has_missing(F.col("features")))
+    return unread.agg(F.count(F.lit(1)).alias("rows_with_missing")).select(
+        "*", *[F.lit(counts[c]).cast("bigint").alias(c)
+               for c in ("rows", "missing", "bad_numbers", "rejected")])
+
+
+def store_two_runs(spark, sf_dir):
+    """Two runs keep the encoded sets of their folds in one store; one of them is cleaned."""
+    store = ArtifactStore(spark, scratch(spark))
+    rows = embeddings(spark, sf_dir)
+    lo, hi = encode.edge_values(rows, LEVELS)
+    folds = {"a": (0, 1), "b": (1, 2)}  # fold 1 is kept by both
+    for run, own in folds.items():
+        store.item_memory(DIM, LEVELS, SEED, run=run)
+        for fold in own:
+            store.encoded(rows.where(F.col("row_pos") % 3 == fold), DIM, LEVELS, SEED, lo, hi,
+                          run=run, fold=fold, side="test")
+    store.clean_up("a")
+    states = []
+    for fold in range(3):
+        part = rows.where(F.col("row_pos") % 3 == fold)
+        key = dict(data=fingerprint(part), dimensionality=DIM, levels=LEVELS, seed=SEED, lo=lo,
+                   hi=hi, fold=fold, side="test")
+        n = spark.read.parquet(store.path("encoded", **key)).count() if store.has(
+            "encoded", **key) else 0
+        states.append((fold, n))
+    return spark.createDataFrame(states, "fold INT, encoded_rows BIGINT")
+
+
 def stored_model_predictions(spark, sf_dir):
     """Predictions of a model that was saved and loaded."""
     store = ArtifactStore(spark, scratch(spark))
@@ -783,10 +875,10 @@ def stored_model_predictions(spark, sf_dir):
 
 
 def chunked_selection(spark, sf_dir):
-    """Six letters in random chunks of three, one elimination per chunk."""
-    return select_in_chunks(letter_shares(spark, sf_dir, FEW), SMALL, 3,
+    """All letters in random chunks of nine, one elimination per chunk."""
+    return select_in_chunks(letter_shares(spark, sf_dir), SMALL, 9,
                             Elimination(accuracy_threshold=0), percentage=PERCENT,
-                            names=list(FEW)).selection
+                            names=list(LETTERS)).selection
 
 
 QUERIES = {
@@ -830,6 +922,7 @@ QUERIES = {
     "loo_round_accuracy": loo_round_accuracy,
     "language_feature_elimination": language_feature_elimination,
     "language_elimination_runs": language_elimination_runs,
+    "language_elimination_deep": language_elimination_deep,
     "backward_selection": backward_selection,
     "feature_importance": feature_importance_query,
     "permutation_null": permutation_null,
@@ -870,4 +963,9 @@ QUERIES = {
     "ranking_report": ranking_report,
     "stored_model_predictions": stored_model_predictions,
     "chunked_selection": chunked_selection,
+    "selection_tree": selection_tree,
+    "bed_files": bed_files,
+    "bed_file_report": bed_file_report,
+    "reject_counts": reject_counts,
+    "store_two_runs": store_two_runs,
 }

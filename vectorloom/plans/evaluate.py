@@ -6,16 +6,16 @@ from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom import kernels
 from vectorloom.item_memory import ItemMemory, load_item_memory
 from vectorloom.operators import bundle, classify, retrain
 from vectorloom.operators.bundle import Request
 from vectorloom.operators.classify import Classifier
+from vectorloom.operators.matrix import has_missing
 from vectorloom.operators.splits import kfold_held_out, stratified_split
+from vectorloom.plans.rounds import extremes, feature_ranges
 from vectorloom.settings import Settings
 from vectorloom.tables import attach_small, bounded_rows, prepare, spread
 
@@ -33,47 +33,24 @@ class Spec:
     positions: tuple[int, ...]
 
 
-def _task_ranges(batches):
-    """Least and greatest value of each feature in a task's rows, one row per part."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        x = kernels.feature_matrix(batch.column("features"))
-        part = batch.column("part").to_numpy()
-        for p in np.unique(part):
-            own = x[part == p]
-            both = np.stack([own.min(axis=0), own.max(axis=0)])
-            if p in held:
-                both = np.stack([np.minimum(held[p][0], both[0]), np.maximum(held[p][1], both[1])])
-            held[p] = both
-    for p, (lo, hi) in held.items():
-        yield pa.RecordBatch.from_arrays([
-            pa.array([int(p)], pa.int32()), kernels.list_column(lo[None], pa.float64()),
-            kernels.list_column(hi[None], pa.float64())], names=["part", "lo", "hi"])
-
-
-def _has_missing(features):
-    """A null or NaN among the cells; NaN is the greatest value there is."""
-    return F.isnan(F.array_max(features)) | F.exists(features, lambda v: v.isNull())
-
-
 class PartStats:
-    """Per part: value range of every feature, and per class the first row and count.
-
-    One row per (part, feature) or (part, class): small beside the data.
-    """
+    """Per part the value range, and per part and class the first row and the count: one row
+    per (part, class) on the driver, small beside the data."""
 
-    def __init__(self, rows: DataFrame, per_feature: bool):
+    def __init__(self, rows: DataFrame):
         shape = rows.groupBy("part", "label").agg(
             F.min("row_pos").alias("first"), F.count(F.lit(1)).alias("n"),
             F.min(F.array_min("features")).alias("lo"), F.max(F.array_max("features")).alias("hi"),
             F.min(F.size("features")).alias("narrow"), F.max(F.size("features")).alias("wide"),
-            F.count_if(_has_missing(F.col("features"))).alias("missing"),
+            F.count_if(has_missing(F.col("features"))).alias("missing"),
         )
         found = bounded_rows(shape, _MAX_STATS, "classes per part")
         if not found:
             raise ValueError("no rows")
         if min(r.narrow for r in found) != max(r.wide for r in found):
             raise ValueError("rows with different feature counts; run validate_matrix first")
+        if nameless := sum(r.n for r in found if r.label is None):
+            raise ValueError(f"{nameless} rows have no label; drop them first")
         if missing := sum(r.missing for r in found):
             raise ValueError(f"{missing} rows have missing (null or NaN) cells; "
                              "fill them or drop the rows first")
@@ -90,36 +67,15 @@ class PartStats:
             ranges[0, r.part] = np.fmin(ranges[0, r.part], r.lo)
             ranges[1, r.part] = np.fmax(ranges[1, r.part], r.hi)
         self.lo, self.hi = ranges
-        self.feature_lo = self.feature_hi = None
-        if per_feature:
-            self._feature_ranges(rows)
-
-    def _feature_ranges(self, rows: DataFrame) -> None:
-        ranges = rows.select("part", "features").mapInArrow(
-            _task_ranges, "part INT, lo ARRAY<DOUBLE>, hi ARRAY<DOUBLE>")
-        cells = ranges.select("part", F.posexplode(F.arrays_zip("lo", "hi")).alias("pos", "v"))
-        found = cells.groupBy("part", "pos").agg(F.min("v.lo").alias("lo"),
-                                                 F.max("v.hi").alias("hi"))
-        table = found.toArrow()
-        at = table.column("part").to_numpy(), table.column("pos").to_numpy()
-        self.feature_lo = np.full((self.n_parts, self.width), np.inf)
-        self.feature_hi = np.full((self.n_parts, self.width), -np.inf)
-        self.feature_lo[at] = table.column("lo").to_numpy()
-        self.feature_hi[at] = table.column("hi").to_numpy()
-
-    def request(self, spec: Spec) -> tuple[float, float]:
-        train = list(spec.train)
-        if not self.count[train].sum():
-            raise ValueError(f"model {spec.model_id}: no training rows")
-        if len(spec.positions) == self.width:
-            return float(np.nanmin(self.lo[train])), float(np.nanmax(self.hi[train]))
-        at = np.ix_(train, spec.positions)
-        return float(self.feature_lo[at].min()), float(self.feature_hi[at].max())
 
-    def order(self, spec: Spec) -> np.ndarray:
-        """Class numbers by first training row."""
+    def whole_range(self, parts) -> tuple[float, float]:
+        """Least and greatest value of all features."""
+        return float(np.nanmin(self.lo[list(parts)])), float(np.nanmax(self.hi[list(parts)]))
+
+    def order_of(self, parts) -> np.ndarray:
+        """Class numbers by first row in the given (training) parts."""
         seen = {}
-        for part in spec.train:
+        for part in parts:
             for c in range(len(self.labels)):
                 if (part, c) in self.first:
                     position = self.first[part, c]
@@ -151,8 +107,9 @@ def evaluate_models(rows: DataFrame, specs: list[Spec], settings: Settings,
     spark = rows.sparkSession
     prepare(spark)
     given, rows = rows, rows.select("part", "label", "row_pos", "features")
-    stats = stats or PartStats(rows, per_feature=_subsets(specs))
+    stats = stats or PartStats(rows)
     memory = load_item_memory(spark, settings.dimensionality, settings.levels, settings.seed)
+    edges = edges_of(rows, specs, stats)
     for spec in specs:
         if not stats.n_rows(spec.test):
             raise ValueError(f"model {spec.model_id}: no test rows")
@@ -163,24 +120,33 @@ def evaluate_models(rows: DataFrame, specs: list[Spec], settings: Settings,
     short = [i for i, is_small in enumerate(small) if is_small]
     long = [i for i, is_small in enumerate(small) if not is_small]
     if short:
-        _run_small(rows, short, specs, settings, stats, memory, history, final)
+        _run_small(rows, short, specs, edges, settings, stats, memory, history, final)
     if long:
-        models = train(rows, [(i, specs[i]) for i in long], settings, stats, memory)
+        models = train(rows, [(i, specs[i]) for i in long], edges, settings, stats, memory)
         _run_passes(rows, models, settings, stats, memory, history, final)
     return Evaluation(given, specs, stats, memory, settings, history, final)
 
 
-def _subsets(specs: list[Spec]) -> bool:
-    return len({s.positions for s in specs}) > 1 or any(
-        s.positions != tuple(range(len(s.positions))) for s in specs
-    )
+def edges_of(rows: DataFrame, specs: list[Spec], stats: PartStats) -> list[tuple[float, float]]:
+    """Value range of every model's training cells. Those of feature subsets are looked up by
+    tasks in a table of ranges per part and feature."""
+    for spec in specs:
+        if not stats.n_rows(spec.train):
+            raise ValueError(f"model {spec.model_id}: no training rows")
+    subsets = {(s.train, s.positions) for s in specs if len(s.positions) != stats.width}
+    found = {}
+    if subsets:
+        wanted = sorted(subsets)
+        ends = extremes(feature_ranges(rows), [(t, np.array(p)) for t, p in wanted], stats.width)
+        found = {key: (e.lo, e.hi) for key, e in zip(wanted, ends, strict=True)}
+    return [found[s.train, s.positions] if (s.train, s.positions) in found
+            else stats.whole_range(s.train) for s in specs]
 
 
-def train(rows: DataFrame, numbered: list[tuple[int, Spec]], settings: Settings,
+def train(rows: DataFrame, numbered: list[tuple[int, Spec]], edges, settings: Settings,
           stats: PartStats, memory: ItemMemory) -> list[Classifier]:
-    """Untouched class vectors of every model. Models with the same edges share one
-    count of the data; matrices too wide to count are encoded and summed."""
-    edges = {i: stats.request(spec) for i, spec in numbered}
+    """Untouched class vectors of every model; ``edges`` by model number. Models with the same
+    edges share one count of the data; matrices too wide to count are encoded and summed."""
     union = {}
     for i, spec in numbered:
         union.setdefault(edges[i], set()).update(spec.positions)
@@ -227,7 +193,7 @@ def _from_counts(rows, request, counts, numbered, stats, memory) -> list[Classif
     column = {p: i for i, p in enumerate(request.positions)}
     models = []
     for i, spec in numbered:
-        order = stats.order(spec)
+        order = stats.order_of(spec.train)
         mine = counts[list(spec.train)].sum(axis=0)[order]
         if spec.positions != request.positions:
             mine = mine[:, [column[p] for p in spec.positions]]
@@ -251,17 +217,17 @@ def _from_rows(rows, numbered, edges, stats, memory) -> list[Classifier]:
                                        memory.dimensionality)
         for request, of_request in zip(group, vectors):
             for i, spec in by_request[request]:
-                order = stats.order(spec)
+                order = stats.order_of(spec.train)
                 mine = of_request[list(spec.train)].sum(axis=0)[order]
                 models.append(Classifier(i, request, order, mine, spec.train, spec.test)
                               .ready(memory))
     return models
 
 
-def _run_small(rows, short, specs, settings, stats, memory, history, final):
+def _run_small(rows, short, specs, edges, settings, stats, memory, history, final):
     models = [
         Classifier(i, Request(*stats.request(specs[i]), specs[i].positions),
-                   stats.order(specs[i]), np.zeros((0, 0)), specs[i].train, specs[i].test)
+                   stats.order_of(specs[i].train), np.zeros((0, 0)), specs[i].train, specs[i].test)
         for i in short
     ]
     steps = retrain.retrain_small(rows, models, stats.labels, memory, settings.retrain,
@@ -404,7 +370,7 @@ def holdout(matrix: DataFrame, percentage: float, settings: Settings) -> Evaluat
     slim = matrix.select("row_id", "row_pos", "label", "features")
     with spread(slim, "row_id") as wide:
         rows = holdout_rows(wide, percentage, settings.seed)
-        stats = PartStats(rows, per_feature=False)
+        stats = PartStats(rows)
         if stats.n_parts < 2 or not stats.count[1].sum():
             raise ValueError("the split leaves no training rows")
         return evaluate_models(rows, holdout_specs(range(stats.width)), settings, stats)
@@ -415,7 +381,7 @@ def cross_validate(matrix: DataFrame, k: int, settings: Settings) -> Evaluation:
     slim = matrix.select("row_pos", "label", "features")
     with spread(slim, "row_pos") as wide:
         rows, parts = fold_rows(wide, k)
-        stats = PartStats(rows, per_feature=False)
+        stats = PartStats(rows)
         return evaluate_models(rows, fold_specs(parts, k, range(stats.width)), settings, stats)
 
 
@@ -430,7 +396,7 @@ def holdout_replicates(rows: DataFrame, replicates: int, percentage: float,
     parted = drawn.select(part.cast("int").alias("part"), F.col("_label").alias("label"),
                           "row_pos", "features")
     with spread(parted, "row_pos") as parted:
-        stats = PartStats(parted, per_feature=False)
+        stats = PartStats(parted)
         positions = tuple(range(stats.width))
         specs = [Spec(str(r), (2 * r + 1,), (2 * r,), positions) for r in range(replicates)]
         best = evaluate_models(parted, specs, settings, stats).best

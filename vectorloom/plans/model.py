@@ -76,11 +76,12 @@ class HDClassifier:
     def fit(self, matrix: DataFrame) -> HDModel:
         """Train on all rows; with retraining, keep the iteration that fits them best."""
         rows = matrix.withColumn("part", F.lit(0))
-        stats = PartStats(rows, per_feature=False)
+        stats = PartStats(rows)
         spec = Spec("fit", (0,), (0,), tuple(range(stats.width)))
         if not self.settings.retrain:
             s = self.settings
             memory = load_item_memory(rows.sparkSession, s.dimensionality, s.levels, s.seed)
-            return HDModel(s, stats.labels, train(rows, [(0, spec)], s, stats, memory)[0], memory)
+            return HDModel(s, stats.labels, train(
+                rows, [(0, spec)], [stats.whole_range((0,))], s, stats, memory)[0], memory)
         result = evaluate_models(rows, [spec], self.settings, stats)
         return HDModel(self.settings, stats.labels, result.classifiers()[0], result.memory)

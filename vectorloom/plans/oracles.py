@@ -5,7 +5,6 @@ from __future__ import annotations
 DIM, LEVELS, SEED = 64, 8, 0
 PERCENT, FOLDS = 80, 5
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-FEW = "aeinrt"
 
 EMB = """emb AS (SELECT vec_id AS row_id, vec_id AS row_pos, CAST(label AS VARCHAR) AS label,
   CAST(embedding AS DOUBLE[]) AS features FROM embeddings)"""
@@ -364,100 +363,6 @@ ORACLES["loo_round_accuracy"] = with_(
 FROM guessed WHERE test GROUP BY model"""
 
 
-# ---- searches over feature subsets: every subset is scored, then the rounds are walked ----
-
-
-def subset_scores(source: str, n: int, folds: int | None) -> list[str]:
-    """``acc``: the accuracy of every subset of features, as one list indexed by bit mask.
-    Class vectors come from level counts; only tested rows are encoded one by one."""
-    if folds:
-        member, per_mask = FOLD_MEMBERS.replace("member AS", "base_member AS"), folds
-    else:
-        member, per_mask = split_cte() + ",\n" + HOLDOUT.replace("member AS", "base_member AS"), 1
-    return [
-        source, member,
-        """all_cells AS (SELECT row_id, label, unnest(features) AS value,
-  unnest(range(len(features))) AS pos FROM emb)""",
-        f"""chosen AS (SELECT mask, row_id, value, bit_count(mask & ((1 << pos) - 1)) AS pos
-  FROM all_cells, range(1, {1 << n}) g(mask) WHERE (mask >> pos) & 1 = 1)""",
-        f"""ranges AS (SELECT mask * {per_mask} + model AS model, min(value) AS lo, max(value) AS hi
-  FROM chosen JOIN base_member USING (row_id) WHERE train GROUP BY ALL)""",
-        f"""leveled AS (SELECT model, row_id, label, train, test, pos,
-  {level('value', 'lo', 'hi')} AS level FROM (SELECT mask * {per_mask} + m.model AS model, row_id,
-    m.label, train, test, pos, value FROM chosen JOIN base_member m USING (row_id)) JOIN ranges
-  USING (model))""",
-        MEMORY,
-        """used AS (SELECT model, label, pos, level, count(*) AS n FROM leveled WHERE train
-  GROUP BY ALL)""",
-        f"""classes AS (SELECT model, label, (d + pos) % {DIM} AS d,
-  CAST(sum(n * sign) AS BIGINT) AS c FROM used JOIN memory USING (level) GROUP BY ALL)""",
-        """lengths AS (SELECT model, label, sqrt(CAST(sum(c * c) AS DOUBLE)) AS size FROM classes
-  GROUP BY ALL)""",
-        f"""encoded AS (SELECT model, row_id, (d + pos) % {DIM} AS d, CAST(sum(sign) AS BIGINT) AS h
-  FROM leveled JOIN memory USING (level) WHERE test GROUP BY ALL)""",
-        """ranks AS (SELECT m.model, m.label, row_number() OVER (PARTITION BY m.model
-  ORDER BY min(row_pos)) AS rank FROM base_member m JOIN emb USING (row_id) WHERE train
-  GROUP BY m.model, m.label)""",
-        """dots AS (SELECT model, row_id, c.label, CAST(sum(h * c.c) AS DOUBLE) AS dot
-  FROM encoded JOIN classes c USING (model, d) GROUP BY ALL)""",
-        f"""picked AS (SELECT d.model, row_id, d.label AS guess, row_number() OVER (
-    PARTITION BY d.model, row_id ORDER BY round(dot / nullif(size, 0), 9) DESC NULLS LAST, rank) AS r
-  FROM dots d JOIN lengths USING (model, label)
-  JOIN ranks k ON k.model = d.model % {per_mask} AND k.label = d.label)""",
-        f"""per_model AS (SELECT p.model, round(100 * avg(CASE WHEN guess = m.label THEN 1 ELSE 0 END), 2)
-  AS accuracy FROM picked p JOIN base_member m ON m.model = p.model % {per_mask}
-  AND m.row_id = p.row_id WHERE r = 1 GROUP BY p.model)""",
-        f"""acc AS (SELECT list(a ORDER BY mask) AS t FROM (SELECT model // {per_mask} AS mask,
-  round(avg(accuracy), 2) AS a FROM per_model GROUP BY ALL))""",
-    ]
-
-
-def search(source: str, n: int, folds: int | None, tolerance: float, threshold: float,
-           group_min: int = 1, chunks: str | None = None) -> str:
-    """Rounds of the elimination, for all features or for each chunk ``(chunk, full)``."""
-    chunks = chunks or f"chunks AS (SELECT 0 AS chunk, {(1 << n) - 1}::BIGINT AS full_mask)"
-    rounds = f"""search AS (SELECT chunk, 0 AS round, full_mask AS base,
-    CAST(bit_count(full_mask) AS INTEGER) AS size, [full_mask] AS kept, t[full_mask] AS best
-  FROM acc, chunks
-  UNION ALL
-  SELECT chunk, round + 1, base2, CAST(bit_count(base2) AS INTEGER) - 1,
-    list_filter(subsets, lambda m: t[m] >= best2 - best2 * {tolerance} / 100.0), best2
-  FROM (SELECT *, list_max(list_transform(subsets, lambda m: t[m])) AS best2
-    FROM (SELECT *, list_transform(list_filter(range({n}), lambda i: (base2 >> i) & 1 = 1),
-        lambda i: base2 - (1::BIGINT << i)) AS subsets
-      FROM (SELECT s.*, t, list_reduce(kept, lambda a, b: a & b) AS base2 FROM search s, acc
-        WHERE size - 1 >= {group_min} AND best >= {threshold}) WHERE bit_count(base2) > 1)))"""
-    return "WITH RECURSIVE " + ",\n".join([*subset_scores(source, n, folds), chunks, rounds]) + "\n"
-
-
-def selection(source: str, names: list[str], folds, tolerance, threshold, chunks=None) -> str:
-    listed = "[" + ", ".join(f"'{x}'" for x in names) + "]"
-    return search(source, len(names), folds, tolerance, threshold, 1, chunks) + f"""
-SELECT chunk, size AS group_size, best AS accuracy, unnest(list_transform(list_filter(
-  range({len(names)}), lambda i: (list_reduce(kept, lambda a, b: a | b) >> i) & 1 = 1),
-  lambda i: {listed}[i + 1])) AS feature
-FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY best DESC, size) AS place
-  FROM search) WHERE place = 1"""
-
-
-def retained(source: str, letters: str, folds, tolerance, threshold) -> str:
-    """Retained runs; ``letters`` must be in alphabetical order."""
-    n = len(letters)
-    bits = f"list_filter(range({n}), lambda i: ({{}} >> i) & 1 = 1)"
-    text = f"list_transform({{}}, lambda i: substr('{letters}', CAST(i AS INTEGER) + 1, 1))"
-    mine, gone = text.format(bits.format("mask")), text.format(bits.format("(base - mask)"))
-    return search(source, n, folds, tolerance, threshold) + f"""
-SELECT md5('[''' || array_to_string({mine}, ''', ''') || ''']') AS run_id, size AS group_size,
-  t[mask] AS accuracy, 0 AS iteration, coalesce(array_to_string({gone}, ','), '') AS excluded
-FROM (SELECT *, unnest(kept) AS mask FROM search), acc"""
-
-
-ORACLES["language_feature_elimination"] = selection(
-    letters_cte(FEW + "ou", True), list(FEW + "ou"), None, 5.0, 60.0)
-ORACLES["language_elimination_runs"] = retained(letters_cte(FEW, True), FEW, FOLDS, 1.0, 60.0)
-ORACLES["backward_selection"] = selection(
-    ITEMS, ["quantity", "extendedprice", "discount", "tax"], None, 5.0, 0.0)
-
 # Model 5 is the classifier on the real labels, models 0 to 4 are the permuted replicates.
 ORACLES["permutation_null"] = with_(
     EMB,
@@ -486,13 +391,6 @@ QUALITY = r"""emb AS (SELECT doc_id AS row_id, doc_id AS row_pos, CAST(quality A
 ORACLES["text_quality_hdc"] = classifier(
     QUALITY, HOLDOUT, f"SELECT {ACCURACY} AS accuracy, 0 AS iteration FROM guessed WHERE test")
 
-ORACLES["chunked_selection"] = selection(
-    letters_cte(FEW, True), list(FEW), None, 5.0, 0.0,
-    f"""names AS (SELECT i AS pos, substr('{FEW}', CAST(i AS INTEGER) + 1, 1) AS name
-  FROM range({len(FEW)}) r(i)),
-chunks AS (SELECT chunk, bit_or(1::BIGINT << pos) AS full_mask FROM (
-  SELECT pos, {_CHUNK.format(3)} FROM names) GROUP BY chunk)""")
-
 # Written and read back: the same tables as before they were written.
 ORACLES["store_item_memory"] = ORACLES["item_memory_usage"]
 ORACLES["store_encoded_set"] = ENCODE
@@ -516,10 +414,6 @@ FROM embeddings"""
 ORACLES["feature_list_file"] = ORACLES["recognised_features"]
 ORACLES["chunk_files"] = ORACLES["chunked_dataset"]
 ORACLES["permutation_files"] = ORACLES["label_permutation"]
-ORACLES["run_summary"] = f"""SELECT run_id, group_size, accuracy, 'letters' AS dataset,
-  {DIM} AS dimensionality, {LEVELS} AS n_levels, CAST(1.0 AS DOUBLE) AS tolerance
-FROM ({ORACLES["language_elimination_runs"]})"""
-ORACLES["selection_report"] = ORACLES["language_feature_elimination"]
 ORACLES["run_log"] = f"""SELECT model_id, accuracy, unnest([0, 1]) AS attempt
 FROM ({ORACLES["cv_history"]})"""
 ORACLES["ranking_report"] = f"""SELECT feature, frequency FROM ({ORACLES["top_features"]})"""
@@ -538,3 +432,37 @@ _INTEGERS = {
 for _name, _columns in _INTEGERS.items():
     _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _columns)
     ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]})"
+
+ORACLES["selection_tree"] = """WITH picked AS (SELECT DISTINCT p_partkey % 10 AS seed,
+  p_size % 3 AS run, p_brand || ' ' || p_type AS feature FROM part),
+last AS (SELECT seed, max(run) AS run FROM picked GROUP BY seed)
+SELECT feature, count(DISTINCT seed) AS n_selected, (SELECT count(*) FROM last) AS n_seeds
+FROM picked JOIN last USING (seed, run) GROUP BY feature"""
+
+_EVENT_FILES = """counts AS (SELECT user_id, event_type, count(*) AS n FROM events
+  GROUP BY user_id, event_type),
+lines AS (SELECT user_id, event_type AS name, CASE WHEN event_type = 'error' THEN 0.0 ELSE n END
+  AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS up,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_type DESC) AS down FROM counts),
+placed AS (SELECT user_id, 'user-' || user_id AS sample, name, CAST(value AS DOUBLE) AS value,
+  CAST(CASE WHEN user_id % 7 = 3 THEN down ELSE up END - 1 AS INTEGER) AS pos FROM lines),
+files AS (SELECT user_id, sample, count(*)::INTEGER AS n_features,
+  list(name ORDER BY pos) AS names FROM placed GROUP BY user_id, sample),
+told AS (SELECT *, names = first(names) OVER (ORDER BY sample) AS same,
+  CASE WHEN user_id % 5 <> 1 THEN CASE WHEN user_id % 2 = 0 THEN 'tumoral' ELSE 'normal' END END
+  AS label, 'P' || user_id % 3 AS platform FROM files)"""
+ORACLES["bed_files"] = f"""WITH {_EVENT_FILES}
+SELECT sample, label, pos, name, value FROM placed JOIN told USING (sample)
+WHERE same AND label IS NOT NULL"""
+ORACLES["bed_file_report"] = f"""WITH {_EVENT_FILES}
+SELECT sample, n_features, same AND label IS NOT NULL AND platform = 'P1' AS accepted, label,
+  platform FROM told"""
+ORACLES["reject_counts"] = """WITH lines AS (SELECT p_size,
+  p_size % 10 = 9 AS wide, p_size % 10 = 4 AND p_size <> 14 AND p_size < 10 AS bad,
+  p_size % 2 = 1 AS marked FROM part WHERE p_size > 2)
+SELECT count(*) FILTER (NOT wide AND (bad OR marked)) AS rows_with_missing, count(*) AS rows,
+  count(*) FILTER (marked) AS missing, count(*) FILTER (bad) + count(*) FILTER (wide)
+  AS bad_numbers, count(*) FILTER (wide) AS rejected FROM lines"""
+ORACLES["store_two_runs"] = """SELECT fold::INTEGER AS fold,
+  CASE WHEN fold = 0 THEN 0 ELSE count(*) END AS encoded_rows
+FROM (SELECT vec_id % 3 AS fold FROM embeddings) GROUP BY fold"""

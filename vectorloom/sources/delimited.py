@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators.matrix import fill_missing
@@ -34,8 +34,9 @@ def number(text: Column, missing: str | None = None) -> Column:
 
 
 def parse_labelled(lines: DataFrame, sep: str = ",", missing: str | None = None,
-                   fill: float | None = None) -> DataFrame:
-    """``row_id, label, features`` (and any other columns) from raw lines in ``value``."""
+                   fill: float | None = None, kept_text: bool = False) -> DataFrame:
+    """``row_id, label, features`` (and any other columns) from raw lines in ``value``; with
+    ``kept_text`` also the cells as they were written, ``_text``."""
     parts = F.split(F.col("value"), re.escape(sep), -1)
     split = data_lines(lines).withColumn("_parts", parts)
     cells = F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 2, F.lit(0)))
@@ -44,7 +45,7 @@ def parse_labelled(lines: DataFrame, sep: str = ",", missing: str | None = None,
         F.element_at("_parts", 1).alias("row_id"),
         F.element_at("_parts", -1).alias("label"),
         fill_missing(features, fill).alias("features"),
-        *[c for c in lines.columns if c != "value"],
+        *([cells.alias("_text")] if kept_text else []), *[c for c in lines.columns if c != "value"],
     )
 
 
@@ -139,3 +140,51 @@ def read_selections(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", "selection.txt").text(path)
     )
     return data_lines(lines).select(F.col("value").alias("name")).distinct()
+
+
+def read_selection_tree(spark: SparkSession, path: str) -> DataFrame:
+    """``seed, run, chunk, feature`` from ``<seed>/run<n>/chunk_<n>/selection.txt`` below a
+    folder. ``seed`` is the folder's name, run and chunk are numbers; all three come from the
+    files' paths. A file without features gives one row with a null feature, so that its seed
+    and run still count."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "selection.txt").load(path)
+    )
+    parts = r"/([^/]+)/run(\d+)/chunk_(\d+)/selection\.txt$"
+    lines = F.transform(F.split(F.col("content").cast("string"), "\n"),
+                        lambda x: F.trim(x, F.lit(_BLANKS)))
+    names = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
+    return files.filter(F.col("path").rlike(parts)).select(
+        F.regexp_extract("path", parts, 1).alias("seed"),
+        F.regexp_extract("path", parts, 2).cast("int").alias("run"),
+        F.regexp_extract("path", parts, 3).cast("int").alias("chunk"),
+        F.explode_outer(names).alias("feature"))
+
+
+def read_labelled_checked(spark: SparkSession, path: str, sep: str = ",",
+                          missing: str | None = None, fill: float | None = None):
+    """(matrix, feature_dim, counts) like ``read_labelled``; ``counts`` says what the reader met:
+    rows, cells marked missing, cells that are no number, and rows whose number of features is
+    not the header's (``rejected``, they are left out). They are observed while the rows are
+    written, at no extra pass."""
+    lines = positioned_lines(spark, path)
+    head = header_line(lines)
+    if head is None:
+        raise ValueError(f"{path} is empty")
+    names = header_names(head["value"], sep)
+    rows = parse_labelled(lines.filter(~is_header(head)), sep, missing, None, kept_text=True)
+    marked = F.filter("_text", lambda c: F.lit(False) if missing is None else
+                      F.trim(c, F.lit(_BLANKS)) == F.lit(missing))
+    unread = F.filter("features", lambda v: v.isNull())
+    fits = F.size("features") == len(names)
+    seen = Observation("labelled rows")
+    observed = rows.observe(
+        seen, F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.size(marked)), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.size(unread) - F.size(marked)), F.lit(0)).alias("bad_numbers"),
+        F.count_if(~fits).alias("rejected"))
+    kept = observed.filter(fits).withColumn("features", fill_missing("features", fill))
+    matrix = with_row_pos(kept.drop("_text"))
+    ordered = matrix.select("row_id", "row_pos", "label", "features")
+    return ordered, feature_table(spark, names), seen.get

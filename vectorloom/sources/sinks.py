@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.settings import Settings
 from vectorloom.sources.delimited import numbered_features
+from vectorloom.tables import cut_lineage
 
 
 def write_dataset(matrix: DataFrame, feature_dim: DataFrame | None, path: str,
@@ -122,6 +125,48 @@ def selection_lines(spark: SparkSession, group_size: int, accuracy: float,
     return spark.createDataFrame([(line,) for line in head + sorted(features)], "value STRING")
 
 
+def write_named_files(lines: DataFrame, path: str) -> None:
+    """Text files from ``file, place, value``: one per name below ``path``, lines by place.
+    Tasks write them under the names' hashes; the driver then gives each its name, one call
+    per file."""
+    spark = lines.sparkSession
+    staged = f"{path}/_staged-{uuid4().hex}"
+    names = cut_lineage(lines.select("file").distinct().withColumn("key", F.md5("file")))
+    keyed = lines.withColumn("key", F.md5("file"))
+    keyed.repartition("key").sortWithinPartitions("key", "place").select("key", "value") \
+        .write.partitionBy("key").text(staged)
+    for row in names.toLocalIterator():
+        _rename_part(spark, f"{staged}/key={row.key}", f"{path}/{row.file}")
+    remove_path(spark, staged)
+
+
+def _rename_part(spark: SparkSession, folder: str, target: str) -> None:
+    """The only part file of ``folder`` becomes ``target``."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = of(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in files.listStatus(of(folder))
+             if f.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{target}: {len(parts)} part files instead of one")
+    files.mkdirs(of(target).getParent())
+    if not files.rename(parts[0], of(target)):
+        raise OSError(f"cannot write {target}")
+
+
+def write_selection_tree(selections: DataFrame, path: str) -> None:
+    """``seed, run, chunk, feature`` as ``seed<n>/run<n>/chunk_<n>/selection.txt`` files: a
+    comment line, then the features by name. A null feature leaves a file without any."""
+    file = F.concat(F.lit("seed"), F.col("seed").cast("string"), F.lit("/run"),
+                    F.col("run").cast("string"), F.lit("/chunk_"),
+                    F.col("chunk").cast("string"), F.lit("/selection.txt"))
+    features = selections.where("feature IS NOT NULL").select(
+        file.alias("file"), F.concat(F.lit("1"), "feature").alias("place"),
+        F.col("feature").alias("value"))
+    heads = selections.select(file.alias("file")).distinct().select(
+        "file", F.lit("0").alias("place"), F.lit("# Selected Features:").alias("value"))
+    write_named_files(heads.union(features), path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vectorloom.item_memory import item_memory, load_item_memory
 from vectorloom.operators.encode import encode_rows
 from vectorloom.sources.sinks import path_exists, remove_path
+from vectorloom.tables import cut_lineage
 
 # Changes whenever stored artifacts would no longer be equal.
 FORMAT = 2
@@ -46,34 +47,67 @@ class ArtifactStore:
             build().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def item_memory(self, dimensionality: int, levels: int, seed: int) -> DataFrame:
-        return self.load_or_build(
-            lambda: item_memory(self.spark, dimensionality, levels, seed),
-            "levels", dimensionality=dimensionality, levels=levels, seed=seed,
-        )
+    def note(self, run: str, kind: str, key: str, **split) -> None:
+        """Enter an artifact in the manifest of a run."""
+        told = json.dumps(split, sort_keys=True, default=str)
+        self.spark.createDataFrame([(kind, key, told)], "kind STRING, key STRING, split STRING") \
+            .write.mode("append").parquet(f"{self.root}/manifest/run={run}")
+
+    def manifest(self) -> DataFrame:
+        """``run, kind, key, split``: the artifacts of every run."""
+        if not path_exists(self.spark, f"{self.root}/manifest"):
+            return self.spark.createDataFrame(
+                [], "kind STRING, key STRING, split STRING, run STRING")
+        schema = "kind STRING, key STRING, split STRING, run STRING"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/manifest")
+
+    def item_memory(self, dimensionality: int, levels: int, seed: int,
+                    run: str | None = None) -> DataFrame:
+        key = dict(dimensionality=dimensionality, levels=levels, seed=seed)
+        found = self.load_or_build(
+            lambda: item_memory(self.spark, dimensionality, levels, seed), "levels", **key)
+        if run is not None:
+            self.note(run, "levels", self.path("levels", **key))
+        return found
 
     def encoded(self, matrix: DataFrame, dimensionality: int, levels: int, seed: int,
-                lo: float, hi: float, **split) -> DataFrame:
+                lo: float, hi: float, run: str | None = None, **split) -> DataFrame:
         """Encoded rows as ARRAY<INT>; ``split`` names the fold, side and feature list they
-        belong to."""
+        belong to, ``run`` whose manifest they are entered in."""
         def build():
             memory = load_item_memory(self.spark, dimensionality, levels, seed)
             return encode_rows(matrix, memory, lo, hi, "int")
 
-        return self.load_or_build(
-            build, "encoded", data=fingerprint(matrix), dimensionality=dimensionality,
-            levels=levels, seed=seed, lo=lo, hi=hi, **split,
-        )
+        key = dict(data=fingerprint(matrix), dimensionality=dimensionality, levels=levels,
+                   seed=seed, lo=lo, hi=hi, **split)
+        found = self.load_or_build(build, "encoded", **key)
+        if run is not None:
+            self.note(run, "encoded", self.path("encoded", **key), **split)
+        return found
 
     def discard(self, kind: str, **key) -> bool:
         """Remove one artifact."""
         return remove_path(self.spark, self.path(kind, **key))
 
-    def clean_up(self, keep_levels: bool = True) -> None:
-        """Remove all encoded sets, and the item memory too unless kept."""
-        remove_path(self.spark, f"{self.root}/encoded")
-        if not keep_levels:
-            remove_path(self.spark, f"{self.root}/levels")
+    def clean_up(self, run: str | None = None, keep_levels: bool = True) -> None:
+        """Remove the encoded sets of a run, and its item memory too unless kept. What another
+        run's manifest holds as well stays. Without a run everything goes."""
+        if run is None:
+            remove_path(self.spark, f"{self.root}/encoded")
+            remove_path(self.spark, f"{self.root}/manifest")
+            if not keep_levels:
+                remove_path(self.spark, f"{self.root}/levels")
+            return
+        held = cut_lineage(self.manifest())
+        mine = held.where(F.col("run") == run).select("kind", "key").distinct()
+        others = held.where(F.col("run") != run).select("key").distinct()
+        for row in mine.join(others, "key", "left_anti").toLocalIterator():
+            if row.kind == "encoded" or not keep_levels:
+                remove_path(self.spark, row.key)
+        remove_path(self.spark, f"{self.root}/manifest/run={run}")
+        if keep_levels:  # the run still answers for the item memory it keeps
+            for row in mine.where("kind = 'levels'").collect():
+                self.note(run, row.kind, row.key)
 
     def save_model(self, model, name: str) -> None:
         model.parameters(self.spark).write.mode("overwrite").parquet(

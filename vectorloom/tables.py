@@ -50,6 +50,32 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+class Scratch:
+    """Tables written to the shared checkpoint folder until ``close`` or the end of a ``with``
+    block: what a result no longer needs does not stay on disk."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, 0
+        self.folder = f"{checkpoint_dir(spark)}/scratch-{uuid4().hex}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read back; readable until the block ends."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; nothing is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
