@@ -57,8 +57,8 @@ def test_neighbours_of_random_words(spark, letters, size, max_levels):
         (a, b, n[b]) for a in words for b in words if brute.one_edit(a, b))
 
 
-def test_neighbours_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(spelling, "BROADCAST_EDGES", 0)
+def test_neighbours_with_small_masks(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "MASK_BITS", 64)
     test_neighbours_of_random_words(spark, "ab", (6, 12), 48)
 
 

@@ -10,8 +10,8 @@ level; a state that ends with its word at the node of a word has found a neighbo
 
 Two things keep the frontier small, and neither loses a neighbour. An edit lies in one half of
 the word, so the words are also entered backwards (``way`` 1), and each way branches only in the
-second half, where nodes have few edges. And an edge carries a 64-bit mask of (characters left,
-last characters) of the words below it, which a state that wants to pass must find set.
+second half, where nodes have few edges. And an edge carries a mask with a bit for the rest of
+every word below it, which a state that wants to pass must find set.
 
 Words of more than ``MAX_LEVELS`` code points would need as many levels. They meet at hashes of
 the word with one character left out instead (their count is the word's length, their text is
@@ -23,7 +23,9 @@ form is found by doubling steps.
 
 Skew: counts are added up before the shuffle; a node has at most as many edges as there are
 letters, and a word at most as many neighbours as it has edits, so no group grows with the
-data. The edges of a level are broadcast only where their measured number allows.
+data. States and edges meet in a shuffle by node at every size; the edges, the smaller side by
+far, are what a task keeps in memory, and a node that many words pass is split by adaptive
+execution. Levels are written to the shared folder, so a lost executor costs one level.
 
 Defined results: null and empty texts have no words; a null doc_id is written ``null`` in the
 hash that drops letters; repeated rows count each; very long texts are read in steps, very long
@@ -55,10 +57,8 @@ MIN_COUNT = 2
 FORM_RATIO = 10
 #: Longest words that walk the trie.
 MAX_LEVELS = 48
-#: Last characters that the masks of edges tell apart.
-SUFFIX = 3
-#: Edges of a level that may be sent to every task; more are joined by shuffle.
-BROADCAST_EDGES = 400_000
+#: Bits of an edge's mask.
+MASK_BITS = 256
 #: Words counted in a task before they are passed on, and characters read in a step.
 TABLE_WORDS = 200_000
 STEP_CHARS = 1 << 20
@@ -122,15 +122,20 @@ def word_counts(docs: DataFrame, min_length: int = MIN_LENGTH,
 # ---- the trie and its frontier -----------------------------------------------------------
 
 
-def _bit(word: Column, left: Column) -> Column:
-    """The mask bit of ``left`` characters to come, the last ones of ``word``."""
-    last = F.call_function("right", word, F.least(left, F.lit(SUFFIX)))
-    return F.call_function("shiftleft", F.lit(1).cast("long"),
-                           F.pmod(F.xxhash64(left, last), F.lit(64)).cast("int"))
+def _place(word: Column, left: Column) -> Column:
+    """The mask bit of the last ``left`` characters of ``word``."""
+    rest = F.call_function("right", word, F.greatest(left, F.lit(0)))
+    return F.pmod(F.xxhash64(left, rest), F.lit(MASK_BITS)).cast("int")
 
 
-def _may_pass(word: Column, left: Column) -> Column:
-    return F.col("mask").bitwiseAND(_bit(word, left)) != 0
+def _masked(place: Column) -> Column:
+    """Whether an edge's mask has the bit at ``place``."""
+    word = F.lit(0).cast("long")
+    for k in range(MASK_BITS // 64):
+        word = F.when(F.call_function("shiftright", place, F.lit(6)) == k,
+                      F.col(f"mask{k}")).otherwise(word)
+    return F.call_function("shiftright", word, place.bitwiseAND(F.lit(63))).bitwiseAND(
+        F.lit(1).cast("long")) == 1
 
 
 def both_ways(words: DataFrame) -> DataFrame:
@@ -147,41 +152,45 @@ def trie_edges(walks: DataFrame, first: int) -> DataFrame:
     """way, depth, node, ch, mask: the edges from depth ``first`` on."""
     each = walks.where(F.col("len") > first).select(
         "way", "w", "len", F.explode(F.sequence(F.lit(first), F.col("len") - 1)).alias("depth"))
-    left = F.col("len") - F.col("depth") - 1
-    edges = each.select("way", "depth", F.left("w", F.col("depth")).alias("node"),
-                        F.substring("w", F.col("depth") + 1, F.lit(1)).alias("ch"),
-                        _bit(F.col("w"), left).alias("bit"))
-    return edges.groupBy("way", "depth", "node", "ch").agg(F.bit_or("bit").alias("mask"))
+    edges = each.select(
+        "way", "depth", F.left("w", F.col("depth")).alias("node"),
+        F.substring("w", F.col("depth") + 1, F.lit(1)).alias("ch"),
+        _place(F.col("w"), F.col("len") - F.col("depth") - 1).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % 64)
+    own = F.call_function("shiftright", F.col("place"), F.lit(6))
+    return edges.groupBy("way", "depth", "node", "ch").agg(*[
+        F.bit_or(F.when(own == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"mask{k}")
+        for k in range(MASK_BITS // 64)])
+
+
+STATE = ("way", "w", "len", "pos", "node")
 
 
 def _level(walks: DataFrame, frontier: DataFrame | None, edges: DataFrame,
            depth: int) -> DataFrame:
-    """way, w, len, pos, node, done: the states of the next depth. ``frontier``: states with
-    one edit at nodes of ``depth``."""
-    w, size, at = F.col("w"), F.col("len"), F.lit(depth)
-    edge = edges.select(F.col("way").alias("e_way"), F.col("node").alias("e_node"), "ch", "mask")
-    plain = walks.where((F.col("start") <= depth) & (size >= depth)).select(
-        "way", "w", "len", F.left("w", at).alias("node"))
+    """STATE and done: the states of the next depth. ``frontier``: states with one edit at nodes
+    of ``depth``."""
+    w, size, pos = F.col("w"), F.col("len"), F.col("pos")
     here = F.substring("w", depth + 1, 1)
-    branched = plain.join(edge, (F.col("way") == F.col("e_way"))
-                          & (F.col("node") == F.col("e_node"))
-                          & ((size == depth) | (F.col("ch") != here)))
-    changed = F.when((size > depth) & _may_pass(w, size - depth - 1), F.lit(depth + 1))
-    added = F.when(_may_pass(w, size - depth), at)
-    branched = branched.select(
-        "way", "w", "len", F.explode(F.array_compact(F.array(changed, added))).alias("pos"),
-        F.concat("node", "ch").alias("node"))
-
+    plain = walks.where((F.col("start") <= depth) & (size >= depth)).select(
+        "way", "w", "len", F.lit(depth).alias("pos"), F.left("w", F.lit(depth)).alias("node"))
     # One character left out: of equal neighbours only the last.
-    skipped = plain.where((size > depth + 1) & (here != F.substring("w", depth + 2, 1))).select(
-        "way", "w", "len", F.lit(depth + 1).alias("pos"), "node")
-    walking = skipped if frontier is None else skipped.union(frontier)
-    followed = walking.join(
-        edge, (F.col("way") == F.col("e_way")) & (F.col("node") == F.col("e_node"))
-        & (F.substring("w", F.col("pos") + 1, F.lit(1)) == F.col("ch"))
-        & _may_pass(w, size - F.col("pos") - 1)).select(
-        "way", "w", "len", (F.col("pos") + 1).alias("pos"), F.concat("node", "ch").alias("node"))
-    return branched.union(followed).withColumn("done", F.col("pos") == size)
+    walking = plain.where((size > depth + 1) & (here != F.substring("w", depth + 2, 1))).select(
+        "way", "w", "len", (pos + 1).alias("pos"), "node")
+    if frontier is not None:
+        walking = walking.union(frontier)
+    # Bits to pass with the word's next character, or with one that is added before it.
+    states = plain.withColumn("edits", F.lit(0)).union(walking.withColumn("edits", F.lit(1))).select(
+        *STATE, "edits", F.substring("w", pos + 1, F.lit(1)).alias("next"),
+        _place(w, size - pos - 1).alias("pass"), _place(w, size - pos).alias("add"))
+    edge = edges.drop("depth").withColumnsRenamed({"way": "e_way", "node": "e_node"})
+    met = states.join(edge, (F.col("way") == F.col("e_way")) & (F.col("node") == F.col("e_node"))
+                      & ((F.col("edits") == 0) == (F.col("next") != F.col("ch"))))
+    passed = F.when((pos < size) & _masked(F.col("pass")), pos + 1)
+    added = F.when((F.col("edits") == 0) & _masked(F.col("add")), pos)
+    return met.select(
+        "way", "w", "len", F.explode(F.array_compact(F.array(passed, added))).alias("pos"),
+        F.concat("node", "ch").alias("node")).withColumn("done", F.col("pos") == size)
 
 
 def _trie_pairs(words: DataFrame, longest: int) -> DataFrame:
@@ -192,21 +201,17 @@ def _trie_pairs(words: DataFrame, longest: int) -> DataFrame:
     first = walks.agg(F.min("start")).first()[0]
     trie_edges(walks, first).sortWithinPartitions("depth").write.parquet(f"{folder}/edges")
     edges = spark.read.parquet(f"{folder}/edges")
-    sizes = {r.depth: r.n for r in edges.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
-             .collect()}  # one row per level
     # The last character left out ends a word at once.
     found = walks.where(F.col("len") > F.col("start")).select(
         "way", "w", F.expr("left(w, len - 1)").alias("node"))
     frontier = None
     for depth in range(first, longest + 1):
-        own = edges.where(F.col("depth") == depth)
-        if sizes.get(depth, 0) <= BROADCAST_EDGES:
-            own = F.broadcast(own)
+        own = edges.where(F.col("depth") == depth).hint("shuffle_hash")
         path = f"{folder}/level-{depth}"
         _level(walks, frontier, own, depth).write.parquet(path)
         states = spark.read.parquet(path)
         found = found.union(states.where("done").select("way", "w", "node"))
-        frontier = states.where("NOT done").select("way", "w", "len", "pos", "node")
+        frontier = states.where("NOT done").select(*STATE)
 
     def forwards(c: str) -> Column:
         return F.when(F.col("way") == 1, F.reverse(c)).otherwise(F.col(c))
