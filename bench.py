@@ -17,7 +17,12 @@ from vectorloom import HDClassifier, cross_validate, feature_importance, holdout
 from vectorloom.item_memory import load_item_memory  # noqa: E402
 from vectorloom.operators import encode, splits  # noqa: E402
 from vectorloom.plans import catalogue as c  # noqa: E402
-from vectorloom.plans.selection import Elimination, backward_elimination  # noqa: E402
+from vectorloom.plans.replicates import permutation_accuracy  # noqa: E402
+from vectorloom.plans.selection import (  # noqa: E402
+    Elimination,
+    backward_elimination,
+    leave_one_out_accuracy,
+)
 from vectorloom.settings import Settings  # noqa: E402
 from vectorloom.tables import spread  # noqa: E402
 
@@ -91,6 +96,19 @@ def elimination_embeddings(spark, d):
         group_min=62, accuracy_threshold=0, tolerance=0), percentage=80).selection.collect()
 
 
+def leave_one_out_wide(spark, d):
+    """Every leave-one-out subset of 1000 features, the embedding values over and over."""
+    rows = c.embeddings(spark, d).withColumn(
+        "features", F.slice(F.flatten(F.array_repeat("features", 16)), 1, 1000))
+    leave_one_out_accuracy(rows, TEXT, percentage=80).collect()
+
+
+def permutation_null(spark, d):
+    """1000 label-permuted replicates of the embeddings, each split, trained and scored."""
+    permutation_accuracy(c.embeddings(spark, d), 1000, 80,
+                         Settings(dimensionality=512, levels=16)).collect()
+
+
 def holdout_wide(spark, d):
     """256 rows of 200 000 features, the embedding values over and over; 1000 levels."""
     rows = c.embeddings(spark, d).where("row_id < 256").withColumn(
@@ -107,7 +125,7 @@ HEADLINE = [
     encode_line_items, encode_embeddings, fit_line_items, holdout_line_items,
     retrain_line_items, cv_embeddings, cv_embeddings_online, language_holdout,
     language_cv_exclusion, language_elimination, language_importance, split_line_items,
-    elimination_embeddings, holdout_wide,
+    elimination_embeddings, holdout_wide, leave_one_out_wide, permutation_null,
 ]
 
 

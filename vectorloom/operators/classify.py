@@ -8,6 +8,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -245,11 +246,12 @@ def _guesses(guess: np.ndarray, cosine: np.ndarray, labels: list[str]) -> pa.Str
 
 
 def _whole_rows(features: pa.Array) -> np.ndarray:
-    """Rows without a null or NaN cell."""
-    flat = features.flatten()
-    rows = np.repeat(np.arange(len(features)), np.diff(features.offsets.to_numpy()))
-    good = np.ones(len(features), bool)
-    values = flat.to_numpy(zero_copy_only=False)  # nulls come as NaN
+    """Which rows have cells and none of them null or NaN."""
+    good = features.is_valid().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(features).fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(features)), sizes)
+    values = features.flatten().to_numpy(zero_copy_only=False)  # nulls come as NaN
+    good = good & (sizes > 0)
     good[rows[np.isnan(values)]] = False
     return good
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -365,11 +366,25 @@ def fold_specs(parts: list, k: int, positions, prefix: str = "fold ") -> list[Sp
     ]
 
 
+@contextmanager
+def split_once(rows: DataFrame, cached: bool):
+    """Rows whose split is computed once where their source is small enough to be cached;
+    larger ones compare their keys with the cutoffs in every scan."""
+    if not cached:
+        yield rows
+        return
+    rows = rows.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def holdout(matrix: DataFrame, percentage: float, settings: Settings) -> Evaluation:
     """Stratified percentage split, one model on all features."""
     slim = matrix.select("row_id", "row_pos", "label", "features")
-    with spread(slim, "row_id") as wide:
-        rows = holdout_rows(wide, percentage, settings.seed)
+    with spread(slim, "row_id") as wide, split_once(
+            holdout_rows(wide, percentage, settings.seed), wide is not slim) as rows:
         stats = PartStats(rows)
         if stats.n_parts < 2 or not stats.count[1].sum():
             raise ValueError("the split leaves no training rows")

@@ -414,7 +414,7 @@ FROM embeddings"""
 ORACLES["feature_list_file"] = ORACLES["recognised_features"]
 ORACLES["chunk_files"] = ORACLES["chunked_dataset"]
 ORACLES["permutation_files"] = ORACLES["label_permutation"]
-ORACLES["run_log"] = f"""SELECT model_id, accuracy, unnest([0, 1]) AS attempt
+ORACLES["run_log"] = f"""SELECT model_id, accuracy, unnest([0, 1]) AS attempt, true AS timed
 FROM ({ORACLES["cv_history"]})"""
 ORACLES["ranking_report"] = f"""SELECT feature, frequency FROM ({ORACLES["top_features"]})"""
 ORACLES["stored_model_predictions"] = ORACLES["predict_class"]
