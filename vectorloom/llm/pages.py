@@ -3,14 +3,20 @@
 The standard library's HTML parser streams events; the page becomes lines (one per block
 element) with their text, the tags they hold and the element they lie in. Lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments carry no
-weight; where only the name of a block says so, the content cluster can overrule it. The text-to-tag ratio of the lines (characters per tag) is smoothed with a Gaussian and
-clustered into content and other by a threshold; the smallest element that holds nearly all of
-the content cluster's text is the content region, an article or main element if one does.
-All lines of the region that are not of those kinds form the text, however short.
+weight; where only the name of a block says so, the content cluster can overrule it. The
+text-to-tag ratio of the lines (characters per tag) is smoothed with a Gaussian and clustered
+into content and other by a threshold. If article (or main) elements hold half of the content
+cluster's text, all those of prose are the content regions; else the smallest element that
+holds nearly all of it is, and beside it the headings and paragraphs that stand next to it or
+to what it lies in, and its neighbours' lines that are in the cluster. All lines of the regions
+that are not of the other kinds form the text, however short. Of an article's own header the
+headings stay.
 
 Defined results: null or empty html and pages without content give an empty text; unclosed and
-truncated markup is read as far as it goes; repeated rows are extracted each; an empty table
-gives an empty result. One page is parsed at a time and rows are never shuffled.
+truncated markup is read as far as it goes, an unclosed comment hides all that follows; equal
+ratios fall on the same side; repeated rows are extracted each; other columns are packed into
+``row``, so that no name clashes; an empty table gives an empty result. One page is parsed at a
+time, in time proportional to its length, and rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +36,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset(
     "head script style noscript template svg canvas iframe object nav header footer aside form "
     "button select textarea dialog menu audio video map".split())
+#: Those of them that stand within a line of text.
+INLINE = frozenset("button select textarea svg canvas iframe object audio video map script style "
+                   "noscript template".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+LEAVES = ("p", "li", *HEADINGS, "pre", "blockquote", "dd", "dt")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu "
@@ -73,11 +84,14 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parents, self.names = [-1], ["#page"]
-        self.open: list[tuple[str, int, bool]] = []  # name, element, opened a skipped part
+        #: Name, element, and 1 if it opened a skipped part, -1 if it leaves one for a while.
+        self.open: list[tuple[str, int, int]] = []
         self.skipping = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        #: Text, tags, element, whether the line is a skipped part's, characters in links.
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.buffer: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+        self.in_link = self.ending = False
         self.dropped = False
         self.named: set[int] = set()  # elements whose name says that they are another part
 
@@ -86,10 +100,10 @@ class PageLines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.buffer)).strip()
         if text or self.dropped:
             element = next((e for _, e, _ in reversed(self.open) if e >= 0), 0)
-            self.lines.append((text, self.tags, element, not text))
+            self.lines.append((text, self.tags, element, not text, self.linked))
             self.tags = 0
         self.buffer.clear()
-        self.dropped = False
+        self.dropped, self.linked = False, 0
 
     def _close(self, at: int) -> None:
         for _, _, skipped in self.open[at:]:
@@ -98,7 +112,7 @@ class PageLines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        block = tag in BLOCKS or tag in SKIPPED
+        block = (tag in BLOCKS or tag in SKIPPED) and tag not in INLINE
         if tag == "br":
             self.buffer.append(" ")
             return
@@ -108,10 +122,15 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         skipped, named = self._other_part(tag, attrs)
-        skipped = skipped or named and not block
-        if not block and not skipped:
+        skipped = int(skipped or named and not block)
+        if tag in HEADINGS and not skipped and not named and self._own_header():
+            skipped = -1
+        if not block and not skipped and not self.skipping:
+            # Inline markup neither ends a line nor is a region; within a skipped part it is
+            # kept apart from the element that opened it.
+            self.in_link = self.in_link or tag == "a"
             if tag in ("a", "b", "i", "em", "strong", "span", "font", "u", "s", "small"):
-                return  # inline markup neither ends a line nor is a region
+                return
         element = -1
         if block:
             parent = next((e for _, e, _ in reversed(self.open) if e >= 0), 0)
@@ -123,6 +142,12 @@ class PageLines(HTMLParser):
         self.open.append((tag, element, skipped))
         self.skipping += skipped
 
+    def _own_header(self) -> bool:
+        """Whether all that is skipped here is the header of an article."""
+        skips = [at for at, (_, _, skipped) in enumerate(self.open) if skipped > 0]
+        return (self.skipping == 1 and len(skips) == 1 and self.open[skips[0]][0] == "header"
+                and any(name in ("article", "main") for name, _, _ in self.open[:skips[0]]))
+
     def _implied(self, tag: str) -> None:
         """Ends an open paragraph at the next block, and list items and cells at the next."""
         ends = ("p", *CLOSES.get(tag, ()))
@@ -158,9 +183,10 @@ class PageLines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        self.in_link = self.in_link and tag != "a"
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                if tag in BLOCKS or tag in SKIPPED:
+                if (tag in BLOCKS or tag in SKIPPED) and tag not in INLINE:
                     self._line()
                 self._close(at)
                 return
@@ -172,8 +198,15 @@ class PageLines(HTMLParser):
             self.dropped = self.dropped or not data.isspace()
         else:
             self.buffer.append(data)
+            self.linked += len(data) if self.in_link else 0
+
+    def parse_comment(self, i, report=1):
+        """An unclosed comment takes the rest of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 and self.ending else end
 
     def finish(self) -> None:
+        self.ending = True
         self.close()
         self._line()
 
@@ -219,21 +252,34 @@ def main_text(html: str | None) -> str:
     weight = np.where(content_cluster(smoothed(ratios)) & ~skipped, chars, 0)
     if not weight.any():
         weight = chars
-    held = np.zeros(len(page.names))
-    for (_, _, element, _), w in zip(page.lines, weight, strict=True):
-        held[element] += w
-    for element in range(len(held) - 1, 0, -1):
-        held[page.parents[element]] += held[element]
-    enough = [e for e in range(len(held)) if held[e] >= HELD * held[0]]
-    named = [e for e in range(len(held))
-             if page.names[e] in ("article", "main") and held[e] >= 0.5 * held[0]]
-    region = max(named) if named else _region(page, enough)
-    inside = np.zeros(len(held), bool)
-    inside[region] = True
-    for element in range(region + 1, len(held)):
-        inside[element] = inside[page.parents[element]]
-    return "\n".join(x[0] for x, skip in zip(page.lines, skipped, strict=True)
-                      if inside[x[2]] and not x[3] and not skip)
+    held = _sums(page, weight)
+    inside = _content(page, skipped, weight, held)
+    return "\n".join(x[0] for x, skip, own in zip(page.lines, skipped, inside, strict=True)
+                     if own and not x[3] and not skip)
+
+
+def _content(page: PageLines, skipped: np.ndarray, weight: np.ndarray,
+             held: np.ndarray) -> np.ndarray:
+    """Per line, whether it belongs to the content regions or their neighbours."""
+    at = np.array([x[2] for x in page.lines])
+    chars = np.where(skipped, 0, [len(x[0]) for x in page.lines])
+    prose = _sums(page, chars) > 2 * _sums(page, np.where(skipped, 0, [x[4] for x in page.lines]))
+    for kind in ("article", "main"):
+        regions = {e for e, name in enumerate(page.names) if name == kind and prose[e]}
+        within = _within(page, regions)[at]
+        if regions and weight[within].sum() >= 0.5 * held[0]:
+            return within
+    region = _region(page, [e for e in range(len(held)) if held[e] >= HELD * held[0]])
+    above, e = [], region
+    while e > 0:
+        e = page.parents[e]
+        above.append(e)
+    if not above:
+        return np.ones(len(at), bool)
+    beside = np.array([page.names[e] in LEAVES and page.parents[e] in above and bool(prose[e])
+                       for e in range(len(held))])
+    near = _within(page, {above[0]})[at] & (weight > 0)
+    return _within(page, {region})[at] | beside[at] | near
 
 
 def _within(page: PageLines, elements: set[int]) -> np.ndarray:
@@ -293,9 +339,7 @@ def _above(page: PageLines, elements: set[int]) -> np.ndarray:
 
 def _region(page: PageLines, enough: list[int]) -> int:
     """The deepest element that holds enough and isn't a mere block of text."""
-    leaves = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "dd", "dt")
-    region = max((e for e in enough if page.names[e] not in leaves), default=0)
-    return region
+    return max((e for e in enough if page.names[e] not in LEAVES), default=0)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
