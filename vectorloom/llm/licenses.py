@@ -9,8 +9,11 @@ over whole texts; a text without a template's rarest mandatory word cannot match
 
 Words: A-Z lower-cased, then runs of characters other than ASCII non-alphanumerics.
 
-Defined results: null text is empty (no words, no labels, score 0); repeated rows are scanned
-each; an empty table gives an empty result. Rows are never shuffled.
+Defined results: null and empty texts have no words, no labels and score 0; texts of any length
+are scanned whole, in time proportional to their length; of two matches of a template that
+overlap the first stays, templates may overlap each other; repeated rows are scanned each; only
+doc_id and text are read, so other columns cannot clash; an empty table gives an empty result.
+Rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,9 +24,13 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vectorloom.llm.common import text_of
-from vectorloom.tables import prepare
+from vectorloom.tables import bounded_rows, prepare
+
+#: Templates a table may hold; they are compiled on the driver and sent with the tasks.
+MOST_TEMPLATES = 20_000
 
 #: Phrases whose places every scan counts, and their labels.
 PHRASES = {
@@ -31,6 +38,18 @@ PHRASES = {
     "apache license": "apache",
     "general public license": "gpl",
 }
+#: Fixed wording: the head of the two- and three-clause texts.
+_BSD = ("redistribution and use in source and binary forms with or without modification are "
+        "permitted provided that the following conditions are met <<beginOptional>>1 "
+        "<<endOptional>>redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer <<beginOptional>>2 "
+        "<<endOptional>>redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution")
+#: Fixed wording: the notice at the top of a file.
+_FREE = ("<<var;max=4;match=[^\\s]+>> is free software you can redistribute it and or modify it "
+         "under the terms of the gnu {} as published by the free software foundation either "
+         "version <<var;max=2;match=[0-9]+>> of the license or at your option any later version")
 #: Templates by label: notices and license texts with their optional and replaceable regions.
 TEMPLATES = {
     "mit-notice": "<<beginOptional>>released <<endOptional>><<beginOptional>>licensed "
@@ -60,6 +79,38 @@ TEMPLATES = {
     "isc-text": "permission to use copy modify and or distribute this software for any purpose "
                 "with or without fee is hereby granted provided that the above copyright notice "
                 "and this permission notice appear in all copies",
+    "bsd-2-clause": _BSD,
+    "bsd-3-clause": _BSD + " <<beginOptional>>3 <<endOptional>>neither the name of "
+                    "<<var;max=12;match=[^\\s]+>> nor the names of "
+                    "<<var;max=4;match=[^\\s]+>> contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written "
+                    "permission",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no "
+                 "event will the authors be held liable for any damages arising from the use of "
+                 "this software permission is granted to anyone to use this software for any "
+                 "purpose including commercial applications and to alter it and redistribute it "
+                 "freely subject to the following restrictions",
+    "bsl-1.0": "permission is hereby granted free of charge to any person or organization "
+               "obtaining a copy of the software and accompanying documentation covered by this "
+               "license the software to use reproduce display distribute execute and transmit "
+               "the software",
+    "unlicense": "this is free and unencumbered software released into the public domain "
+                 "<<beginOptional>>anyone is free to copy modify publish use compile sell or "
+                 "distribute this software <<endOptional>>",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license "
+                         "<<beginOptional>>you may not use this file except in compliance with "
+                         "the license <<endOptional>>you may obtain a copy of the license at "
+                         "<<var;max=12;match=[^\\s]+>> unless required by applicable law or "
+                         "agreed to in writing software distributed under the license is "
+                         "distributed on an as is basis without warranties or conditions of any "
+                         "kind either express or implied see the license for the specific "
+                         "language governing permissions and limitations under the license",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 "
+               "<<beginOptional>>if a copy of the mpl was not distributed with this file you can "
+               "obtain one at <<var;max=8;match=[^\\s]+>> <<endOptional>>",
+    "lgpl": _FREE.format("lesser general public license"),
+    "agpl": _FREE.format("affero general public license"),
+    "gpl": _FREE.format("general public license"),
 }
 _MARKUP = re.compile(r"<<(.*?)>>")
 #: Bytes of words stay, A-Z become lower case, all other ASCII becomes space.
@@ -151,9 +202,9 @@ def compiled(label: str, template: str) -> Automaton:
     if starts or not mandatory:
         raise ValueError(f"{label}: an optional region is open, or nothing is mandatory")
     made.rarest = max(mandatory, key=len)
-    made.first = frozenset(
-        made.needs[s] for s in made.closure([0])
-        if s < len(made.needs) and isinstance(made.needs[s], bytes))
+    starts = [made.needs[s] for s in made.closure([0]) if s < len(made.needs)]
+    if all(isinstance(need, bytes) for need in starts):
+        made.first = frozenset(starts)
     return made
 
 
@@ -167,11 +218,12 @@ def scan(text: str | None, automata: list[Automaton], phrases: dict[str, str] =
     padded = b" " + joined + b" "
     for phrase, label in phrases.items():
         key = b" " + phrase.encode() + b" "
-        at = padded.find(key)
+        at, before, seen = padded.find(key), 0, 0
         while at >= 0:
-            places.append(padded.count(b" ", 0, at))
+            seen += padded.count(b" ", before, at)
+            places.append(seen)
             base.add(label)
-            at = padded.find(key, at + 1)
+            at, before = padded.find(key, at + 1), at
     spans: list[tuple[str, int, int]] = []
     words: list[bytes] | None = None
     for a in automata:
@@ -197,9 +249,21 @@ RESULT = ("n_words BIGINT, n_base BIGINT, first_word BIGINT, last_word BIGINT, "
           "spans ARRAY<STRUCT<label: STRING, first: BIGINT, words: BIGINT>>")
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id and the columns of ``RESULT``. score: 1 for a full template, 0.5 for phrases."""
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """Templates from a table (label, template) of at most ``MOST_TEMPLATES`` rows; of equal
+    labels the first by wording stays."""
+    found = bounded_rows(table.select("label", "template").where(
+        "label IS NOT NULL AND template IS NOT NULL").groupBy("label").agg(
+        F.min("template").alias("template")), MOST_TEMPLATES, "license templates")
+    return {r.label: r.template for r in sorted(found)}
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """doc_id and the columns of ``RESULT``. score: 1 for a full template, 0.5 for phrases.
+    ``templates`` by label, or a table of them; by default those of this module."""
     prepare(docs.sparkSession)
+    if isinstance(templates, DataFrame):
+        templates = templates_of(templates)
     automata = [compiled(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()),
