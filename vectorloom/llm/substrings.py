@@ -12,9 +12,10 @@ prefix differ, at the edges of repeats, a suffix tree is built from their words.
 
 Trees grow breadth-first from (prefix, offset), an edge being a block of words; a branch with
 one leaf ends. What reaches depth WINDOW is a deep internal node: its leaves repeat, and runs
-of such windows are the maximal repeats. Equal fragments are one leaf with a weight. A prefix
-with over ``HOT`` different fragments is not gathered: its suffixes are split by the longest
-prefix, all WINDOW words, whose occurrences Spark counts. Nothing is capped.
+of such windows are the maximal repeats. Equal fragments are one leaf with a weight. The group
+of a prefix with over ``HOT`` different fragments would not fit into a task: its suffixes get
+longer prefixes, ``EDGE`` words at a time, until every group is small enough for a tree, ends
+because it has one leaf, or has all WINDOW words in common. Nothing is capped.
 
 Words are compared by 64-bit hashes, so a window by 35 of them.
 
@@ -221,8 +222,8 @@ def repeated_leaves(roots: np.ndarray, starts: np.ndarray, weights: np.ndarray,
     return repeated
 
 
-def _forest(mini, at, weights, blobs, window: int) -> np.ndarray:
-    """Bit j of each fragment: its window j repeats."""
+def _forest(root, at, weights, blobs, suffixes, window: int) -> np.ndarray:
+    """Bit j of each fragment: its window j repeats. ``suffixes``: the windows to look at."""
     parts = [np.frombuffer(b, "<u8") for b in blobs]
     codes = np.concatenate(parts)
     lengths = np.array([len(p) for p in parts])
@@ -230,7 +231,9 @@ def _forest(mini, at, weights, blobs, window: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(parts)), counts)
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = np.repeat(np.cumsum(lengths) - lengths, counts) + inside
-    group = np.unique(mini, return_inverse=True)[1]
+    wanted = np.flatnonzero(np.asarray(suffixes, np.int64)[owner] >> inside & 1)
+    owner, inside, starts = owner[wanted], inside[wanted], starts[wanted]
+    group = np.unique(root, return_inverse=True)[1]
     roots = group[owner] * window + (np.asarray(at)[owner] - inside)
     hit = repeated_leaves(roots, starts, np.asarray(weights, float)[owner], codes, window)
     masks = np.zeros(len(parts), np.int64)
@@ -239,66 +242,87 @@ def _forest(mini, at, weights, blobs, window: int) -> np.ndarray:
 
 
 def _trees(leaves: DataFrame, window: int) -> DataFrame:
-    """mini, fh, mask: trees of whole prefixes, prefixes kept together in a task."""
+    """mini, fh, mask: trees of whole prefixes (``root``), kept together in a task."""
+    names = ("root", "mini", "fh", "at", "weight", "codes", "suffixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def grown(rows):
-            mini, fh, at, weight, blobs = zip(*rows, strict=True)
-            masks = _forest(np.array(mini), at, weight, blobs, window)
+            root, mini, fh, at, weight, blobs, suffixes = zip(*rows, strict=True)
+            masks = _forest(np.array(root), at, weight, blobs, suffixes, window)
             return pa.RecordBatch.from_arrays(
                 [pa.array(mini, pa.int64()), pa.array(fh, pa.int64()), pa.array(masks)],
                 names=["mini", "fh", "mask"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in
-                             ("mini", "fh", "at", "weight", "codes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if size > FOREST and row[0] != held[-1][0]:
                     yield grown(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) // 8 - window + 1
+                size += len(row[5]) // 8 - window + 1
         if held:
             yield grown(held)
 
-    return (leaves.repartition("mini").sortWithinPartitions("mini")
-            .select("mini", "fh", "at", "weight", "codes")
+    return (leaves.repartition("root").sortWithinPartitions("root").select(*names)
             .mapInArrow(run, "mini BIGINT, fh BIGINT, mask BIGINT"))
 
 
-def _counted(leaves: DataFrame, window: int) -> DataFrame:
-    """mini, fh, mask of hot prefixes: suffixes split by all their words, and counted."""
+def _by_prefix(leaves: DataFrame, window: int, words: int) -> DataFrame:
+    """``leaves`` once for each prefix of ``words`` words that its suffixes have (``root``)."""
+    rest = ("mini", "fh", "at", "weight", "codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            taken, roots, suffixes = [], [], []
             for i in range(batch.num_rows):
                 codes = np.frombuffer(batch.column("codes")[i].as_py(), "<u8")
-                n = len(codes) - window + 1
-                every = slice(None)
-                row = batch.slice(i, 1)
-                same = pa.array(np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays([
-                    *[row.column(c).take(same) for c in ("mini", "fh", "weight")],
-                    pa.array(np.arange(n)),
-                    pa.array(sequence_hash(codes, every, window).view("<i8")),
-                    pa.array(sequence_hash(_mixed(codes + _M1), every, window).view("<i8"))],
-                    names=["mini", "fh", "weight", "bit", "w1", "w2"])
-
-    rows = leaves.select("mini", "fh", "weight", "codes").mapInArrow(
-        run, "mini BIGINT, fh BIGINT, weight BIGINT, bit BIGINT, w1 BIGINT, w2 BIGINT")
-    counts = (rows.groupBy("w1", "w2").agg(F.sum("weight").alias("total"))
-              .where(F.col("total") > 1)
-              .select(F.col("w1").alias("c1"), F.col("w2").alias("c2")))
-    bits = rows.join(counts, (F.col("w1") == F.col("c1")) & (F.col("w2") == F.col("c2")))
-    return bits.groupBy("mini", "fh").agg(F.expr("bit_or(shiftleft(1L, int(bit)))").alias("mask"))
+                inside = np.arange(len(codes) - window + 1)
+                inside = inside[batch.column("suffixes")[i].as_py() >> inside & 1 == 1]
+                offset = (batch.column("at")[i].as_py() - inside).astype(np.uint64)
+                mini = np.int64(batch.column("mini")[i].as_py()).astype(np.uint64)
+                key = _mixed(sequence_hash(codes, inside, words) + _mixed(offset + mini))
+                for root in np.unique(key):
+                    taken.append(i)
+                    roots.append(root.astype(np.int64))
+                    suffixes.append(int((np.int64(1) << inside[key == root]).sum()))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(pa.array(taken, pa.int64())) for c in rest],
+                 pa.array(roots, pa.int64()), pa.array(suffixes, pa.int64())],
+                names=[*rest, "root", "suffixes"])
+
+    return leaves.select(*rest, "suffixes").mapInArrow(
+        run, "mini BIGINT, fh BIGINT, at INT, weight BIGINT, codes BINARY, root BIGINT, "
+             "suffixes BIGINT")
+
+
+def _lengthened(leaves: DataFrame, window: int, hot: int) -> DataFrame:
+    """mini, fh, mask of prefixes with too many fragments: longer prefixes, step by step."""
+    found = None
+    for words in [*range(EDGE, window, EDGE), window]:
+        leaves = written(_by_prefix(leaves, window, words))
+        each = F.bit_count("suffixes")
+        sizes = leaves.groupBy(F.col("root").alias("r_root")).agg(
+            F.count(F.lit(1)).alias("k"), F.sum(F.col("weight") * each).alias("total"))
+        sized = written(leaves.join(sizes.where("total > 1"), F.col("root") == F.col("r_root")))
+        whole = words == window
+        # All of a group's suffixes are equal once their prefix is the whole window.
+        done = (sized.select("mini", "fh", F.col("suffixes").alias("mask")) if whole
+                else _trees(sized.where(F.col("k") <= hot), window))
+        found = done if found is None else found.union(done)
+        leaves = sized.where(F.col("k") > hot)
+        if whole or leaves.isEmpty():
+            return found.groupBy("mini", "fh").agg(F.bit_or("mask").alias("mask"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                    hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (words joined by spaces), spans (first word and
     number of words of each maximal run that was removed) of every row."""
+    if window - prefix + 1 > 63:
+        raise ValueError("a fragment's windows must fit into 63 bits: window - prefix <= 62")
     prepare(docs.sparkSession)
     keyed = _keyed(docs)
     kind = keyed.schema["doc_id"].dataType.simpleString()
@@ -318,10 +342,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         F.count(F.lit(1)).alias("weight"), F.first("at").alias("at"),
         F.first("codes").alias("codes"))
     sizes = leaves.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot)
-    sizes = sizes.select(F.col("mini").alias("h_mini"))
+    sizes = written(sizes.select(F.col("mini").alias("h_mini")))
     is_hot = F.col("mini") == F.col("h_mini")
-    masks = _trees(leaves.join(sizes, is_hot, "left_anti"), window).union(
-        _counted(leaves.join(sizes, is_hot, "left_semi"), window))
+    leaves = leaves.withColumns({"root": F.col("mini"), "suffixes": F.lit(-1).cast("bigint")})
+    masks = _trees(leaves.join(sizes, is_hot, "left_anti"), window)
+    large = leaves.join(sizes, is_hot, "left_semi")
+    if not sizes.isEmpty():
+        masks = masks.union(_lengthened(large, window, hot))
     masks = masks.where(F.col("mask") != 0).withColumnsRenamed({"mini": "m_mini", "fh": "m_fh"})
     marks = (contents.drop("codes").join(masks, (F.col("mini") == F.col("m_mini"))
                                          & (F.col("fh") == F.col("m_fh")))
