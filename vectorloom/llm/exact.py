@@ -3,12 +3,14 @@
 A digest is the SHA-256 of a text. Digests are split by their first bits into shards; a shard
 holds a cuckoo filter (16-bit fingerprints, four to a bucket, two buckets per digest) and the
 stored digests by bucket. A digest is looked up in the filter; a hit is verified against the
-stored digests of its bucket, a miss is new. Deleting a digest's last live row removes its
-fingerprint. If an insertion finds no place after ``KICKS`` moves, the shard's filter is
-rebuilt twice as large from the stored digests, so nothing is ever lost.
+stored digests of its bucket, a miss is new. Deleting rows lowers a digest's count, the last
+one removes its fingerprint, and if the row that stays goes, the best of the others takes its
+place. If an insertion finds no place after ``KICKS`` moves, the shard's filter is rebuilt
+twice as large from the stored digests, so nothing is ever lost.
 
 Rows are combined before they are shuffled, batch by batch, so a group of copies of any size
-reaches its shard as a few rows. A shard has about ``SHARD_DIGESTS`` digests.
+reaches its shard as a few rows. A shard has about ``SHARD_DIGESTS`` digests: an index that has
+outgrown its shards splits them by further bits of the digests.
 
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id
 stays, rows alike in doc_id and text count each but only one of them stays, null doc_ids come
@@ -24,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import text_of
+from vectorloom.llm.common import small_side, text_of
 from vectorloom.tables import prepare, written
 
 SLOTS = 4
 KICKS = 500
 SHARD_DIGESTS = 50_000
 FIRST_BUCKETS = 64
+#: The kept row of a digest that is to get another one.
+NO_ROW = (None, -1)
 PARTIAL = "shard INT, digest BINARY, keep_id BIGINT, keep_row BIGINT, n BIGINT"
 INDEX = ("shard INT, buckets INT, filter BINARY, digests BINARY, keep_ids ARRAY<BIGINT>, "
          "keep_rows ARRAY<BIGINT>, counts ARRAY<BIGINT>")
@@ -155,9 +159,24 @@ class Shard:
             row[0] = max(row[0], keep, key=_order)
             row[1] += n
 
-    def delete(self, digest: bytes) -> None:
-        if self.filter.delete(digest):
+    def delete(self, digest: bytes, gone: tuple, n: int) -> None:
+        """``n`` rows less; ``gone`` is the best of them. A digest whose kept row went waits
+        for another (``NO_ROW``)."""
+        if digest not in self.filter:
+            return
+        row = self.rows[digest]
+        row[1] -= n
+        if row[1] <= 0:
+            self.filter.delete(digest)
             del self.rows[digest]
+        elif row[0] == gone:
+            row[0] = NO_ROW
+
+    def elect(self, digest: bytes, keep: tuple) -> None:
+        if self.rows[digest][0] == NO_ROW:
+            self.rows[digest][0] = keep
+        else:
+            self.rows[digest][0] = max(self.rows[digest][0], keep, key=_order)
 
     def dump(self, shard: int) -> pa.Table:
         kept, counts = [r[0] for r in self.rows.values()], [r[1] for r in self.rows.values()]
@@ -179,8 +198,20 @@ def digests(docs: DataFrame) -> DataFrame:
         F.unhex(F.sha2(text_of(docs), 256)).alias("digest")))
 
 
-def _combined(rows: DataFrame, shards: int) -> DataFrame:
-    """One row per digest and Arrow batch: its best row and count."""
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` less those of ``gone``, as often as ``left`` says they stay."""
+    names = ("doc_id", "row", "digest")
+    same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in names]
+    marked = gone.select(*[F.col(c).alias(f"g_{c}") for c in names], "left")
+    kept = rows.join(marked.drop("left"), same[0] & same[1] & same[2], "left_anti")
+    again = gone.where(F.col("left") > 0).select(*names, F.explode(
+        F.array_repeat(F.lit(0), F.col("left").cast("int")))).drop("col")
+    return written(kept.select(*names).union(again))
+
+
+def _combined(rows: DataFrame, shards: int, by_digest: bool = False) -> DataFrame:
+    """One row per digest and Arrow batch: its best row and count. ``by_digest`` brings all
+    rows of a digest together, so that there is one row per digest."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +231,12 @@ def _combined(rows: DataFrame, shards: int) -> DataFrame:
                 pa.array([b[1] for b in best.values()], pa.int64())],
                 names=["shard", "digest", "keep_id", "keep_row", "n"])
 
-    return rows.select("doc_id", "row", "digest").mapInArrow(combine, PARTIAL)
+    found = rows.select("doc_id", "row", "digest").mapInArrow(combine, PARTIAL)
+    if not by_digest:
+        return found
+    best = F.max(F.struct(F.col("keep_id").isNotNull().alias("known"), "keep_id", "keep_row"))
+    return found.groupBy("shard", "digest").agg(best.alias("b"), F.sum("n").alias("n")).select(
+        "shard", "digest", "b.keep_id", "b.keep_row", "n")
 
 
 def _updated(index: DataFrame, changes: DataFrame, change) -> DataFrame:
@@ -215,10 +251,10 @@ def _updated(index: DataFrame, changes: DataFrame, change) -> DataFrame:
 
 
 class ExactIndex:
-    """Cuckoo-filter shards as a table with one row per shard."""
+    """Cuckoo-filter shards as a table with one row per shard, and the rows that are live."""
 
-    def __init__(self, table: DataFrame, shards: int):
-        self.table, self.shards = table, shards
+    def __init__(self, table: DataFrame, shards: int, rows: DataFrame | None = None):
+        self.table, self.shards, self.rows = table, shards, rows
 
     @classmethod
     def empty(cls, spark, expected_digests: int) -> ExactIndex:
@@ -227,15 +263,58 @@ class ExactIndex:
 
     def insert(self, rows: DataFrame) -> ExactIndex:
         """With the rows (doc_id, row, digest) added."""
+        rows = rows.select("doc_id", "row", "digest")
         new = _combined(rows, self.shards)
-        return ExactIndex(written(_updated(self.table, new, lambda shard, r: shard.insert(
-            r["digest"], (r["keep_id"], r["keep_row"]), r["n"]))), self.shards)
+        table = written(_updated(self.table, new, lambda shard, r: shard.insert(
+            r["digest"], (r["keep_id"], r["keep_row"]), r["n"])))
+        live = rows if self.rows is None else self.rows.union(rows)
+        return ExactIndex(table, self.shards, live)._split()
+
+    def _split(self) -> ExactIndex:
+        """With as many shards as the digests need, if they are over twice too many."""
+        held = self.table.agg(F.sum(F.length("digests") / 32)).first()[0] or 0
+        if held <= 2 * SHARD_DIGESTS * self.shards:
+            return self
+        shards = self.shards
+        while held > SHARD_DIGESTS * shards:
+            shards *= 2
+        first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+        dealt = self.live().select(
+            F.floor(first * shards / (1 << 32)).cast("int").alias("shard"), "digest", "keep_id",
+            "keep_row", F.col("group_size").alias("n"))
+        none = self.table.sparkSession.createDataFrame([], INDEX)
+        return ExactIndex(written(_updated(none, dealt, lambda shard, r: shard.insert(
+            r["digest"], (r["keep_id"], r["keep_row"]), r["n"]))), shards, self.rows)
 
     def delete(self, rows: DataFrame) -> ExactIndex:
-        """Without the digests of these rows; unknown digests are ignored."""
-        gone = _combined(rows, self.shards)
-        return ExactIndex(written(_updated(
-            self.table, gone, lambda shard, r: shard.delete(r["digest"]))), self.shards)
+        """Without these rows (doc_id, row, digest); rows that are not live are ignored. A row
+        entered twice goes once for each time it is named."""
+        wanted = written(rows.select("doc_id", "row", "digest"))
+        gone = written(self._counted(wanted).select(
+            "doc_id", "row", "digest", F.least("named", "n").alias("named"),
+            (F.col("n") - F.least("named", "n")).alias("left")).where("named > 0"))
+        each = gone.select("doc_id", "row", "digest", F.explode(
+            F.array_repeat(F.lit(0), F.col("named").cast("int")))).drop("col")
+        table = written(_updated(
+            self.table, _combined(each, self.shards, by_digest=True), lambda shard, r: shard.delete(
+                r["digest"], (r["keep_id"], r["keep_row"]), r["n"])))
+        after = ExactIndex(table, self.shards, _without(self.rows, gone))
+        waiting = small_side(after.live().where(F.col("keep_row") == -1).select(
+            F.col("digest").alias("w_digest")))
+        others = after.rows.join(waiting, F.col("digest") == F.col("w_digest"), "left_semi")
+        table = written(_updated(table, _combined(others, self.shards), lambda shard, r: shard.elect(
+            r["digest"], (r["keep_id"], r["keep_row"]))))
+        return ExactIndex(table, self.shards, after.rows)
+
+    def _counted(self, wanted: DataFrame) -> DataFrame:
+        """doc_id, row, digest, named, n: how often rows are to go and how often they are live."""
+        digests = small_side(wanted.select(F.col("digest").alias("w_digest")).distinct())
+        live = (self.rows.join(digests, F.col("digest") == F.col("w_digest"), "left_semi")
+                .groupBy("doc_id", "row", "digest").agg(F.count(F.lit(1)).alias("n")))
+        named = wanted.groupBy(*[F.col(c).alias(f"g_{c}") for c in ("doc_id", "row", "digest")]).agg(
+            F.count(F.lit(1)).alias("named"))
+        return live.join(named, F.col("doc_id").eqNullSafe(F.col("g_doc_id"))
+                         & (F.col("row") == F.col("g_row")) & (F.col("digest") == F.col("g_digest")))
 
     def live(self) -> DataFrame:
         """digest, keep_id, keep_row, group_size of every live digest."""
