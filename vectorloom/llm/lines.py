@@ -1,8 +1,8 @@
 """Line removal by frequency within a site.
 
-A line is boilerplate of a host if it stands on at least ``min_pages`` of the host's pages
-and on more than ``ratio`` of them. Lines are compared without surrounding white space; each
-page counts a line once. At most (mean number of different lines a page) / ratio lines of a
+A line is boilerplate of a host if it stands on more than ``ratio`` of the host's pages, at
+least ``min_pages`` (two), and not just on copies of one page. Lines are compared without
+surrounding white space; each page counts a line once. At most (mean number of different lines a page) / ratio lines of a
 host can pass, whatever the host's size, so a host's list is small and travels as one array.
 Counting combines on the map side, so a hot host or line is a few counters per task.
 
@@ -22,7 +22,7 @@ from vectorloom.tables import written
 #: Line keys that may be sent to every task; longer lists are joined by shuffle.
 BROADCAST_KEYS = 200_000
 RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 2
 
 
 def line_key(line: Column) -> Column:
@@ -37,13 +37,14 @@ def with_words(lines: Column) -> Column:
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO,
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """host, listed: the line keys to drop on each host that has any."""
-    pages = docs.select(
-        docs[host].alias("host"), docs["text"].alias("text"))
+    pages = docs.select(docs[host].alias("host"), docs["text"].alias("text"),
+                        F.xxhash64(docs["text"]).alias("page"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     keys = F.array_distinct(F.transform(with_words(F.split("text", "\n")), line_key))
-    counts = (pages.select("host", F.explode(keys).alias("key"))
-              .groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= min_pages))
+    counts = (pages.select("host", "page", F.explode(keys).alias("key"))
+              .groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"),
+                                          F.min("page").alias("one"), F.max("page").alias("other"))
+              .where((F.col("n") >= min_pages) & (F.col("one") != F.col("other"))))
     total = totals.select(F.col("host").alias("t_host"), "pages")
     return (counts.join(total, F.col("host").eqNullSafe(F.col("t_host")))
             .where(F.col("n") > F.col("pages") * F.lit(ratio))

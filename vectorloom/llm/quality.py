@@ -4,8 +4,9 @@ A quantile sketch is a histogram over logarithmic buckets (64 per doubling, so a
 off by less than 2 %). Sketches are plain counts: they merge by addition, in any order, and
 are built with map-side combining, so a hot source costs no more than its buckets. Fences are
 the quartiles of a (language, source) pair moved outwards by three interquartile ranges and a
-slack; a pair with fewer than ``min_rows`` documents uses the merged sketch of its language,
-a rare language the merged sketch of all. A document outside a fence is rejected.
+slack. Quartiles of few documents are drawn towards those of the merged sketch of the language
+(and these towards those of all), which count as ``weight`` documents: there is no size at
+which a pair's thresholds jump. A document outside a fence is rejected.
 
 Defined results: null text counts as empty (no words, rejected by the base rules); null
 language or source is a group of its own; repeated rows are judged alike; an empty table
@@ -43,7 +44,8 @@ RULES = (
     Rule("dup_line_share", 400),
     Rule("word_length", 150, both_sides=True),
 )
-MIN_ROWS = 100
+#: Documents that a wider sketch counts as.
+WEIGHT = 100
 SPREAD = 3
 
 
@@ -133,44 +135,52 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """One row per key: rows, and low_<rule>, high_<rule>."""
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """keys, rule, total, q1, q3."""
     by = Window.partitionBy(*keys, "rule")
     ranked = sketch.select(
         *keys, "rule", "bucket", F.sum("n").over(by).alias("total"),
         F.sum("n").over(by.orderBy("bucket")).alias("upto"))
     low = F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket")))
     high = F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket")))
-    quartiles = ranked.groupBy(*keys, "rule").agg(
+    return ranked.groupBy(*keys, "rule").agg(
         F.max("total").alias("total"), low.alias("q1"), high.alias("q3"))
-    made = [F.max("total").alias("rows")]
+
+
+def _drawn(own: str, prior: str, weight: int) -> list[Column]:
+    """total, q1 and q3 of ``own`` drawn towards those of ``prior``, which count as ``weight``
+    documents; whole numbers, rounded down."""
+    return [F.col(f"{own}_total").alias("total"), *[
+        F.expr(f"({own}_total * {own}_{q} + {weight} * {prior}_{q}) div ({own}_total + {weight})")
+        .alias(q) for q in ("q1", "q3")]]
+
+
+def thresholds(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
+    """lang, source, t: the fences of each pair. A language's quartiles are drawn towards those
+    of all documents, a pair's towards its language's, so that fences move evenly from the
+    language's to the pair's own as its documents grow in number."""
+    def named(df: DataFrame, name: str, *keys: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{name}_{c}")
+                           for c in (*keys, "rule", "total", "q1", "q3")])
+
+    everything = named(quartiles(merged(sketch)), "a")
+    of_lang = named(quartiles(merged(sketch, "lang"), "lang"), "l", "lang")
+    lang = of_lang.join(everything, F.col("l_rule") == F.col("a_rule")).select(
+        F.col("l_lang").alias("lang"), F.col("l_rule").alias("rule"), *_drawn("l", "a", weight))
+    pair = named(quartiles(sketch, "lang", "source"), "o", "lang", "source").join(
+        named(lang, "p", "lang"), F.col("o_lang").eqNullSafe(F.col("p_lang"))
+        & (F.col("o_rule") == F.col("p_rule"))).select(
+        F.col("o_lang").alias("lang"), F.col("o_source").alias("source"),
+        F.col("o_rule").alias("rule"), *_drawn("o", "p", weight))
+    made = []
     for r in RULES:
         own = F.col("rule") == r.name
         width = (F.col("q3") - F.col("q1")) * SPREAD + r.slack
         made.append(F.max(F.when(own, F.col("q1") - width)).alias(f"low_{r.name}"))
         made.append(F.max(F.when(own, F.col("q3") + width)).alias(f"high_{r.name}"))
-    return quartiles.groupBy(*keys).agg(*made)
-
-
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """lang, source, t: the fences each pair uses, its own or those of a merged sketch."""
-    own = fences(sketch, "lang", "source")
-    lang = fences(merged(sketch, "lang"), "lang")
-    everything = fences(merged(sketch.withColumn("all", F.lit(1)), "all"), "all")
-    names = [f"{side}_{r.name}" for r in RULES for side in ("low", "high")]
-
-    def packed(df, name, *keys):
-        return df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys],
-                         F.struct("rows", *names).alias(name))
-
-    joined = (own.select("lang", "source", F.struct("rows", *names).alias("own"))
-              .join(packed(lang, "of_lang", "lang"),
-                    F.col("lang").eqNullSafe(F.col("of_lang_lang")), "left")
-              .join(packed(everything, "of_all", "all"), F.col("of_all_all") == 1, "left"))
-    picked = (F.when(F.col("own.rows") >= min_rows, F.col("own"))
-              .when(F.col("of_lang.rows") >= min_rows, F.col("of_lang"))
-              .otherwise(F.col("of_all")))
-    return joined.select("lang", "source", picked.alias("t"))
+    fences = pair.groupBy("lang", "source").agg(*made)
+    names = [c for c in fences.columns if c not in ("lang", "source")]
+    return fences.select("lang", "source", F.struct(*names).alias("t"))
 
 
 def within(m: Column, t: Column) -> Column:
@@ -185,9 +195,9 @@ def within(m: Column, t: Column) -> Column:
     return ok
 
 
-def judged(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def judged(measured: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """``measured`` (lang, source, m, ...) with base_failed and kept."""
-    t = small_side(thresholds(sketches(measured), min_rows).select(
+    t = small_side(thresholds(sketches(measured), weight).select(
         F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "t"))
     failed = let(F.col("m"), base_failed)
     kept = let(F.struct("m", "t"), lambda x: ~base_failed(x["m"]) & within(x["m"], x["t"]))
@@ -201,8 +211,8 @@ def measured(docs: DataFrame, *carry: Column) -> DataFrame:
     return docs.select(docs["lang"], docs["source"], measures(text_of(docs)).alias("m"), *carry)
 
 
-def quality_filter(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def quality_filter(docs: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they had. The texts are measured
     twice, once for the sketches and once for the verdict, rather than kept on disk."""
-    kept = judged(measured(docs, rows_as(docs, "row")), min_rows).where("kept")
+    kept = judged(measured(docs, rows_as(docs, "row")), weight).where("kept")
     return kept.select("row.*")

@@ -41,39 +41,38 @@ def judged() -> str:
     sk = " UNION ALL ".join(
         f"SELECT lang, source, '{r.name}' AS rule, {r.name} AS val FROM m WHERE NOT base_failed"
         for r in quality.RULES)
-    keys = {"own": "lang, source", "bylang": "lang", "everything": "1"}
     out = [f"""
 sk AS (SELECT lang, source, rule, (val >> d) << d AS bucket, count(*) AS n FROM (
   SELECT *, greatest(length(bin(val)) - 7, 0)::INT AS d FROM ({sk})) GROUP BY ALL)"""]
-    for name, key in keys.items():
-        k = "'all' AS k" if key == "1" else key
-        group = "k" if key == "1" else key
+    for name, key in (("own", "lang, source, "), ("bylang", "lang, "), ("everything", "")):
         out.append(f"""
-{name}_s AS (SELECT {k}, rule, bucket, sum(n) AS n FROM sk GROUP BY ALL),
-{name}_q AS (SELECT {group}, rule, max(total) AS total,
+{name}_s AS (SELECT {key}rule, bucket, sum(n) AS n FROM sk GROUP BY ALL),
+{name} AS (SELECT {key}rule, max(total) AS n,
   min(CASE WHEN upto * 4 >= total THEN bucket END) AS q1,
   min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3 FROM (
-    SELECT *, sum(n) OVER (PARTITION BY {group}, rule) AS total,
-      sum(n) OVER (PARTITION BY {group}, rule ORDER BY bucket) AS upto FROM {name}_s)
-  GROUP BY ALL),
-{name} AS (SELECT {group}, max(total) AS n, """ + ", ".join(
-            f"max(CASE WHEN rule = '{r.name}' THEN q1 - (q3 - q1) * {quality.SPREAD} - {r.slack}"
-            f" END) AS low_{r.name}, max(CASE WHEN rule = '{r.name}' THEN q3 + (q3 - q1) * "
-            f"{quality.SPREAD} + {r.slack} END) AS high_{r.name}" for r in quality.RULES)
-            + f" FROM {name}_q GROUP BY ALL)")
+    SELECT *, sum(n) OVER (PARTITION BY {key}rule) AS total,
+      sum(n) OVER (PARTITION BY {key}rule ORDER BY bucket) AS upto FROM {name}_s)
+  GROUP BY ALL)""")
+    w = quality.WEIGHT
+    drawn = ", ".join(f"(o.n * o.{q} + {w} * p.{q})::BIGINT // (o.n + {w})::BIGINT AS {q}"
+                      for q in ("q1", "q3"))
+    out.append(f"""
+prior AS (SELECT o.lang, rule, {drawn} FROM bylang o JOIN everything p USING (rule)),
+pair AS (SELECT o.lang, o.source, o.rule, {drawn} FROM own o JOIN prior p
+  ON o.lang IS NOT DISTINCT FROM p.lang AND o.rule = p.rule),
+fence AS (SELECT lang, source, """ + ", ".join(
+        f"max(CASE WHEN rule = '{r.name}' THEN q1 - (q3 - q1) * {quality.SPREAD} - {r.slack}"
+        f" END) AS low_{r.name}, max(CASE WHEN rule = '{r.name}' THEN q3 + (q3 - q1) * "
+        f"{quality.SPREAD} + {r.slack} END) AS high_{r.name}" for r in quality.RULES)
+        + " FROM pair GROUP BY lang, source)")
     tests = []
     for r in quality.RULES:
         for side, op in (("high", "<="),) + ((("low", ">="),) if r.both_sides else ()):
-            fence = (f"CASE WHEN o.n >= {quality.MIN_ROWS} THEN o.{side}_{r.name} "
-                     f"WHEN b.n >= {quality.MIN_ROWS} THEN b.{side}_{r.name} "
-                     f"WHEN o.n IS NOT NULL THEN e.{side}_{r.name} END")
-            tests.append(f"coalesce(m.{r.name} {op} {fence}, TRUE)")
+            tests.append(f"coalesce(m.{r.name} {op} f.{side}_{r.name}, TRUE)")
     out.append(f"""
 v AS (SELECT m.*, NOT m.base_failed AND {' AND '.join(tests)} AS kept FROM m
-  LEFT JOIN own o ON m.lang IS NOT DISTINCT FROM o.lang
-    AND m.source IS NOT DISTINCT FROM o.source
-  LEFT JOIN bylang b ON m.lang IS NOT DISTINCT FROM b.lang
-  LEFT JOIN everything e ON TRUE)""")
+  LEFT JOIN fence f ON m.lang IS NOT DISTINCT FROM f.lang
+    AND m.source IS NOT DISTINCT FROM f.source)""")
     return ",".join(out)
 
 
@@ -137,13 +136,13 @@ def line_cuts(docs: str = "documents") -> str:
 lsrc AS (SELECT *, row_number() OVER () AS lrn, string_split(text, chr(10)) AS ls
   FROM {docs}),
 lpages AS (SELECT source, count(*) AS pages FROM lsrc GROUP BY source),
-leach AS (SELECT lrn, source, i, ls[i] AS raw, trim(ls[i], {TRIM}) AS line
-  FROM (SELECT lrn, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM lsrc)),
-lbad AS (SELECT source, line, count(DISTINCT lrn) AS n FROM leach WHERE line <> ''
-  GROUP BY source, line),
+leach AS (SELECT lrn, source, text, i, ls[i] AS raw, trim(ls[i], {TRIM}) AS line
+  FROM (SELECT lrn, source, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM lsrc)),
+lbad AS (SELECT source, line, count(DISTINCT lrn) AS n, count(DISTINCT text) AS texts
+  FROM leach WHERE line <> '' GROUP BY source, line),
 lhit AS (SELECT b.source, b.line FROM lbad b JOIN lpages p
   ON b.source IS NOT DISTINCT FROM p.source
-  WHERE n >= {lines.MIN_PAGES} AND n > pages * {lines.RATIO}::DOUBLE),
+  WHERE n >= {lines.MIN_PAGES} AND texts > 1 AND n > pages * {lines.RATIO}::DOUBLE),
 lmark AS (SELECT e.*, h.line IS NOT NULL AS bad FROM leach e LEFT JOIN lhit h
   ON e.line = h.line AND e.source IS NOT DISTINCT FROM h.source),
 lkept AS (SELECT lrn, count(*) FILTER (line <> '') AS n_lines,
