@@ -49,6 +49,45 @@ def test_names_do_not_drop_the_article():
     assert pages.main_text(f"<body><div class='notice'>{article}") == "\n".join(paragraphs)
 
 
+LONG_PARAGRAPH = " ".join(["some words of a long paragraph that goes on and on"] * 6)
+
+
+def test_markup_within_the_article():
+    p = f"<p>{LONG_PARAGRAPH}</p>"
+    two = f"<article><h1>A</h1>{p}</article><article><h1>B</h1><p>Short one.</p></article>"
+    assert pages.main_text(two) == f"A\n{LONG_PARAGRAPH}\nB\nShort one."
+    intro = f"<body><div><p>Short intro</p><div>{p}{p}</div></div><footer>f</footer>"
+    assert pages.main_text(intro) == f"Short intro\n{LONG_PARAGRAPH}\n{LONG_PARAGRAPH}"
+    own = f"<article><header><h1>The title</h1><p>by someone</p></header>{p}</article>"
+    assert pages.main_text(own) == f"The title\n{LONG_PARAGRAPH}"
+    assert pages.main_text(f"<header><h1>Site</h1></header><article>{p}</article>") == LONG_PARAGRAPH
+    ad = f"<article><p>{LONG_PARAGRAPH} <span class=ad>buy <span>now</span> cheap</span> end</p>"
+    assert pages.main_text(ad) == f"{LONG_PARAGRAPH} end"
+    assert pages.main_text(f"<article>{p}</article><!-- oops <p>raw markup") == LONG_PARAGRAPH
+    script = f"<article><script><!-- var x = 1;</script>{p}</article>"
+    assert pages.main_text(script) == LONG_PARAGRAPH
+    button = f"<article><p>one <button>press</button> two</p>{p}</article>"
+    assert pages.main_text(button) == f"one two\n{LONG_PARAGRAPH}"
+
+
+def test_pages_without_article_elements(spark, sf_dir):
+    """The given pages give the same text when plain containers stand for the article."""
+    raw = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for opens, closes in (("<div>", "</div>"), ("<div class=x><div id=c7>", "</div></div>"),
+                          ("<table><tr><td>", "</td></tr></table>"), ("<main>", "</main>")):
+        same = [pages.main_text(h.replace("<article>", opens).replace("</article>", closes))
+                == pages.main_text(h) for h in raw]
+        assert sum(same) >= 0.95 * len(same)
+
+
+def test_long_pages_and_ties():
+    rows = [f"<p>Paragraph number {i} of a very long page, all of equal shape.</p>"
+            for i in range(20000)]
+    found = pages.main_text("<body><nav><a>x</a></nav><div>" + "".join(rows) + "</div>")
+    assert found.count("\n") == len(rows) - 1
+    assert pages.main_text("<p>" + "word " * 200000).count("word") == 200000
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", PAGE, "a"), (None, None, None, None), (2, "u", "", "b"), (2, "u", "", "b")]
     df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, text STRING")
@@ -76,7 +115,7 @@ def test_given_pages(spark, sf_dir):
         assert r.n_chars == len(r.text)
 
 
-def test_hot_prefixes_are_counted(spark, make_docs):
+def test_hot_prefixes_get_longer(spark, make_docs):
     """Prefixes with more fragments than ``hot`` give the same result."""
     rng = np.random.default_rng(1)
     shared = [f"s{i}" for i in range(60)]
@@ -87,7 +126,7 @@ def test_hot_prefixes_are_counted(spark, make_docs):
         rows.append((i, " ".join(own[:20] + shared[60 - cut:] + own[20:])))
     docs = make_docs(rows)
     want = sorted((d, n, r) for d, n, r, _ in brute.substrings(rows))
-    for hot in (1, 10**6):
+    for hot in (0, 1, 3, 10**6):
         found = substrings.remove_repeats(docs, hot=hot)
         assert sorted((r.doc_id, r.n_words, r.n_removed) for r in found.collect()) == want
     assert any(r for _, _, r in want)
@@ -232,9 +271,12 @@ def test_boilerplate_lines(spark, make_docs):
     rows = [(i, f"menu\nown {i}\nmenu ", "a") for i in range(20)]
     rows += [(100 + i, f"menu\nother {i}", "b") for i in range(4)]
     rows += [(200, None, "a"), (201, "", None), (202, "menu", None)]
+    rows += [(300, "menu\none", "c"), (301, "menu\ntwo", "c"), (302, "menu\nalone", "d")]
     found = {r.doc_id: r.text for r in lines.line_dedup(make_docs(rows)).collect()}
-    assert found[3] == "own 3" and found[101] == "menu\nother 1"
+    assert found[3] == "own 3" and found[101] == "other 1"
     assert found[200] is None and found[201] == "" and found[202] == "menu"
+    # Two pages are the least that can share a line; a host's only page keeps all of its own.
+    assert found[300] == "one" and found[302] == "menu\nalone"
 
 
 def test_targets_and_curriculum(spark, make_docs):
@@ -283,6 +325,65 @@ def test_license_templates():
         licenses.compiled("x", "<<beginOptional>>a<<endOptional>>")
 
 
+def test_automata_equal_all_readings_of_a_template():
+    """A template with optional and replaceable regions against the list of all its readings."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        template, readings = "", [[]]
+        for part in range(rng.randint(1, 5)):
+            kind = rng.choice(["text", "optional", "var"]) if part else "text"
+            words = rng.choices("abc", k=rng.randint(1, 2))
+            if kind == "text":
+                template += " " + " ".join(words)
+                options = [words]
+            elif kind == "optional":
+                template += f" <<beginOptional>>{' '.join(words)} <<endOptional>>"
+                options = [words, []]
+            else:
+                most = rng.randint(1, 2)
+                template += f" <<var;max={most};match=[ab]>>"
+                options = [list(x) for k in range(most + 1) for x in itertools.product("ab", repeat=k)]
+            readings = [r + o for r in readings for o in options]
+        made = licenses.compiled("x", template)
+        known = {tuple(r) for r in readings}
+        text = rng.choices("abcd", k=40)
+        words = " ".join(text).encode().split()
+        for at in range(len(text)):
+            want = max((n for n in range(1, len(text) - at + 1)
+                        if tuple(text[at:at + n]) in known), default=0)
+            assert made.accepts(words, at) == want
+
+
+def test_license_texts_and_template_tables(spark, make_docs):
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are "
+           "permitted provided that the following conditions are met: {}Redistributions of source "
+           "code must retain the above copyright notice, this list of conditions and the "
+           "following disclaimer. {}Redistributions in binary form must reproduce the above "
+           "copyright notice, this list of conditions and the following disclaimer in the "
+           "documentation and/or other materials provided with the distribution. ")
+    third = ("3. Neither the name of the copyright holder nor the names of its contributors may be "
+             "used to endorse or promote products derived from this software without specific "
+             "prior written permission.")
+    gpl = ("This program is free software; you can redistribute it and/or modify it under the terms "
+           "of the GNU {}General Public License as published by the Free Software Foundation; "
+           "either version 2 of the License, or (at your option) any later version.")
+    texts = [bsd.format("1. ", "2. "), bsd.format("* ", "* ") + third, gpl.format(""),
+             gpl.format("Lesser "), bsd.format("1. ", "2. ").replace("binary form", "any form"),
+             "mit license " * 50000]
+    docs = make_docs(list(enumerate(texts)))
+    found = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert found[0].labels == "bsd-2-clause" and found[1].labels == "bsd-2-clause,bsd-3-clause"
+    assert found[2].labels == "gpl" and found[3].labels == "gpl,lgpl" and found[4].labels == ""
+    assert found[5].n_base == 50000 and found[5].last_word == 99998
+    table = spark.createDataFrame([("own", "conditions are met"), ("own", "zzz"), (None, "a")],
+                                  "label STRING, template STRING")
+    again = licenses.license_scan(docs, table)
+    assert {r.doc_id for r in again.collect() if "own" in r.labels.split(",")} == {0, 1, 4}
+
+
 def test_cuckoo_filter_grows_and_deletes():
     digests = [np.random.default_rng(i).bytes(32) for i in range(3000)]
     made = exact.CuckooFilter(buckets=2)
@@ -294,13 +395,52 @@ def test_cuckoo_filter_grows_and_deletes():
     assert all(d in again for d in digests[1::2]) and digests[0] not in again
 
 
+def live(index):
+    return {r.keep_id: r.group_size for r in index.live().collect()}
+
+
 def test_exact_index_updates(spark, make_docs):
     first = exact.digests(make_docs([(i, f"t{i % 50}") for i in range(200)]))
     second = exact.digests(make_docs([(1000 + i, f"t{i}") for i in range(40, 60)]))
-    gone = exact.digests(make_docs([(0, "t1"), (0, "t2"), (0, "unknown")]))
-    index = exact.ExactIndex.empty(spark, 200).insert(first).insert(second).delete(gone)
-    live = {r.keep_id: r.group_size for r in index.live().collect()}
-    assert len(live) == 58 and live[1045] == 5 and live[1055] == 1 and live[153] == 4
+    index = exact.ExactIndex.empty(spark, 200).insert(first).insert(second)
+    unknown = exact.digests(make_docs([(5, "unknown"), (7000, "t1")]))
+    assert live(index.delete(unknown)) == live(index)
+    # Rows with t1: 1, 51, 101, 151. Without 151 the next one stays, without all the digest goes.
+    index = index.delete(first.where("doc_id = 151"))
+    assert live(index)[101] == 3 and 151 not in live(index)
+    index = index.delete(first.where("doc_id IN (1, 101, 7)"))
+    assert live(index)[51] == 1 and live(index)[157] == 3
+    index = index.delete(first.where("doc_id = 51"))
+    assert len(live(index)) == 59 and not {1, 51, 101, 151} & set(live(index))
+    assert live(index)[1045] == 5 and live(index)[1055] == 1 and live(index)[153] == 4
+
+
+def test_exact_index_counts_copies(spark, make_docs):
+    """Rows alike in doc_id and text are entered, and leave, one by one."""
+    rows = exact.digests(make_docs([(1, "a"), (2, "a"), (2, "a"), (3, "b")]))
+    index = exact.ExactIndex.empty(spark, 4).insert(rows)
+    one = rows.where("doc_id = 2").orderBy("row").limit(1)
+    index = index.delete(one)
+    assert live(index) == {2: 2, 3: 1}
+    index = index.delete(rows.where("doc_id = 2"))
+    assert live(index) == {1: 1, 3: 1}
+    assert live(index.insert(rows.where("doc_id = 2"))) == {2: 3, 3: 1}
+
+
+def test_exact_index_splits_shards(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(exact, "SHARD_DIGESTS", 20)
+    index = exact.ExactIndex.empty(spark, 20)
+    want = {}
+    for k in range(3):
+        rows = [(100 * k + i, f"t{(60 * k + i) % 130}") for i in range(80)]
+        want.update({t: d for d, t in rows})
+        index = index.insert(exact.digests(make_docs(rows)))
+    assert index.shards >= 4
+    sizes = [len(r.digests) // 32 for r in index.table.collect()]
+    assert sum(sizes) == len(want) and max(sizes) <= 60
+    assert set(live(index)) == set(want.values())
+    again = index.delete(exact.digests(make_docs([(1, "none")])))
+    assert live(again) == live(index)
 
 
 def test_index_finds_keys_and_rejects_others(spark, make_docs):
