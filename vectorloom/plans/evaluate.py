@@ -227,7 +227,7 @@ def _from_rows(rows, numbered, edges, stats, memory) -> list[Classifier]:
 
 def _run_small(rows, short, specs, edges, settings, stats, memory, history, final):
     models = [
-        Classifier(i, Request(*stats.request(specs[i]), specs[i].positions),
+        Classifier(i, Request(*edges[i], specs[i].positions),
                    stats.order_of(specs[i].train), np.zeros((0, 0)), specs[i].train, specs[i].test)
         for i in short
     ]
