@@ -2,7 +2,7 @@
 
 A byte-level vocabulary's pre-tokenizer always starts a piece at a space before a non-space, so
 the ids of a text are the ids of its space-separated units put together. Each worker encodes a
-unit once with the library and keeps a bounded table of what it has seen. Most of the library's
+unit once with the library and keeps a table of what it has seen, bounded in bytes. Most of the library's
 time for a new unit goes into cutting it into pieces; units of plain Latin characters are cut
 here by the same published pattern and only their pieces go to the library's model. Ids are the
 same as those of the whole text. Any other kind of vocabulary encodes whole texts. Strings that
@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from sys import getsizeof
 
 import numpy as np
 import regex
@@ -35,11 +36,14 @@ def _byte_characters() -> dict[int, int]:
 
 
 _SPELLED = _byte_characters()
-#: Units and pieces kept per worker (about 200 bytes each); a full table starts anew. Longer
-#: units are never kept.
-MAX_UNITS = 1_200_000
-MAX_PIECES = 650_000
+#: Bytes of units and of pieces a worker keeps, by their measured sizes; longer units are never
+#: kept. A worker's tables take both together, whatever the texts.
+UNIT_BYTES = 128 << 20
+PIECE_BYTES = 48 << 20
 MAX_UNIT_CHARS = 64
+#: What an entry takes beside its characters and ids: two objects (as sys.getsizeof says) and
+#: its place in a table that is on average two thirds full.
+ENTRY_BYTES = getsizeof("") + getsizeof(b"") + 104
 #: Characters encoded at a time, so that unit lists stay small however long a text is.
 STEP_CHARS = 1 << 20
 
@@ -52,16 +56,31 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Table(dict):
+    """Ids by text in at most ``most`` bytes; a full table starts anew."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def put(self, entries: dict[str, bytes]) -> None:
+        self.held += (ENTRY_BYTES * len(entries) + sum(map(len, entries))
+                      + sum(map(len, entries.values())))
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        self.update(entries)
+
+
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, unit_bytes: int = UNIT_BYTES, piece_bytes: int = PIECE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Table(unit_bytes), Table(piece_bytes)
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         cut, model = made.get("pre_tokenizer") or {}, made["model"]
@@ -85,9 +104,12 @@ class Encoder:
         spelled = piece.encode().decode("latin-1").translate(_SPELLED)
         ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
         if len(piece) <= MAX_UNIT_CHARS:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
+            pieces = self.pieces
+            pieces.held += ENTRY_BYTES + len(piece) + len(ids)
+            if pieces.held > pieces.most:
+                pieces.clear()
+                pieces.held = 0
+            pieces[piece] = ids
         return ids
 
     def _new(self, units: list[str], lead: str = " ") -> dict[str, bytes]:
@@ -123,9 +145,7 @@ class Encoder:
                 if None in i:
                     i[:] = [fresh[w] if known is None else known
                             for w, known in zip(u[1:], i, strict=True)]
-            if len(self.known) + len(fresh) > MAX_UNITS:
-                self.known.clear()
-            self.known.update((w, x) for w, x in fresh.items() if len(w) <= MAX_UNIT_CHARS)
+            self.known.put({w: x for w, x in fresh.items() if len(w) <= MAX_UNIT_CHARS})
         return [f + b"".join(i) for f, i in zip(first, ids, strict=True)]
 
     def _long(self, text: str) -> bytes:
