@@ -45,7 +45,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from vectorloom.llm.common import rows_as, small_side, text_of
 from vectorloom.llm.components import components
 from vectorloom.sources.sinks import remove_path
-from vectorloom.tables import checkpoint_dir, prepare, written
+from vectorloom.tables import Scratch, checkpoint_dir, prepare, written
 
 BITS = 64
 RADIUS = 2
@@ -66,8 +66,14 @@ FILTER_RADIUS, FILTER_WORDS = 8, 2
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Buckets of the counts that tell rare shingles from common ones.
 BUCKETS = 1 << 18
-#: Pairs per entry up to which all pairs that share a rare shingle are compared at once.
+#: Pairs per entry at the start up to which all that share a rare shingle are compared at once.
 PAIRS = 8
+#: Members of a shingle's group up to which its pairs are rows; larger groups are cut into blocks
+#: of ``MEMBERS``, and tasks compare block with block and return the similar pairs only.
+PAIR_GROUP = 16
+MEMBERS = 128
+#: Cells of the member-by-shingle matrix that a task multiplies at a time.
+CELLS = 1 << 22
 STEP = 1 << 16
 
 
@@ -495,10 +501,10 @@ def _rare(sets: DataFrame, similarity: float) -> DataFrame:
         run, StructType([*rest, StructField("n", LongType()), StructField("token", LongType())]))
 
 
-def _entries(rare: DataFrame) -> DataFrame:
+def _entries(rare: DataFrame, work: Scratch) -> DataFrame:
     """root, token, rank: tokens that several members have. The least rank is decided first:
     the fewest tokens of its own (so the original of many copies), then the least doc_id."""
-    rare = written(rare)
+    rare = work.written(rare)
     several = (rare.groupBy("root", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
                .select(F.col("root").alias("k_root"), F.col("token").alias("k_token")))
     met = (rare.join(several, (F.col("root") == F.col("k_root"))
@@ -527,61 +533,144 @@ def _places(ranks: DataFrame, side: str) -> DataFrame:
     return ranks.select(F.col(side)["place"].alias("gone")).distinct()
 
 
-def _all_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
+def _similar_places(owners: list[np.ndarray], block: np.ndarray,
+                    similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """i < j of similar members, given their shingles; only pairs of different blocks where
+    there are two."""
+    m = len(owners)
+    sizes = np.array([len(x) for x in owners])
+    at = np.repeat(np.arange(m), sizes)
+    _, token, times = np.unique(np.concatenate(owners), return_inverse=True, return_counts=True)
+    shared = times[token] > 1  # a shingle of one member is in no pair's common part
+    at, token = at[shared], np.unique(token[shared], return_inverse=True)[1]
+    common = np.zeros((m, m), np.float32)
+    step = max(1, CELLS // m)
+    order = np.argsort(token, kind="stable")
+    at, token = at[order], token[order]
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+        some = slice(*np.searchsorted(token, [lo, lo + step]))
+        holds = np.zeros((m, step), np.float32)
+        holds[at[some], token[some] - lo] = 1
+        common += holds @ holds.T
+    every = sizes[:, None] + sizes[None, :] - common
+    near = (common >= every * similarity) & (np.arange(m)[:, None] < np.arange(m)[None, :])
+    if block.min() != block.max():
+        near &= block[:, None] != block[None, :]
+    return np.nonzero(near)
+
+
+def _by_blocks(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: places of similar members in large groups (root, token, rank, k)."""
+    blocks = F.ceil(F.col("k") / MEMBERS)
+    place = F.col("rank")["place"]
+    mine = F.pmod(F.xxhash64(place), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other")
+    dealt = large.select("root", "token", "rank", place.alias("place"), mine.alias("mine"),
+                         blocks.alias("blocks"), other)
+    pair = (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("bigint")
+    own = sets.select(F.col("place").alias("o_place"), "shingles")
+    key = ["root", "token", "pair"]
+    rows = (dealt.withColumn("pair", pair).join(own, F.col("place") == F.col("o_place"))
+            .repartition(*key).sortWithinPartitions(*key, "rank")
+            .select(*key, "mine", "place", "shingles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, places, mines, owners = None, [], [], []
+
+        def done():
+            i, j = _similar_places(owners, np.array(mines), similarity)
+            at = np.array(places)
+            return pa.RecordBatch.from_arrays([pa.array(at[i]), pa.array(at[j])], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            for here, own, place, x in zip(keys, batch.column("mine").to_pylist(),
+                                           batch.column("place").to_pylist(),
+                                           batch.column("shingles"), strict=True):
+                if here != held:
+                    if places:
+                        yield done()
+                    held, places, mines, owners = here, [], [], []
+                places.append(place)
+                mines.append(own)
+                owners.append(np.array(x.values.to_numpy()))
+        if places:
+            yield done()
+
+    return rows.mapInArrow(run, "a BIGINT, b BIGINT")
+
+
+def _near_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: places of similar members that share a token; a has the least rank."""
+    sizes = left.groupBy(F.col("root").alias("c_root"), F.col("token").alias("c_token")).agg(
+        F.count(F.lit(1)).alias("k"))
+    counted = left.join(sizes, (F.col("root") == F.col("c_root"))
+                        & (F.col("token") == F.col("c_token"))).select("root", "token", "rank", "k")
+    small = counted.where(F.col("k") <= PAIR_GROUP)
+    other = small.select(F.col("root").alias("o_root"), F.col("token").alias("o_token"),
+                         F.col("rank").alias("b"))
+    met = small.join(other, (F.col("root") == F.col("o_root"))
+                     & (F.col("token") == F.col("o_token")) & (F.col("rank") < F.col("b")))
+    few = _similar(met.select(F.col("rank").alias("a"), "b"), sets, similarity).select(
+        F.col("a")["place"].alias("a"), F.col("b")["place"].alias("b"))
+    many = _by_blocks(counted.where(F.col("k") > PAIR_GROUP), sets, similarity)
+    return few.union(many).distinct()
+
+
+def _all_pairs(left: DataFrame, sets: DataFrame, similarity: float,
+               work: Scratch) -> list[DataFrame]:
     """Tables of ``gone``: all pairs that share a token are compared at once; then, round by
     round, members without a similar one of less rank stay and those similar to them go."""
-    other = left.select(F.col("root").alias("o_root"), F.col("token").alias("o_token"),
-                        F.col("rank").alias("b"))
-    met = left.join(other, (F.col("root") == F.col("o_root"))
-                    & (F.col("token") == F.col("o_token")) & (F.col("rank") < F.col("b")))
-    near = written(_similar(met.select(F.col("rank").alias("a"), "b"), sets, similarity).select(
-        F.col("a")["place"].alias("a"), F.col("b")["place"].alias("b")))
+    near = work.written(_near_pairs(left, sets, similarity))
     out = []
     while not near.isEmpty():
         under = near.select(F.col("b").alias("u")).distinct()
         tops = near.join(under, F.col("a") == F.col("u"), "left_anti")
-        gone = written(tops.select(F.col("b").alias("gone")).distinct())
+        gone = work.written(tops.select(F.col("b").alias("gone")).distinct())
         out.append(gone)
         near = near.join(gone, F.col("a") == F.col("gone"), "left_anti")
-        near = written(near.join(gone, F.col("b") == F.col("gone"), "left_anti"))
+        near = work.written(near.join(gone, F.col("b") == F.col("gone"), "left_anti"))
     return out
 
 
-def _copies(sets: DataFrame, similarity: float) -> DataFrame | None:
+def _copies(sets: DataFrame, similarity: float, work: Scratch) -> DataFrame | None:
     """gone: the places of members similar to one that stays. Members are decided by rank:
     one stays unless it is similar to one that stays, until no member is undecided.
 
     In a round the member of least rank among the undecided of a token is its first. Who is
     first at all its tokens stays and is compared with those it meets there, so that a group
-    of many copies is thinned without pairs among them. Once few pairs are left that share a
-    token, they are all compared; the result is the same.
+    of many copies is thinned without pairs among them. Once the pairs left that share a token
+    are no more than ``PAIRS`` for each entry there was at first, they are all compared; the
+    result is the same.
     """
-    left = written(_entries(_rare(sets, similarity)))
+    room = None
+    left = work.written(_entries(_rare(sets, similarity), work))
     out: list[DataFrame] = []
     while True:
-        groups = written(left.groupBy("root", "token").agg(
+        groups = work.written(left.groupBy("root", "token").agg(
             F.min("rank").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1"))
         entries, pairs = groups.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
         if not entries:
             break
-        if pairs <= entries * PAIRS:
-            out += _all_pairs(left, sets, similarity)
+        room = room or entries * PAIRS
+        if pairs <= room:
+            out += _all_pairs(left, sets, similarity, work)
             break
         heads = groups.select(F.col("root").alias("g_root"), F.col("token").alias("g_token"),
                               "first")
-        led = written(left.join(heads, (F.col("root") == F.col("g_root"))
+        led = work.written(left.join(heads, (F.col("root") == F.col("g_root"))
                                 & (F.col("token") == F.col("g_token")))
                       .select("root", "token", "rank", "first"))
         own = F.col("first")["place"] == F.col("rank")["place"]
-        stays = written(led.groupBy(F.col("rank")["place"].alias("stay")).agg(
+        stays = work.written(led.groupBy(F.col("rank")["place"].alias("stay")).agg(
             F.every(own).alias("all")).where("all").select("stay"))
         met = led.where(~own).join(stays, F.col("first")["place"] == F.col("stay")).select(
             F.col("first").alias("a"), F.col("rank").alias("b"))
-        gone = written(_places(_similar(met, sets, similarity), "b"))
+        gone = work.written(_places(_similar(met, sets, similarity), "b"))
         out.append(gone)
         place = F.col("rank")["place"]
         left = led.join(stays, place == F.col("stay"), "left_anti")
-        left = written(left.join(gone, place == F.col("gone"), "left_anti").select(
+        left = work.written(left.join(gone, place == F.col("gone"), "left_anti").select(
             "root", "token", "rank"))
     whole = None
     for gone in out:
@@ -606,11 +695,13 @@ def one_of_each(docs: DataFrame, radius: int = FILTER_RADIUS, words: int = FILTE
         rooted.join(shared, F.col("root") == F.col("s_root")).select("k_fp", "root"))
     members = rows.join(wanted, F.col("fp") == F.col("k_fp")).select(
         "root", "place", "doc_id", "fp", text_of_row(F.col("row")).alias("text"))
-    sets = written(_shingle_sets(members, shingle_words).select(
-        "root", "place", "doc_id", "shingles"))
-    gone = _copies(sets, similarity)
+    with Scratch(docs.sparkSession) as work:
+        sets = work.written(_shingle_sets(members, shingle_words).select(
+            "root", "place", "doc_id", "shingles"))
+        gone = _copies(sets, similarity, work)
+        gone = None if gone is None else small_side(gone)  # written by itself
     kept = rows if gone is None else rows.join(
-        small_side(gone), F.col("place") == F.col("gone"), "left_anti")
+        gone, F.col("place") == F.col("gone"), "left_anti")
     return kept.select("row.*")
 
 
