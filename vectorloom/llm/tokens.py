@@ -38,8 +38,8 @@ def _byte_characters() -> dict[int, int]:
 _SPELLED = _byte_characters()
 #: Bytes of units and of pieces a worker keeps, by their measured sizes; longer units are never
 #: kept. A worker's tables take both together, whatever the texts.
-UNIT_BYTES = 128 << 20
-PIECE_BYTES = 48 << 20
+UNIT_BYTES = 192 << 20
+PIECE_BYTES = 72 << 20
 MAX_UNIT_CHARS = 64
 #: What an entry takes beside its characters and ids: two objects (as sys.getsizeof says) and
 #: its place in a table that is on average two thirds full.
