@@ -219,3 +219,22 @@ def test_matrix_operators(spark, make_matrix):
     assert ([r.name for r in yes.collect()], [r.name for r in no.collect()]) == (["z"], ["q"])
     assert mx.restrict_features(dim, asked.limit(0)).count() == 3
     assert mx.renumber(mx.restrict_features(dim, asked)).first() == (0, "z")
+
+
+def test_named_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    def per_file(*_):
+        raise AssertionError("one call of the driver per file")
+
+    rows = [(f"s{i % 40}/f-{i % 40}.bed", f"{9 - i // 40}", None if i == 7 else f"line {i} é")
+            for i in range(320)]
+    lines = spark.createDataFrame(rows, "file STRING, place STRING, value STRING").repartition(5)
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "_rename_part", per_file)
+        sinks.write_named_files(lines, f"file:{tmp_path}/a")
+    sinks._write_and_rename(lines, f"file:{tmp_path}/b")
+    texts = [{str(p.relative_to(tmp_path / top)): p.read_text(encoding="utf-8")
+              for p in (tmp_path / top).rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+             for top in "ab"]
+    assert texts[0] == texts[1] and len(texts[0]) == 40
+    assert texts[0]["s7/f-7.bed"].split("\n") == [
+        *(f"line {i} é" for i in range(287, 7, -40)), "", ""]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from itertools import groupby
+from operator import itemgetter
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.settings import Settings
 from vectorloom.sources.delimited import numbered_features
-from vectorloom.tables import cut_lineage
+from vectorloom.tables import cut_lineage, prepare
 
 
 def write_dataset(matrix: DataFrame, feature_dim: DataFrame | None, path: str,
@@ -127,8 +131,59 @@ def selection_lines(spark: SparkSession, group_size: int, accuracy: float,
 
 def write_named_files(lines: DataFrame, path: str) -> None:
     """Text files from ``file, place, value``: one per name below ``path``, lines by place.
-    Tasks write them under the names' hashes; the driver then gives each its name, one call
-    per file."""
+    Where ``path`` is a folder that tasks can open (scheme ``file``), each task writes its own
+    files under their names, and a file is there whole or not at all. Elsewhere tasks write them
+    under the names' hashes and the driver then gives each its name, one call per file."""
+    spark = lines.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = files.makeQualified(place).toUri()
+    if target.getScheme() == "file":
+        _write_in_tasks(lines, target.getPath())
+    else:
+        _write_and_rename(lines, path)
+
+
+def _write_in_tasks(lines: DataFrame, folder: str) -> None:
+    """Tasks stream their rows, sorted by file, into one open file at a time."""
+    spark = lines.sparkSession
+    prepare(spark)
+    os.makedirs(folder, exist_ok=True)
+
+    def write(batches):
+        made, name, file, staged = {folder}, None, None, None
+
+        def finish():
+            file.close()
+            os.replace(staged, f"{folder}/{name}")
+
+        for batch in batches:
+            rows = zip(batch.column("file").to_pylist(), batch.column("value").to_pylist())
+            for one, some in groupby(rows, itemgetter(0)):
+                if one is None:
+                    raise ValueError(f"{folder}: a line without a file name")
+                if one != name:
+                    if file:
+                        finish()
+                    name, (inside, _, last) = one, f"{folder}/{one}".rpartition("/")
+                    if inside not in made:
+                        os.makedirs(inside, exist_ok=True)
+                        made.add(inside)
+                    staged = f"{inside}/.{last}-{uuid4().hex}"  # a name that readers skip
+                    file = open(staged, "w", encoding="utf-8", newline="")
+                file.writelines(f"{value or ''}\n" for _, value in some)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+        if file:
+            finish()
+
+    # Many small files cost by number, not by bytes, so their tasks are not coalesced by bytes.
+    tasks = max(spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = lines.repartition(tasks, "file").sortWithinPartitions("file", "place")
+    placed.select("file", "value").mapInArrow(write, "n BIGINT").agg(F.sum("n")).collect()
+
+
+def _write_and_rename(lines: DataFrame, path: str) -> None:
     spark = lines.sparkSession
     staged = f"{path}/_staged-{uuid4().hex}"
     names = cut_lineage(lines.select("file").distinct().withColumn("key", F.md5("file")))
