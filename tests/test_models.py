@@ -172,3 +172,32 @@ def test_one_python_evaluation_per_encode(spark, make_matrix):
     hv = encode.encode_rows(rows, load_item_memory(spark, 16, 2, 0), 0.0, 1.0)
     plan = hv.select("row_id", F.posexplode_outer("hv"))._jdf.queryExecution().executedPlan()
     assert plan.toString().count("MapInArrow") == 1
+
+
+def test_online_pass_opens_only_the_blocks_it_walks(spark, make_matrix, monkeypatch):
+    """Every block has wrong guesses: a pass takes a job per block, and that job few tasks."""
+    x, _ = blobs(300, 5, 2, 9)
+    y = [str(i % 2) for i in range(300)]
+    rows = matrix(make_matrix, x, y)
+    settings = Settings(40, 5, 2, retrain=1)
+    whole = holdout(rows, 50, settings).steps
+    monkeypatch.setattr(retrain, "block_rows", lambda *_: 7)
+    spark.sparkContext.setJobGroup("blocks", "an online pass by blocks")
+    steps = holdout(rows, 50, settings).steps
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("blocks")]
+    stages = {s for j in jobs for s in j.stageIds}
+    found = [tracker.getStageInfo(s) for s in stages]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert steps == whole
+    assert len(jobs) > 40
+    assert sum(s.numTasks for s in found if s) < 8 * len(jobs)
+
+
+def test_blocks_are_bounded():
+    assert retrain.rows_per_block(10_000, 26, 64) == 4096
+    assert 4096 < retrain.rows_per_block(1_000_000, 26, 64) <= 1_000_000 // 64 + 1
+    assert retrain.rows_per_block(10**9, 26, 64) == 16 * 4096
+    for width in (10**5, 10**6):
+        rows = retrain.rows_per_block(10**9, width, 64)
+        assert rows * 8 * width <= retrain.BLOCK_BYTES
