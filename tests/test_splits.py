@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectorloom import tables
 from vectorloom.operators import permute, splits
 
 
@@ -105,3 +106,13 @@ def test_hash_rank_is_a_permutation(spark):
     df = spark.range(500).withColumn("k", F.md5(F.col("id").cast("string")))
     ranks = permute.hash_rank(df, "k", "id", "r").orderBy("k").collect()
     assert [r.r for r in ranks] == list(np.arange(1, 501))
+
+
+def test_spread_partitions_grow_with_the_rows(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(1000).withColumnRenamed("id", "row_id")
+    for megabytes in (1, 100):
+        monkeypatch.setattr(tables, "estimated_bytes", lambda _, n=megabytes: n << 20)
+        with tables.spread(rows, "row_id") as wide:
+            assert wide.count() == 1000
+            assert wide.rdd.getNumPartitions() == max(cores, megabytes // 4)
