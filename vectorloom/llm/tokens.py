@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from sys import getsizeof
 
 import numpy as np
@@ -57,19 +58,27 @@ def default_vocabulary() -> str:
 
 
 class Table(dict):
-    """Ids by text in at most ``most`` bytes; a full table starts anew."""
+    """Ids by text in at most ``most`` bytes; a full table starts anew. What is missing is made
+    by ``make`` when it is looked up."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, make: Callable[[str], bytes]):
         super().__init__()
-        self.most, self.held = most, 0
+        self.most, self.held, self.make = most, 0, make
 
-    def put(self, entries: dict[str, bytes]) -> None:
-        self.held += (ENTRY_BYTES * len(entries) + sum(map(len, entries))
-                      + sum(map(len, entries.values())))
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        self.put(text, ids)
+        return ids
+
+    def put(self, text: str, ids: bytes) -> None:
+        if len(text) > MAX_UNIT_CHARS:
+            return
+        size = ENTRY_BYTES + len(text) + len(ids)
+        self.held += size
         if self.held > self.most:
             self.clear()
-            self.held = 0
-        self.update(entries)
+            self.held = size
+        self[text] = ids
 
 
 class Encoder:
@@ -80,7 +89,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known, self.pieces = Table(unit_bytes), Table(piece_bytes)
+        self.known = Table(unit_bytes, self._unit)
+        self.pieces = Table(piece_bytes, self._piece)
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         cut, model = made.get("pre_tokenizer") or {}, made["model"]
@@ -102,51 +112,30 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin-1").translate(_SPELLED)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
-        if len(piece) <= MAX_UNIT_CHARS:
-            pieces = self.pieces
-            pieces.held += ENTRY_BYTES + len(piece) + len(ids)
-            if pieces.held > pieces.most:
-                pieces.clear()
-                pieces.held = 0
-            pieces[piece] = ids
-        return ids
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
 
-    def _new(self, units: list[str], lead: str = " ") -> dict[str, bytes]:
-        """Ids of units that stand behind ``lead``."""
-        out, others = {}, []
-        get = self.pieces.get
-        for unit in units:
-            if _PLAIN.fullmatch(unit):
-                out[unit] = b"".join([get(p) or self._piece(p)
-                                      for p in _PIECES.findall(lead + unit)])
-            else:
-                others.append(unit)
-        if others:
-            out.update(zip(others, self._library([lead + u for u in others]), strict=True))
-        return out
+    def _unit(self, unit: str, lead: str = " ") -> bytes:
+        """Ids of a unit that stands behind ``lead``."""
+        if unit.isascii() and unit.isalpha():  # one piece by the pattern
+            return self.pieces[lead + unit]
+        if _PLAIN.fullmatch(unit):
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(lead + unit)))
+        return self._library([lead + unit])[0]
 
     def _some(self, texts: list[str]) -> list[bytes]:
         """Ids of a few texts (little-endian, 32 bits)."""
         if not self.by_units:
             return self._library(texts)
         units = [_CUT.split(t) for t in texts]
-        starts = self._new(list({u[0] for u in units}), "")
-        first = [starts[u[0]] for u in units]
-        get = self.known.get
-        ids = [list(map(get, u[1:])) for u in units]
-        missing: set[str] = set()
-        for u, i in zip(units, ids, strict=True):
-            if None in i:
-                missing.update(w for w, known in zip(u[1:], i, strict=True) if known is None)
-        if missing:
-            fresh = self._new(list(missing))
-            for u, i in zip(units, ids, strict=True):
-                if None in i:
-                    i[:] = [fresh[w] if known is None else known
-                            for w, known in zip(u[1:], i, strict=True)]
-            self.known.put({w: x for w, x in fresh.items() if len(w) <= MAX_UNIT_CHARS})
-        return [f + b"".join(i) for f, i in zip(first, ids, strict=True)]
+        known = self.known
+        others = list({w for t, u in zip(texts, units, strict=True)
+                       if not (t.isascii() or _PLAIN.fullmatch(t))
+                       for w in u[1:] if len(w) <= MAX_UNIT_CHARS and w not in known
+                       and not _PLAIN.fullmatch(w)})
+        if others:  # one call of the library for all that can be kept
+            for w, ids in zip(others, self._library([" " + w for w in others]), strict=True):
+                known.put(w, ids)
+        return [self._unit(u[0], "") + b"".join(map(known.__getitem__, u[1:])) for u in units]
 
     def _long(self, text: str) -> bytes:
         parts, at = [], 0
