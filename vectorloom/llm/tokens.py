@@ -22,6 +22,8 @@ import regex
 
 #: Cuts a text where a piece always begins.
 _CUT = re.compile(r" (?=\S)")
+#: A space that cuts nothing.
+_GAP = re.compile(r" (?!\S)")
 #: Fixed value: the pattern by which byte-level pre-tokenizers cut texts into pieces.
 _PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -37,6 +39,9 @@ def _byte_characters() -> dict[int, int]:
 
 
 _SPELLED = _byte_characters()
+_SPACE = chr(_SPELLED[ord(" ")])
+#: Marks that end a word and never begin a piece with letters, as an apostrophe may.
+_MARKS = tuple(".,;:!?)")
 #: Bytes of units and of pieces a worker keeps, by their measured sizes; longer units are never
 #: kept. A worker's tables take both together, whatever the texts.
 UNIT_BYTES = 192 << 20
@@ -89,6 +94,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Every id as four bytes.
+        size = max(self.tokenizer.get_vocab().values(), default=0) + 1
+        self.four = [i.to_bytes(4, "little") for i in range(size)]
         self.known = Table(unit_bytes, self._unit)
         self.pieces = Table(piece_bytes, self._piece)
         with open(path, encoding="utf-8") as file:
@@ -111,13 +119,24 @@ class Encoder:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(_SPELLED)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        if piece.isascii() and piece.isprintable():
+            # What stands behind a space may be known as a unit.
+            ids = self.known.get(piece[1:]) if piece[0] == " " else None
+            if ids is not None:
+                return ids
+            spelled = piece.replace(" ", _SPACE)
+        else:
+            spelled = piece.encode().decode("latin-1").translate(_SPELLED)
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(spelled)])
 
     def _unit(self, unit: str, lead: str = " ") -> bytes:
         """Ids of a unit that stands behind ``lead``."""
-        if unit.isascii() and unit.isalpha():  # one piece by the pattern
-            return self.pieces[lead + unit]
+        if unit.isascii():  # words of letters are one piece by the pattern, a mark another
+            if unit.isalpha():
+                return self.pieces.get(lead + unit) or self._piece(lead + unit)
+            if unit[-1:] in _MARKS and unit[:-1].isalpha():
+                return self.pieces[lead + unit[:-1]] + self.pieces[unit[-1]]
         if _PLAIN.fullmatch(unit):
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(lead + unit)))
         return self._library([lead + unit])[0]
@@ -126,7 +145,7 @@ class Encoder:
         """Ids of a few texts (little-endian, 32 bits)."""
         if not self.by_units:
             return self._library(texts)
-        units = [_CUT.split(t) for t in texts]
+        units = [_CUT.split(t) if _GAP.search(t) else t.split(" ") for t in texts]
         known = self.known
         others = list({w for t, u in zip(texts, units, strict=True)
                        if not (t.isascii() or _PLAIN.fullmatch(t))
