@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from vectorloom.llm.common import text_of
-from vectorloom.llm.tokens import Encoder, default_vocabulary
+from vectorloom.llm.tokens import PIECE_BYTES, UNIT_BYTES, Encoder, default_vocabulary
 from vectorloom.tables import prepare
 
 TIERS = (1024, 512, 256, 128)
@@ -139,15 +139,16 @@ class Packer:
 
 
 def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, vocabulary: str | None = None,
-         end_id: int = END_ID) -> DataFrame:
+         end_id: int = END_ID, table_bytes: int = UNIT_BYTES + PIECE_BYTES) -> DataFrame:
     """doc_id and one row per piece: start, length, ids (32-bit little-endian), doc_tokens,
-    sequence_id, offset, tier (the sequence's length), step_group."""
+    sequence_id, offset, tier (the sequence's length), step_group. A worker's tables of words
+    take at most ``table_bytes``, which changes no row."""
     prepare(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder.of(path), Packer(tiers)
+        encoder, packer = Encoder.of(path, table_bytes), Packer(tiers)
         base = TaskContext.get().partitionId() << LOCAL_BITS
         end = np.array([end_id], dtype="<u4").tobytes()
 

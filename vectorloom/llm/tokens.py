@@ -43,7 +43,8 @@ _SPACE = chr(_SPELLED[ord(" ")])
 #: Marks that end a word and never begin a piece with letters, as an apostrophe may.
 _MARKS = tuple(".,;:!?)")
 #: Bytes of units and of pieces a worker keeps, by their measured sizes; longer units are never
-#: kept. A worker's tables take both together, whatever the texts.
+#: kept. A worker's tables take both together, whatever the texts, unless ``Encoder.of`` is given
+#: less; the ids are the same.
 UNIT_BYTES = 192 << 20
 PIECE_BYTES = 72 << 20
 MAX_UNIT_CHARS = 64
@@ -85,6 +86,13 @@ class Table(dict):
             self.held = size
         self[text] = ids
 
+    def bound(self, most: int) -> None:
+        """At most ``most`` bytes from now on; a table that holds more starts anew."""
+        self.most = most
+        if self.held > most:
+            self.clear()
+            self.held = 0
+
 
 class Encoder:
     def __init__(self, path: str, unit_bytes: int = UNIT_BYTES, piece_bytes: int = PIECE_BYTES):
@@ -109,10 +117,14 @@ class Encoder:
             and not model.get("ignore_merges"))
 
     @staticmethod
-    def of(path: str) -> Encoder:
+    def of(path: str, table_bytes: int = UNIT_BYTES + PIECE_BYTES) -> Encoder:
+        """The worker's encoder; its tables hold at most ``table_bytes`` together."""
         if path not in _encoders:
             _encoders[path] = Encoder(path)
-        return _encoders[path]
+        encoder, whole = _encoders[path], UNIT_BYTES + PIECE_BYTES
+        encoder.known.bound(table_bytes * UNIT_BYTES // whole)
+        encoder.pieces.bound(table_bytes * PIECE_BYTES // whole)
+        return encoder
 
     def _library(self, units: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
